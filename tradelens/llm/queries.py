@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import lines, mixing, pii, quality, shards
+from tradelens.llm import lines, mixing, packing, pii, quality, shards, simhash
 from tradelens.llm.common import read_table
 
 
@@ -21,6 +21,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_cut_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,5 +49,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pii, op3_quality, op8_line_dedup, op9_sharding, op10_mixing]
+    found = [op2_pii, op3_quality, op4_packing, op5_simhash, op8_line_dedup, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
