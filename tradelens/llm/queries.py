@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import lines, mixing, packing, pii, quality, shards, simhash
+from tradelens.llm import lines, mixing, neighbors, packing, pii, quality, shards, simhash
 from tradelens.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.nearest_neighbors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_cut_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pii, op3_quality, op4_packing, op5_simhash, op8_line_dedup, op9_sharding, op10_mixing]
+    found = [op2_pii, op3_quality, op4_packing, op5_simhash, op6_neighbors, op8_line_dedup, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
