@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import lines, mixing, neighbors, packing, pii, quality, shards, simhash
+from tradelens.llm import licenses, lines, mixing, neighbors, packing, pii, quality, shards, simhash, suffix_dedup
 from tradelens.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
@@ -34,6 +42,10 @@ def op6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest_neighbors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_cut_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,5 +65,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pii, op3_quality, op4_packing, op5_simhash, op6_neighbors, op8_line_dedup, op9_sharding, op10_mixing]
+    found = [
+        op1_suffix_dedup, op2_pii, op3_quality, op4_packing, op5_simhash,
+        op6_neighbors, op7_licenses, op8_line_dedup, op9_sharding, op10_mixing,
+    ]
     return {f.__name__: f for f in found}
