@@ -129,12 +129,10 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     base = (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
     passed, names = compile_rules(rules, metrics)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words"]
-    return five.select(
-        *keep,
-        F.struct(*counts, base.alias("base_failed"), (~base & passed).alias("kept"), names.alias("failed_rules")).alias(
-            "quality"
-        ),
-    )
+    verdict = F.struct(*counts, base.alias("base_failed"), (~base & passed).alias("kept"), names.alias("failed_rules"))
+    # one-row generator: without it a filter on the verdict would be pushed below these projections, with all
+    # metrics written out inside it once for each use
+    return five.select(*keep, F.explode(F.array(verdict)).alias("quality"))
 
 
 def passing(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
