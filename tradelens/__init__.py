@@ -1,0 +1 @@
+"""Prediction-market trader analytics as composable Spark DataFrame functions."""
