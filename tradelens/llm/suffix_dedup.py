@@ -156,7 +156,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     lanes = np.arange(0, n, strip)
     length = np.zeros(len(lanes), np.int64)
     limits = np.array([1 << (8 * k) for k in range(8)], np.uint64)
-    for k in range(strip):
+    for k in range(min(strip, n)):
         at = lanes + k
         if at[-1] >= n:
             at, length = at[:-1], length[: len(at) - 1]
