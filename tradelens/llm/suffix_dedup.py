@@ -7,7 +7,7 @@ is the window text plus a few bytes. The job has five steps, all of them Spark s
 
 1. shards of documents send each distinct key once (8 bytes for some 14 of text);
 2. key buckets answer which keys occur in two documents; nothing else can repeat;
-3. shards send the distinct texts of their repeated runs, each with its least document;
+3. shards send the distinct texts of their repeated runs, packed, each with its least document;
 4. text shards, bounded in bytes and ordered by key, are sorted to suffix arrays by Larsson-Sadakane
    refinement, get their common prefixes by Kasai's rule, and so the first document of each window;
    where a key runs over a shard's edge, the shards' sorted windows are merged by binary search;
@@ -364,7 +364,8 @@ def _send_texts(buckets: int):
             number, key, doc, text = zip(*own, strict=True)
             rows.append((
                 bucket, shard, np.array(number, np.int32).tobytes(), np.array(key, np.uint64).tobytes(),
-                np.array(doc, np.int64).tobytes(), np.fromiter(map(len, text), np.int32).tobytes(), b"".join(text),
+                np.array(doc, np.int64).tobytes(), np.fromiter(map(len, text), np.int32).tobytes(),
+                pa.compress(b"".join(text), "zstd", asbytes=True),
             ))
         return _table(rows, fields)
 
@@ -380,6 +381,7 @@ def _first_of_windows(table: pa.Table) -> pa.Table:
     columns = [table.column(n).to_pylist() for n in ("shard", "numbers", "keys", "docs", "sizes", "texts")]
     for shard, numbers, keys, docs, sizes, texts in zip(*columns, strict=True):
         own_docs, ends, at = np.frombuffer(docs, np.int64), np.cumsum(np.frombuffer(sizes, np.int32)), 0
+        texts = pa.decompress(texts, int(ends[-1]), "zstd", asbytes=True)
         mine = []
         for doc, key, end in zip(own_docs.tolist(), np.frombuffer(keys, np.uint64).tolist(), ends.tolist(), strict=True):
             text, at = texts[at:end], end
