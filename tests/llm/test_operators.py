@@ -1,0 +1,559 @@
+"""Corpus operators against brute force, on documents with every awkward case."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tradelens.llm import components, licenses, lines, mixing, neighbors, packing, pii, quality, shards, simhash, suffix_dedup
+from tradelens.llm.common import cut
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b for a in "the of and ing er on".split() for b in "re st en a it".split()]
+
+
+def prose(seed: int, n: int, end: str = ".") -> str:
+    r = random.Random(seed)
+    out = []
+    while n > 0:
+        k = min(n, r.randint(4, 12))
+        out.append(" ".join(r.choice(WORDS) + str(r.randint(0, 99) if r.random() < 0.1 else "") for _ in range(k)) + end)
+        n -= k
+    return "\n".join(out)
+
+
+def corpus() -> list[tuple]:
+    long = prose(1, 4000)
+    base = [prose(k, 80 + 7 * k) for k in range(12)]
+    shared = prose(99, 60)
+    texts = [
+        *base, base[0], base[0], base[3], base[1].replace("the", "tha", 1), base[2] + " tail", long, long[:9000] + "x" + long[9000:],
+        None, "", " \t\n", "word", "a b", "é ß ü", "ÀÉ mit license x\r\nline", prose(50, 70) + "\n" + shared, shared + "\n" + prose(51, 30),
+        prose(52, 20) + "\n" + shared + "\n" + prose(53, 20), "x " * 300, "aaaaaaaa" * 40, "same line\n" * 30, "é" * 120, "😀 " * 60,
+        "mail a.b@x-y.example.com and c@d.e.f, ip 1.2.3.4 or 256.1.1.1 or 001.02.3.4 card 4111 1111 1111 1111 phone +1 (017) 555-7713 "
+        "iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789 then 123-45-6788",
+        "@" * 200 + "a" * 5000 + " +" + "1" * 30 + " 1.1.1.1.1.1.1.1.1", "😀é a@b.c +123456789 9",
+        "Licensed under CC BY-NC 4.0. mit license MIT License, apache\nlicense general public license mit-license",
+    ]
+    rows = [(k, t, "en", ["s0", "s0", "s1", "s2", None][k % 5], len(t or "")) for k, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (None, base[4], None, None, None), (None, None, None, "s1", 0)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+CLASH = ["quality", "pii", "n_cut_lines", "epoch", "order_key", "mix_tokens", "shard", "block", "key", "fp", "h", "_t", "_w", "at", "rank", "id"]
+
+
+@pytest.fixture(scope="module")
+def clash(docs):
+    return docs.withColumns({c: F.lit("clash") for c in CLASH})
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# 1 ------------------------------------------------------------------------------------------------
+
+
+def removed(rows):
+    first = {}
+    body = lambda t: (t or "").encode()
+    for i, t in ((r[0], body(r[1])) for r in rows):
+        if i is not None:
+            for j in range(len(t) - 49):
+                w = t[j : j + 50]
+                first[w] = min(first.get(w, i), i)
+    out = []
+    for i, t in ((r[0], body(r[1])) for r in rows):
+        gone = np.zeros(len(t), bool)
+        if i is not None:
+            for j in range(len(t) - 49):
+                if first[t[j : j + 50]] < i:
+                    gone[j : j + 50] = True
+        spans = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).reshape(-1, 2)
+        out.append((i, len(t), tuple(map(tuple, spans.tolist())), np.frombuffer(t, np.uint8)[~gone].tobytes()))
+    return Counter(out)
+
+
+def found_spans(df):
+    return Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in df.collect())
+
+
+def test_suffix_dedup(docs, clash, rows, monkeypatch):
+    want = removed(rows)
+    assert found_spans(suffix_dedup.repeated_spans(docs)) == want
+    assert found_spans(suffix_dedup.repeated_spans(clash)) == want
+    assert suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_suffix_array_and_prefixes():
+    r = random.Random(3)
+    for text in (b"", b"a", b"banana", b"a" * 300, bytes(r.choice(b"ab") for _ in range(2000)), bytes(500)):
+        data = np.frombuffer(text, np.uint8)
+        if not len(data):
+            continue
+        order = suffix_dedup.suffix_array(data, 1 << 20)
+        want = sorted(range(len(text)), key=lambda k: text[k:])
+        if text != bytes(500):  # zeros equal the padding beyond the end: any order of them will do
+            assert order.tolist() == want
+        got = suffix_dedup.common_prefixes(data, np.array(want, np.int32), 50)
+        for k in range(1, len(want)):
+            a, b = text[want[k - 1] :], text[want[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert got[k] == min(n, 50)
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000, 500])
+def test_first_documents_over_shards(shard):
+    r = random.Random(4)
+    base = bytes(r.choice(b"abc ") for _ in range(2500))
+    strings = [base[i : i + r.randint(50, 90)] for i in (r.randint(0, 2400) for _ in range(150))]
+    docs = np.array([r.randint(0, 40) for _ in strings], np.int64)
+    first = {}
+    for s, d in zip(strings, docs):
+        for j in range(len(s) - 49):
+            first[s[j : j + 50]] = min(first.get(s[j : j + 50], 99), d)
+    got = suffix_dedup.window_firsts(strings, np.zeros(len(strings), np.uint64), docs, shard)
+    assert all(g[j] == first[s[j : j + 50]] for s, g in zip(strings, got) for j in range(len(s) - 49))
+
+
+def test_windows_dealt_singly(rows):
+    """The steps with every key hot, and with chunks smaller than a text, give the same windows."""
+    texts = [(r[1] or "").encode() for r in rows]
+    live = np.unique(np.concatenate([k for *_, k in suffix_dedup.runs_of(texts)]))
+    runs = [(k, s, e) for k, s, e, _, _ in suffix_dedup._repeated_runs(texts, live)]
+    single = [(k, s) for k, s, e, _, _ in suffix_dedup._repeated_runs(texts, live | np.uint64(2))]
+    assert single == [(k, w) for k, s, e in runs for w in range(s, e + 1)]
+    assert len(single) == sum(max(0, len(t) - 49) for t in texts)
+
+
+# 2 ------------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum((2 * int(x) - 9 * (int(x) > 4)) if k % 2 else int(x) for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def base_pii(t):
+    pats = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for kind, p in pats.items():
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda: 13 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii(docs, clash, rows):
+    want = Counter((r[0], tuple(base_pii(r[1]))) for r in rows)
+    for df in (docs, clash):
+        got = pii.find_pii(df).collect()
+        assert Counter((r.doc_id, tuple(f"{x.kind}:{x.start}:{x.end}" for x in r.pii if x.base)) for r in got) == want
+    digest = {r.doc_id: r for r in pii.pii_digest(pii.find_pii(docs)).collect()}
+    for r in rows:
+        assert digest[r[0]].base_sha256 == hashlib.sha256(",".join(base_pii(r[1])).encode()).hexdigest() or r[0] is None
+    text = next(r for r in rows if r[1] and "iban" in r[1])
+    spans = digest[text[0]].spans
+    at = lambda s: f"{text[1].index(s)}:{text[1].index(s) + len(s)}"
+    assert f"iban:{at('DE89 3704 0044 0532 0130 00')}" in spans and f"ssn:{at('123-45-6789')}" in spans
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+# 3 ------------------------------------------------------------------------------------------------
+
+
+def test_quality(docs, clash, rows):
+    def base(t):
+        w = words(t)
+        c = Counter(zip(w, w[1:], w[2:]))
+        rep = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        full = [x for x in (t or "").split("\n") if words(x)]
+        n = len(w)
+        return n, sum(map(len, w)), sum((t or "").count(x) for x in "#*$%&|<>"), len(full) - len(set(full)), len(rep), n < 50 or 100 * len(rep) > 50 * n
+
+    want = Counter((r[0], *base(r[1])) for r in rows)
+    for df in (docs, clash):
+        q = quality.quality_rules(df).select("doc_id", "quality.*").collect()
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in q) == want
+        assert not any(r.kept and r.base_failed for r in q)
+    assert quality.quality_rules(docs.limit(0)).count() == 0
+    assert quality.passing(docs).columns == docs.columns
+
+
+def test_quality_keeps_clean_and_drops_junk(spark):
+    clean = " ".join(f"the word{k} of thing{k}" for k in range(60))
+    junk = " ".join(f"w{k}### the" for k in range(60))
+    got = quality.passing(spark.createDataFrame([(1, clean), (2, junk)], "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
+# 4 ------------------------------------------------------------------------------------------------
+
+
+def test_packing(docs, clash, rows, monkeypatch):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "ROWS_PER_BLOCK", 3)
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ids = {r[0]: np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows if r[0] is not None}
+    for df in (docs, clash):
+        got = packing.pack(df, keep_ids=True).collect()
+        seen = defaultdict(list)
+        for r in got:
+            if r.doc_id is not None:
+                want = ids[r.doc_id][r.start : r.start + r.length]
+                assert r.ids == want.tolist() and r.ids_crc32 == zlib.crc32(want.tobytes())
+            seen[r.sequence_id].append((r.offset, r.length))
+        copies = Counter(r[0] for r in rows)
+        total = Counter()
+        for r in got:
+            total[r.doc_id] += r.length
+        assert all(total[i] == copies[i] * len(x) for i, x in ids.items())
+        for places in seen.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(seen) <= -(-sum(total.values()) // 2048) + 1
+    assert packing.pack(docs.limit(0)).count() == 0
+    long = [r for r in packing.pack(docs).collect() if r.length == 2048 and r.piece > 0]
+    assert long
+
+
+def test_best_fit_plan_equals_item_by_item():
+    r = random.Random(5)
+    for _ in range(30):
+        cap = r.choice([10, 64, 100])
+        counts = Counter(r.randint(1, cap) for _ in range(r.randint(1, 400)))
+        runs = packing.best_fit_plan(dict(counts), cap)
+        used, placed = defaultdict(int), Counter()
+        for length, lo, hi, first, each, base in runs:
+            for k in range(lo, hi):
+                placed[length] += 1
+                used[first + (k - lo) // each] += length
+                assert base + (k - lo) % each * length + length <= cap
+        assert placed == counts and max(used.values()) <= cap
+        rooms = []
+        for length in sorted(counts.elements(), reverse=True):  # best fit, item by item
+            fit = [k for k, x in enumerate(rooms) if x >= length]
+            k = min(fit, key=lambda k: rooms[k], default=None)
+            if k is None:
+                rooms.append(cap - length)
+            else:
+                rooms[k] -= length
+        assert len(used) == len(rooms)
+
+
+# 5 ------------------------------------------------------------------------------------------------
+
+
+def slow_fp(t, k=3):
+    import xxhash
+
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def union(n, pairs):
+    p = list(range(n))
+
+    def find(x):
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    for a, b in pairs:
+        p[find(a)] = find(b)
+    return [find(k) for k in range(n)]
+
+
+def test_simhash(docs, clash, rows):
+    fp = [slow_fp(r[1]) for r in rows]
+    root = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3])
+    least = defaultdict(list)
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[root[k]].append(r[0])
+    want = Counter((r[0], fp[k], min(least[root[k]], default=None)) for k, r in enumerate(rows))
+    for df in (docs, clash):
+        got = Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.simhash_components(df).collect())
+        assert got == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
+    assert sorted(ids) == sorted({w[2] for w in want if w[0] is not None})
+    assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_spark_hash_is_the_fingerprint_hash(spark):
+    import xxhash
+
+    got = spark.createDataFrame([("a b ü",)], "s string").select(F.xxhash64("s").alias("h")).first().h
+    assert got % 2**64 == xxhash.xxh64_intdigest("a b ü".encode(), seed=42)
+
+
+def test_ball_links_are_complete(spark):
+    r = random.Random(6)
+    fps = {r.getrandbits(64) for _ in range(60)}
+    for x in list(fps):
+        for d in (1, 2, 3, 3, 4):
+            fps.add(x ^ sum(1 << b for b in r.sample(range(64), d)))
+    center = r.getrandbits(64)
+    fps |= {center ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(1500)}  # a bucket of several blocks
+    fps = sorted(fps)
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    links = simhash.ball_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    at = {x: k for k, x in enumerate(signed)}
+    arr = np.array(fps, np.uint64)
+    pairs = [(k, int(j)) for k in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(arr[:k] ^ arr[k]) <= 3)]
+    a, b = union(len(fps), pairs), union(len(fps), [(at[e.a], at[e.b]) for e in links])
+    same = lambda x: Counter(x).most_common() and sorted(Counter(x).values())
+    assert same(a) == same(b) and len(set(zip(a, b))) == len(set(a))
+
+
+def test_components(spark):
+    r = random.Random(7)
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 300), r.randint(200, 300)) for _ in range(60)] + [(5, 5)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    at = {x: k for k, x in enumerate(nodes)}
+    root = union(len(nodes), [(at[a], at[b]) for a, b in edges if a != b])
+    least = {}
+    for x in nodes:
+        least.setdefault(root[at[x]], x)
+    assert got == {x: least[root[at[x]]] for x in nodes}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 6 ------------------------------------------------------------------------------------------------
+
+
+def test_neighbors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((400, 16)).astype(np.float32)
+    base[:150] = base[0]  # one very common vector
+    base[150:250] = base[150] + 0.05 * rng.standard_normal((100, 16))
+    vectors = [(k, [float(x) for x in v], k % 3) for k, v in enumerate(base)]
+    bad = [(1000, None, 0), (1050, [0.0] * 16, 0), (1100, [float("nan")] * 16, 0), (1150, [1.0, None] * 8, 0), (1200, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (1250, [], 0), (1300, [1.0, 2.0], 0)]
+    df = spark.createDataFrame([*vectors, *bad, vectors[50]], "vec_id long, embedding array<float>, label int")
+    df = df.withColumns({"id": F.lit("x"), "vec": F.lit(1), "rank": F.lit(2)})
+    got = defaultdict(list)
+    for r in neighbors.nearest_neighbors(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r["rank"]))
+    x = base.astype(float)
+    hit = 0
+    for q in range(0, 400, 50):
+        s = (x @ x[q]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        own = [(-round(s[k], 12), k) for k in range(400) if k != q]
+        want = [k for _, k in sorted(own)[:5]]
+        assert [t[2] for t in got[q]] == [1, 2, 3, 4, 5]
+        assert all(abs(t[1] - s[t[0]]) < 1e-12 for t in got[q])
+        hit += len(set(want) & {t[0] for t in got[q]})
+    assert hit >= 0.9 * 40 and set(got) == set(range(0, 400, 50))
+    few = neighbors.nearest_neighbors(spark.createDataFrame(vectors[:1] + vectors[300:303], "vec_id long, embedding array<float>, label int"), F.col("vec_id") == 0)
+    assert few.count() == 3  # fewer candidates than asked: all of them, by the exact scan
+    assert neighbors.nearest_neighbors(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_probe_order():
+    r = np.random.default_rng(9)
+    for _ in range(10):
+        f = r.uniform(0, 1, 4)
+        cost = lambda s: sum((1 - f[k]) ** 2 if x == 1 else f[k] ** 2 if x == -1 else 0 for k, x in enumerate(s))
+        every = sorted(cost(s) for s in np.ndindex(3, 3, 3, 3) for s in [tuple(v - 1 for v in s)])
+        got = [cost(s) for s in neighbors.probe_sets(f, 30)]
+        assert np.allclose(got, every[:30])
+
+
+def test_hot_cells_are_dealt_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    v = rng.standard_normal((300, 8))
+    df = spark.createDataFrame([(k, [float(x) for x in w]) for k, w in enumerate(v)], "vec_id long, embedding array<double>")
+    plain = {tuple(r) for r in neighbors.nearest_neighbors(df, F.col("vec_id") % 10 == 0).collect()}
+    monkeypatch.setattr(neighbors, "PART", 7)
+    assert {tuple(r) for r in neighbors.nearest_neighbors(df, F.col("vec_id") % 10 == 0).collect()} == plain
+
+
+# 7 ------------------------------------------------------------------------------------------------
+
+
+def test_licenses(docs, clash, rows):
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+
+    def base(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(k, v) for k in range(len(w)) for p, v in phrases.items() if tuple(w[k : k + len(p)]) == p]
+        return len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({v for _, v in at}))
+
+    want = Counter((r[0], *base(r[1])) for r in rows)
+    for df in (docs, clash):
+        got = licenses.scan_licenses(df).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
+        for r in got:
+            assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]), ("Licensed under the Apache License, Version 2.0.", ["apache-2.0"]),
+        ("licensed under the GNU General Public License, version 3.", ["gpl-3.0"]), ("SPDX-License-Identifier: MIT", ["mit"]),
+        ("GNU Lesser General\nPublic License", ["lgpl"]), ("plain prose about permits", []), ("", []), (None, []),
+        ("https://creativecommons.org/licenses/by-sa/3.0/", ["cc-by-sa-3.0"]),
+    ],
+)
+def test_license_rules(text, labels):
+    assert [d.label for d in licenses.detect(text)] == labels
+
+
+def test_suppression_against_all_pairs():
+    r = random.Random(11)
+    for _ in range(50):
+        found = {licenses.Detection(s, s + r.randint(1, 20), r.choice("abc"), r.choice([1, 2, 3]), 0.5) for s in (r.randint(0, 60) for _ in range(25))}
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert licenses.suppressed(found) == sorted(kept)
+
+
+def test_rules_are_many_and_ordered():
+    rules = licenses.rules()
+    assert len(rules) > 300 and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
+
+
+# 8 ------------------------------------------------------------------------------------------------
+
+
+def cut_lines(rows):
+    first, full = {}, []
+    for r in rows:
+        ls = [(k, s.strip(" \t\n\x0b\x0c\r")) for k, s in enumerate((r[1] or "").split("\n"))]
+        ls = [x for x in ls if x[1]] if r[0] is not None else []
+        full.append(ls)
+        for k in range(len(ls) - 2):
+            w = tuple(s for _, s in ls[k : k + 3])
+            first[w] = min(first.get(w, (r[0], k)), (r[0], k))
+    out = []
+    gone_of = defaultdict(set)
+    for r, ls in zip(rows, full):
+        for k in range(len(ls) - 2):
+            if (r[0], k) > first[tuple(s for _, s in ls[k : k + 3])]:
+                gone_of[r[0]] |= {k, k + 1, k + 2}
+    for r, ls in zip(rows, full):
+        gone = {ls[k][0] for k in gone_of[r[0]] if k < len(ls)} if r[0] is not None else set()
+        text = r[1] if not gone else "\n".join(s for k, s in enumerate(r[1].split("\n")) if k not in gone)
+        out.append((r[0], text, len(gone)))
+    return Counter(out)
+
+
+def test_line_dedup(docs, clash, rows):
+    want = cut_lines(rows)
+    for df in (docs, clash):
+        assert Counter((r.doc_id, r.text, r.n_cut_lines) for r in lines.line_dedup(df).collect()) == want
+    assert lines.line_dedup(docs.limit(0)).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------------
+
+
+def test_shards(docs, clash, rows, monkeypatch):
+    monkeypatch.setattr(shards, "ROWS_PER_BLOCK", 5)
+    for df in (docs, clash):
+        got = shards.interleaved_shards(df, 8).collect()
+        sizes = Counter(r.shard for r in got)
+        assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+        assert sorted(r.position for r in got) == list(range(len(rows)))
+        for s in range(8):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+        for source, n in Counter(r[3] for r in rows).items():
+            per = Counter(r.shard for r in got if r.source == source)
+            assert all(abs(per[s] - n / 8) <= 1.5 for s in range(8))
+        want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+        assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    assert shards.interleaved_shards(docs.limit(0)).count() == 0
+
+
+def test_shards_follow_fractional_ranks(docs, rows):
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r.doc_id: r.position for r in shards.interleaved_shards(unique).collect()}
+    by = defaultdict(list)
+    for r in {r[0]: r for r in rows if r[0] is not None}.values():
+        by[r[3]].append((hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
+    part = []
+    for source, own in by.items():
+        for k, (h, i) in enumerate(sorted(own)):
+            part.append(((k + 0.5) / len(own), source or "", source is None, h, i))
+    assert [x[-1] for x in sorted(part)] == sorted(got, key=got.get)
+
+
+# 10 -----------------------------------------------------------------------------------------------
+
+
+def test_mixing(docs, clash, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 4)
+    total = Counter()
+    for r in rows:
+        total[r[3]] += len(words(r[1]))
+    exponent = round(max(0.0, 1 - math.log(1.5) / math.log(max(total.values()) / min(total.values()))), 6)
+    want = Counter()
+    for source, n in total.items():
+        rate = (max(total.values()) / n) ** (1 - exponent)
+        own = [(hashlib.md5(":".join(["42"] + ([str(r[0])] if r[0] is not None else [])).encode()).hexdigest(), len(words(r[1])), r[0]) for r in rows if r[3] == source]
+        for h, _, i in own:
+            upto = sum(m for g, m, _ in own if g <= h)
+            part = rate > int(rate) and upto <= (rate - int(rate)) * n
+            for e in range(int(rate) + part):
+                want[(i, source, e)] += 1
+    for df in (docs, clash):
+        got = mixing.mix_sources(df)
+        assert set(docs.columns) <= set(got.columns)
+        assert Counter((r.doc_id, r.source, r.epoch) for r in got.collect()) == want
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+    assert mixing.mix_sources(docs.where("text is null")).count() == 2
+
+
+def test_exponent(spark):
+    shares = spark.createDataFrame([(x,) for x in (0.7, 0.2, 0.1)], "share double")
+    assert mixing.solve_exponent(shares, max_repeat=1.0) == 1.0 and mixing.solve_exponent(shares, max_repeat=100.0) == 0.0
+    assert abs(mixing.solve_exponent(shares, max_repeat=2.0) - (1 - math.log(2) / math.log(7))) < 2e-6
+    a = mixing.solve_exponent(shares, entropy=1.0)
+    q = np.array([0.7, 0.2, 0.1]) ** a
+    q /= q.sum()
+    assert abs(-(q * np.log(q)).sum() - 1.0) < 1e-5
+    assert mixing.solve_exponent(shares, entropy=9.0) == 0.0 and mixing.solve_exponent(shares, entropy=0.1) == 1.0
+
+
+def test_checkpoints_cut_lineage(spark):
+    assert cut(spark.range(5)).count() == 5
+    assert spark.sparkContext.getCheckpointDir()

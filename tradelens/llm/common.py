@@ -49,3 +49,14 @@ def words_of(text: Column) -> Column:
 def blocks_for(rows: int, rows_per_block: int) -> int:
     """How many equal hash blocks keep a block near ``rows_per_block`` rows."""
     return max(1, -(-rows // rows_per_block))
+
+
+def sheltered(docs: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no work column has, without the columns ``added``, and name -> inner name."""
+    inner = {c: f"__in{k}" for k, c in enumerate(c for c in docs.columns if c not in added)}
+    return docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()]), inner
+
+
+def restored(inner: dict[str, str]) -> list[Column]:
+    """The columns of ``sheltered`` under their own names."""
+    return [F.col(i).alias(c) for c, i in inner.items()]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import WORD_SPACE, text_or_empty
+from tradelens.llm.common import WORD_SPACE, restored, sheltered, text_or_empty
 
 WINDOW = 3
 
@@ -60,14 +60,14 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     alike and do not count as occurrences of each other at the same place. An input column
     ``n_cut_lines`` is replaced; an empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c != "n_cut_lines"]
     found = (
         repeated_windows(docs, doc_id, text)
         .groupBy(F.col("doc_id").alias("_cut_id"))
         .agg(F.collect_set("at").alias("_at"))
     )
-    body = F.col(f"`{text}`")
-    joined = docs.join(found, F.col(f"`{doc_id}`") == F.col("_cut_id"), "left")
+    rows, inner = sheltered(docs, "n_cut_lines")
+    body = F.col(inner[text])
+    joined = rows.join(found, F.col(inner[doc_id]) == F.col("_cut_id"), "left")
     # the lines of a cut text are needed twice, so they are columns of their own
     marked = joined.withColumns(
         {"_lines": F.when(F.col("_at").isNotNull(), F.split(body, "\n")), "_full": F.when(F.col("_at").isNotNull(), _full_lines(body))}
@@ -78,6 +78,6 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     new = F.when(F.col("_at").isNull(), body).otherwise(F.array_join(F.transform(rest, lambda i: F.get("_lines", i)), "\n"))
     return marked.select(
-        *[new.alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        *[new.alias(text) if c == text else column for c, column in zip(inner, restored(inner), strict=True)],
         F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_cut_lines"),
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import blocks_for, cut, text_or_empty, words_of
+from tradelens.llm.common import blocks_for, cut, restored, sheltered, text_or_empty, words_of
 
 ROWS_PER_BLOCK = 20_000
 #: Points of each bisection pass and passes: 16**6 is finer than the rounding of the exponent.
@@ -74,15 +74,15 @@ def mix_sources(
     their doc_id (null: of none), rows that repeat a doc_id enter the partial pass together. Input columns
     with the names added here are replaced. An empty table gives an empty result.
     """
-    added = ["epoch", "order_key", "mix_tokens"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    key = F.coalesce(F.concat(F.lit("s:"), F.col(f"`{source}`").cast("string")), F.lit("null"))
+    docs, inner = sheltered(docs, "epoch", "order_key", "mix_tokens")
+    kept = list(inner.values())
+    key = F.coalesce(F.concat(F.lit("s:"), F.col(inner[source]).cast("string")), F.lit("null"))
     seeded = lambda *more: F.md5(
-        F.concat_ws(":", F.lit(str(seed)), *more, F.col(f"`{doc_id}`").cast("string")).cast("binary")
+        F.concat_ws(":", F.lit(str(seed)), *more, F.col(inner[doc_id]).cast("string")).cast("binary")
     )
     rows = docs.select(
         *kept, key.alias("_source"), seeded().alias("_h"),
-        F.size(words_of(text_or_empty(f"`{text}`"))).cast("long").alias("mix_tokens"),
+        F.size(words_of(text_or_empty(inner[text]))).cast("long").alias("mix_tokens"),
     )
     narrow = cut(rows.select("_source", "_h", "mix_tokens"))
     blocks = blocks_for(narrow.count(), ROWS_PER_BLOCK)
@@ -124,4 +124,4 @@ def mix_sources(
     copies = F.col("_full") + F.coalesce(partial, F.lit(False)).cast("int")
     return mixed.select(
         *kept, "mix_tokens", F.explode(F.sequence(F.lit(0), copies - 1)).alias("epoch")
-    ).select(*kept, "epoch", seeded(F.col("epoch").cast("string")).alias("order_key"), "mix_tokens")
+    ).select(*restored(inner), "epoch", seeded(F.col("epoch").cast("string")).alias("order_key"), "mix_tokens")

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import text_or_empty
+from tradelens.llm.common import restored, sheltered, text_or_empty
 
 
 class Kind(NamedTuple):
@@ -94,9 +94,8 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text
     whole, whatever their length; repeated rows are searched alike. Other columns pass through and an input
     column named ``pii`` is replaced. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c != "pii"]
-    kept = [F.col(f"`{c}`") for c in names]
-    out = docs.select(*kept, text_or_empty(f"`{text}`").alias("_t"))
+    rows, inner = sheltered(docs, "pii")
+    out = rows.select(*inner.values(), text_or_empty(inner[text]).alias("_t"))
     out = out.withColumn("_d", F.col("_t").rlike("[0-9]"))
     for kind in kinds:
         # matches first, pieces and places only where there are any
@@ -117,7 +116,7 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text
         found = F.expr(spans if kind.base else f"filter({spans}, y -> y.score >= {MIN_SCORE})")
         out = out.withColumn(f"_{kind.name}", found).drop("_m", "_p", "_s")
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,text:string,score:double,base:boolean>>)")
-    return out.select(*kept, F.concat(*[F.coalesce(f"_{k.name}", empty) for k in kinds]).alias("pii"))
+    return out.select(*restored(inner), F.concat(*[F.coalesce(f"_{k.name}", empty) for k in kinds]).alias("pii"))
 
 
 def pii_digest(found: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

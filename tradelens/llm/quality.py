@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import WORD_SPACE, text_or_empty, words_of
+from tradelens.llm.common import WORD_SPACE, restored, sheltered, text_or_empty, words_of
 
 #: Frequent function words of the four corpus languages.
 STOP_WORDS = (
@@ -80,8 +80,9 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     An empty table gives an empty result. Work per text is n log n in its words (one sort of its
     three-word windows), so long texts need no cap.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "quality"]
-    one = docs.select(*keep, text_or_empty(f"`{text}`").alias("_t"))
+    rows, inner = sheltered(docs, "quality")
+    keep = list(inner.values())
+    one = rows.select(*keep, text_or_empty(inner[text]).alias("_t"))
     two = one.select(
         *keep, "_t", words_of(F.col("_t")).alias("_w"),
         F.filter(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(WORD_SPACE)) != "").alias("_l"),
@@ -132,7 +133,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     verdict = F.struct(*counts, base.alias("base_failed"), (~base & passed).alias("kept"), names.alias("failed_rules"))
     # one-row generator: without it a filter on the verdict would be pushed below these projections, with all
     # metrics written out inside it once for each use
-    return five.select(*keep, F.explode(F.array(verdict)).alias("quality"))
+    return five.select(*keep, F.explode(F.array(verdict)).alias("_q")).select(*restored(inner), F.col("_q").alias("quality"))
 
 
 def passing(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
