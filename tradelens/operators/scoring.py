@@ -124,7 +124,8 @@ def risk_scores(profiles: DataFrame, clusters: DataFrame, as_of, full: bool = Fa
     parts = components(as_of, full, legacy)
     p = p.withColumn("breakdown", F.struct(*[x.alias(n) for n, x in parts.items()]))
     total = sum((c(f"breakdown.{n}") for n in COMPONENTS), F.lit(0.0))
-    p = p.withColumn("risk_score", F.round(F.least(total, F.lit(10.0)), 2))
+    # two digits, halves up in plain arithmetic: the same wherever it is computed
+    p = p.withColumn("risk_score", F.floor(F.least(total, F.lit(10.0)) * 100 + (0.5 + 1e-9)) / 100)
     kind = profile_type(c("winrate"), c("breakdown.camouflage"), c("breakdown.cross_market"), c("breakdown.timing"), c("trades"))
     return p.withColumns({"level": risk_level(c("risk_score")), "profile_type": kind})
 

@@ -99,8 +99,9 @@ extremes AS (SELECT wallet,
   CASE WHEN coalesce(related, 0) >= 5 AND coordinated > 0 THEN 2.5 WHEN coalesce(related, 0) >= 3 THEN 2 WHEN coalesce(related, 0) >= 2 THEN 1.5 WHEN coalesce(related, 0) >= 1 THEN 1 ELSE 0 END::DOUBLE AS s_cluster
   FROM profile p CROSS JOIN as_of LEFT JOIN related USING (wallet) LEFT JOIN extremes USING (wallet))""",
     "scored": """total AS (SELECT *, s_winrate + s_pnl + s_timing + s_cross_market + s_camouflage + s_category + s_freshness + s_activity + s_fresh_wallet + s_position_sizing + s_cluster AS part,
-  s_early_entry + s_off_hours + s_volume_impact AS more FROM parts),
-scored AS (SELECT *, round(least(part, 10.0), 2) AS risk_score, round(least(part + more, 10.0), 2) AS risk_full,
+  s_winrate + s_pnl + s_timing + s_cross_market + s_camouflage + s_category + s_freshness + s_activity + s_fresh_wallet + s_position_sizing
+    + s_early_entry + s_off_hours + s_volume_impact + s_cluster AS more FROM parts),
+scored AS (SELECT *, floor(least(part, 10.0) * 100 + (0.5 + 1e-9)) / 100 AS risk_score, floor(least(more, 10.0) * 100 + (0.5 + 1e-9)) / 100 AS risk_full,
   CASE WHEN winrate < 0.5 THEN 'LOSER' WHEN s_camouflage >= 2 THEN 'CAMOUFLAGED_INSIDER' WHEN s_cross_market >= 2 AND s_timing >= 1.5 THEN 'INSIDER'
     WHEN trades >= 200 AND winrate >= 0.55 THEN 'PRO' ELSE 'CASUAL' END AS profile_type FROM total)""",
     "critical": "critical AS (SELECT wallet FROM scored WHERE risk_score >= 3)",
