@@ -356,6 +356,33 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'outcome_index', count(DISTINCT outcome_index), false FROM trades UNION ALL SELECT 'market', count(DISTINCT condition_id), true FROM trades)""",
 }
 
+SQL |= {
+    "src_stream_trades": "SELECT trade_id, wallet, condition_id, t FROM trades WHERE trade_id % 4 <> 0",
+    "st_new_wallets": "SELECT maker AS wallet FROM fills UNION SELECT taker FROM fills",
+    # closed windows only: the last watermark is ten minutes before the last trade
+    "st_market_windows": """SELECT condition_id, w, sum(v)::BIGINT AS volume_c, sum(b)::BIGINT AS buy_c, (sum(v) - sum(b))::BIGINT AS sell_c, count(*) AS traders, sum(n)::BIGINT AS trades,
+      round(sum(v::DOUBLE * v) / (sum(v)::DOUBLE * sum(v)), 6) AS hhi FROM (SELECT condition_id, t // 1800 * 1800 AS w, wallet, sum(value_c)::BIGINT AS v, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS b, count(*) AS n
+      FROM trades GROUP BY 1, t // 1800 * 1800, 3) WHERE w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events) GROUP BY 1, 2""",
+    "st_volume_anomalies": """SELECT condition_id, w, volume_c, volume_z FROM (SELECT condition_id, w, volume_c, round(CASE WHEN sd > 0 THEN (volume_c - m) / sd ELSE 0 END, 6) AS volume_z FROM (
+      SELECT *, avg(volume_c::DOUBLE) OVER (PARTITION BY condition_id) AS m, stddev_pop(volume_c::DOUBLE) OVER (PARTITION BY condition_id) AS sd FROM (
+      SELECT condition_id, t // 1800 * 1800 AS w, sum(value_c)::BIGINT AS volume_c FROM trades GROUP BY 1, t // 1800 * 1800))) WHERE volume_z >= 2.5 AND w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
+    "st_large_trade_alerts": """SELECT trade_id, wallet, condition_id, value_c FROM trades WHERE value_c >= 500000 AND wallet IN (SELECT wallet FROM resolved GROUP BY 1 HAVING count(*) FILTER (win) / count(*) >= 0.5)""",
+    "trade_batches_batch": """SELECT wallet, condition_id, t // 60 * 60 AS w, sum(size)::BIGINT AS size, arg_max(side, t * 1000000000 + trade_id) AS side, arg_max(price_c, t * 1000000000 + trade_id) AS price_c, count(*) AS trades FROM trades GROUP BY 1, 2, t // 60 * 60""",
+    "st_trade_batches": """SELECT * FROM (SELECT wallet, condition_id, t // 60 * 60 AS w, sum(size)::BIGINT AS size, arg_max(side, t * 1000000000 + trade_id) AS side, arg_max(price_c, t * 1000000000 + trade_id) AS price_c, count(*) AS trades
+      FROM trades GROUP BY 1, 2, t // 60 * 60) WHERE w + 60 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
+    "st_position_changes": "SELECT * FROM (SELECT *, lag(pnl_c, 1, 0) OVER (PARTITION BY wallet ORDER BY day) AS before_c FROM snaps) WHERE before_c = 0 OR abs(pnl_c - before_c) >= 500000",
+    "st_critical_count_milestones": "SELECT wallet, t, seen, seen // 10 AS milestone FROM (SELECT wallet, t, row_number() OVER (ORDER BY t, wallet) AS seen FROM (SELECT wallet, min(t) AS t FROM trades WHERE value_c >= 500000 GROUP BY 1)) WHERE seen % 10 = 0",
+    "st_late_data": "SELECT t // 3600 * 3600 AS w, count(*) AS trades FROM trades GROUP BY t // 3600 * 3600 HAVING w + 3600 <= (SELECT max(epoch(ts)) - 7200 FROM events)",
+    "sink_trade_batches": "SELECT condition_id % 16 AS bucket, count(*) AS trades, sum(value_c)::BIGINT AS value_c FROM trades GROUP BY 1",
+    "st_alert_cooldown": """, al AS (SELECT condition_id, t, CASE WHEN trade_id % 7 = 0 THEN 'CRITICAL_TRADER' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM trades WHERE value_c >= 500000),
+      aln AS (SELECT *, row_number() OVER (PARTITION BY condition_id ORDER BY t, alert_level) AS k FROM al),
+      cw AS (SELECT condition_id, 0::BIGINT AS k, NULL::BIGINT AS last, NULL::BIGINT AS t, NULL::VARCHAR AS alert_level, false AS took FROM (SELECT DISTINCT condition_id FROM al)
+        UNION ALL SELECT c.condition_id, a.k, CASE WHEN a.alert_level = 'CRITICAL_TRADER' OR c.last IS NULL OR a.t - c.last >= 3600 THEN a.t ELSE c.last END, a.t, a.alert_level,
+          a.alert_level = 'CRITICAL_TRADER' OR c.last IS NULL OR a.t - c.last >= 3600 FROM cw c JOIN aln a ON a.condition_id = c.condition_id AND a.k = c.k + 1)
+      SELECT condition_id, t, alert_level FROM cw WHERE took""",
+    "sink_export": """SELECT '{"wallet":' || wallet || ',"volume_c":' || sum(value_c)::BIGINT || ',"trades":' || count(*) || '}' AS json FROM trades GROUP BY wallet""",
+}
+
 #: For each derived table the tables it needs.
 _NAMES = {"fasts": "unified", "ww": "stats"}
 
