@@ -97,13 +97,18 @@ SELECT d.doc_id, coalesce(kept.n, 0)::BIGINT AS n_cut_lines,
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
-# CRC-32 by its bitwise rule, eight steps a byte; the list is the text's bytes
-_CRC = (
-    "(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(t)) ), "
-    "lambda i: ('0x' || hex(encode(t))[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: list_reduce(list_prepend("
-    "xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) "
-    "ELSE c // 2 END)))"
-)
+# CRC-32 by its rule: a table of 256 remainders, made of eight steps each, then one step a byte
+OP9 = """
+WITH crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS none, encode(coalesce(text, '')) AS b, md5('42:' || doc_id) AS h FROM documents),
+e AS (SELECT d.*, octet_length(b)::BIGINT + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'),
+    lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c // 256, steps[(xor(c % 256, x) + 1)::INT])), 4294967295)::BIGINT AS crc FROM d, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source, none ORDER BY h, doc_id, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source, none) AS part FROM e),
+g AS (SELECT *, row_number() OVER (ORDER BY part, source, none, h, doc_id, crc, size) - 1 AS position, count(*) OVER () AS n FROM f)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (position * 8 // n)::INT AS shard, position - ((position * 8 // n) * n + 7) // 8 AS slot,
+  NULL::INT AS grown_shard, CASE WHEN NOT none THEN source END AS source FROM g
+"""
 
 OP10 = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS n,
@@ -119,4 +124,4 @@ FROM (SELECT *, unnest(range(k)) AS epoch FROM e)
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op2_pii": OP2, "op3_quality": OP3, "op8_line_dedup": OP8, "op10_mixing": OP10}
+    return {"op2_pii": OP2, "op3_quality": OP3, "op8_line_dedup": OP8, "op9_sharding": OP9, "op10_mixing": OP10}
