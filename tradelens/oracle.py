@@ -264,6 +264,8 @@ SQL: dict[str, str] = {
     "trader_category_score": f"SELECT wallet, round(coalesce(avg(score), 1.0), 6) AS category_score FROM trades LEFT JOIN (SELECT condition_id, {_RISK} AS score FROM markets) USING (condition_id) GROUP BY 1",
     "trader_activity_span": "SELECT wallet, min(t) AS first_t, max(t) AS last_t FROM trades GROUP BY 1",
     "trader_profile": "SELECT * REPLACE (round(category_score, 6) AS category_score) FROM profile",
+    "trader_profile_big": """SELECT wallet, sum(value_c)::BIGINT AS volume_c, count(*) FILTER (value_c >= 500000) AS whale_trades, count(*) FILTER (value_c >= 2500000) AS mega_trades FROM (
+      SELECT o_custkey AS wallet, CAST(l_quantity * 100 AS BIGINT) * (trunc(l_extendedprice)::BIGINT % 97 + 1) AS value_c FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1""",
     "trader_winrate_resolved": "SELECT wallet, count(*) FILTER (win) AS wins, count(*) AS resolved, count(*) FILTER (win) / count(*) AS winrate FROM resolved GROUP BY 1",
     "trader_resolved_pnl": "SELECT wallet, sum(gain)::BIGINT AS pnl_c FROM resolved GROUP BY 1",
     "trader_volume": "SELECT wallet, sum(value_c)::BIGINT AS volume_c, count(*) AS trades FROM trades GROUP BY 1",

@@ -202,6 +202,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "trader_category_score": lambda x: profiles.category_score(x.trades, x.markets).withColumn("category_score", F.round("category_score", 6)),
     "trader_activity_span": lambda x: profiles.activity_span(x.trades),
     "trader_profile": lambda x: _profile(x).withColumn("category_score", F.round("category_score", 6)),
+    "trader_profile_big": lambda x: profiles.whales(x.big_trades, x.resolutions).select("wallet", "volume_c", "whale_trades", "mega_trades"),
     "trader_winrate_resolved": lambda x: profiles.winrate(x.trades, x.resolutions),
     "trader_resolved_pnl": lambda x: profiles.resolved_pnl(x.trades, x.resolutions),
     "trader_volume": lambda x: profiles.volume(x.trades),
