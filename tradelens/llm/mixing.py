@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import blocks_for, cut, restored, sheltered, text_or_empty, words_of
 
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 #: Points of each bisection pass and passes: 16**6 is finer than the rounding of the exponent.
 POINTS, PASSES, DIGITS = 16, 6, 6
 #: Up to so many sources the per-source table is broadcast (some 100 bytes each), beyond it is shuffled.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import blocks_for, cut
 
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tradelens.llm.common import blocks_for, cut, text_or_empty
 
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 
 
 def _rank_in_blocks(df: DataFrame, by: list[str], block: str, order: list, out: str) -> DataFrame:
