@@ -49,7 +49,7 @@ def market_windows(trades: DataFrame, size: str = "30 minutes", slide: str | Non
     total = F.sum("v")
     out = own.groupBy(F.window("win", size, slide).alias("win") if slide is None else c("win"), "condition_id").agg(
         total.alias("volume_c"), F.sum("buy").alias("buy_c"), (total - F.sum("buy")).alias("sell_c"), F.count("*").alias("traders"), F.sum("n").alias("trades"),
-        F.round(F.sum(c("v").cast("double") * c("v")) / (total.cast("double") * total), 6).alias("hhi"),
+        F.round(F.when(total > 0, F.sum(c("v").cast("double") * c("v")) / F.when(total > 0, total.cast("double") * total)).otherwise(0.0), 6).alias("hhi"),
     )
     return out.select("condition_id", F.unix_timestamp("win.start").alias("w"), "volume_c", "buy_c", "sell_c", "traders", "trades", "hhi")
 
