@@ -68,6 +68,14 @@ def compile_rules(rules: Sequence[Rule], metrics: dict[str, Column]) -> tuple[Co
     return F.size(names) == 0, names
 
 
+def _count_of(text: Column, characters: str) -> Column:
+    """How often any of the ASCII ``characters`` occurs: the bytes that go when they are replaced by nothing."""
+    bare = text
+    for c in characters:
+        bare = F.replace(bare, F.lit(c))
+    return (F.octet_length(text) - F.octet_length(bare)).cast("long")
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
@@ -79,6 +87,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     row each; other columns pass through untouched, and an input column named ``quality`` is replaced.
     An empty table gives an empty result. Work per text is n log n in its words (one sort of its
     three-word windows), so long texts need no cap.
+    Windows are equal if their 64-bit hashes are, within one text.
     """
     rows, inner = sheltered(docs, "quality")
     keep = list(inner.values())
@@ -87,15 +96,15 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
         *keep, "_t", words_of(F.col("_t")).alias("_w"),
         F.filter(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(WORD_SPACE)) != "").alias("_l"),
     )
-    # three-word windows, sorted with their places: equal windows become neighbours
-    window = lambda i: F.struct(
-        F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i")
-    )
-    three = two.withColumn(
-        "_g",
-        F.when(F.size("_w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window))),
-    )
-    same = lambda x, j: F.coalesce(F.get("_g", j)["g"] == x["g"], F.lit(False))
+    # hashes of the three-word windows; only texts in which one recurs have them sorted, with their places,
+    # so that equal windows become neighbours
+    window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
+    places = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window)
+    hashed = two.withColumn("_h", F.when(F.size("_w") >= 3, places))
+    recurs = F.size("_h") > F.size(F.array_distinct("_h"))
+    pairs = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    three = hashed.withColumn("_g", F.when(recurs, pairs))
+    same = lambda x, j: F.coalesce(F.get("_g", j)["h"] == x["h"], F.lit(False))
     four = three.withColumn(
         "_r",
         F.sort_array(F.transform(F.filter("_g", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])),
@@ -108,8 +117,8 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     five = four.select(
         *keep,
         length.alias("n_words"),
-        F.char_length(F.translate("_t", WORD_SPACE, "")).cast("long").alias("word_chars"),
-        (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.char_length("_t") - _count_of(F.col("_t"), WORD_SPACE)).alias("word_chars"),
+        _count_of(F.col("_t"), SYMBOLS).alias("n_symbols"),
         (lines - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         F.coalesce(F.aggregate("_r", start, step, lambda a: a["n"]), F.lit(0)).cast("long").alias("n_repeat_words"),
         lines.alias("n_lines"),
