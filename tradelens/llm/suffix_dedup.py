@@ -333,6 +333,14 @@ def _repeated_runs(texts: list[bytes], live: np.ndarray) -> Iterator[tuple[int,
                 yield k, s, e, x, texts[k][s : e + WINDOW]
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _live(aux: pa.Table) -> np.ndarray:
     found = [np.frombuffer(x, np.uint64) for x, k in zip(aux.column("keys").to_pylist(), aux.column("kind").to_pylist(), strict=True) if k == 0]
     return np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -363,9 +371,10 @@ def _send_texts(buckets: int):
         for bucket, own in deal.items():
             number, key, doc, text = zip(*own, strict=True)
             rows.append((
-                bucket, shard, np.array(number, np.int32).tobytes(), np.array(key, np.uint64).tobytes(),
-                np.array(doc, np.int64).tobytes(), np.fromiter(map(len, text), np.int32).tobytes(),
-                pa.compress(b"".join(text), "zstd", asbytes=True),
+                bucket, shard, *map(_pack, (
+                    np.array(number, np.int32).tobytes(), (np.array(key, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes(),
+                    np.array(doc, np.int64).tobytes(), np.fromiter(map(len, text), np.int32).tobytes(), b"".join(text),
+                )),
             ))
         return _table(rows, fields)
 
@@ -379,11 +388,11 @@ def _first_of_windows(table: pa.Table) -> pa.Table:
     doc_of: list[int] = []
     asked: list[tuple[int, np.ndarray, np.ndarray, list[int]]] = []
     columns = [table.column(n).to_pylist() for n in ("shard", "numbers", "keys", "docs", "sizes", "texts")]
-    for shard, numbers, keys, docs, sizes, texts in zip(*columns, strict=True):
+    for shard, *packed in zip(*columns, strict=True):
+        numbers, keys, docs, sizes, texts = map(_unpack, packed)
         own_docs, ends, at = np.frombuffer(docs, np.int64), np.cumsum(np.frombuffer(sizes, np.int32)), 0
-        texts = pa.decompress(texts, int(ends[-1]), "zstd", asbytes=True)
         mine = []
-        for doc, key, end in zip(own_docs.tolist(), np.frombuffer(keys, np.uint64).tolist(), ends.tolist(), strict=True):
+        for doc, key, end in zip(own_docs.tolist(), np.frombuffer(keys, np.uint32).tolist(), ends.tolist(), strict=True):
             text, at = texts[at:end], end
             k = number.setdefault(text, len(number))
             if k == len(key_of):
@@ -394,7 +403,8 @@ def _first_of_windows(table: pa.Table) -> pa.Table:
             mine.append(k)
         asked.append((shard, np.frombuffer(numbers, np.int32), own_docs, mine))
     del columns
-    keys, docs = np.array(key_of, np.uint64), np.array(doc_of, np.int64)
+    # the upper half of a key will do: equal windows have equal halves
+    keys, docs = np.array(key_of, np.uint32), np.array(doc_of, np.int64)
     order = np.argsort(keys, kind="stable")
     every = list(number)
     firsts = window_firsts([every[k] for k in order], keys[order], docs[order])
