@@ -14,8 +14,9 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges
-    least = near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    moved = near.join(least.hint("merge"), "a")  # shuffled, so that AQE can split a hub
+    # materialised, so that the join has shuffles of its own on both sides and AQE can split a hub
+    least = cut(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+    moved = near.join(least.hint("merge"), "a")
     if both_ways:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
