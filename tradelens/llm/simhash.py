@@ -9,8 +9,9 @@ verified by their whole 64 bits, and each bucket gives a spanning forest of its
 
 ``simhash_components`` links by one fingerprint of word shingles. ``keep_one``, for pipelines, has to find
 copies of which 0.8 of the five-word shingles agree, and those differ in some ten bits of a shingle
-fingerprint. It therefore searches with two fingerprints of single words, numbered by occurrence, which
-edits hardly move, and verifies each pair by the fingerprint of its five-word shingles.
+fingerprint. It searches with two fingerprints of single words, numbered by occurrence, which scattered edits
+hardly move, and with bands of least shingle hashes, whose chance depends on the similarity alone and not on
+where the edits are. Every pair found is verified by its two whole sets of five-word shingles.
 
 Equal fingerprints are collapsed first, so groups of copies of any size add one fingerprint. A bucket's
 distinct fingerprints agree, but for one bit, outside one third; it is compared in blocks of fixed memory.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.common import cut
@@ -37,24 +38,28 @@ SMALL, BLOCK = 8, 1024
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of every word shingle of a text in order; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     many = len(words) - shingle + 1
-    hashes = np.fromiter(
+    return np.fromiter(
         (xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[:many].tolist(), ends[shingle - 1 :].tolist(), strict=True)),
         np.uint64, many,
     )
-    return _fingerprint_of(hashes)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    return _fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,46 +235,142 @@ def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id"
     return fps.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bits by which fingerprints of five-word shingles of one group may differ. At a similarity of 0.8 they
-#: differ in 9.7 of 64 on average with a deviation of 2.9; unrelated texts in 32 with one of 4.
-SHINGLE, CHECK = 5, 14
+#: Documents of one group share SIMILAR of their five-word shingles. CHECK only sorts out hopeless pairs before
+#: that is counted: at 0.8 shingle fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9.
+SHINGLE, SIMILAR, CHECK = 5, 0.8, 24
+#: Bands of least hashes. Two documents share a band with the chance 1 - (1 - J^WIDE)^BANDS: 0.9996 at 0.8.
+BANDS, WIDE = 20, 5
+_MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * WIDE), np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key of every band of the least values of ``hashes``, however edits are spread over the text."""
+    least = np.full(BANDS * WIDE, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[k : k + 512, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(WIDE):
+        keys = (keys ^ least[k::WIDE]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _set_id(distinct: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(distinct.tobytes(), SEED) if len(distinct) else 0
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, check): both word fingerprints and the shingle fingerprint of every row."""
+    """(doc_id, s, f0, f1, check, bands) of every row: the id of its shingle set, both word fingerprints, the
+    shingle fingerprint and the band keys (none for a text without words)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros((batch.num_rows, 3), np.uint64)
+            made = np.zeros((batch.num_rows, 4), np.uint64)
+            bands = []
             for k, body in enumerate(batch.column(1)):
-                made[k] = (*word_fingerprints(body.as_py()), fingerprint(body.as_py(), SHINGLE))
-            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "f0", "f1", "check"])
+                hashes = shingle_hashes(body.as_py(), SHINGLE)
+                distinct = np.unique(hashes)
+                made[k] = (_set_id(distinct), *word_fingerprints(body.as_py()), _fingerprint_of(hashes))
+                bands.append(band_keys(distinct).view(np.int64) if len(distinct) else [])
+            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "f0", "f1", "check", "bands"]
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(signed, f"doc_id {kind}, s long, f0 long, f1 long, check long, bands array<long>")
 
-    return rows.mapInArrow(signed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f0 long, f1 long, check long")
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (s, hashes): the id and the distinct hashes of its shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            sets = [np.unique(shingle_hashes(x.as_py(), SHINGLE)) for x in batch.column(0).slice(at, 256)]
+            ids = np.array([_set_id(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["s", "hashes"])
+
+
+def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of set ids whose shingle sets have a Jaccard similarity of SIMILAR at least."""
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sought = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    ids = sought.join(own.select("s", "doc_id"), "s").select("doc_id").distinct()
+    made = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "s long, hashes array<long>")
+    sets = cut(made.groupBy("s").agg(F.first("hashes").alias("hashes")))
+    end = lambda name, kept: sets.select(F.col("s").alias(name), F.col("hashes").alias(kept))
+    both = pairs.hint("merge").join(end("a", "x"), "a").join(end("b", "y").hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root, s, check), sorted, to pairs (a, b) in one bucket with unlike roots; reads buckets as a stream."""
+    held = np.empty((0, 4), np.int64)
+    waiting: list[np.ndarray] = []
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0], [True])))
+        for k in np.flatnonzero(rows[edge[:-1], 1] != rows[edge[1:] - 1, 1]):
+            bucket = rows[edge[k] : edge[k + 1]]
+            for i in range(0, len(bucket), BLOCK):
+                for j in range(i, len(bucket), BLOCK):
+                    x, y = bucket[i : i + BLOCK], bucket[j : j + BLOCK]
+                    near = (x[:, None, 1] < y[None, :, 1]) & (np.bitwise_count(x[:, None, 3].view(np.uint64) ^ y[None, :, 3].view(np.uint64)) <= CHECK)
+                    p, q = np.nonzero(near)
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[p, 2]), pa.array(y[q, 2])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        if waiting[0][0, 0] == waiting[-1][-1, 0]:
+            continue  # one bucket so far
+        rows = np.concatenate([held, *waiting])
+        waiting = []
+        whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
+        held = rows[whole:]
+        yield from found(rows[:whole])
+    rows = np.concatenate([held, *waiting])
+    if len(rows):
+        yield from found(rows)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies of ``docs`` (the least doc_id), with the columns of ``docs``.
 
-    Documents link if a word fingerprint of theirs differs in at most ``RADIUS`` bits and the shingle
-    fingerprint in at most ``CHECK``. Texts without words are copies of each other. Rows without a doc_id
-    stay, unseen. Rows that repeat the kept doc_id stay, but for those equal in text as well. An empty
+    Documents link if their sets of five-word shingles have a Jaccard similarity of SIMILAR at least, counted
+    for every pair that the search brings together. Texts without words are copies of each other. Rows without a
+    doc_id stay, unseen. Rows that repeat the kept doc_id stay, but for those equal in text as well. An empty
     table gives an empty result; extra columns pass through.
     """
     known = docs.where(F.col(f"`{doc_id}`").isNotNull())
+    texts = known.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     seen = cut(signatures(known, doc_id, text))
-    own = cut(seen.groupBy("f0", "f1", "check").agg(F.min("doc_id").alias("node")))
+    own = cut(seen.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("f0", "f1", "check", "bands")).alias("v")).select("s", "doc_id", "v.*"))
     both = F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("f0").alias("fp")), F.struct(F.lit(1).alias("view"), F.col("f1").alias("fp"))))
-    views = own.select("node", "check", both.alias("v")).select("node", "v.view", "v.fp", "check")
-    # rows that agree in a view and the check are one there, under their least node
-    least = cut(views.groupBy("view", "fp", "check").agg(F.min("node").alias("rep")))
+    views = own.select("s", "check", both.alias("v")).select("s", "v.view", "v.fp", "check")
+    # rows that agree in a view and the check are one there, under their least set id
+    least = views.groupBy("view", "fp", "check").agg(F.min("s").alias("rep"))
     links = ball_links(least, CHECK)
     end = lambda fp, check, name: least.select("view", F.col("fp").alias(fp), F.col("check").alias(check), F.col("rep").alias(name))
-    edges = links.join(end("a", "ac", "x"), ["view", "a", "ac"]).join(end("b", "bc", "y"), ["view", "b", "bc"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = views.join(least, ["view", "fp", "check"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    roots = components(edges.union(same))
-    kept = own.select(F.col("node").alias("_kept_id")).join(roots.where("node <> root").select(F.col("node").alias("_kept_id")), "_kept_id", "left_anti")
+    balls = links.join(end("a", "ac", "x"), ["view", "a", "ac"]).join(end("b", "bc", "y"), ["view", "b", "bc"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = views.join(least, ["view", "fp", "check"]).where("s <> rep").select(F.col("s").alias("a"), F.col("rep").alias("b"))
+    # first, neighbours in every bucket of a band: groups of any size grow together by few pairs
+    keyed = own.select("s", "check", F.explode("bands").alias("key"))
+    shared = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("key", "s", "check"))
+    before = F.lag("s").over(Window.partitionBy("key").orderBy("check", "s"))
+    chain = shared.select(F.col("s").alias("a"), before.alias("b")).where("b is not null")
+    roots = cut(components(_verified(balls.union(same).union(chain), own, texts)))
+    # then all pairs of a bucket that are still apart
+    rooted = shared.join(roots, shared["s"] == roots["node"], "left").select("key", F.coalesce("root", "s").alias("root"), "s", "check")
+    apart = rooted.repartition("key").sortWithinPartitions("key", "root", "s").mapInArrow(_across, "a long, b long")
+    last = _verified(apart, own, texts)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+    top = own.select("s", "doc_id").join(roots.withColumnRenamed("node", "s"), "s", "left").groupBy(F.coalesce("root", "s")).agg(F.min("doc_id").alias("_kept_id"))
+    kept = top.select("_kept_id").distinct()
     stay = known.join(kept, known[f"`{doc_id}`"] == kept["_kept_id"], "left_semi").dropDuplicates([doc_id, text])
     return stay.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
