@@ -1,9 +1,9 @@
 """License detection by ordered signature rules.
 
 Rules are built from two tables: license names with the keyword their texts must hold, and signature
-templates with a priority and a confidence. A rule runs only if an Aho-Corasick pass finds its keyword,
-and that pass only on texts that hold one of a few gate words. Overlapping detections are resolved by
-priority: one whose interval lies inside that of an accepted detection is suppressed.
+templates with a priority and a confidence. A rule runs only if an Aho-Corasick pass finds its keyword.
+Overlapping detections are resolved by priority: one whose interval lies inside that of an accepted
+detection is suppressed.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Fixed phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: A text without any of these (in lower case) matches no rule.
-GATES = ("licen", "spdx", "public domain")
 
 #: SPDX identifier, keyword, pattern of the license's name, pattern of its address (or None).
 LICENSES = (
@@ -54,7 +52,7 @@ LICENSES = (
     ("bsl-1.0", "boost", r"(?:the\s+)?boost\s+software", r"boost\.org/license_1_0"),
     ("busl-1.1", "business source", r"(?:the\s+)?business\s+source", r"mariadb\.com/bsl11"),
     ("zlib", "zlib", r"(?:the\s+)?zlib(?:/libpng)?", r"opensource\.org/licenses/zlib"),
-    ("libpng", "libpng", r"(?:the\s+)?(?:libpng|png\s+reference\s+library)", None),
+    ("libpng", "png", r"(?:the\s+)?(?:libpng|png\s+reference\s+library)", None),
     ("openssl", "openssl", r"(?:the\s+)?openssl", r"openssl\.org/source/license"),
     ("php-3.01", "php", r"(?:the\s+)?php(?:\s+license)?(?:,?\s+(?:version\s+|v)?3\.0?1)?", r"php\.net/license"),
     ("psf-2.0", "python", r"(?:the\s+)?python(?:\s+software\s+foundation)?", r"docs\.python\.org/[0-9.]*/?license"),
@@ -172,8 +170,6 @@ _UPPER = {k: k + 32 for k in range(65, 91)}
 def detect(text: str | None) -> list[Detection]:
     """The detections of a whole text that stand after suppression, in order of place."""
     lower = (text or "").translate(_UPPER)
-    if not any(g in lower for g in GATES):
-        return []
     # keywords with a space also match across line ends and runs of spaces
     flat = " ".join(lower.split())
     automaton, by = _automaton()
