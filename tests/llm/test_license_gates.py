@@ -15,7 +15,11 @@ def example(pattern, most, branch):
         name = str(op)
         if name == "LITERAL":
             out.append(chr(value))
-        elif name == "MAX_REPEAT":
+        elif name == "ANY":
+            out.append("x")
+        elif name == "ASSERT":
+            out.append(example(value[1], most, branch))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             low, high, part = value
             out.append(example(part, most, branch) * max(low, most and 1))
         elif name == "SUBPATTERN":
@@ -26,7 +30,7 @@ def example(pattern, most, branch):
             kind, first = value[0]
             out.append({"LITERAL": lambda: chr(first), "RANGE": lambda: chr(first[0]), "CATEGORY": lambda: "\n" if str(first) == "CATEGORY_SPACE" else "x", "NEGATE": lambda: "x"}[str(kind)]())
         else:
-            assert name in ("ASSERT", "ASSERT_NOT"), name
+            assert name in ("ASSERT_NOT", "AT"), name
     return "".join(out)
 
 

@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
 Rules are built from two tables: license names with the keyword their texts must hold, and signature
-templates with a priority and a confidence. A rule runs only if an Aho-Corasick pass finds its keyword.
+templates with a priority and a confidence; SIGNATURES adds hand-written ones for license texts and headers.
+SPDX expressions are parsed id by id. A rule runs only if an Aho-Corasick pass finds its keyword.
 Overlapping detections are resolved by priority: one whose interval lies inside that of an accepted
 detection is suppressed.
 """
@@ -98,6 +99,54 @@ TEMPLATES = (
     (r"(?<![\w-])(?:{name})\s+license(?!\w)", 40, 0.6),
 )
 
+#: Hand-written signatures of license texts and headers: label, keyword, words, priority and confidence. A space
+#: stands for any run of white space, quotes and comment marks.
+SIGNATURES = (
+    ("mit", "granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [(]the software[)], to deal in the software", 90, 0.95),
+    ("mit", "granted", r"permission is hereby granted, free of charge(?!, to any person or organization)(?!, to any person obtaining a copy of this software and associated documentation files [(]the software[)], to deal with)", 50, 0.8),
+    ("ncsa", "granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [(]the software[)], to deal with the software", 90, 0.95),
+    ("bsl-1.0", "granted", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", 90, 0.95),
+    ("isc", "granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", 90, 0.95),
+    ("0bsd", "granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted(?!, provided)", 90, 0.9),
+    ("postgresql", "granted", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", 90, 0.95),
+    ("bsd-4-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1200}?all advertising materials mentioning)", 92, 0.95),
+    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1500}?(?:neither the names? of|the names? of .{1,120}? may not be used to endorse))", 91, 0.95),
+    ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1200}?redistributions in binary form must reproduce)", 90, 0.9),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 50, 0.8),
+    ("apache-2.0", "january", r"apache license,? version 2[.]0, january 2004", 90, 0.95),
+    ("gpl-2.0", "june", r"gnu general public license,? version 2, june 1991", 90, 0.95),
+    ("gpl-3.0", "june", r"gnu general public license,? version 3, 29 june 2007", 90, 0.95),
+    ("lgpl-2.1", "february", r"gnu lesser general public license,? version 2[.]1, february 1999", 90, 0.95),
+    ("lgpl-3.0", "june", r"gnu lesser general public license,? version 3, 29 june 2007", 90, 0.95),
+    ("agpl-3.0", "november", r"gnu affero general public license,? version 3, 19 november 2007", 90, 0.95),
+    *(
+        (f"{label}-{kind}", "redistribute", rf"(?:redistribute it and/or modify it|can be redistributed and/or modified) under the terms of (?:version {re.escape(number)}(?:[.]0)? of )?the gnu {name}general public license{published}{ending}", 90, 0.95)
+        for label, name, number in (("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.1", "lesser ", "2.1"), ("lgpl-3.0", "lesser ", "3"), ("agpl-3.0", "affero ", "3"))
+        for published in (r"(?:,? as published by the free software foundation)?[,;:]?",)
+        for kind, ending in (
+            ("or-later", rf" either version {re.escape(number)}(?:[.]0)? of the license,? or [(]?at your option[)]? any later version"),
+            ("only", rf" version {re.escape(number)}(?:[.]0)?(?: of the license)?(?![.]?\d)(?!,? or [(]?at your option)"),
+        )
+    ),
+    ("mpl-2.0", "source", r"this source code form is subject to the terms of the mozilla public license, v[.] 2[.]0", 90, 0.95),
+    ("mpl-2.0", "mozilla", r"mozilla public license version 2[.]0 =* ?1[.] definitions", 90, 0.95),
+    ("epl-2.0", "accompanying", r"the accompanying program is provided under the terms of this eclipse public license", 90, 0.9),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 90, 0.95),
+    ("zlib", "as-is", r"this software is provided as-is,? without any express or implied warranty[.] in no event will the authors be held liable", 90, 0.95),
+    ("wtfpl", "just", r"you just do what the f\S+ you want to", 90, 0.95),
+    ("cc0-1.0", "dedicated", r"the person who associated a work with this deed has dedicated the work to the public domain", 90, 0.95),
+    ("ofl-1.1", "february", r"sil open font license version 1[.]1 - 26 february 2007", 90, 0.95),
+)
+_GAP = r"""(?:[\s"'“”‘’`*#/;>|-]+)"""
+
+#: Ids that occur in SPDX expressions besides those of LICENSES and CC_KINDS.
+SPDX_ONLY = (
+    "gpl-1.0", "lgpl-2.0", "agpl-1.0", "gfdl-1.1", "gfdl-1.2", "mit-0", "bsd-1-clause", "bsd-3-clause-clear", "curl", "zpl-2.1", "ntp",
+    "hpnd", "ijg", "blueoak-1.0.0", "mulanpsl-2.0", "eupl-1.1", "unicode-dfs-2016", "unicode-3.0", "python-2.0", "libtiff", "artistic-1.0-perl",
+)
+_SPDX = re.compile(r"spdx-license-identifier:\s*")
+_SPDX_TOKEN = re.compile(r"[ \t]*([()]|[\w.+:-]*[\w+])")
+
 
 class Rule(NamedTuple):
     label: str
@@ -147,9 +196,57 @@ def rules() -> tuple[Rule, ...]:
                 made.append(Rule(label, "creative", re.compile(body), priority, confidence))
             if not label.startswith("cc-"):
                 keyword = next(k for i, k, *_ in LICENSES if i == label)
+    for label, keyword, words, priority, confidence in SIGNATURES:
+        made.append(Rule(label, keyword, re.compile(_spaced(words), re.DOTALL), priority, confidence))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
+def _spaced(words: str) -> str:
+    """A signature with gaps for its spaces; brackets and semicolons may have quotes and marks beside them."""
+    quote = r"""["'“”‘’`]*"""
+    return words.replace("[(]", "[(]" + quote).replace("[)]", quote + "[)]").replace("as-is,?", r"""as-is["'“”‘’`]*,?["'“”‘’`]*""").replace(" ", _GAP)
+
+
+@lru_cache(maxsize=1)
+def _spdx_ids() -> frozenset[str]:
+    return frozenset((*(n[0] for n in _names()), *SPDX_ONLY))
+
+
+def _spdx_label(token: str) -> str | None:
+    """The label of an id in an SPDX expression: ``+`` is the older form of -or-later."""
+    base, later = (token[:-1], True) if token.endswith("+") else (token, False)
+    for end in ("-only", "-or-later"):
+        if base.endswith(end) and base.removesuffix(end) in _spdx_ids() and not later:
+            return base
+    if base not in _spdx_ids():
+        return None
+    return f"{base}-or-later" if later and re.match(r"(?:a|l)?gpl-|gfdl-", base) else base
+
+
+def spdx_detections(lower: str) -> Iterator[Detection]:
+    """One detection for every known id of every SPDX expression; the first one includes the tag."""
+    for tag in _SPDX.finditer(lower):
+        at, start, operand = tag.end(), tag.start(), True
+        while token := _SPDX_TOKEN.match(lower, at):
+            word = token[1]
+            if word in ("and", "or", "with"):
+                if operand:
+                    break
+                operand = True
+                if word == "with":  # the exception that follows is no license
+                    skipped = _SPDX_TOKEN.match(lower, token.end())
+                    at, operand = (skipped or token).end(), False
+                    continue
+            elif word not in "()":
+                if not operand:
+                    break
+                operand = False
+                if label := _spdx_label(word):
+                    yield Detection(token.start(1) if start is None else start, token.end(), label, 100, 1.0)
+                    start = None
+            at = token.end()
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -180,6 +277,8 @@ def detect(text: str | None) -> list[Detection]:
         for rule in by[keyword]
         for m in rule.pattern.finditer(lower)
     }
+    if "spdx-license-identifier:" in lower:
+        found.update(spdx_detections(lower))
     return suppressed(found)
 
 
