@@ -39,6 +39,7 @@ def corpus() -> list[tuple]:
         "mail a.b@x-y.example.com and c@d.e.f, ip 1.2.3.4 or 256.1.1.1 or 001.02.3.4 card 4111 1111 1111 1111 phone +1 (017) 555-7713 "
         "iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789 then 123-45-6788",
         "@" * 200 + "a" * 5000 + " +" + "1" * 30 + " 1.1.1.1.1.1.1.1.1", "😀é a@b.c +123456789 9",
+        "a <|endoftext|> b<|endoftext|><|endoftext|>\n <|endoftext |> it's 12 ÄÖ",
         "Licensed under CC BY-NC 4.0. mit license MIT License, apache\nlicense general public license mit-license",
     ]
     rows = [(k, t, "en", ["s0", "s0", "s1", "s2", None][k % 5], len(t or "")) for k, t in enumerate(texts)]
@@ -219,7 +220,6 @@ def test_packing(docs, clash, rows, monkeypatch):
 
     monkeypatch.setattr(packing, "ROWS_PER_BLOCK", 3)
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {r[0]: np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows if r[0] is not None}
     for df in (docs, clash):
         got = packing.pack(df, keep_ids=True).collect()

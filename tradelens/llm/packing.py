@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ ROWS_PER_BLOCK = 2_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """A file of the installed public tokenizers."""
     import public_tokenizers
 
@@ -35,15 +35,25 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 @lru_cache(maxsize=2)
 def load_encoder(path: str):
-    """The byte-level BPE of a rank file; its ids equal those of the ``tokenizers`` file of that vocabulary."""
-    import base64
+    """The ids of a text by the byte-level BPE of a ``tokenizers`` file.
+
+    Ids come from the file's own vocabulary and merges through ``tiktoken``, which is four times as fast;
+    as in ``tokenizers`` the strings of added tokens in a text become their ids.
+    """
+    import json
 
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as lines:
+        file = json.load(lines)
+    # the printable stand-ins of bytes in such files: printable Latin-1 stands for itself, the rest follows from 256 on
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    added = {x["content"]: x["id"] for x in file["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return partial(encoding.encode, allowed_special="all")
 
 
 def tokenized_pieces(
@@ -61,7 +71,7 @@ def tokenized_pieces(
     schema = f"doc_id {kind}, {PIECES}" + (", ids array<int>" if keep_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(path).encode_ordinary
+        encode = load_encoder(path)
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, body in enumerate(batch.column(1)):
