@@ -60,3 +60,39 @@ def test_keyword_pass_loses_nothing():
 def test_texts_without_the_word_license(text, label):
     assert not re.search("licen|spdx|public domain", text.lower())
     assert [d.label for d in licenses.detect(text)] == [label]
+
+
+def ungated(text):
+    """All rules run on the text, without the keyword pass."""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    found = {licenses.Detection(m.start(), m.end(), r.label, r.priority, r.confidence) for r in licenses.rules() for m in r.pattern.finditer(lower)}
+    found |= set(licenses.spdx_detections(lower))
+    kept = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_whole_scan_equals_all_rules_ungated():
+    from test_license_texts import TEXTS
+    from test_operators import corpus
+
+    short = [
+        "released under the MIT.", "Distributed under the BSD 3-clause", "released under CC BY-SA 4.0", "creativecommons.org/publicdomain/zero/1.0",
+        "see wtfpl.net", "eclipse.org/legal/epl-2.0", "www.mozilla.org/MPL/2.0", "the Apache\n  Licence, version 2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC",
+        "the GNU Lesser General\n# Public License, version 2.1", "used for Good,\n// not Evil: the Software shall be used for Good,\n// not Evil.",
+    ]
+    for text in short:
+        assert licenses.detect(text), text
+    for text in [*short, *(t for t, *_ in TEXTS), *(r[1] or "" for r in corpus()), " ".join(short * 3)]:
+        assert licenses.detect(text) == ungated(text), text
+
+
+def test_scan_of_a_long_text_is_linear():
+    import time
+
+    start = time.time()
+    n, places = licenses.base_scan("the mit license and " * 500_000)  # ten million characters
+    assert n == 2_000_000 and len(places) == 500_000 and places[-1] == (1_999_997, "mit")
+    assert time.time() - start < 20

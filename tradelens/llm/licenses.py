@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
 Rules are built from two tables: license names with the keyword their texts must hold, and signature
-templates with a priority and a confidence; SIGNATURES adds hand-written ones for license texts and headers.
+templates with a priority and a confidence; SIGNATURES adds a hundred hand-written ones for license texts,
+headers and names with versions.
 SPDX expressions are parsed id by id. A rule runs only if an Aho-Corasick pass finds its keyword.
 Overlapping detections are resolved by priority: one whose interval lies inside that of an accepted
 detection is suppressed.
@@ -93,10 +94,10 @@ CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 #: Templates: pattern with {id}, {name} or {url}, priority and confidence.
 TEMPLATES = (
     (r"spdx-license-identifier:\s*{id}(?![\w.+-]*[\w+])", 100, 1.0),
-    (r"https?://(?:www\.)?{url}", 80, 0.95),
-    (r"(?:licensed|released|distributed|available|published|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:{name})(?:\s+license)?(?!\w)", 70, 0.9),
-    (r"(?:subject\s+to|governed\s+by)\s+(?:the\s+terms\s+of\s+)?(?:{name})(?:\s+license)?(?!\w)", 60, 0.85),
-    (r"(?<![\w-])(?:{name})\s+license(?!\w)", 40, 0.6),
+    (r"(?<![\w./-])(?:https?://)?(?:www\.)?{url}", 80, 0.95),
+    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|made\s+available)\s+under\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:{name})(?:\s+licen[cs]e)?(?!\w)", 70, 0.9),
+    (r"(?:subject\s+to|governed\s+by)\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:{name})(?:\s+licen[cs]e)?(?!\w)", 60, 0.85),
+    (r"(?<![\w-])(?:{name})\s+licen[cs]e(?!\w)", 40, 0.6),
 )
 
 #: Hand-written signatures of license texts and headers: label, keyword, words, priority and confidence. A space
@@ -136,6 +137,71 @@ SIGNATURES = (
     ("wtfpl", "just", r"you just do what the f\S+ you want to", 90, 0.95),
     ("cc0-1.0", "dedicated", r"the person who associated a work with this deed has dedicated the work to the public domain", 90, 0.95),
     ("ofl-1.1", "february", r"sil open font license version 1[.]1 - 26 february 2007", 90, 0.95),
+    # names with their versions, wherever they stand
+    ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,? (?:version |v)?1[.]1(?![.]?\d)", 45, 0.85),
+    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?3(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e,? (?:version |v)?2[.]1(?![.]?\d)", 45, 0.85),
+    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e,? (?:version |v)?3(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e,? (?:version |v)?3(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("gfdl-1.1", "free documentation", r"(?:gnu )?free documentation licen[cs]e,? (?:version |v)?1[.]1(?![.]?\d)", 45, 0.85),
+    ("gfdl-1.2", "free documentation", r"(?:gnu )?free documentation licen[cs]e,? (?:version |v)?1[.]2(?![.]?\d)", 45, 0.85),
+    ("gfdl-1.3", "free documentation", r"(?:gnu )?free documentation licen[cs]e,? (?:version |v)?1[.]3(?![.]?\d)", 45, 0.85),
+    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?1[.]1(?![.]?\d)", 45, 0.85),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,?(?: -)? (?:version |v)?1(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,?(?: -)? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("eupl-1.1", "european union", r"european union public licen[cs]e,? (?:version |v[.]? ?)?1[.]1(?![.]?\d)", 45, 0.85),
+    ("eupl-1.2", "european union", r"european union public licen[cs]e,? (?:version |v[.]? ?)?1[.]2(?![.]?\d)", 45, 0.85),
+    ("artistic-1.0", "artistic", r"artistic licen[cs]e,? (?:version |v)?1(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("bsl-1.0", "boost", r"boost software licen[cs]e(?: -|,)? version 1[.]0", 45, 0.85),
+    ("busl-1.1", "business source", r"business source licen[cs]e,? (?:version |v)?1[.]1", 45, 0.85),
+    ("cddl-1.0", "common development", r"common development and distribution licen[cs]e(?: [(]cddl[)])?,?(?: -)? (?:version |v)?1[.]0", 45, 0.85),
+    ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: [(]upl[)])?,? (?:version |v)?1[.]0", 45, 0.85),
+    ("osl-3.0", "open software", r"open software licen[cs]e(?: [(]osl[)])?,? (?:version |v[.]? ?)?3[.]0", 45, 0.85),
+    ("afl-3.0", "academic free", r"academic free licen[cs]e(?: [(]afl[)])?,? (?:version |v[.]? ?)?3[.]0", 45, 0.85),
+    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e [(]ms-pl[)]", 45, 0.85),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e [(]ms-rl[)]", 45, 0.85),
+    ("odbl-1.0", "open database", r"open database licen[cs]e [(]odbl[)]", 45, 0.85),
+    ("zpl-2.1", "zope", r"zope public licen[cs]e(?: [(]zpl[)])?,? (?:version |v)?2[.]1", 45, 0.85),
+    ("mulanpsl-2.0", "mulan", r"mulan permissive software licen[cs]e,? ?(?:version |v)?2", 45, 0.85),
+    ("blueoak-1.0.0", "blue oak", r"blue oak model licen[cs]e", 45, 0.85),
+    ("polyform-noncommercial-1.0.0", "polyform", r"polyform noncommercial licen[cs]e,? (?:version )?1[.]0[.]0", 45, 0.85),
+    ("polyform-small-business-1.0.0", "polyform", r"polyform small business licen[cs]e,? (?:version )?1[.]0[.]0", 45, 0.85),
+    ("sspl-1.0", "server side", r"server side public licen[cs]e,? (?:version |v)?1(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("elastic-2.0", "elastic", r"elastic licen[cs]e,? (?:version |v)?2(?:[.]0)?(?![.]?\d)", 45, 0.85),
+    ("php-3.01", "php", r"php licen[cs]e,? (?:version |v)?3[.]01", 45, 0.85),
+    ("cc0-1.0", "cc0", r"cc0 1[.]0 universal", 45, 0.85),
+    ("cc-by-4.0", "attribution", r"creative commons attribution 4[.]0 international", 85, 0.95),
+    ("cc-by-sa-4.0", "attribution", r"creative commons attribution-share ?alike 4[.]0 international", 85, 0.95),
+    ("cc-by-nc-4.0", "attribution", r"creative commons attribution-non ?commercial 4[.]0 international", 85, 0.95),
+    ("cc-by-nd-4.0", "attribution", r"creative commons attribution-no ?derivatives 4[.]0 international", 85, 0.95),
+    ("cc-by-nc-sa-4.0", "attribution", r"creative commons attribution-non ?commercial-share ?alike 4[.]0 international", 85, 0.95),
+    ("cc-by-nc-nd-4.0", "attribution", r"creative commons attribution-non ?commercial-no ?derivatives 4[.]0 international", 85, 0.95),
+    ("cc-by-3.0", "unported", r"creative commons attribution 3[.]0 unported", 85, 0.95),
+    ("cc-by-sa-3.0", "unported", r"creative commons attribution-share ?alike 3[.]0 unported", 85, 0.95),
+    # sentences that only one license has
+    ("json", "not evil", r"the software shall be used for good, not evil", 90, 0.95),
+    ("beerware", "stuff", r"as long as you retain this notice,? you can do whatever you want with this stuff", 90, 0.95),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", 90, 0.9),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation [(]https?://www[.]apache[.]org/[)]", 50, 0.7),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group", 90, 0.9),
+    ("hpnd", "granted", r"permission to use, copy, modify,?(?: and)? distribute(?:, and sell)?,? this software and its documentation for any purpose(?: and without fee)? is hereby granted(?: without fee)?, provided", 90, 0.9),
+    ("psf-2.0", "python", r"psf licen[cs]e agreement for python", 90, 0.9),
+    ("w3c", "w3c", r"w3c[®]? software notice and licen[cs]e", 90, 0.9),
+    ("libpng", "png", r"the png reference library is supplied as-is", 90, 0.9),
+    ("unicode-dfs-2016", "unicode", r"unicode,? inc[.] licen[cs]e agreement - data files and software", 90, 0.9),
+    ("vim", "vim", r"vim is charityware", 90, 0.8),
+    ("ofl-1.1", "font software", r"this font software is licen[cs]ed under the sil open font licen[cs]e,? version 1[.]1", 90, 0.95),
+    ("artistic-2.0", "perl foundation", r"the artistic licen[cs]e 2[.]0 copyright [(]c[)] 2000-2006, the perl foundation", 90, 0.95),
+    ("bsl-1.0", "boost", r"boost software licen[cs]e - version 1[.]0 - august 17th, 2003", 90, 0.95),
+    ("sspl-1.0", "october", r"server side public licen[cs]e version 1, october 16, 2018", 90, 0.95),
+    ("wtfpl", "december", r"do what the f\S+ you want to public licen[cs]e version 2, december 2004", 90, 0.95),
+    ("cecill-2.1", "cecill", r"contrat de licence de logiciel libre cecill", 90, 0.9),
+    ("public-domain", "public domain", r"(?:this|the) (?:work|file|code|software|program|document|source code) (?:is|has been) (?:hereby )?(?:released|placed|dedicated|put) (?:in|into|to) the public domain", 60, 0.8),
+    ("public-domain", "disclaim", r"(?:author|authors) (?:hereby )?disclaims? copyright to this source code", 60, 0.8),
 )
 _GAP = r"""(?:[\s"'“”‘’`*#/;>|-]+)"""
 
@@ -196,7 +262,8 @@ def rules() -> tuple[Rule, ...]:
                 made.append(Rule(label, "creative", re.compile(body), priority, confidence))
             if not label.startswith("cc-"):
                 keyword = next(k for i, k, *_ in LICENSES if i == label)
-    for label, keyword, words, priority, confidence in SIGNATURES:
+    for label, phrase, words, priority, confidence in SIGNATURES:
+        keyword = max(phrase.split(), key=len)  # one word: comment marks may stand between words
         made.append(Rule(label, keyword, re.compile(_spaced(words), re.DOTALL), priority, confidence))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
@@ -320,9 +387,10 @@ def base_scan(text: str | None) -> tuple[int, list[tuple[int, str]]]:
     if b"license" in words:
         line = b" " + b" ".join(words) + b" "
         for phrase, label in PHRASES:
-            sought, at = f" {phrase} ".encode(), -1
+            sought, at, seen, before = f" {phrase} ".encode(), -1, 0, 0
             while (at := line.find(sought, at + 1)) >= 0:
-                places.append((line.count(b" ", 0, at), label))
+                seen, before = seen + line.count(b" ", before, at), at
+                places.append((seen, label))
     return len(words), places
 
 
