@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import checkpoint_folder, read_table
+from tradelens.llm.common import read_table
 from tradelens.llm.lines import line_dedup
 from tradelens.llm.mixing import mix_sources
 from tradelens.llm.packing import pack
 from tradelens.llm.quality import passing
 from tradelens.llm.simhash import keep_one
+from tradelens.sources.shared import shared_folder
 
 
 def _documents(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
