@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from tradelens.llm.common import cut
 
 
-def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
+#: Edges that one task holds at least: few edges are not spread over all shuffle partitions.
+EDGES_TOGETHER = 500_000
+
+
+def _star(edges: DataFrame, both_ways: bool, tasks: int) -> DataFrame:
     """Large star (both ways): larger neighbours move to the least one. Small star: the smaller ones do."""
     if both_ways:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges
     # materialised, so that the join has shuffles of its own on both sides and AQE can split a hub
-    least = cut(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+    least = cut(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).coalesce(tasks))
     moved = near.join(least.hint("merge"), "a")
     if both_ways:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return cut(out.where("a <> b").distinct().coalesce(tasks))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,8 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
-        large = cut(_star(now, True))
-        now = cut(_star(large, False))
+        mark, tasks = seen, 1 + seen[0] // EDGES_TOGETHER
+        now = _star(_star(now.coalesce(tasks), True, tasks), False, tasks)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b"), F.col("b")).distinct())

@@ -9,7 +9,7 @@ verified by their whole 64 bits, and each bucket gives a spanning forest of its
 
 ``simhash_components`` links by one fingerprint of word shingles. ``keep_one``, for pipelines, has to find
 copies of which 0.8 of the five-word shingles agree, and those differ in some ten bits of a shingle
-fingerprint. It searches with two fingerprints of single words, numbered by occurrence, which scattered edits
+fingerprint. It searches with a fingerprint of single words, numbered by occurrence, which scattered edits
 hardly move, and with bands of least shingle hashes, whose chance depends on the similarity alone and not on
 where the edits are. Every pair found is verified by its two whole sets of five-word shingles.
 
@@ -83,24 +83,23 @@ def _fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def word_fingerprints(text: str | None) -> tuple[int, int]:
-    """Two independent SimHashes of a text's words, the n-th occurrence of a word being a feature of its own."""
-    from xxhash import xxh128_digest
+def word_fingerprint(text: str | None) -> int:
+    """The SimHash of a text's words, the n-th occurrence of a word being a feature of its own."""
+    from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0
+        return 0
     seen: dict[bytes, int] = {}
-    digests = []
+    hashes = []
     for w in words:
         n = seen[w] = seen.get(w, 0) + 1
-        digests.append(xxh128_digest(b"%b:%d" % (w, n), SEED))
-    hashes = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-    return _fingerprint_of(hashes[:, 0]), _fingerprint_of(hashes[:, 1])
+        hashes.append(xxh64_intdigest(b"%b:%d" % (w, n), SEED))
+    return _fingerprint_of(np.array(hashes, np.uint64))
 
 
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(view, fp, ...) to (key, view, fp, ...) for every variant of every fingerprint."""
+    """(fp, ...) to (key, fp, ...) for every variant of every fingerprint."""
     full = np.uint64(2**64 - 1)
     masks, flips = [], []
     for k, (low, high) in enumerate(THIRDS):
@@ -113,9 +112,8 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            view, fps = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            fps = part.column(0).to_numpy(zero_copy_only=False)
             keys = ((fps.view(np.uint64)[:, None] & masks) ^ flips).ravel()
-            keys ^= np.repeat(view.astype(np.uint64) << np.uint64(32), len(masks))
             keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             take = pa.array(np.repeat(np.arange(part.num_rows), len(masks)))
             yield pa.RecordBatch.from_arrays(
@@ -124,9 +122,9 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(x: np.ndarray, y: np.ndarray, check: int | None) -> np.ndarray:
-    """Whether rows of (view, fp[, check]) link: one view, within the radius, and within ``check`` bits."""
-    near = (x[..., 0] == y[..., 0]) & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= RADIUS)
-    return near if check is None else near & (np.bitwise_count(x[..., 2] ^ y[..., 2]) <= check)
+    """Whether rows of (fp[, check]) link: within the radius, and within ``check`` bits."""
+    near = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= RADIUS
+    return near if check is None else near & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= check)
 
 
 def _forest(rows: np.ndarray, check: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,17 +166,17 @@ def _bucket_links(keys: np.ndarray, rows: np.ndarray, check: int | None) -> tupl
 
 
 def _links(check: int | None):
-    """Arrow map from sorted (key, view, fp[, check]) to pairs of linked rows; reads buckets as a stream."""
+    """Arrow map from sorted (key, fp[, check]) to pairs of linked rows; reads buckets as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 if check is None else 3
+        width = 1 if check is None else 2
         held_k, held = np.empty(0, np.int64), np.empty((0, width), np.uint64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def found(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
             a, b = _bucket_links(keys, rows, check)
-            both = np.unique(np.concatenate((rows[a], rows[b][:, 1:]), axis=1), axis=0).view(np.int64)
-            names = ["view", "a", "ac", "b", "bc"] if width == 3 else ["view", "a", "b"]
+            both = np.unique(np.concatenate((rows[a], rows[b]), axis=1), axis=0).view(np.int64)
+            names = ["a", "ac", "b", "bc"] if width == 2 else ["a", "b"]
             return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(both.shape[1])], names=names)
 
         for batch in batches:
@@ -203,15 +201,15 @@ def _links(check: int | None):
 
 
 def ball_links(distinct: DataFrame, check: int | None = None) -> DataFrame:
-    """Links among distinct rows (view, fp), enough to connect all within the radius: (view, a, b).
+    """Links among distinct rows (fp), enough to connect all within the radius: (a, b).
 
-    With ``check`` rows are (view, fp, check), linked only if their checks differ in at most so many bits
-    too: (view, a, ac, b, bc). Rows of different views do not link.
+    With ``check`` rows are (fp, check), linked only if their checks differ in at most so many bits too:
+    (a, ac, b, bc).
     """
-    names = ["view", "fp"] if check is None else ["view", "fp", "check"]
-    variants = distinct.select(*names).mapInArrow(_ball, "key long, view int, fp long" + ("" if check is None else ", check long"))
+    names = ["fp"] if check is None else ["fp", "check"]
+    variants = distinct.select(*names).mapInArrow(_ball, "key long, fp long" + ("" if check is None else ", check long"))
     dealt = variants.repartition("key").sortWithinPartitions("key", *names)
-    out = "view long, a long, b long" if check is None else "view long, a long, ac long, b long, bc long"
+    out = "a long, b long" if check is None else "a long, ac long, b long, bc long"
     return dealt.mapInArrow(_links(check), out).distinct()
 
 
@@ -226,7 +224,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id"
     """
     fps = cut(fingerprints(docs, shingle, doc_id, text))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = cut(components(ball_links(own.select(F.lit(0).alias("view"), "fp")).select("a", "b")))
+    roots = cut(components(ball_links(own)))
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select(
         own["fp"], "least_id", F.coalesce("root", own["fp"]).alias("root")
     )
@@ -262,26 +260,26 @@ def _set_id(distinct: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, s, f0, f1, check, bands) of every row: the id of its shingle set, both word fingerprints, the
-    shingle fingerprint and the band keys (none for a text without words)."""
+    """(doc_id, s, fp, check, bands) of every row: the id of its shingle set, the fingerprints of its words and
+    of its shingles, and the band keys (none for a text without words)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros((batch.num_rows, 4), np.uint64)
+            made = np.zeros((batch.num_rows, 3), np.uint64)
             bands = []
             for k, body in enumerate(batch.column(1)):
                 hashes = shingle_hashes(body.as_py(), SHINGLE)
                 distinct = np.unique(hashes)
-                made[k] = (_set_id(distinct), *word_fingerprints(body.as_py()), _fingerprint_of(hashes))
+                made[k] = (_set_id(distinct), word_fingerprint(body.as_py()), _fingerprint_of(hashes))
                 bands.append(band_keys(distinct).view(np.int64) if len(distinct) else [])
-            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(4)]
+            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "f0", "f1", "check", "bands"]
+                [batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "fp", "check", "bands"]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(signed, f"doc_id {kind}, s long, f0 long, f1 long, check long, bands array<long>")
+    return rows.mapInArrow(signed, f"doc_id {kind}, s long, fp long, check long, bands array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +291,22 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["s", "hashes"])
 
 
+#: Up to so many ids, some 100 MB in a task, the set of them is broadcast and no text is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of set ids whose shingle sets have a Jaccard similarity of SIMILAR at least."""
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sought = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    ids = sought.join(own.select("s", "doc_id"), "s").select("doc_id").distinct()
+    ids = _sized(sought.join(own.select("s", "doc_id"), "s").select("doc_id").distinct())
     made = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "s long, hashes array<long>")
-    sets = cut(made.groupBy("s").agg(F.first("hashes").alias("hashes")))
+    sets = made.groupBy("s").agg(F.first("hashes").alias("hashes"))  # one shuffle, which both joins read
     end = lambda name, kept: sets.select(F.col("s").alias(name), F.col("hashes").alias(kept))
     both = pairs.hint("merge").join(end("a", "x"), "a").join(end("b", "y").hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -350,15 +357,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     known = docs.where(F.col(f"`{doc_id}`").isNotNull())
     texts = known.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     seen = cut(signatures(known, doc_id, text))
-    own = cut(seen.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("f0", "f1", "check", "bands")).alias("v")).select("s", "doc_id", "v.*"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("f0").alias("fp")), F.struct(F.lit(1).alias("view"), F.col("f1").alias("fp"))))
-    views = own.select("s", "check", both.alias("v")).select("s", "v.view", "v.fp", "check")
-    # rows that agree in a view and the check are one there, under their least set id
-    least = views.groupBy("view", "fp", "check").agg(F.min("s").alias("rep"))
+    own = cut(seen.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("fp", "check", "bands")).alias("v")).select("s", "doc_id", "v.*"))
+    # rows that agree in both fingerprints are one in the search, under their least set id
+    least = own.groupBy("fp", "check").agg(F.min("s").alias("rep"))
     links = ball_links(least, CHECK)
-    end = lambda fp, check, name: least.select("view", F.col("fp").alias(fp), F.col("check").alias(check), F.col("rep").alias(name))
-    balls = links.join(end("a", "ac", "x"), ["view", "a", "ac"]).join(end("b", "bc", "y"), ["view", "b", "bc"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = views.join(least, ["view", "fp", "check"]).where("s <> rep").select(F.col("s").alias("a"), F.col("rep").alias("b"))
+    end = lambda fp, check, name: least.select(F.col("fp").alias(fp), F.col("check").alias(check), F.col("rep").alias(name))
+    balls = links.join(end("a", "ac", "x"), ["a", "ac"]).join(end("b", "bc", "y"), ["b", "bc"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = own.join(least, ["fp", "check"]).where("s <> rep").select(F.col("s").alias("a"), F.col("rep").alias("b"))
     # first, neighbours in every bucket of a band: groups of any size grow together by few pairs
     keyed = own.select("s", "check", F.explode("bands").alias("key"))
     shared = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("key", "s", "check"))
@@ -368,9 +373,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # then all pairs of a bucket that are still apart
     rooted = shared.join(roots, shared["s"] == roots["node"], "left").select("key", F.coalesce("root", "s").alias("root"), "s", "check")
     apart = rooted.repartition("key").sortWithinPartitions("key", "root", "s").mapInArrow(_across, "a long, b long")
-    last = _verified(apart, own, texts)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
-    top = own.select("s", "doc_id").join(roots.withColumnRenamed("node", "s"), "s", "left").groupBy(F.coalesce("root", "s")).agg(F.min("doc_id").alias("_kept_id"))
-    kept = top.select("_kept_id").distinct()
-    stay = known.join(kept, known[f"`{doc_id}`"] == kept["_kept_id"], "left_semi").dropDuplicates([doc_id, text])
-    return stay.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    last = cut(_verified(apart, own, texts))
+    if not last.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+    top = own.select("s", "doc_id").join(roots.withColumnRenamed("node", "s"), "s", "left").groupBy(F.coalesce("root", "s")).agg(F.min("doc_id").alias("doc_id"))
+    every = seen.groupBy("doc_id").agg(F.count("*").alias("n"))
+    gone = _sized(every.join(top, "doc_id", "left_anti").select("doc_id"))
+    again = _sized(every.where("n > 1").select("doc_id"))
+    ident = known[f"`{doc_id}`"]
+    stay = known.join(gone, ident == gone["doc_id"], "left_anti")
+    repeated = stay.join(again, ident == again["doc_id"], "left_semi").dropDuplicates([doc_id, text])
+    return stay.join(again, ident == again["doc_id"], "left_anti").unionByName(repeated).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
