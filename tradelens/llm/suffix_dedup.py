@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 WINDOW, GRAM = 50, 24
 #: Text bytes of a document shard; of a piece hashed at once; of a text shard.
 SHARD_BYTES, CHUNK_BYTES, TEXT_BYTES = 8 << 20, 1 << 19, 1 << 20
+#: Corpus bytes whose keys, and whose repeated texts, share a bucket: few buckets pack many keys of a shard in a row.
+KEY_BUCKET_BYTES, TEXT_BUCKET_BYTES = 32 << 20, 16 << 20
 #: A key with more runs in one document shard, or in more shards, is dealt by single windows.
 HOT_RUNS, HOT_SHARDS = 256, 1024
 
@@ -357,14 +359,12 @@ def _send_texts(buckets: int):
             return _table([], fields)
         shard = docs.column("shard")[0].as_py()
         ids, texts, _ = _sorted_texts(docs)
-        least: dict[bytes, list[int]] = {}
-        for k, s, e, key, text in _repeated_runs(texts, live):
-            if text not in least:  # documents come in ascending order
-                bucket = key >> 2 if e > s or len(text) > WINDOW else xxhash.xxh64_intdigest(text)
-                least[text] = [ids[k], key, bucket]
+        least: dict[bytes, tuple[int, int]] = {}
+        for k, _, _, key, text in _repeated_runs(texts, live):
+            least.setdefault(text, (ids[k], key))  # documents come in ascending order
         hot = {int(x) & ~3 for x in live if int(x) & 2}
         deal: dict[int, list[tuple[int, int, int, bytes]]] = {}
-        for number, (text, (doc, key, _)) in enumerate(least.items()):
+        for number, (text, (doc, key)) in enumerate(least.items()):
             bucket = (xxhash.xxh64_intdigest(text) if key in hot else key >> 2) % buckets
             deal.setdefault(bucket, []).append((number, key, doc, text))
         rows = []
@@ -470,22 +470,24 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, spans, kept) for every row: the maximal removed byte runs and the bytes that stay.
 
     Texts are UTF-8 bytes, whole, whatever their length; null is the empty text. Rows that share a doc_id
-    do not remove each other's bytes. Rows without a doc_id are neither cut nor compared. Extra columns are
+    do not remove each other's bytes; they are dealt to shards by doc_id and text, so that only rows equal in
+    both are sure to meet in a shard. Rows without a doc_id are neither cut nor compared. Extra columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ident = F.col(f"`{doc_id}`")
     rows = docs.select(ident.cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(-(-total // SHARD_BYTES), spark.sparkContext.defaultParallelism)
+    some = lambda size: max(-(-total // size), spark.sparkContext.defaultParallelism)
+    shards, key_buckets, text_buckets = some(SHARD_BYTES), some(KEY_BUCKET_BYTES), some(TEXT_BUCKET_BYTES)
     # the shuffle of texts to shards is planned once and reused by all three readers
-    known = rows.where("doc_id is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    keys = known.groupBy("shard").applyInArrow(_send_keys(shards), "bucket int, shard int, keys binary")
+    known = rows.where("doc_id is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("int"))
+    keys = known.groupBy("shard").applyInArrow(_send_keys(key_buckets), "bucket int, shard int, keys binary")
     repeated = keys.groupBy("bucket").applyInArrow(_repeated_keys, _ANSWER_DDL)
     texts = (
         known.groupBy("shard")
         .cogroup(repeated.groupBy("shard"))
-        .applyInArrow(_send_texts(shards), "bucket int, shard int, numbers binary, keys binary, docs binary, sizes binary, texts binary")
+        .applyInArrow(_send_texts(text_buckets), "bucket int, shard int, numbers binary, keys binary, docs binary, sizes binary, texts binary")
     )
     firsts = texts.groupBy("bucket").applyInArrow(_first_of_windows, _ANSWER_DDL)
     done = (
