@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tradelens.sources.shared import shared_folder
+
+#: Blocks whose counts one window task adds up; their sums are added up one level higher.
+BLOCKS_TOGETHER = 64
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,22 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, reliably, and cut its lineage."""
-    checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,6 +40,19 @@ def blocks_for(rows: int, rows_per_block: int) -> int:
     return max(1, -(-rows // rows_per_block))
 
 
+def sums_before(sums: DataFrame, by: list[str], block: str, amount: str, out: str) -> DataFrame:
+    """(*by, block, out): the ``amount`` of all earlier blocks of ``by``, in two levels.
+
+    ``sums`` has one row a block. A window task adds up ``BLOCKS_TOGETHER`` blocks, one more the sums of those.
+    """
+    x = sums.withColumn("_above", F.floor(F.col(block) / BLOCKS_TOGETHER))
+    whole = x.groupBy(*by, "_above").agg(F.sum(amount).alias("_whole"))
+    earlier = lambda *keys: Window.partitionBy(*keys or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)
+    upper = whole.select(*by, "_above", F.coalesce(F.sum("_whole").over(earlier(*by).orderBy("_above")), F.lit(0)).alias("_upto"))
+    inside = x.withColumn("_within", F.coalesce(F.sum(amount).over(earlier(*by, "_above").orderBy(block)), F.lit(0)))
+    return inside.join(upper, [*by, "_above"]).select(*by, block, (F.col("_upto") + F.col("_within")).alias(out))
+
+
 def sheltered(docs: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` under names that no work column has, without the columns ``added``, and name -> inner name."""
     inner = {c: f"__in{k}" for k, c in enumerate(c for c in docs.columns if c not in added)}

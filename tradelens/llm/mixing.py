@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import blocks_for, cut, restored, sheltered, text_or_empty, words_of
+from tradelens.llm.common import blocks_for, cut, restored, sheltered, sums_before, text_or_empty, words_of
 
 ROWS_PER_BLOCK = 2_000
 #: Points of each bisection pass and passes: 16**6 is finer than the rounding of the exponent.
@@ -102,13 +102,14 @@ def mix_sources(
         "_source", F.floor("_rate").cast("int").alias("_full"),
         ((F.col("_rate") - F.floor("_rate")) * F.col("_total")).alias("_rest"),
     )
-    before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_tokens").over(before), F.lit(0)))
+    bases = sums.join(sums_before(sums, ["_source"], "_block", "_tokens", "_base"), ["_source", "_block"])
     ends = bases.join(plan, "_source").where("_base + _tokens > _rest and _base <= _rest")
     ends = ends.groupBy("_source").agg(F.min(F.struct("_block", "_base", "_rest")).alias("e")).select("_source", "e.*")
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
+    # equal hashes enter together: a row a hash, however many rows share it
     inside = narrow.withColumn("_block", block).join(small(ends), ["_source", "_block"])
-    running = F.sum("mix_tokens").over(Window.partitionBy("_source").orderBy("_h"))  # equal hashes together
+    inside = inside.groupBy("_source", "_base", "_rest", "_h").agg(F.sum("mix_tokens").alias("mix_tokens"))
+    running = F.sum("mix_tokens").over(Window.partitionBy("_source").orderBy("_h"))
     last = (
         inside.withColumn("_sum", F.col("_base") + running).where("_sum <= _rest").groupBy("_source").agg(F.max("_h").alias("_last"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradelens.llm.mixing import DIGITS
+from tradelens.llm.pii import IBAN_LENGTHS, KINDS
 from tradelens.llm.quality import STOP_WORDS
 
 _WORDS = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -31,7 +32,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 _SPANS = r"""
-SELECT doc_id, {k} AS ord, '{name}' AS kind, s, s + length(v) AS e, v, t FROM (
+SELECT doc_id, {k} AS ord, '{name}' AS kind, s, s + length(v) AS e, {score} + CASE WHEN regexp_matches(
+  substr(t, greatest(1, s + 1 - 40)::BIGINT, least(s, 40)::BIGINT), '(?i)(^|[^\p{L}])({context})($|[^\p{L}])') THEN 30 ELSE 0 END AS score FROM (
   SELECT doc_id, t, m[i] AS v, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
     + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
   FROM (SELECT doc_id, t, m, p, unnest(range(1, len(m) + 1)) AS i FROM (
@@ -50,32 +52,41 @@ _MOD97 = (
     "CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), "
     "lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1"
 )
-_SSN = (
-    "v[1:3] NOT IN ('000', '666') AND v[1] <> '9' AND v[5:6] <> '00' AND v[8:] <> '0000' AND regexp_matches("
-    "substr(t, greatest(1, s + 1 - 40)::BIGINT, least(s, 40)::BIGINT), "
-    r"'(?i)(^|[^\p{L}])(ssn|social security|sozialversicherung|sécurité sociale|seguridad social)($|[^\p{L}])')"
+_SSN = "v[1:3] NOT IN ('000', '666') AND v[1] <> '9' AND v[5:6] <> '00' AND v[8:] <> '0000'"
+_FITS = "CASE length(replace(v, ' ', '')) " + " ".join(
+    f"WHEN {n} THEN v[1:2] IN ({', '.join(repr(x) for x in names.split())})" for n, names in IBAN_LENGTHS.items()
+) + " ELSE false END"
+_DISTINCT = "len(list_distinct(string_split(v, '')))"
+_RANDOM = (
+    f"regexp_matches(v, '[0-9]') AND ((NOT regexp_matches(v, '[^0-9a-f]') OR NOT regexp_matches(v, '[^0-9A-F]')) AND regexp_matches(v, '[A-Fa-f]') AND {_DISTINCT} >= 9 "
+    f"OR regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND {_DISTINCT} >= 14)"
 )
+#: Kind, pattern, validator and score in hundredths; RE2 has no look-around, for which a word edge does in these tables.
 _KINDS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_aggregate(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255), 'bool_and')"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIG}) BETWEEN 9 AND 15"),
-    # no look-around here: a word edge does for the test tables
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", _SSN),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "90"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_aggregate(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255), 'bool_and')", "70"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN, "80"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIG}) BETWEEN 9 AND 15", "80"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97, f"CASE WHEN {_FITS} THEN 80 ELSE 40 END"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", _SSN, "40"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "regexp_matches(split_part(v, '.', 1), 'ImFsZyI|JhbGci|iYWxnI')", "70"),
+    ("api_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}", f"{_DISTINCT} >= 10", "60"),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?", "length(v) >= 100 OR contains(v, '-----END')", "90"),
+    ("token", r"[A-Za-z0-9_-]{20,}", _RANDOM, "40"),
 ]
+_CONTEXT = {k.name: k.context for k in KINDS}
 OP2 = (
-    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nf AS ("
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nf AS (SELECT * FROM ("
     + "UNION ALL".join(
-        _SPANS.replace("{k}", str(k)).replace("{name}", n).replace("{pat}", p).replace("{valid}", v)
-        for k, (n, p, v) in enumerate(_KINDS)
+        _SPANS.replace("{k}", str(k)).replace("{name}", n).replace("{pat}", p).replace("{valid}", v).replace("{score}", x).replace("{context}", _CONTEXT[n])
+        for k, (n, p, v, x) in enumerate(_KINDS)
     )
-    + """), a AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+    + """) WHERE ord < 4 OR score >= 60), a AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
   count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (ord < 4) AS base,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans FROM f GROUP BY doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans, string_agg(least(score, 100)::INT, ',' ORDER BY ord, s) AS scores FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN a USING (doc_id)
 """
 )
@@ -101,10 +112,11 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 OP9 = """
 WITH crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
     lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
-d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS none, encode(coalesce(text, '')) AS b, md5('42:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS none, encode(coalesce(text, '')) AS b FROM documents),
 e AS (SELECT d.*, octet_length(b)::BIGINT + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'),
     lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c // 256, steps[(xor(c % 256, x) + 1)::INT])), 4294967295)::BIGINT AS crc FROM d, crc),
-f AS (SELECT *, (row_number() OVER (PARTITION BY source, none ORDER BY h, doc_id, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source, none) AS part FROM e),
+f0 AS (SELECT *, md5(concat_ws(':', '42', doc_id, crc, size)) AS h FROM e),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source, none ORDER BY h, doc_id, crc, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source, none) AS part FROM f0),
 g AS (SELECT *, row_number() OVER (ORDER BY part, source, none, h, doc_id, crc, size) - 1 AS position, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (position * 8 // n)::INT AS shard, position - ((position * 8 // n) * n + 7) // 8 AS slot,
   NULL::INT AS grown_shard, CASE WHEN NOT none THEN source END AS source FROM g

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import blocks_for, cut
+from tradelens.llm.common import blocks_for, cut, sums_before
 
 ROWS_PER_BLOCK = 2_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -155,17 +155,17 @@ def pack(
     one by one; texts are tokenized whole. Extra columns are ignored and an empty table packs to no rows.
     """
     spark = docs.sparkSession
-    pieces = cut(tokenized_pieces(docs, capacity, end_id, path, doc_id, text, keep_ids))
+    pieces = tokenized_pieces(docs, capacity, end_id, path, doc_id, text, keep_ids)
+    pieces = cut(pieces.withColumn("place", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = best_fit_plan(histogram, capacity)
     names = ["length", "rank_from", "rank_end", "first_sequence", "each", "base"]
     plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], ", ".join(f"{n} long" for n in names))
     blocks = blocks_for(max(histogram.values(), default=0), ROWS_PER_BLOCK)
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(blocks)).cast("int")
-    spread = pieces.withColumn("block", block)
+    # pieces of one length are interchangeable: blocks come from the stored place, so that equal rows spread too
+    spread = pieces.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int"))
     sums = spread.groupBy("length", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
+    bases = sums_before(sums, ["length"], "block", "n", "rank_base")
     inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = spread.withColumn("inside", inside).join(bases, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank_base") + F.col("inside"))
