@@ -46,3 +46,24 @@ def test_copies_at_the_threshold_are_found(spark, kind):
     assert sum(pairs) >= 40
     assert {g for g in range(60) if 2 * g + 1 not in kept} == {g for g in range(60) if pairs[g]}
     assert {2 * g for g in range(60)} <= kept
+
+
+def test_family_around_the_threshold(spark, monkeypatch):
+    """Edited copies of one text, most pairs of which are near the threshold: the groups are those of brute force."""
+    from test_operators import slow_keep
+
+    r = random.Random(8)
+    base = [word(r) for _ in range(150)]
+    rows = []
+    for k in range(250):
+        copy = list(base)
+        for at in r.sample(range(150), r.randint(1, 5)):
+            copy[at] = word(r)
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_keep(rows)
+    assert 5 < len(want) < 200
+    assert {x.doc_id for x in simhash.keep_one(df).collect()} == want
+    monkeypatch.setattr(simhash, "PART_HASHES", 5_000)  # buckets in parts
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert {x.doc_id for x in simhash.keep_one(df).collect()} == want

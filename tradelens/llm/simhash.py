@@ -11,7 +11,9 @@ verified by their whole 64 bits, and each bucket gives a spanning forest of its
 copies of which 0.8 of the five-word shingles agree, and those differ in some ten bits of a shingle
 fingerprint. It searches with a fingerprint of single words, numbered by occurrence, which scattered edits
 hardly move, and with bands of least shingle hashes, whose chance depends on the similarity alone and not on
-where the edits are. Every pair found is verified by its two whole sets of five-word shingles.
+where the edits are. Links are verified by their two whole sets of five-word shingles: first those of the balls
+and of neighbours in each bucket of a band, then those of all other pairs in a bucket, where the sets lie side by
+side. Such pairs are never rows: a bucket gives one link for each two groups that it joins.
 
 Equal fingerprints are collapsed first, so groups of copies of any size add one fingerprint. A bucket's
 distinct fingerprints agree, but for one bit, outside one third; it is compared in blocks of fixed memory.
@@ -260,26 +262,26 @@ def _set_id(distinct: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, s, fp, check, bands) of every row: the id of its shingle set, the fingerprints of its words and
-    of its shingles, and the band keys (none for a text without words)."""
+    """(doc_id, s, n, fp, check, bands) of every row: id and size of its shingle set, the fingerprints of its
+    words and of its shingles, and the band keys (none for a text without words)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros((batch.num_rows, 3), np.uint64)
+            made = np.zeros((batch.num_rows, 4), np.uint64)
             bands = []
             for k, body in enumerate(batch.column(1)):
                 hashes = shingle_hashes(body.as_py(), SHINGLE)
                 distinct = np.unique(hashes)
-                made[k] = (_set_id(distinct), word_fingerprint(body.as_py()), _fingerprint_of(hashes))
+                made[k] = (_set_id(distinct), len(distinct), word_fingerprint(body.as_py()), _fingerprint_of(hashes))
                 bands.append(band_keys(distinct).view(np.int64) if len(distinct) else [])
-            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(3)]
+            columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "fp", "check", "bands"]
+                [batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "s", "n", "fp", "check", "bands"]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(signed, f"doc_id {kind}, s long, fp long, check long, bands array<long>")
+    return rows.mapInArrow(signed, f"doc_id {kind}, s long, n long, fp long, check long, bands array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,50 +302,89 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _sets(sought: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, hashes) of the set ids ``sought(s)``; only the texts that have them are read on."""
+    ids = _sized(sought.join(own.select("s", "doc_id"), "s").select("doc_id").distinct())
+    made = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "s long, hashes array<long>")
+    return made.groupBy("s").agg(F.first("hashes").alias("hashes"))
+
+
 def _verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of set ids whose shingle sets have a Jaccard similarity of SIMILAR at least."""
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sought = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    ids = _sized(sought.join(own.select("s", "doc_id"), "s").select("doc_id").distinct())
-    made = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_shingle_sets, "s long, hashes array<long>")
-    sets = made.groupBy("s").agg(F.first("hashes").alias("hashes"))  # one shuffle, which both joins read
+    sets = _sets(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), own, texts)
     end = lambda name, kept: sets.select(F.col("s").alias(name), F.col("hashes").alias(kept))
     both = pairs.hint("merge").join(end("a", "x"), "a").join(end("b", "y").hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+#: Hashes of the sets in one part of a bucket, and hashes looked up at once.
+PART_HASHES, GATHER = 4_000_000, 8_000_000
+
+
+def _cell_links(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """Links (a, b) of set ids in a cell of a bucket, one for each two groups that they join.
+
+    ``rows`` are (key, i, j, part, root, s, check, hashes). Rows of one root need no link; in a cell off the
+    diagonal only rows of different parts are compared.
+    """
+    i, j, part, root, s, check = (rows.column(k).to_numpy() for k in ("i", "j", "part", "root", "s", "check"))
+    lists = pa.concat_arrays(rows.column("hashes").chunks)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    label = np.unique(root, return_inverse=True)[1]
+    a: list[int] = []
+    b: list[int] = []
+    if label[0] == label.max() == label.min():
+        return a, b
+    ids = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
+    offsets = offsets - offsets[0]
+    size, check, mark = np.diff(offsets), check.view(np.uint64), np.zeros(len(ids), bool)
+    for p in range(len(s) - 1):
+        q = np.arange(p + 1, len(s))
+        hopeful = (label[q] != label[p]) & (np.bitwise_count(check[q] ^ check[p]) <= CHECK)
+        hopeful &= np.minimum(size[q], size[p]) >= SIMILAR * np.maximum(size[q], size[p])
+        if i[0] != j[0]:
+            hopeful &= part[q] != part[p]
+        q = q[hopeful]
+        if not len(q):
+            continue
+        mark[ids[offsets[p] : offsets[p + 1]]] = True
+        for some in np.split(q, np.flatnonzero(np.diff(np.cumsum(size[q]) // GATHER)) + 1):
+            starts = np.cumsum(size[some]) - size[some]
+            places = np.repeat(offsets[some] - starts, size[some]) + np.arange(size[some].sum())
+            common = np.add.reduceat(mark[ids[places]].astype(np.int64), starts)
+            for k in some[common >= SIMILAR * (size[p] + size[some] - common)]:
+                if label[k] != label[p]:
+                    a.append(int(s[p]))
+                    b.append(int(s[k]))
+                    label[label == label[k]] = label[p]
+        mark[ids[offsets[p] : offsets[p + 1]]] = False
+    return a, b
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, root, s, check), sorted, to pairs (a, b) in one bucket with unlike roots; reads buckets as a stream."""
-    held = np.empty((0, 4), np.int64)
-    waiting: list[np.ndarray] = []
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0], [True])))
-        for k in np.flatnonzero(rows[edge[:-1], 1] != rows[edge[1:] - 1, 1]):
-            bucket = rows[edge[k] : edge[k + 1]]
-            for i in range(0, len(bucket), BLOCK):
-                for j in range(i, len(bucket), BLOCK):
-                    x, y = bucket[i : i + BLOCK], bucket[j : j + BLOCK]
-                    near = (x[:, None, 1] < y[None, :, 1]) & (np.bitwise_count(x[:, None, 3].view(np.uint64) ^ y[None, :, 3].view(np.uint64)) <= CHECK)
-                    p, q = np.nonzero(near)
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[p, 2]), pa.array(y[q, 2])], names=["a", "b"])
+    """Sorted rows of cells to their links; cells are read as a stream."""
+    held: list[pa.RecordBatch] = []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        a, b = _cell_links(pa.Table.from_batches(held))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        waiting.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-        if waiting[0][0, 0] == waiting[-1][-1, 0]:
-            continue  # one bucket so far
-        rows = np.concatenate([held, *waiting])
-        waiting = []
-        whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
-        held = rows[whole:]
-        yield from found(rows[:whole])
-    rows = np.concatenate([held, *waiting])
-    if len(rows):
-        yield from found(rows)
+        cell = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        edge = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            rows = batch.slice(start, end - start)
+            if held and [held[0].column(k)[0] for k in range(3)] != [rows.column(k)[0] for k in range(3)]:
+                yield from found()
+                held = []
+            held.append(rows)
+    if held:
+        yield from found()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,7 +398,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     known = docs.where(F.col(f"`{doc_id}`").isNotNull())
     texts = known.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     seen = cut(signatures(known, doc_id, text))
-    own = cut(seen.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("fp", "check", "bands")).alias("v")).select("s", "doc_id", "v.*"))
+    own = cut(seen.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("fp", "check", "n", "bands")).alias("v")).select("s", "doc_id", "v.*"))
     # rows that agree in both fingerprints are one in the search, under their least set id
     least = own.groupBy("fp", "check").agg(F.min("s").alias("rep"))
     links = ball_links(least, CHECK)
@@ -365,15 +406,19 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     balls = links.join(end("a", "ac", "x"), ["a", "ac"]).join(end("b", "bc", "y"), ["b", "bc"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = own.join(least, ["fp", "check"]).where("s <> rep").select(F.col("s").alias("a"), F.col("rep").alias("b"))
     # first, neighbours in every bucket of a band: groups of any size grow together by few pairs
-    keyed = own.select("s", "check", F.explode("bands").alias("key"))
-    shared = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("key", "s", "check"))
+    keyed = own.select("s", "check", "n", F.explode("bands").alias("key"))
+    shared = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("key", "s", "check", "n"))
     before = F.lag("s").over(Window.partitionBy("key").orderBy("check", "s"))
     chain = shared.select(F.col("s").alias("a"), before.alias("b")).where("b is not null")
     roots = cut(components(_verified(balls.union(same).union(chain), own, texts)))
-    # then all pairs of a bucket that are still apart
-    rooted = shared.join(roots, shared["s"] == roots["node"], "left").select("key", F.coalesce("root", "s").alias("root"), "s", "check")
-    apart = rooted.repartition("key").sortWithinPartitions("key", "root", "s").mapInArrow(_across, "a long, b long")
-    last = cut(_verified(apart, own, texts))
+    # then all that are still apart in a bucket: big buckets are cut into parts, each two of which meet in a cell
+    rooted = cut(shared.join(roots, shared["s"] == roots["node"], "left").select("key", F.coalesce("root", "s").alias("root"), "s", "check", "n"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / PART_HASHES).cast("int").alias("parts"))
+    apart = rooted.drop("n").join(mixed.where("low <> high").select("key", "parts"), "key").withColumn("part", F.expr("cast(pmod(xxhash64(s), parts) as int)"))
+    apart = cut(apart.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)"))))
+    cells = apart.withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")}).join(_sets(apart.select("s").distinct(), own, texts), "s")
+    dealt = cells.select("key", "i", "j", "part", "root", "s", "check", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "s")
+    last = cut(dealt.mapInArrow(_across, "a long, b long").distinct())
     if not last.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
     top = own.select("s", "doc_id").join(roots.withColumnRenamed("node", "s"), "s", "left").groupBy(F.coalesce("root", "s")).agg(F.min("doc_id").alias("doc_id"))
