@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.sources.shared import shared_folder
+
+
+#: Rows of one part of a busy time bucket.
+PART_ROWS = 5_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut the lineage in the session's shared ``spark.checkpoint.dir``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -23,9 +25,15 @@ def coordinated_pairs(trades: DataFrame, window_s: int = 60, min_pairs: int = 1)
     neighbouring buckets, so the join is an equi-join. Trades are first counted by wallet and second.
     """
     x = trades.groupBy("wallet", "t").agg(F.count("*").alias("n")).withColumn("b", F.expr(f"t div {window_s}"))
-    left = x.select(F.col("wallet").alias("w1"), F.col("t").alias("t1"), F.col("n").alias("n1"), "b")
+    # the left rows of a busy bucket are dealt over parts, and the right ones meet each part
+    busy = x.groupBy("b").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    left = x.join(busy, "b", "left").select(
+        F.col("wallet").alias("w1"), F.col("t").alias("t1"), F.col("n").alias("n1"), "b", F.pmod(F.xxhash64("wallet", "t"), parts).cast("int").alias("part")
+    )
     right = x.select(F.col("wallet").alias("w2"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.explode(F.expr("array(b - 1, b, b + 1)")).alias("b"))
-    near = left.join(right, "b").where((F.col("w1") < F.col("w2")) & (F.abs(F.col("t1") - F.col("t2")) <= window_s))
+    right = right.join(busy, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    near = left.join(right, ["b", "part"]).where((F.col("w1") < F.col("w2")) & (F.abs(F.col("t1") - F.col("t2")) <= window_s))
     return near.groupBy("w1", "w2").agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs")).where(F.col("pairs") >= min_pairs)
 
 

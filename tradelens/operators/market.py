@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +48,28 @@ def window_stats(trades: DataFrame, seconds: int = HALF_HOUR) -> DataFrame:
 
 
 def baseline_z(stats: DataFrame, points: int = 168, least: int = 24) -> DataFrame:
-    """z of volume, traders and velocity against up to ``points`` earlier windows of the market; 0 below ``least``."""
-    w = Window.partitionBy("condition_id").orderBy("w").rowsBetween(-points, -1)
-    n = F.count("*").over(w)
+    """z of volume, traders and velocity against the market's last ``points`` hours; 0 below ``least`` of them.
+
+    The point of an hour is its last half hour, as ``stats`` of half-hour windows have it; hours without trades
+    are points of zero. These need no rows: a range frame sums the points there are, and their number follows
+    from the market's first hour. Sums are exact, so z does not depend on the order of rows.
+    """
+    hour, first = F.expr("w div 3600 * 3600"), Window.partitionBy("condition_id")
+    x = stats.withColumn("_hour", hour).withColumn("_first", F.min("_hour").over(first))
+    n = F.least(F.lit(points).cast("long"), F.expr("(_hour - _first) div 3600"))
+    w = Window.partitionBy("condition_id").orderBy("_hour").rangeBetween(-3600 * points, -3600)
+    last_half = c("w") - c("_hour") == HALF_HOUR
 
     def z(name: str) -> Column:
-        x = c(name).cast("double")
-        sd = F.stddev_pop(x).over(w)
-        return F.round(F.when((n >= least) & (sd > 1e-9), (x - F.avg(x).over(w)) / F.when(sd > 1e-9, sd)).otherwise(0.0), 6)
+        v = c(name).cast("decimal(18,0)")
+        point = F.when(last_half, v)
+        s, square = F.coalesce(F.sum(point).over(w), F.lit(0)), F.coalesce(F.sum(point * point).over(w), F.lit(0))
+        # n (x - mean) and n times the deviation, in whole numbers
+        spread = (c("points") * square - s * s).cast("double")
+        return F.round(F.when((c("points") >= least) & (spread > 0), (c("points") * v - s).cast("double") / F.sqrt(spread)).otherwise(0.0), 6)
 
-    return stats.withColumns({"points": n, "volume_z": z("volume_c"), "trader_z": z("traders"), "velocity_z": z("trades_per_minute")})
+    x = x.withColumn("points", n)
+    return x.withColumns({"volume_z": z("volume_c"), "trader_z": z("traders"), "velocity_z": z("trades")}).drop("_hour", "_first")
 
 
 def hourly_baseline(trades: DataFrame) -> DataFrame:
@@ -78,7 +93,8 @@ def anomaly_scores(z: DataFrame) -> DataFrame:
         capped(c("volume_z"), 3.0) + c("hhi") / 0.25 * 2.5 + capped(c("velocity_z"), 2.0) + c("whale_dominance") / 0.5 * 1.5
         + F.when(c("volume_c") > 0, (same - 0.5) / 0.5).otherwise(0.0)
     )
-    return z.withColumn("anomaly_score", F.round(score, 4))
+    # four digits, halves up in plain arithmetic: the same wherever it is computed
+    return z.withColumn("anomaly_score", F.floor(score * 10_000 + (0.5 + 1e-6)) / 10_000)
 
 
 def anomaly_level(score: Column, hhi: Column, whale: Column) -> Column:
@@ -88,14 +104,14 @@ def anomaly_level(score: Column, hhi: Column, whale: Column) -> Column:
     )
 
 
-def anomaly_alerts(scored: DataFrame, min_volume_c: int = 1_000_000, least: int = 24) -> DataFrame:
+def anomaly_alerts(scored: DataFrame, min_volume_c: int = 50_000_000, least: int = 24) -> DataFrame:
     """Windows of enough volume and history that are anomalous in score, volume and concentration."""
     hit = (c("volume_c") >= min_volume_c) & (c("points") >= least) & (c("anomaly_score") >= 7) & (c("volume_z") >= 2.5)
     out = scored.where(hit & ((c("hhi") >= 0.2) | (c("whale_dominance") >= 0.4)))
     return out.select("condition_id", "w", "anomaly_score", anomaly_level(c("anomaly_score"), c("hhi"), c("whale_dominance")).alias("alert_level"))
 
 
-def critical_trader_alerts(trades: DataFrame, critical: DataFrame, single_c: int = 1_000_000, share: float = 0.3, seconds: int = HALF_HOUR) -> DataFrame:
+def critical_trader_alerts(trades: DataFrame, critical: DataFrame, single_c: int = 5_000_000, share: float = 0.3, seconds: int = HALF_HOUR) -> DataFrame:
     x = wallet_windows(trades, seconds)
     totals = x.groupBy("condition_id", "w").agg(F.sum("v").alias("total"))
     own = x.join(critical.select("wallet"), "wallet", "left_semi").join(totals, ["condition_id", "w"])
@@ -106,14 +122,24 @@ def critical_trader_alerts(trades: DataFrame, critical: DataFrame, single_c: int
 def cooldown(alerts: DataFrame, seconds: int = 600) -> DataFrame:
     """Alerts of a market at least ``seconds`` after its last one; CRITICAL_TRADER always passes and is recorded.
 
-    ``alerts(condition_id, t, alert_level)``: sequential by nature, folded over each market's sorted alerts.
+    ``alerts(condition_id, t, alert_level)``: sequential by nature. Each task reads its markets' alerts in order
+    as a stream and holds the time of one last alert.
     """
-    lists = alerts.groupBy("condition_id").agg(F.array_sort(F.collect_list(F.struct("t", "alert_level"))).alias("xs"))
-    step = f"""(a, x) -> case when x.alert_level = 'CRITICAL_TRADER' or a.last is null or x.t - a.last >= {seconds}
-        then named_struct('last', x.t, 'kept', concat(a.kept, array(x))) else a end"""
-    zero = "named_struct('last', cast(null as bigint), 'kept', cast(array() as array<struct<t:bigint,alert_level:string>>))"
-    kept = lists.select("condition_id", F.explode(F.expr(f"aggregate(xs, {zero}, {step}, a -> a.kept)")).alias("x"))
-    return kept.select("condition_id", "x.t", "x.alert_level")
+    rows = alerts.select("condition_id", "t", "alert_level").repartition("condition_id").sortWithinPartitions("condition_id", "t", "alert_level")
+
+    def passed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        market, last = None, None
+        for frame in frames:
+            kept = []
+            for own, t, level in frame.itertuples(index=False):
+                if own != market:
+                    market, last = own, None
+                fits = level == "CRITICAL_TRADER" or last is None or t - last >= seconds
+                last = t if fits else last
+                kept.append(fits)
+            yield frame[kept]
+
+    return rows.mapInPandas(passed, rows.schema)
 
 
 def top_markets(trades: DataFrame, markets: DataFrame, top: int = 100) -> DataFrame:
@@ -123,15 +149,16 @@ def top_markets(trades: DataFrame, markets: DataFrame, top: int = 100) -> DataFr
     return volume.join(markets.where("active").select("condition_id"), "condition_id", "left_semi").orderBy(F.desc("volume_24h_c"), "condition_id").limit(top)
 
 
-def v1_metrics(trades: DataFrame, low_c: int = 500_000, high_c: int = 3_000_000, seconds: int = 3600) -> DataFrame:
-    """One-hour windows: same-side share, traders, most traders in five minutes, clamped threshold."""
+def v1_metrics(trades: DataFrame, low_c: int = 90_000_000, high_c: int = 500_000_000, seconds: int = 3600) -> DataFrame:
+    """One-hour windows: same-side share, traders, most traders in five minutes, and 2 % of the volume of the
+    24 hours that end with the window, clamped."""
     x = _bucket(trades, seconds).withColumn("five", F.expr("t div 300"))
     fine = x.groupBy("condition_id", "w", "wallet", "five").agg(F.sum("value_c").alias("v"), F.sum(F.when(c("side") == "BUY", c("value_c")).otherwise(0)).alias("buy"))
     slots = fine.groupBy("condition_id", "w", "five").agg(F.count("*").alias("together"), F.sum("v").alias("v"), F.sum("buy").alias("buy"))
     traders = fine.groupBy("condition_id", "w").agg(F.count_distinct("wallet").alias("traders"))
     out = slots.groupBy("condition_id", "w").agg(F.sum("v").alias("volume_c"), F.sum("buy").alias("buy_c"), F.max("together").alias("max_concurrent"))
-    daily = trades.groupBy("condition_id", F.expr("t div 86400").alias("day")).agg(F.sum("value_c").alias("day_c"))
-    out = out.join(traders, ["condition_id", "w"]).withColumn("day", F.expr("w div 86400")).join(daily, ["condition_id", "day"])
+    day = Window.partitionBy("condition_id").orderBy("w").rangeBetween(seconds - 86400, 0)
+    out = out.join(traders, ["condition_id", "w"]).withColumn("day_c", F.sum("volume_c").over(day))
     limit = F.greatest(F.lit(low_c), F.least(F.lit(high_c), F.expr("day_c div 50")))
     return out.select(
         "condition_id", "w", "volume_c", ratio(F.greatest(c("buy_c"), c("volume_c") - c("buy_c")), c("volume_c")).alias("same_side"), "traders",
@@ -139,8 +166,10 @@ def v1_metrics(trades: DataFrame, low_c: int = 500_000, high_c: int = 3_000_000,
     )
 
 
-def v1_alerts(trades: DataFrame, critical: DataFrame, min_c: int = 500_000, tier2_c: int = 1_500_000, tier3_c: int = 2_500_000) -> DataFrame:
-    m = v1_metrics(trades).where((c("volume_c") >= min_c) & (c("volume_c") >= c("threshold_c")))
+def v1_alerts(
+    trades: DataFrame, critical: DataFrame, min_c: int = 90_000_000, tier2_c: int = 150_000_000, tier3_c: int = 250_000_000, high_c: int = 500_000_000
+) -> DataFrame:
+    m = v1_metrics(trades, min_c, high_c).where((c("volume_c") >= min_c) & (c("volume_c") >= c("threshold_c")))
     hit = _bucket(trades, 3600).join(critical.select("wallet"), "wallet", "left_semi").select("condition_id", "w").distinct().withColumn("critical", F.lit(True))
     m = m.join(hit, ["condition_id", "w"], "left")
     one_way, together = c("same_side") > 0.7, c("max_concurrent") >= 5

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.functions.scalars import ratio, risk_category, topic
+from tradelens.functions.scalars import TOPICS, ratio, risk_category, topic
+from tradelens.operators.ranks import ranked, value_block
 
 WHALE_C, MEGA_C = 500_000, 2_500_000
 
@@ -76,7 +77,7 @@ def cross_market(trades: DataFrame) -> DataFrame:
 
 
 def category_mix(trades: DataFrame, markets: DataFrame) -> DataFrame:
-    topics = markets.select("condition_id", topic(F.concat_ws(" ", "category", "question")).alias("topic"))
+    topics = markets.select("condition_id", topic(F.concat_ws(" ", "slug", "question")).alias("topic"))
     return trades.join(topics, "condition_id").groupBy("wallet", "topic").agg(F.count("*").alias("trades"))
 
 
@@ -122,15 +123,19 @@ def volume(trades: DataFrame) -> DataFrame:
 
 
 def trader_profile(trades: DataFrame, res: DataFrame, markets: DataFrame) -> DataFrame:
-    """All behavioural metrics of a wallet.
+    """All behavioural metrics of a wallet: activity, timing, whales, markets, topics and the recent win rate.
 
     One join and one shuffle by wallet and market feed both levels of the aggregate; the recent win rate
-    needs an order and is joined on the same key.
+    needs an order and is joined on the same key. ``nested_profile`` groups the columns.
     """
-    scores = markets.select("condition_id", risk_category(F.col("question"), F.col("group_item_title"), F.col("category")).alias("score"))
+    scores = markets.select(
+        "condition_id", risk_category(F.col("question"), F.col("group_item_title"), F.col("category")).alias("score"),
+        topic(F.concat_ws(" ", "slug", "question")).alias("topic"),
+    )
     r = resolved_trades(trades, res, "left").join(scores, "condition_id", "left")
     s, known = F.greatest(F.col("secs"), F.lit(0)), F.col("closed_at") > 0
     whale = F.col("value_c") >= WHALE_C
+    early = whale & (F.col("secs") > 0) & (F.col("secs") < 3600)
     ts = F.timestamp_seconds("t")
     off = F.dayofweek(ts).isin(1, 7) | (F.hour(ts) >= 22) | (F.hour(ts) < 6)
     level1 = r.groupBy("wallet", "condition_id").agg(
@@ -139,6 +144,8 @@ def trader_profile(trades: DataFrame, res: DataFrame, markets: DataFrame) -> Dat
         F.sum(F.when(F.col("winner_idx").isNotNull(), _pnl_c())).alias("pnl_c"), F.sum(F.when(known, s)).alias("secs"),
         _count(known & (s < 3600)).alias("pre"), _count(known & (s < 600)).alias("late"), _count(whale).alias("whales"),
         _count(F.col("value_c") >= MEGA_C).alias("megas"), F.sum(F.coalesce("score", F.lit(1.0))).alias("score"), _count(off).alias("off"),
+        F.sum(F.when(known, (s * s).cast("decimal(20,0)"))).alias("square"), F.min(F.when(known, s)).alias("min_s"), F.max(F.when(known, s)).alias("max_s"),
+        _count(early).alias("early"), _count(early & F.col("win")).alias("early_wins"), F.max("topic").alias("topic"),
     )
     total = lambda c: F.sum(c).cast("long")
     level2 = level1.groupBy("wallet").agg(
@@ -149,16 +156,40 @@ def trader_profile(trades: DataFrame, res: DataFrame, markets: DataFrame) -> Dat
         ratio(total("late"), total("resolved")).alias("late_ratio"), total("whales").alias("whale_trades"),
         total("megas").alias("mega_trades"), (F.sum("score") / F.sum("n")).alias("category_score"), ratio(total("off"), total("n")).alias("off_hours_ratio"),
         F.round(ratio(F.sum("secs"), F.sum("resolved") * 3600), 6).alias("avg_hours"),
-        _count(F.col("resolved") > 0).alias("resolved_markets"),
+        _count(F.col("resolved") > 0).alias("resolved_markets"), (F.min("min_s") / 3600).alias("min_hours"), (F.max("max_s") / 3600).alias("max_hours"),
+        F.sum("square").alias("_square"), total("secs").alias("_secs"), total("early").alias("pre_resolution_whales"),
+        total("early_wins").alias("winning_pre_resolution_whales"), (F.count("*") / F.lit(5.0)).alias("diversification"),
+        *[F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)).cast("long").alias(f"topic_{k}") for k in (*TOPICS, "other")],
     )
+    n = F.col("resolved").cast("decimal(10,0)")
+    spread = (n * F.col("_square") - F.col("_secs").cast("decimal(18,0)") * F.col("_secs").cast("decimal(18,0)")).cast("double")
+    deviation = F.when(F.col("resolved") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("resolved") * (F.col("resolved") - 1).cast("double"))) / 3600)
     level2 = level2.withColumns({
         "winrate": ratio(F.col("wins"), F.col("resolved")), "avg_value_c": ratio(F.col("volume_c"), F.col("trades")),
         "whale_ratio": ratio(F.col("whale_trades"), F.col("trades")),
         "market_success_rate": ratio(F.col("winning_markets"), F.col("resolved_markets")),
-    })
+        "std_hours": F.round(F.coalesce(deviation, F.lit(0.0)), 6),
+        "pre_resolution_whale_ratio": ratio(F.col("pre_resolution_whales"), F.col("whale_trades")),
+        "winning_whale_ratio": ratio(F.col("winning_pre_resolution_whales"), F.col("whale_trades")),
+    }).drop("_square", "_secs")
     return level2.join(recent_winrate(trades, res), "wallet")
 
 
+def nested_profile(profile: DataFrame) -> DataFrame:
+    """The columns of ``trader_profile`` by subject, the topics as a map of their trades."""
+    parts = {
+        "timing": ("avg_hours", "min_hours", "max_hours", "std_hours", "pre_ratio", "late_ratio", "off_hours_ratio"),
+        "whales": ("max_value_c", "avg_value_c", "volume_c", "whale_trades", "mega_trades", "whale_ratio", "pre_resolution_whales",
+                   "winning_pre_resolution_whales", "pre_resolution_whale_ratio", "winning_whale_ratio"),
+        "multi_market": ("unique_markets", "resolved_markets", "winning_markets", "market_success_rate"),
+    }
+    topics = F.create_map(*[x for k in (*TOPICS, "other") for x in (F.lit(k), F.col(f"topic_{k}"))])
+    used = {x for names in parts.values() for x in names} | {"diversification"}
+    plain = [x for x in profile.columns if x not in used and not x.startswith("topic_")]
+    cross = F.struct("diversification", F.map_filter(topics, lambda _, v: v > 0).alias("topics")).alias("cross_market")
+    return profile.select(*plain, *[F.struct(*names).alias(k) for k, names in parts.items()], cross)
+
+
 _STATE = (
     "named_struct('qty', 0D, 'invested', 0D, 'avg', 0D, 'profit', 0D, 'wins', 0L)"
 )
@@ -225,16 +256,16 @@ def fill_count(fills: DataFrame) -> DataFrame:
     return fills.groupBy(F.col("maker").alias("wallet")).agg(F.count("*").alias("fills"))
 
 
-def leaderboard(trades: DataFrame, res: DataFrame, markets: DataFrame, month_days: int = 15) -> DataFrame:
+def leaderboard(trades: DataFrame, res: DataFrame, markets: DataFrame, month_days: int = 30) -> DataFrame:
     """Rank by resolved PnL for each category (and OVERALL) and period (MONTH: the last days, ALL)."""
-    topics = markets.select("condition_id", F.upper(topic(F.concat_ws(" ", "category", "question"))).alias("category"))
+    topics = markets.select("condition_id", F.upper(topic(F.concat_ws(" ", "slug", "question"))).alias("category"))
     r = resolved_trades(trades, res).join(topics, "condition_id")
     since = trades.select(F.max("t") - month_days * 86400).scalar()
     # each trade counts in its category and overall, and in its period and all time
     r = r.select("wallet", _pnl_c().alias("p"), "value_c", F.explode(F.array("category", F.lit("OVERALL"))).alias("category"), (F.col("t") >= since).alias("new"))
     r = r.select("wallet", "p", "value_c", "category", F.explode(F.when(F.col("new"), F.array(F.lit("ALL"), F.lit("MONTH"))).otherwise(F.array(F.lit("ALL")))).alias("period"))
     sums = r.groupBy("wallet", "category", "period").agg(F.sum("p").alias("pnl_c"), F.sum("value_c").alias("vol_c"))
-    return sums.withColumn("rank", F.rank().over(Window.partitionBy("category", "period").orderBy(F.desc("pnl_c"))))
+    return ranked(sums, ["category", "period"], value_block(F.col("pnl_c")), [F.desc("pnl_c")], "rank", ties=True)
 
 
 def elite_wallets(board: DataFrame, top: int = 20) -> DataFrame:
@@ -249,12 +280,19 @@ def market_holders(trades: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def _asof_mid(trades: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Trades with the mid of their market's last quote up to the trade's hour, in cents."""
+    """Trades with the mid of their market's last quote up to their own time, in cents.
+
+    Trades meet the quotes of their hour in a window; from earlier hours one quote a market and hour is carried.
+    """
     q = quotes.select("condition_id", "t", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), F.lit(None).cast("struct<wallet:bigint,trade_id:bigint,value_c:bigint,price_c:bigint,outcome_index:int>").alias("x"))
     x = trades.select("condition_id", "t", F.lit(None).cast("double").alias("mid"), F.struct("wallet", "trade_id", "value_c", "price_c", "outcome_index").alias("x"))
-    w = Window.partitionBy("condition_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    both = q.unionByName(x).withColumn("mid", F.last("mid", ignorenulls=True).over(w))
-    return both.where("x is not null").select("condition_id", "t", "mid", "x.*")
+    both = q.unionByName(x).withColumn("hour", F.expr("t div 3600"))
+    within = Window.partitionBy("condition_id", "hour").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("condition_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = both.groupBy("condition_id", "hour").agg(F.max_by("mid", F.when(F.col("mid").isNotNull(), F.col("t"))).alias("end"))
+    carried = hours.select("condition_id", "hour", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    both = both.withColumn("mid", F.last("mid", ignorenulls=True).over(within)).where("x is not null").join(carried, ["condition_id", "hour"])
+    return both.select("condition_id", "t", F.coalesce("mid", "carried").alias("mid"), "x.*")
 
 
 def iax_trade_edge(trades: DataFrame, res: DataFrame, quotes: DataFrame) -> DataFrame:

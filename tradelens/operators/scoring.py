@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions.scalars import ladder, ladder_below, ladder_upto, profile_type, profile_type_fast, ratio, risk_level
+from tradelens.operators.ranks import ranked, value_block
 
 c = F.col
 #: The result that scores full marks, on the log scale.
@@ -203,15 +204,16 @@ def market_priority(ids: DataFrame, markets: DataFrame, probability: Column, kee
     score = c("liquidity") * 0.5 + c("volume") * 0.3 + probability * 1e5 * 0.2
     scored = known.select("condition_id", F.round(score, 4).alias("priority"))
     n = scored.select(F.greatest(F.floor(F.count("*") * keep), F.lit(1)).cast("int").alias("n"))
-    # one row a market: a global order over a small table
-    placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "condition_id")))
+    placed = ranked(scored, [], value_block(c("priority")), [F.desc("priority"), c("condition_id")])
     return placed.where(c("place") <= n.scalar())
 
 
 def summary_table(scored: DataFrame, page: int = 25) -> DataFrame:
     order = F.when(c("level") == "CRITICAL", 0).otherwise(1)
     chosen = scored.where(c("level").isin("HIGH", "CRITICAL"))
-    out = chosen.withColumn("place", F.row_number().over(Window.orderBy(order, F.desc("pnl_c"), "wallet")))
+    # all blocks of CRITICAL wallets lie above those of HIGH ones
+    block = value_block(c("pnl_c")) - order * F.lit(10**6)
+    out = ranked(chosen, [], block, [order, F.desc("pnl_c"), c("wallet")])
     return out.select("wallet", "level", "pnl_c", "place", F.expr(f"cast((place - 1) div {page} as bigint)").alias("page"))
 
 

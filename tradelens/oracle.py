@@ -15,7 +15,7 @@ def _cases(cases: list[tuple[tuple[str, ...], object]], text: str, default: obje
 
 _RISK = _cases([((k,), v) for k, v in RISK_CATEGORY.items()], "lower(concat_ws(' ', question, '', category))", 1.0)
 _INSIDER = _cases([((k,), v) for k, v in INSIDER_PROBABILITY.items()], "lower(category)", 0.5)
-_TOPIC = _cases([(w, n) for n, w in TOPICS.items()], "lower(category || ' ' || question)", "other")
+_TOPIC = _cases([(w, n) for n, w in TOPICS.items()], "lower(slug || ' ' || question)", "other")
 
 #: Input tables, shared by all queries.
 BASE = f"""
@@ -27,18 +27,17 @@ trades AS (SELECT *, size * price_c AS value_c FROM (SELECT event_id AS trade_id
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS condition_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events))),
 markets AS (SELECT CAST(p_partkey AS INT) AS condition_id, p_name AS question, '' AS group_item_title,
   CASE p_type WHEN 'PROMO' THEN 'tech' WHEN 'ECONOMY' THEN 'economy' WHEN 'LARGE' THEN 'politics'
-    WHEN 'MEDIUM' THEN 'sports' WHEN 'SMALL' THEN 'crypto' ELSE 'other' END AS category, '' AS slug,
+    WHEN 'MEDIUM' THEN 'sports' WHEN 'SMALL' THEN 'crypto' ELSE 'other' END AS category, lower(p_type) || '-' || p_partkey AS slug,
   CAST(round(p_retailprice * p_size * 4) AS BIGINT) AS liquidity, CAST(round(p_retailprice * p_size * 4) AS BIGINT) // 2 AS volume,
   p_partkey % 5 = 0 AS active, p_partkey % 5 <> 0 AS closed, CAST(p_size % 2 AS INT) AS winner, p_partkey,
   {DAY0} + ((p_partkey * 7) % 29 + 1) * 86400 AS closed_at, {DAY0} + (p_partkey % 10) * 86400 AS created_t
-  FROM part WHERE p_partkey < 100),
+  FROM part),
 resolutions AS (SELECT condition_id, winner AS winner_idx, closed_at FROM markets WHERE closed),
 fills AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, user_id AS maker, (user_id * 31 + 7) % n AS taker FROM events, nw),
 transfers AS (SELECT (o_orderkey * 1103) % 2592000 AS block, (o_orderkey * 7 + 3) % (n // 5) AS from_wallet, o_custkey % n AS to_wallet,
   CAST(round(o_totalprice * 100) AS BIGINT) AS value_c, o_orderkey AS transfer_id, {DAY0} + (o_orderkey * 1103) % 2592000 AS t FROM orders, nw),
 price_history AS (SELECT condition_id, t // 3600 * 3600 AS t, arg_max(price_c, trade_id) AS p FROM trades GROUP BY 1, t // 3600 * 3600),
 quotes AS (SELECT condition_id, t // 3600 * 3600 AS t, min(price_c) AS bid, max(price_c) AS ask FROM trades GROUP BY 1, t // 3600 * 3600),
-busy AS (SELECT * REPLACE (condition_id % 5 AS condition_id) FROM trades),
 as_of AS (SELECT max(t) + 86400 AS now FROM trades),
 contracts AS (SELECT DISTINCT wallet FROM trades WHERE wallet % 17 = 0),
 resolved AS (SELECT trades.*, winner_idx, closed_at, outcome_index = winner_idx AS win, closed_at - t AS secs,
@@ -56,18 +55,25 @@ PARTS = {
     "prof1": f"""prof1 AS (SELECT wallet, condition_id, count(*) AS n, sum(value_c) AS v, max(value_c) AS max_v, min(t) AS t0, max(t) AS t1,
   count(winner_idx) AS resolved, count(*) FILTER (win) AS wins, sum(gain) FILTER (winner_idx IS NOT NULL) AS pnl_c,
   sum(greatest(secs, 0)) FILTER (winner_idx IS NOT NULL) AS secs, count(*) FILTER (secs < 3600) AS pre, count(*) FILTER (secs < 600) AS late,
-  count(*) FILTER (value_c >= 500000) AS whales, count(*) FILTER (value_c >= 2500000) AS megas, sum(coalesce(score, 1.0)) AS score,
+  count(*) FILTER (value_c >= 500000) AS whales, count(*) FILTER (value_c >= 2500000) AS megas, sum(coalesce(score, 1.0)) AS score, any_value(topic) AS topic,
+  min(greatest(secs, 0)) FILTER (winner_idx IS NOT NULL) AS min_s, max(greatest(secs, 0)) FILTER (winner_idx IS NOT NULL) AS max_s,
+  count(*) FILTER (value_c >= 500000 AND secs > 0 AND secs < 3600) AS early, count(*) FILTER (value_c >= 500000 AND secs > 0 AND secs < 3600 AND win) AS early_wins,
   count(*) FILTER (dayofweek(to_timestamp(t)) IN (0, 6) OR hour(to_timestamp(t)) >= 22 OR hour(to_timestamp(t)) < 6) AS off
-  FROM maybe LEFT JOIN (SELECT condition_id, {_RISK} AS score FROM markets) USING (condition_id) GROUP BY 1, 2)""",
+  FROM maybe LEFT JOIN (SELECT condition_id, {_RISK} AS score, {_TOPIC} AS topic FROM markets) USING (condition_id) GROUP BY 1, 2)""",
     "profile": """profile AS (SELECT *, coalesce(wins / nullif(resolved, 0), 0)::DOUBLE AS winrate, volume_c / trades AS avg_value_c,
+  coalesce(pre_resolution_whales / nullif(whale_trades, 0), 0)::DOUBLE AS pre_resolution_whale_ratio, coalesce(winning_pre_resolution_whales / nullif(whale_trades, 0), 0)::DOUBLE AS winning_whale_ratio,
   whale_trades / trades AS whale_ratio, coalesce(winning_markets / nullif(resolved_markets, 0), 0)::DOUBLE AS market_success_rate
   FROM (SELECT wallet, sum(n)::BIGINT AS trades, sum(v)::BIGINT AS volume_c, max(max_v) AS max_value_c, min(t0) AS first_t, max(t1) AS last_t,
     count(*) AS unique_markets, count(*) FILTER (wins > 0) AS winning_markets, sum(resolved)::BIGINT AS resolved, sum(wins)::BIGINT AS wins,
     coalesce(sum(pnl_c), 0)::BIGINT AS pnl_c, coalesce(max(v) / nullif(sum(v), 0), 0)::DOUBLE AS max_market_share,
     coalesce(sum(pre) / nullif(sum(resolved), 0), 0)::DOUBLE AS pre_ratio, coalesce(sum(late) / nullif(sum(resolved), 0), 0)::DOUBLE AS late_ratio,
     sum(whales)::BIGINT AS whale_trades, sum(megas)::BIGINT AS mega_trades, sum(score) / sum(n) AS category_score, sum(off) / sum(n) AS off_hours_ratio,
-    round(coalesce(sum(secs) / nullif(sum(resolved) * 3600, 0), 0)::DOUBLE, 6) AS avg_hours, count(*) FILTER (resolved > 0) AS resolved_markets
-    FROM prof1 GROUP BY 1) JOIN recent USING (wallet))""",
+    round(coalesce(sum(secs) / nullif(sum(resolved) * 3600, 0), 0)::DOUBLE, 6) AS avg_hours, count(*) FILTER (resolved > 0) AS resolved_markets,
+    min(min_s) / 3600 AS min_hours, max(max_s) / 3600 AS max_hours, sum(early)::BIGINT AS pre_resolution_whales, sum(early_wins)::BIGINT AS winning_pre_resolution_whales,
+    count(*) / 5.0::DOUBLE AS diversification,
+    """ + ", ".join(f"coalesce(sum(n) FILTER (topic = '{k}'), 0)::BIGINT AS topic_{k}" for k in (*TOPICS, "other")) + """
+    FROM prof1 GROUP BY 1) JOIN recent USING (wallet)
+    JOIN (SELECT wallet, round(coalesce(stddev_samp(greatest(secs, 0) / 3600) FILTER (winner_idx IS NOT NULL), 0), 6) AS std_hours FROM maybe GROUP BY 1) USING (wallet))""",
     "pairs": """sec AS (SELECT wallet, t, count(*) AS n FROM trades GROUP BY 1, 2),
 pairs AS (SELECT a.wallet AS w1, b.wallet AS w2, sum(a.n * b.n)::BIGINT AS pairs FROM sec a JOIN sec b
   ON b.t BETWEEN a.t - 60 AND a.t + 60 AND a.wallet < b.wallet GROUP BY 1, 2)""",
@@ -111,6 +117,7 @@ board1 AS (SELECT wallet, gain, value_c, new, unnest([topic, 'OVERALL']) AS cate
 board2 AS (SELECT wallet, gain, value_c, category, unnest(CASE WHEN new THEN ['ALL', 'MONTH'] ELSE ['ALL'] END) AS period FROM board1),
 board AS (SELECT *, rank() OVER (PARTITION BY category, period ORDER BY pnl_c DESC)::INT AS rank FROM (
   SELECT wallet, category, period, sum(gain)::BIGINT AS pnl_c, sum(value_c)::BIGINT AS vol_c FROM board2 GROUP BY ALL))""",
+    "elite": "elite AS (SELECT DISTINCT wallet FROM board WHERE category IN ('OVERALL', 'POLITICS', 'CRYPTO') AND rank <= 20)",
     "positions": """positions AS (SELECT wallet, condition_id, outcome_index, size, paid_c / bought AS avg_price_c, cur_price_c, size * cur_price_c AS current_value_c,
   round(size * (cur_price_c - paid_c / bought), 2) AS total_pnl_c FROM (
   SELECT wallet, condition_id, outcome_index, sum(CASE side WHEN 'BUY' THEN size ELSE -size END)::BIGINT AS size,
@@ -146,23 +153,28 @@ cost AS (SELECT walk.wallet, walk.condition_id, s.n, s.volume_c, profit, wins FR
     "iax": """iax AS (SELECT wallet, round(sum(edge * conviction * obscurity * urgency) / sqrt(count(*)), 6) AS iax_score, round(sum(edge), 6) AS total_edge,
   round(avg(conviction), 6) AS avg_conviction, round(avg(obscurity), 6) AS avg_obscurity, round(avg(urgency), 6) AS avg_urgency FROM edges GROUP BY 1)""",
     "stats": """ww AS (SELECT condition_id, t // 1800 * 1800 AS w, wallet, sum(value_c)::BIGINT AS v, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS buy, count(*) AS n, max(value_c) AS max_v
-  FROM busy GROUP BY 1, t // 1800 * 1800, 3),
+  FROM trades GROUP BY 1, t // 1800 * 1800, 3),
 wr AS (SELECT *, row_number() OVER (PARTITION BY condition_id, w ORDER BY v, wallet) AS up, row_number() OVER (PARTITION BY condition_id, w ORDER BY v DESC, wallet) AS down FROM ww),
 stats AS (SELECT condition_id, w, sum(v)::BIGINT AS volume_c, sum(buy)::BIGINT AS buy_c, (sum(v) - sum(buy))::BIGINT AS sell_c, count(*) AS traders, sum(n)::BIGINT AS trades,
   round(sum(v::DOUBLE * v) / (sum(v)::DOUBLE * sum(v)), 6) AS hhi, round(2.0 * sum(up * v)::DOUBLE / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) AS gini,
   (sum(v) FILTER (down <= 3))::DOUBLE / sum(v)::DOUBLE AS whale_dominance, sum(n)::DOUBLE / 30 AS trades_per_minute FROM wr GROUP BY 1, 2)""",
-    "zs": """zs AS (SELECT *, count(*) OVER f AS points,
-  round(CASE WHEN count(*) OVER f >= 24 AND stddev_pop(volume_c::DOUBLE) OVER f > 1e-9 THEN (volume_c - avg(volume_c::DOUBLE) OVER f) / stddev_pop(volume_c::DOUBLE) OVER f ELSE 0 END, 6) AS volume_z,
-  round(CASE WHEN count(*) OVER f >= 24 AND stddev_pop(traders::DOUBLE) OVER f > 1e-9 THEN (traders - avg(traders::DOUBLE) OVER f) / stddev_pop(traders::DOUBLE) OVER f ELSE 0 END, 6) AS trader_z,
-  round(CASE WHEN count(*) OVER f >= 24 AND stddev_pop(trades_per_minute) OVER f > 1e-9 THEN (trades_per_minute - avg(trades_per_minute) OVER f) / stddev_pop(trades_per_minute) OVER f ELSE 0 END, 6) AS velocity_z
-  FROM stats WINDOW f AS (PARTITION BY condition_id ORDER BY w ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))""",
-    "anom": """anom AS (SELECT *, round(least(abs(volume_z) / 3.0, 1.0) * 3.0 + hhi / 0.25 * 2.5 + least(abs(velocity_z) / 3.0, 1.0) * 2.0 + whale_dominance / 0.5 * 1.5
-  + (greatest(buy_c, sell_c) / volume_c - 0.5) / 0.5, 4) AS anomaly_score FROM zs)""",
-    "v1m": """five AS (SELECT condition_id, t // 3600 * 3600 AS w, t // 300 AS five, count(DISTINCT wallet) AS together FROM busy GROUP BY 1, t // 3600 * 3600, t // 300),
+    # one row for every hour of a market; an hour's point is its last half hour, zero without trades
+    "zs": """span AS (SELECT condition_id, unnest(range(min(w) // 3600 * 3600, max(w) // 3600 * 3600 + 1, 3600)) AS h FROM stats GROUP BY 1),
+dense AS (SELECT span.condition_id, h, coalesce(volume_c, 0)::HUGEINT AS v, coalesce(traders, 0)::HUGEINT AS u, coalesce(trades, 0)::HUGEINT AS n
+  FROM span LEFT JOIN stats ON stats.condition_id = span.condition_id AND stats.w = h + 1800),
+base AS (SELECT condition_id, h, count(*) OVER f AS k, sum(v) OVER f AS v1, sum(v * v) OVER f AS v2, sum(u) OVER f AS u1, sum(u * u) OVER f AS u2, sum(n) OVER f AS n1, sum(n * n) OVER f AS n2
+  FROM dense WINDOW f AS (PARTITION BY condition_id ORDER BY h ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)),
+zs AS (SELECT stats.*, k AS points,
+  round(CASE WHEN k >= 24 AND k * v2 - v1 * v1 > 0 THEN (k * volume_c - v1)::DOUBLE / sqrt((k * v2 - v1 * v1)::DOUBLE) ELSE 0 END, 6) AS volume_z,
+  round(CASE WHEN k >= 24 AND k * u2 - u1 * u1 > 0 THEN (k * traders - u1)::DOUBLE / sqrt((k * u2 - u1 * u1)::DOUBLE) ELSE 0 END, 6) AS trader_z,
+  round(CASE WHEN k >= 24 AND k * n2 - n1 * n1 > 0 THEN (k * trades - n1)::DOUBLE / sqrt((k * n2 - n1 * n1)::DOUBLE) ELSE 0 END, 6) AS velocity_z
+  FROM stats JOIN base ON base.condition_id = stats.condition_id AND base.h = stats.w // 3600 * 3600)""",
+    "anom": """anom AS (SELECT *, floor(10000 * (least(abs(volume_z) / 3.0, 1.0) * 3.0 + hhi / 0.25 * 2.5 + least(abs(velocity_z) / 3.0, 1.0) * 2.0 + whale_dominance / 0.5 * 1.5
+  + (greatest(buy_c, sell_c) / volume_c - 0.5) / 0.5) + (0.5 + 1e-6)) / 10000 AS anomaly_score FROM zs)""",
+    "v1m": """five AS (SELECT condition_id, t // 3600 * 3600 AS w, t // 300 AS five, count(DISTINCT wallet) AS together FROM trades GROUP BY 1, t // 3600 * 3600, t // 300),
 v1m AS (SELECT a.condition_id, a.w, volume_c, greatest(buy_c, volume_c - buy_c) / volume_c AS same_side, traders, max_concurrent, greatest(500000, least(3000000, day_c // 50))::BIGINT AS threshold_c
-  FROM (SELECT condition_id, t // 3600 * 3600 AS w, sum(value_c)::BIGINT AS volume_c, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS buy_c, count(DISTINCT wallet) AS traders FROM busy GROUP BY 1, t // 3600 * 3600) a
-  JOIN (SELECT condition_id, w, max(together) AS max_concurrent FROM five GROUP BY 1, 2) b ON a.condition_id = b.condition_id AND a.w = b.w
-  JOIN (SELECT condition_id, t // 86400 AS day, sum(value_c)::BIGINT AS day_c FROM busy GROUP BY 1, t // 86400) d ON d.condition_id = a.condition_id AND d.day = a.w // 86400)""",
+  FROM (SELECT *, sum(volume_c) OVER (PARTITION BY condition_id ORDER BY w RANGE BETWEEN 82800 PRECEDING AND CURRENT ROW) AS day_c FROM (SELECT condition_id, t // 3600 * 3600 AS w, sum(value_c)::BIGINT AS volume_c, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS buy_c, count(DISTINCT wallet) AS traders FROM trades GROUP BY 1, t // 3600 * 3600)) a
+  JOIN (SELECT condition_id, w, max(together) AS max_concurrent FROM five GROUP BY 1, 2) b ON a.condition_id = b.condition_id AND a.w = b.w)""",
     "cand": """look AS (SELECT condition_id, t, p, max(p) OVER f AS hi, min(p) OVER f AS lo, arg_max(t, p::BIGINT * 10000000000 - t) OVER f AS hi_t, arg_min(t, p::BIGINT * 10000000000 + t) OVER f AS lo_t
   FROM price_history WHERE p > 0 WINDOW f AS (PARTITION BY condition_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING)),
 cand AS (SELECT condition_id, t AS start_t, CASE WHEN (hi - p) / p >= 0.5 THEN hi_t ELSE lo_t END AS end_t, CASE WHEN (hi - p) / p >= 0.5 THEN 'up' ELSE 'down' END AS direction,
@@ -201,9 +213,9 @@ _STORED = f"(SELECT wallet, max(t) AS mark FROM trades WHERE t < {DAY0 + 15 * 86
 SQL: dict[str, str] = {
     "wallet_risk": f"SELECT wallet, risk_score, {_LEVEL.format(x='risk_score')} AS level FROM scored",
     "src_trades": f"SELECT {_T} FROM trades WHERE wallet = 3 AND t >= {DAY0 + 86400} AND t <= {DAY0 + 20 * 86400} AND size >= 1000 ORDER BY t DESC, trade_id DESC LIMIT 100 OFFSET 5",
-    "src_full_history": f"SELECT {_T} FROM trades QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 30",
-    "src_histories_batch": f"SELECT {_T} FROM trades WHERE size >= 2000 AND wallet % 3 = 0 QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 40",
-    "src_incremental_trades": f"SELECT {_T} FROM trades LEFT JOIN {_STORED} USING (wallet) WHERE wallet % 2 <> 0 OR mark IS NULL OR t > mark",
+    "src_full_history": f"SELECT {_T} FROM trades QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 10000",
+    "src_histories_batch": f"SELECT {_T} FROM trades WHERE wallet IN (SELECT wallet FROM elite) QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 500",
+    "src_incremental_trades": f"SELECT {_T} FROM trades LEFT JOIN {_STORED} USING (wallet) WHERE mark IS NULL OR t > mark",
     "src_large_trades": f"SELECT {_T} FROM trades WHERE size >= 10000",
     "src_market_window_trades": f"SELECT {_T} FROM trades WHERE condition_id = 7 AND t BETWEEN {DAY0} AND {DAY0 + 9 * 86400}",
     "src_markets": "SELECT condition_id, question, category, closed FROM markets WHERE closed",
@@ -212,7 +224,7 @@ SQL: dict[str, str] = {
     "src_events_by_status": "SELECT category, count(*) AS markets FROM markets WHERE active GROUP BY 1",
     "src_fills_for_trader": f"SELECT * FROM (SELECT * FROM fills WHERE maker = 5 UNION ALL SELECT * FROM fills WHERE taker = 5) WHERE t BETWEEN {DAY0} AND {DAY0 + 25 * 86400} ORDER BY t DESC, event_id DESC LIMIT 200",
     "src_recent_fills": "SELECT (event_id % 100)::VARCHAR AS condition_key, maker AS wallet, t, '0.5' AS price, 'BUY' AS side, event_id FROM fills ORDER BY t DESC, event_id DESC LIMIT 50",
-    "src_user_positions_batch": "SELECT wallet, condition_id, outcome_index, current_value_c FROM positions WHERE wallet % 3 = 0 QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY current_value_c DESC, condition_id, outcome_index) <= 10",
+    "src_user_positions_batch": "SELECT wallet, condition_id, outcome_index, current_value_c FROM positions WHERE wallet IN (SELECT wallet FROM elite) QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY current_value_c DESC, condition_id, outcome_index) <= 1000",
     "src_payouts_batch": "SELECT condition_id, CASE winner_idx WHEN 0 THEN '1,0' WHEN 1 THEN '0,1' END AS payouts FROM markets LEFT JOIN resolutions USING (condition_id)",
     "src_redemptions": "SELECT wallet, condition_id, r.closed_at AS t, size FROM positions JOIN resolutions r USING (condition_id) WHERE outcome_index = winner_idx AND wallet = 5 ORDER BY t DESC, condition_id LIMIT 20",
     "src_price_history": "SELECT * FROM price_history",
@@ -221,7 +233,7 @@ SQL: dict[str, str] = {
     "collect_markets": "SELECT condition_id, unnest(['all', category]) AS _tag FROM markets WHERE active",
     "distinct_traders": "SELECT DISTINCT wallet FROM trades",
     "count_trades": "SELECT count(*) AS trades FROM trades",
-    "collect_histories_antijoin": "SELECT trade_id, wallet AS trader_address, t FROM trades WHERE wallet % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 20",
+    "collect_histories_antijoin": "SELECT trade_id, wallet AS trader_address, t FROM trades WHERE wallet NOT IN (SELECT wallet FROM elite) QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) <= 500",
     "trade_value": "SELECT trade_id, value_c FROM trades",
     "epoch_normalise": "SELECT trade_id, t FROM trades",
     "address_normalise": "SELECT DISTINCT wallet, '0xab' || lpad(wallet::VARCHAR, 8, 'c') AS address FROM trades",
@@ -243,7 +255,7 @@ SQL: dict[str, str] = {
     "coordinated_pairs": "SELECT * FROM pairs WHERE pairs >= 2",
     "profile_leaderboard_join": "SELECT wallet, coalesce(b.pnl_c, p.pnl_c) AS pnl_c, rank FROM (SELECT wallet, sum(gain)::BIGINT AS pnl_c FROM resolved GROUP BY 1) p LEFT JOIN (SELECT * FROM board WHERE category = 'OVERALL' AND period = 'MONTH') b USING (wallet)",
     "critical_wallet_semi": "SELECT trade_id, wallet FROM trades WHERE wallet IN (SELECT wallet FROM critical)",
-    "new_wallets_anti": "SELECT DISTINCT taker AS wallet FROM fills WHERE taker NOT IN (SELECT wallet FROM trades WHERE wallet % 3 = 0)",
+    "new_wallets_anti": f"SELECT DISTINCT taker AS wallet FROM fills WHERE taker NOT IN (SELECT wallet FROM trades WHERE t < {DAY0 + 86400})",
     "hybrid_override_merge": "SELECT wallet, CASE WHEN pnl_c > 0 THEN pnl_c ELSE volume_c END AS amount FROM (SELECT wallet, sum(value_c)::BIGINT AS volume_c FROM trades GROUP BY 1) LEFT JOIN (SELECT wallet, sum(gain)::BIGINT AS pnl_c FROM resolved GROUP BY 1) USING (wallet)",
     "funding_join": "SELECT wallet, trades, source, block FROM (SELECT wallet, count(*) AS trades FROM trades GROUP BY 1) LEFT JOIN first_f USING (wallet)",
     "missing_ids_anti": "SELECT DISTINCT condition_id FROM trades WHERE condition_id NOT IN (SELECT condition_id FROM resolutions)",
@@ -279,7 +291,7 @@ SQL: dict[str, str] = {
     "markets_traded": "SELECT wallet, count(DISTINCT condition_id) AS markets_traded FROM trades GROUP BY 1",
     "trader_fill_count": "SELECT maker AS wallet, count(*) AS fills FROM fills GROUP BY 1",
     "leaderboard": "SELECT * FROM board",
-    "elite_wallets": "SELECT DISTINCT wallet FROM board WHERE category IN ('OVERALL', 'POLITICS', 'CRYPTO') AND rank <= 20",
+    "elite_wallets": "SELECT * FROM elite",
     "market_holders": "SELECT * FROM (SELECT condition_id, wallet, net, row_number() OVER (PARTITION BY condition_id ORDER BY net DESC, wallet)::INT AS place FROM (SELECT condition_id, wallet, sum(CASE side WHEN 'BUY' THEN size ELSE -size END)::BIGINT AS net FROM trades GROUP BY 1, 2) WHERE net > 0) WHERE place <= 10",
     "iax_trade_edge": "SELECT trade_id, round(edge, 6) AS edge, round(conviction, 6) AS conviction, round(obscurity, 6) AS obscurity, round(urgency, 6) AS urgency, round(edge * conviction * obscurity * urgency, 6) AS te FROM edges",
     "iax_wallet": "SELECT *, CASE WHEN iax_score > 15 THEN 'CRITICAL' WHEN iax_score >= 10 THEN 'HIGH' WHEN iax_score >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS iax_level FROM iax",
@@ -319,7 +331,7 @@ SQL: dict[str, str] = {
     "whale_dominance": "SELECT condition_id, w, whale_dominance FROM stats",
     "trades_per_minute": "SELECT condition_id, w, trades_per_minute FROM stats",
     "market_baseline_z": "SELECT condition_id, w, points, volume_z, trader_z, velocity_z FROM zs",
-    "anomaly_score": "SELECT condition_id, w, round(anomaly_score, 3) AS anomaly_score FROM anom",
+    "anomaly_score": "SELECT condition_id, w, anomaly_score FROM anom",
     "anomaly_alerts": "SELECT condition_id, w FROM anom WHERE volume_c >= 1000000 AND points >= 24 AND anomaly_score >= 7 AND volume_z >= 2.5 AND (hhi >= 0.2 OR whale_dominance >= 0.4)",
     "anomaly_level": "SELECT condition_id, w, CASE WHEN anomaly_score >= 9 THEN 'CRITICAL_ANOMALY' WHEN anomaly_score >= 8 AND (hhi >= 0.3 OR whale_dominance >= 0.6) THEN 'HIGH_CONCENTRATION' WHEN anomaly_score >= 7.5 THEN 'MODERATE_ANOMALY' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM anom WHERE anomaly_score >= 6",
     "critical_trader_alerts": """SELECT condition_id, w, count(*) AS critical_wallets, max(max_v) AS largest_c FROM ww JOIN (SELECT condition_id, w, sum(v) AS total FROM ww GROUP BY 1, 2) USING (condition_id, w)
@@ -329,17 +341,17 @@ SQL: dict[str, str] = {
     "v1_window_metrics": "SELECT * FROM v1m",
     "v1_alert_level": """SELECT condition_id, w, volume_c, CASE WHEN hit THEN 'CRITICAL_TRADER' WHEN same_side > 0.7 AND max_concurrent >= 5 THEN 'COORDINATED_DIRECTIONAL' WHEN same_side > 0.7 THEN 'DIRECTIONAL_SPIKE' WHEN max_concurrent >= 5 THEN 'COORDINATED_ACTIVITY'
       WHEN volume_c >= 2500000 THEN 'CRITICAL_VOLUME' WHEN volume_c >= 1500000 THEN 'HIGH_VOLUME' ELSE 'VOLUME_SPIKE' END AS alert_level FROM v1m LEFT JOIN (
-      SELECT DISTINCT condition_id, t // 3600 * 3600 AS w, true AS hit FROM busy WHERE wallet IN (SELECT wallet FROM critical)) USING (condition_id, w) WHERE volume_c >= 500000 AND volume_c >= threshold_c""",
+      SELECT DISTINCT condition_id, t // 3600 * 3600 AS w, true AS hit FROM trades WHERE wallet IN (SELECT wallet FROM critical)) USING (condition_id, w) WHERE volume_c >= 500000 AND volume_c >= threshold_c""",
     "hourly_market_baseline": """SELECT condition_id, w AS hour_t, sum(v)::BIGINT AS volume_c, count(*) AS traders, round(sum(v::DOUBLE * v) / (sum(v)::DOUBLE * sum(v)), 6) AS hhi, sum(n)::DOUBLE / 60 AS trades_per_minute,
-      hour(to_timestamp(w))::INT AS hour, dayofweek(to_timestamp(w))::INT AS day FROM (SELECT condition_id, t // 3600 * 3600 AS w, wallet, sum(value_c)::BIGINT AS v, count(*) AS n FROM busy GROUP BY 1, t // 3600 * 3600, 3) GROUP BY 1, 2""",
+      hour(to_timestamp(w))::INT AS hour, dayofweek(to_timestamp(w))::INT AS day FROM (SELECT condition_id, t // 3600 * 3600 AS w, wallet, sum(value_c)::BIGINT AS v, count(*) AS n FROM trades GROUP BY 1, t // 3600 * 3600, 3) GROUP BY 1, 2""",
     "hourly_volume_dense": """SELECT condition_id, w, coalesce(volume_c, 0)::BIGINT AS volume_c FROM (SELECT condition_id, unnest(range(min(t) // 3600 * 3600, max(t) // 3600 * 3600 + 1, 3600)) AS w FROM trades GROUP BY 1)
       LEFT JOIN (SELECT condition_id, t // 3600 * 3600 AS w, sum(value_c) AS volume_c FROM trades GROUP BY 1, t // 3600 * 3600) USING (condition_id, w)""",
-    "pump_dump_pattern": """SELECT * FROM (SELECT condition_id, t // 1800 * 1800 AS w, side, count(DISTINCT wallet) AS wallets, arg_min(price_c, t * 1000000000 + trade_id) AS first_c, arg_max(price_c, t * 1000000000 + trade_id) AS last_c
-      FROM busy GROUP BY 1, t // 1800 * 1800, 3) WHERE wallets >= 2 AND abs(last_c - first_c) / first_c > 0.05""",
+    "pump_dump_pattern": """SELECT * FROM (SELECT condition_id, t // 3600 * 3600 AS w, side, count(DISTINCT wallet) AS wallets, arg_min(price_c, t * 1000000000 + trade_id) AS first_c, arg_max(price_c, t * 1000000000 + trade_id) AS last_c
+      FROM trades GROUP BY 1, t // 3600 * 3600, 3) WHERE wallets >= 2 AND abs(last_c - first_c) / first_c > 0.01""",
     "wash_trading": """SELECT condition_id, wallet, w, bought + sold AS gross, abs(bought - sold) AS net FROM (SELECT condition_id, wallet, t // 86400 * 86400 AS w, sum(CASE side WHEN 'BUY' THEN size ELSE 0 END)::BIGINT AS bought,
-      sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::BIGINT AS sold, min(price_c) AS low, max(price_c) AS high FROM busy GROUP BY 1, 2, t // 86400 * 86400)
+      sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::BIGINT AS sold, min(price_c) AS low, max(price_c) AS high FROM trades GROUP BY 1, 2, t // 86400 * 86400)
       WHERE bought > 0 AND sold > 0 AND bought + sold >= 10000 AND abs(bought - sold) / (bought + sold) <= 0.1 AND (high - low) / low <= 0.2""",
-    "sybil_sync": """SELECT * FROM (SELECT cluster_id, condition_id, side, t // 3600 * 3600 AS w, count(DISTINCT wallet) AS wallets, round(stddev_pop(busy.size) / avg(busy.size), 6) AS size_cv FROM busy JOIN comp USING (wallet) GROUP BY 1, 2, 3, t // 3600 * 3600)
+    "sybil_sync": """SELECT * FROM (SELECT cluster_id, condition_id, side, t // 3600 * 3600 AS w, count(DISTINCT wallet) AS wallets, round(stddev_pop(trades.size) / avg(trades.size), 6) AS size_cv FROM trades JOIN comp USING (wallet) GROUP BY 1, 2, 3, t // 3600 * 3600)
       WHERE wallets >= 2 AND size_cv <= 0.5""",
     "price_jump_candidates": "SELECT * REPLACE (round(magnitude, 6) AS magnitude) FROM cand",
     "price_jumps": "SELECT * REPLACE (round(magnitude, 6) AS magnitude) FROM jumps",
@@ -358,22 +370,40 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'outcome_index', count(DISTINCT outcome_index), false FROM trades UNION ALL SELECT 'market', count(DISTINCT condition_id), true FROM trades)""",
 }
 
+# closed windows only: the last watermark is ten minutes before the last trade
+_WINDOWS = """SELECT condition_id, w, sum(v)::BIGINT AS volume_c, sum(b)::BIGINT AS buy_c, (sum(v) - sum(b))::BIGINT AS sell_c, count(*) AS traders, sum(n)::BIGINT AS trades,
+      round(sum(v::DOUBLE * v) / (sum(v)::DOUBLE * sum(v)), 6) AS hhi, round(2.0 * sum(up * v)::DOUBLE / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) AS gini,
+      (sum(v) FILTER (down <= 3))::DOUBLE / sum(v)::DOUBLE AS whale_dominance FROM (SELECT *, row_number() OVER (PARTITION BY condition_id, w ORDER BY v, wallet) AS up,
+      row_number() OVER (PARTITION BY condition_id, w ORDER BY v DESC, wallet) AS down FROM (
+      SELECT condition_id, w, wallet, sum(value_c)::BIGINT AS v, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS b, count(*) AS n
+      FROM (SELECT *, {starts} AS w FROM trades) GROUP BY 1, 2, 3)) WHERE w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events) GROUP BY 1, 2"""
+_BATCHES = """SELECT wallet, condition_id, t // 60 * 60 AS w, sum(size)::BIGINT AS size, arg_max(side, t * 1000000000 + trade_id) AS side, arg_max(price_c, t * 1000000000 + trade_id) AS price_c, count(*) AS trades, max(t) AS last_t
+      FROM trades GROUP BY 1, 2, t // 60 * 60"""
+_MILESTONES = "SELECT wallet, t, seen, seen // 10 AS milestone FROM (SELECT wallet, t, row_number() OVER (ORDER BY t, wallet) AS seen FROM (SELECT wallet, min(t) AS t FROM trades WHERE value_c >= 500000 GROUP BY 1)) WHERE seen % 10 = 0"
+_CLOSED = f"SELECT * FROM ({_BATCHES}) WHERE w + 60 <= (SELECT max(epoch(ts)) - 600 FROM events)"
+
 SQL |= {
     "src_stream_trades": "SELECT trade_id, wallet, condition_id, t FROM trades WHERE trade_id % 4 <> 0",
-    "st_new_wallets": "SELECT maker AS wallet FROM fills UNION SELECT taker FROM fills",
-    # closed windows only: the last watermark is ten minutes before the last trade
-    "st_market_windows": """SELECT condition_id, w, sum(v)::BIGINT AS volume_c, sum(b)::BIGINT AS buy_c, (sum(v) - sum(b))::BIGINT AS sell_c, count(*) AS traders, sum(n)::BIGINT AS trades,
-      round(sum(v::DOUBLE * v) / (sum(v)::DOUBLE * sum(v)), 6) AS hhi FROM (SELECT condition_id, t // 1800 * 1800 AS w, wallet, sum(value_c)::BIGINT AS v, sum(CASE side WHEN 'BUY' THEN value_c ELSE 0 END)::BIGINT AS b, count(*) AS n
-      FROM trades GROUP BY 1, t // 1800 * 1800, 3) WHERE w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events) GROUP BY 1, 2""",
-    "st_volume_anomalies": """SELECT condition_id, w, volume_c, volume_z FROM (SELECT condition_id, w, volume_c, round(CASE WHEN sd > 0 THEN (volume_c - m) / sd ELSE 0 END, 6) AS volume_z FROM (
-      SELECT *, avg(volume_c::DOUBLE) OVER (PARTITION BY condition_id) AS m, stddev_pop(volume_c::DOUBLE) OVER (PARTITION BY condition_id) AS sd FROM (
-      SELECT condition_id, t // 1800 * 1800 AS w, sum(value_c)::BIGINT AS volume_c FROM trades GROUP BY 1, t // 1800 * 1800))) WHERE volume_z >= 2.5 AND w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
+    "st_new_wallets": f"SELECT wallet FROM (SELECT maker AS wallet FROM fills UNION SELECT taker FROM fills) WHERE wallet NOT IN (SELECT wallet FROM trades WHERE t < {DAY0 + 86400})",
+    "st_market_windows": _WINDOWS.format(starts="t // 1800 * 1800"),
+    "st_market_windows_sliding": _WINDOWS.format(starts="t // 300 * 300 - unnest(range(6)) * 300"),
+    "st_volume_anomalies": """SELECT condition_id, w, volume_c, volume_z, anomaly_score, CASE WHEN anomaly_score >= 9 THEN 'CRITICAL_ANOMALY' WHEN anomaly_score >= 8 AND (hhi >= 0.3 OR whale_dominance >= 0.6) THEN 'HIGH_CONCENTRATION'
+        WHEN anomaly_score >= 7.5 THEN 'MODERATE_ANOMALY' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM (
+      SELECT *, floor(10000 * (least(abs(volume_z) / 3.0, 1.0) * 3.0 + hhi / 0.25 * 2.5 + least(abs(velocity_z) / 3.0, 1.0) * 2.0 + whale_dominance / 0.5 * 1.5 + (greatest(buy_c, sell_c) / volume_c - 0.5) / 0.5) + (0.5 + 1e-6)) / 10000 AS anomaly_score FROM (
+      SELECT *, round(CASE WHEN vs > 1e-9 THEN (volume_c - vm) / vs ELSE 0 END, 6) AS volume_z, round(CASE WHEN ns > 1e-9 THEN (trades - nm) / ns ELSE 0 END, 6) AS velocity_z FROM (
+      SELECT *, count(*) OVER f AS points, avg(volume_c::DOUBLE) OVER f AS vm, stddev_pop(volume_c::DOUBLE) OVER f AS vs, avg(trades::DOUBLE) OVER f AS nm, stddev_pop(trades::DOUBLE) OVER f AS ns FROM stats WINDOW f AS (PARTITION BY condition_id))))
+      WHERE points >= 24 AND volume_c >= 1000000 AND anomaly_score >= 7 AND volume_z >= 2.5 AND (hhi >= 0.2 OR whale_dominance >= 0.4) AND w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
     "st_large_trade_alerts": """SELECT trade_id, wallet, condition_id, value_c FROM trades WHERE value_c >= 500000 AND wallet IN (SELECT wallet FROM resolved GROUP BY 1 HAVING count(*) FILTER (win) / count(*) >= 0.5)""",
-    "trade_batches_batch": """SELECT wallet, condition_id, t // 60 * 60 AS w, sum(size)::BIGINT AS size, arg_max(side, t * 1000000000 + trade_id) AS side, arg_max(price_c, t * 1000000000 + trade_id) AS price_c, count(*) AS trades FROM trades GROUP BY 1, 2, t // 60 * 60""",
-    "st_trade_batches": """SELECT * FROM (SELECT wallet, condition_id, t // 60 * 60 AS w, sum(size)::BIGINT AS size, arg_max(side, t * 1000000000 + trade_id) AS side, arg_max(price_c, t * 1000000000 + trade_id) AS price_c, count(*) AS trades
-      FROM trades GROUP BY 1, 2, t // 60 * 60) WHERE w + 60 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
+    "trade_batches_batch": _BATCHES,
+    "st_trade_batches": _CLOSED,
+    "st_trade_notifications": f""", bn AS (SELECT *, row_number() OVER (PARTITION BY wallet, condition_id ORDER BY w) AS k FROM ({_CLOSED})),
+      nw2 AS (SELECT wallet, condition_id, 1::BIGINT AS k, last_t AS last, true AS sent FROM bn WHERE k = 1
+        UNION ALL SELECT x.wallet, x.condition_id, b.k, CASE WHEN b.last_t - x.last >= 60 THEN b.last_t ELSE x.last END, b.last_t - x.last >= 60
+          FROM nw2 x JOIN bn b ON b.wallet = x.wallet AND b.condition_id = x.condition_id AND b.k = x.k + 1)
+      SELECT bn.* EXCLUDE (k) FROM bn JOIN nw2 USING (wallet, condition_id, k) WHERE sent""",
     "st_position_changes": "SELECT * FROM (SELECT *, lag(pnl_c, 1, 0) OVER (PARTITION BY wallet ORDER BY day) AS before_c FROM snaps) WHERE before_c = 0 OR abs(pnl_c - before_c) >= 500000",
-    "st_critical_count_milestones": "SELECT wallet, t, seen, seen // 10 AS milestone FROM (SELECT wallet, t, row_number() OVER (ORDER BY t, wallet) AS seen FROM (SELECT wallet, min(t) AS t FROM trades WHERE value_c >= 500000 GROUP BY 1)) WHERE seen % 10 = 0",
+    "critical_count_milestones_batch": _MILESTONES,
+    "st_critical_count_milestones": _MILESTONES,
     "st_late_data": "SELECT t // 3600 * 3600 AS w, count(*) AS trades FROM trades GROUP BY t // 3600 * 3600 HAVING w + 3600 <= (SELECT max(epoch(ts)) - 7200 FROM events)",
     "sink_trade_batches": "SELECT condition_id % 16 AS bucket, count(*) AS trades, sum(value_c)::BIGINT AS value_c FROM trades GROUP BY 1",
     "st_alert_cooldown": """, al AS (SELECT condition_id, t, CASE WHEN trade_id % 7 = 0 THEN 'CRITICAL_TRADER' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM trades WHERE value_c >= 500000),

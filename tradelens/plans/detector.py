@@ -49,7 +49,7 @@ def find_insiders(trades: DataFrame, resolutions: DataFrame, markets: DataFrame,
     return analyze_traders(trades, resolutions, markets, positions, mode).where(F.col("risk_score") >= threshold)
 
 
-def market_anomalies(trades: DataFrame, critical: DataFrame, min_volume_c: int = 1_000_000) -> DataFrame:
+def market_anomalies(trades: DataFrame, critical: DataFrame, min_volume_c: int = 50_000_000) -> DataFrame:
     """Statistical and critical-trader alerts after the cooldown."""
     scored = market.anomaly_scores(market.baseline_z(market.window_stats(trades)))
     statistical = market.anomaly_alerts(scored, min_volume_c).select("condition_id", F.col("w").alias("t"), "alert_level")

@@ -14,21 +14,19 @@ from tradelens.sources import reads
 from tradelens.sources.tables import DAY0, Tables
 
 c = F.col
-#: Fixture settings: five busy markets for window metrics, dollars 10,000 as floor.
-MIN_VOLUME_C = 1_000_000
-
-
-def _busy(x: Tables) -> DataFrame:
-    return x.trades.withColumn("condition_id", F.expr("condition_id % 5"))
+#: Settings for the size of the test tables, whose markets trade thousands and not millions of dollars: floor of
+#: anomalies, largest trade of critical wallets, and floor, tiers and ceiling of the older monitor, in cents.
+MIN_VOLUME_C, SINGLE_C, V1_C = 1_000_000, 1_000_000, {"min_c": 500_000, "tier2_c": 1_500_000, "tier3_c": 2_500_000, "high_c": 3_000_000}
+DAY = 86400
 
 
 def _wallets(x: Tables) -> DataFrame:
     return x.trades.select("wallet").distinct()
 
 
-def _chosen(x: Tables) -> DataFrame:
-    """Every third wallet: the look-up list of the batch reads."""
-    return _wallets(x).where("wallet % 3 = 0")
+def _elite(x: Tables) -> DataFrame:
+    """The head of the leaderboards: the look-up list of the batch reads."""
+    return profiles.elite_wallets(x.leaderboard)
 
 
 def _profile(x: Tables) -> DataFrame:
@@ -56,7 +54,7 @@ def _critical(x: Tables) -> DataFrame:
 
 
 def _stats(x: Tables) -> DataFrame:
-    return market.window_stats(_busy(x))
+    return market.window_stats(x.trades)
 
 
 def _anomalies(x: Tables) -> DataFrame:
@@ -91,8 +89,9 @@ def _ml(x: Tables) -> DataFrame:
     return ml.predict(ml.train(data), data)
 
 
-def _stored(x: Tables) -> DataFrame:
-    return incremental.partials(x.trades.where(f"t < {DAY0 + 15 * 86400}"))
+def _stored(x: Tables, days: int = 15) -> DataFrame:
+    """Profiles as they were stored after the first days."""
+    return incremental.partials(x.trades.where(f"t < {DAY0 + days * DAY}"))
 
 
 def _tagged(x: Tables) -> DataFrame:
@@ -141,9 +140,9 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "wallet_risk": lambda x: detector.score_profiles(x.trades, x.resolutions, x.markets, x.as_of).select("wallet", "risk_score", "level"),
     # sources and sinks
     "src_trades": _trades(lambda x: reads.trades_of(x.trades, 3, DAY0 + 86400, DAY0 + 20 * 86400, 1000, 100, 5)),
-    "src_full_history": _trades(lambda x: reads.full_history(x.trades, 30)),
-    "src_histories_batch": _trades(lambda x: reads.histories_batch(x.trades, _chosen(x), 40, 2000)),
-    "src_incremental_trades": _trades(lambda x: reads.incremental_trades(x.trades, _stored(x).where("wallet % 2 = 0").select("wallet", "last_t"))),
+    "src_full_history": _trades(lambda x: reads.full_history(x.trades, 10_000)),
+    "src_histories_batch": _trades(lambda x: reads.histories_batch(x.trades, _elite(x), 500)),
+    "src_incremental_trades": _trades(lambda x: reads.incremental_trades(x.trades, _stored(x).select("wallet", "last_t"))),
     "src_large_trades": _trades(lambda x: reads.large_trades(x.trades, 10_000)),
     "src_market_window_trades": _trades(lambda x: reads.market_window(x.trades, 7, DAY0, DAY0 + 9 * 86400)),
     "src_markets": lambda x: reads.markets_by_status(x.markets, closed=True).select("condition_id", "question", "category", "closed"),
@@ -152,7 +151,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "src_events_by_status": lambda x: reads.markets_by_status(x.markets, active=True).groupBy("category").agg(F.count("*").alias("markets")),
     "src_fills_for_trader": lambda x: reads.fills_of(x.fills, 5, DAY0, DAY0 + 25 * 86400, 200).select("event_id", "t", "maker", "taker"),
     "src_recent_fills": lambda x: reads.recent_fills(x.fills.withColumn("id", F.concat_ws("_", F.expr("event_id % 100"), "event_id")), 50),
-    "src_user_positions_batch": lambda x: reads.positions_batch(x.positions, _chosen(x), 10).select("wallet", "condition_id", "outcome_index", "current_value_c"),
+    "src_user_positions_batch": lambda x: reads.positions_batch(x.positions, _elite(x), 1000).select("wallet", "condition_id", "outcome_index", "current_value_c"),
     "src_payouts_batch": lambda x: reads.payouts_batch(x.markets.select("condition_id"), _payouts(x)).select("condition_id", F.array_join("payouts", ",").alias("payouts")),
     "src_redemptions": lambda x: reads.redemptions_of(_redemptions(x), 5, 20),
     "src_price_history": lambda x: x.price_history,
@@ -161,7 +160,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "collect_markets": lambda x: reads.collect_markets(_tagged(x)).select("condition_id", "_tag"),
     "distinct_traders": lambda x: reads.distinct_traders(x.trades),
     "count_trades": lambda x: x.trades.agg(F.count("*").alias("trades")),
-    "collect_histories_antijoin": _pick(lambda x: reads.uncollected_histories(x.trades, _wallets(x), _chosen(x), 20), "trade_id", "trader_address", "t"),
+    "collect_histories_antijoin": _pick(lambda x: reads.uncollected_histories(x.trades, _wallets(x), _elite(x), 500), "trade_id", "trader_address", "t"),
     "sink_export": lambda x: reads.json_rows(profiles.volume(x.trades)),
     # scalar functions
     "trade_value": lambda x: x.trades.select("trade_id", s.notional().alias("value_c")),
@@ -169,7 +168,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "address_normalise": lambda x: _hex(x).select("wallet", s.address_key(c("address")).alias("address")),
     "market_risk_category": lambda x: x.markets.select("condition_id", s.risk_category(c("question"), c("group_item_title"), c("category")).alias("score")),
     "market_insider_probability": lambda x: x.markets.select("condition_id", s.insider_probability(c("category")).alias("probability")),
-    "market_topic": lambda x: x.markets.select("condition_id", s.topic(F.concat_ws(" ", "category", "question")).alias("topic")),
+    "market_topic": lambda x: x.markets.select("condition_id", s.topic(F.concat_ws(" ", "slug", "question")).alias("topic")),
     "filter_by_liquidity": lambda x: x.trades.select("condition_id").distinct().join(x.markets, "condition_id", "left").where(F.coalesce("liquidity", F.lit(0)) >= 50_000).select("condition_id", "liquidity"),
     "liquid_events": lambda x: x.markets.where("active and not closed and volume >= 10000").orderBy(F.desc("volume"), "condition_id").limit(10).select("condition_id", "volume"),
     "active_markets": lambda x: x.markets.where("active and not closed and liquidity >= 20000").orderBy(F.desc("liquidity"), "condition_id").limit(10).select("condition_id", "liquidity"),
@@ -186,7 +185,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "coordinated_pairs": lambda x: graph.coordinated_pairs(x.trades, 60, 2),
     "profile_leaderboard_join": lambda x: joins.profiles_with_board(profiles.resolved_pnl(x.trades, x.resolutions), x.leaderboard),
     "critical_wallet_semi": lambda x: joins.semi(x.trades, _critical(x)).select("trade_id", "wallet"),
-    "new_wallets_anti": lambda x: joins.anti(x.fills.select(c("taker").alias("wallet")).distinct(), _chosen(x), "wallet"),
+    "new_wallets_anti": lambda x: joins.anti(x.fills.select(c("taker").alias("wallet")).distinct(), _stored(x, 1), "wallet"),
     "hybrid_override_merge": lambda x: joins.merge_override(profiles.volume(x.trades).select("wallet", c("volume_c").alias("amount")), profiles.resolved_pnl(x.trades, x.resolutions).where("pnl_c > 0").select("wallet", c("pnl_c").alias("amount"))),
     "funding_join": lambda x: profiles.volume(x.trades).join(graph.first_funding(x.transfers), "wallet", "left").select("wallet", "trades", "source", "block"),
     "missing_ids_anti": lambda x: joins.anti(x.trades.select("condition_id").distinct(), x.resolutions, "condition_id"),
@@ -254,19 +253,19 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "whale_dominance": lambda x: _stats(x).select("condition_id", "w", "whale_dominance"),
     "trades_per_minute": lambda x: _stats(x).select("condition_id", "w", "trades_per_minute"),
     "market_baseline_z": lambda x: market.baseline_z(_stats(x)).select("condition_id", "w", "points", "volume_z", "trader_z", "velocity_z"),
-    "anomaly_score": lambda x: _anomalies(x).select("condition_id", "w", F.round("anomaly_score", 3).alias("anomaly_score")),
+    "anomaly_score": lambda x: _anomalies(x).select("condition_id", "w", "anomaly_score"),
     "anomaly_alerts": lambda x: market.anomaly_alerts(_anomalies(x), MIN_VOLUME_C).select("condition_id", "w"),
     "anomaly_level": lambda x: _anomalies(x).where("anomaly_score >= 6").select("condition_id", "w", market.anomaly_level(c("anomaly_score"), c("hhi"), c("whale_dominance")).alias("alert_level")),
-    "critical_trader_alerts": lambda x: market.critical_trader_alerts(_busy(x), _critical(x)),
+    "critical_trader_alerts": lambda x: market.critical_trader_alerts(x.trades, _critical(x), SINGLE_C),
     "alert_cooldown": lambda x: market.cooldown(_alerts(x), 5400),
     "top_markets_by_volume": lambda x: market.top_markets(x.trades, x.markets, 10),
-    "v1_window_metrics": lambda x: market.v1_metrics(_busy(x)),
-    "v1_alert_level": lambda x: market.v1_alerts(_busy(x), _critical(x)),
-    "hourly_market_baseline": lambda x: market.hourly_baseline(_busy(x)),
+    "v1_window_metrics": lambda x: market.v1_metrics(x.trades, V1_C["min_c"], V1_C["high_c"]),
+    "v1_alert_level": lambda x: market.v1_alerts(x.trades, _critical(x), **V1_C),
+    "hourly_market_baseline": lambda x: market.hourly_baseline(x.trades),
     "hourly_volume_dense": lambda x: market.densified_hours(x.trades),
-    "pump_dump_pattern": lambda x: market.pump_dump(_busy(x), 2, 0.05, 1800),
-    "wash_trading": lambda x: market.wash_trading(_busy(x)),
-    "sybil_sync": lambda x: market.sybil_sync(_busy(x), detector.wallet_clusters(x.trades, 60, 3)),
+    "pump_dump_pattern": lambda x: market.pump_dump(x.trades, 2, 0.01, 3600),
+    "wash_trading": lambda x: market.wash_trading(x.trades),
+    "sybil_sync": lambda x: market.sybil_sync(x.trades, detector.wallet_clusters(x.trades, 60, 3)),
     "price_jump_candidates": lambda x: market.jump_candidates(x.price_history, 0.5).withColumn("magnitude", F.round("magnitude", 6)),
     "price_jumps": lambda x: _jumps(x).withColumn("magnitude", F.round("magnitude", 6)),
     "pre_jump_labels": lambda x: market.pre_jump_labels(x.trades, _jumps(x), x.markets).select("trade_id", "start_t", "direction", "is_pre_jump"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Epoch seconds of the first day of the test tables.
@@ -43,15 +43,14 @@ class Tables:
 
     @cached_property
     def markets(self) -> DataFrame:
-        p = self.read("part").where("p_partkey < 100")
-        return p.select(
+        return self.read("part").select(
             F.col("p_partkey").cast("int").alias("condition_id"), F.col("p_name").alias("question"),
             F.lit("").alias("group_item_title"),
             F.expr(
                 "case p_type when 'PROMO' then 'tech' when 'ECONOMY' then 'economy' when 'LARGE' then 'politics' "
                 "when 'MEDIUM' then 'sports' when 'SMALL' then 'crypto' else 'other' end"
             ).alias("category"),
-            F.lit("").alias("slug"),
+            F.expr("concat(lower(p_type), '-', p_partkey)").alias("slug"),
             F.round(F.col("p_retailprice") * F.col("p_size") * 4).cast("long").alias("liquidity"),
             F.expr("cast(round(p_retailprice * p_size * 4) as bigint) div 2").alias("volume"),
             F.expr("p_partkey % 5 = 0").alias("active"), F.expr("p_partkey % 5 <> 0").alias("closed"),
@@ -131,12 +130,8 @@ class Tables:
     def leaderboard(self) -> DataFrame:
         from tradelens.operators.profiles import leaderboard
 
-        return leaderboard(self.trades, self.resolutions, self.markets)
+        return leaderboard(self.trades, self.resolutions, self.markets, month_days=15)  # the test tables span a month
 
     @cached_property
     def contracts(self) -> DataFrame:
         return self.trades.select("wallet").distinct().where("wallet % 17 = 0")
-
-
-def window_rank(*by: str, order: list) -> "F.Column":
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.operators import market, positions, profiles
+from tradelens.operators import incremental, market, positions, profiles
+from tradelens.queries import MIN_VOLUME_C
 from tradelens.sources import reads
-from tradelens.sources.tables import Tables
+from tradelens.sources.tables import DAY0, Tables
 from tradelens.streaming import streams
 
 c = F.col
@@ -21,11 +22,13 @@ def src_stream_trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_new_wallets(spark: SparkSession, folder: str) -> DataFrame:
-    n = Tables(spark, folder).read("events").agg(F.max("user_id") + 1).first()[0]
+    """Wallets without a profile stored on the first day."""
+    x = Tables(spark, folder)
+    n = x.read("events").agg(F.max("user_id") + 1).first()[0]
     fills = streams.trade_stream(spark, folder).select(
         c("trade_id").alias("event_id"), "ts", c("wallet").alias("maker"), ((c("wallet") * 31 + 7) % n).alias("taker")
     )
-    return streams.collected(streams.new_wallets(fills))
+    return streams.collected(streams.new_wallets(fills, incremental.partials(x.trades.where(f"t < {DAY0 + 86400}"))))
 
 
 def st_market_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,10 +36,17 @@ def st_market_windows(spark: SparkSession, folder: str) -> DataFrame:
     return streams.collected(streams.market_windows(streams.trade_stream(spark, folder)))
 
 
+def st_market_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """Half hours that start every five minutes."""
+    return streams.collected(streams.market_windows(streams.trade_stream(spark, folder), "30 minutes", "5 minutes"))
+
+
 def st_volume_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows against the market's baseline over its half hours with trades."""
     stats = market.window_stats(Tables(spark, folder).trades)
-    baseline = stats.groupBy("condition_id").agg(F.avg("volume_c").alias("mean"), F.stddev_pop("volume_c").alias("deviation"))
-    return streams.collected(streams.volume_anomalies(streams.trade_stream(spark, folder), baseline))
+    both = lambda name, part: (F.avg(name).alias(f"{part}_mean"), F.stddev_pop(name).alias(f"{part}_sd"))
+    baseline = stats.groupBy("condition_id").agg(F.count("*").alias("points"), *both("volume_c", "volume"), *both("trades", "trades"))
+    return streams.collected(streams.volume_anomalies(streams.trade_stream(spark, folder), baseline, MIN_VOLUME_C))
 
 
 def st_alert_cooldown(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +67,12 @@ def st_trade_batches(spark: SparkSession, folder: str) -> DataFrame:
     return streams.collected(streams.trade_batches(streams.trade_stream(spark, folder)))
 
 
+def st_trade_notifications(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches that end a minute or more after the last one notified."""
+    streams.rocksdb(spark)
+    return streams.collected(streams.trade_notifications(streams.trade_batches(streams.trade_stream(spark, folder))))
+
+
 def trade_batches_batch(spark: SparkSession, folder: str) -> DataFrame:
     return streams.trade_batches(Tables(spark, folder).trades)
 
@@ -72,12 +88,16 @@ def st_position_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def st_critical_count_milestones(spark: SparkSession, folder: str) -> DataFrame:
     """Wallets in order of their first whale trade stand for newly critical ones."""
+    return streams.milestone_stream(streams.trade_stream(spark, folder).where("value_c >= 500000").select("wallet", "t"))
+
+
+def critical_count_milestones_batch(spark: SparkSession, folder: str) -> DataFrame:
     whales = Tables(spark, folder).trades.where("value_c >= 500000")
     return streams.milestones(whales.groupBy("wallet").agg(F.min("t").alias("t")))
 
 
 def st_late_data(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly counts under a watermark; rows later than it are dropped by Spark and counted in its progress."""
+    """Hourly counts under a watermark; ``streams.drained`` tells how many rows came later."""
     trades = streams.trade_stream(spark, folder)
     out = trades.withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour").alias("win")).agg(F.count("*").alias("trades"))
     return streams.collected(out.select(F.unix_timestamp("win.start").alias("w"), "trades"))
@@ -94,7 +114,8 @@ def sink_trade_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        src_stream_trades, st_new_wallets, st_market_windows, st_volume_anomalies, st_alert_cooldown, st_large_trade_alerts,
-        st_trade_batches, trade_batches_batch, st_position_changes, st_critical_count_milestones, st_late_data, sink_trade_batches,
+        src_stream_trades, st_new_wallets, st_market_windows, st_market_windows_sliding, st_volume_anomalies, st_alert_cooldown,
+        st_large_trade_alerts, st_trade_batches, st_trade_notifications, trade_batches_batch, st_position_changes,
+        st_critical_count_milestones, critical_count_milestones_batch, st_late_data, sink_trade_batches,
     ]
     return {f.__name__: f for f in found}

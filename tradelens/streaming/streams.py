@@ -1,7 +1,8 @@
 """Structured Streaming forms of the monitors. Each takes and returns a streaming DataFrame.
 
-Event time is the trades' ``ts``; state is bounded by watermarks or timers. ``collected`` drains a stream
-with the available-now trigger into a parquet sink, for batch tests and replays.
+Event time is the trades' ``ts``. Windows and duplicate checks keep state up to the watermark; cooldowns and
+notifications expire if they get a time to live; the wallets seen and the last PnL of each wallet are state for good.
+``collected`` drains a stream with the available-now trigger into a parquet sink, for batch tests and replays.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tradelens.operators.graph import checkpointed
+from tradelens.functions.scalars import ratio
+from tradelens.operators import market
+from tradelens.sources.shared import shared_folder
 from tradelens.sources.tables import Tables
 
 c = F.col
@@ -35,23 +38,38 @@ def route(messages: DataFrame, kind: str = "trade") -> DataFrame:
     return messages.where(c("type") == kind)
 
 
-def new_wallets(fills: DataFrame) -> DataFrame:
-    """Makers and takers not seen before; a fill id that comes again within the watermark is skipped."""
+def new_wallets(fills: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Makers and takers that are neither ``known(wallet)`` nor seen before; a fill id that comes again within
+    the watermark is skipped. Known wallets are left out before the state, which holds one row a new wallet."""
     once = fills.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
-    return once.select(F.explode(F.array("maker", "taker")).alias("wallet")).dropDuplicates(["wallet"])
+    found = once.select(F.explode(F.array("maker", "taker")).alias("wallet"))
+    if known is not None:
+        found = found.join(known.select("wallet"), "wallet", "left_anti")
+    return found.dropDuplicates(["wallet"])
 
 
 def market_windows(trades: DataFrame, size: str = "30 minutes", slide: str | None = None) -> DataFrame:
-    """Volume, sides, traders, HHI and top-3 share of each market and window, by two chained aggregates."""
+    """Volume, sides, traders, HHI, Gini and top-3 share of each market and window, by two chained aggregates.
+
+    Windows tumble, or start every ``slide``. A window's wallet sums are sorted for the Gini and the top three.
+    """
     buy = F.when(c("side") == "BUY", c("value_c")).otherwise(0)
     once = trades.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["trade_id"])
     own = once.groupBy(F.window("ts", size, slide).alias("win"), "condition_id", "wallet").agg(F.sum("value_c").alias("v"), F.sum(buy).alias("buy"), F.count("*").alias("n"))
     total = F.sum("v")
-    out = own.groupBy(F.window("win", size, slide).alias("win") if slide is None else c("win"), "condition_id").agg(
+    out = own.groupBy("win", "condition_id").agg(
         total.alias("volume_c"), F.sum("buy").alias("buy_c"), (total - F.sum("buy")).alias("sell_c"), F.count("*").alias("traders"), F.sum("n").alias("trades"),
         F.round(F.when(total > 0, F.sum(c("v").cast("double") * c("v")) / F.when(total > 0, total.cast("double") * total)).otherwise(0.0), 6).alias("hhi"),
+        F.sort_array(F.collect_list("v")).alias("vs"),
+    )
+    n, all_c = c("traders"), F.when(c("volume_c") > 0, c("volume_c"))
+    ranked = F.aggregate(F.transform("vs", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    top = F.aggregate(F.slice("vs", F.greatest(F.size("vs") - 2, F.lit(1)), F.lit(3)), F.lit(0).cast("long"), lambda a, x: a + x)
+    gini = F.round(F.coalesce(2.0 * ranked / (n * all_c) - (n + 1) / n, F.lit(0.0)), 6)
+    return out.select(
+        "condition_id", F.unix_timestamp("win.start").alias("w"), "volume_c", "buy_c", "sell_c", "traders", "trades", "hhi",
+        gini.alias("gini"), ratio(top, c("volume_c")).alias("whale_dominance"),
     )
-    return out.select("condition_id", F.unix_timestamp("win.start").alias("w"), "volume_c", "buy_c", "sell_c", "traders", "trades", "hhi")
 
 
 def large_trade_alerts(trades: DataFrame, watched: DataFrame, min_value_c: int = 500_000) -> DataFrame:
@@ -60,22 +78,22 @@ def large_trade_alerts(trades: DataFrame, watched: DataFrame, min_value_c: int =
 
 
 def trade_batches(trades: DataFrame, size: str = "60 seconds") -> DataFrame:
-    """Trades of a wallet in a market within a minute: total size, last side and price, count."""
+    """Trades of a wallet in a market within a minute: total size, last side and price, count, time of the last."""
     last = F.max(F.struct("t", "trade_id", "side", "price_c"))
     out = trades.withWatermark("ts", LATE).groupBy(F.window("ts", size).alias("win"), "wallet", "condition_id").agg(
         F.sum("size").alias("size"), last.alias("last"), F.count("*").alias("trades")
     )
-    return out.select("wallet", "condition_id", F.unix_timestamp("win.start").alias("w"), "size", c("last.side").alias("side"), c("last.price_c").alias("price_c"), "trades")
+    return out.select("wallet", "condition_id", F.unix_timestamp("win.start").alias("w"), "size", c("last.side").alias("side"), c("last.price_c").alias("price_c"), "trades", c("last.t").alias("last_t"))
 
 
 class _Cooldown(StatefulProcessor):
-    """Per market the time of the last alert; state expires when the cooldown has passed."""
+    """Per market the time of the last alert; with ``ttl_s`` a market without alerts for so long leaves the state."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, ttl_s: int | None):
+        self.seconds, self.ttl_s = seconds, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long")
+        self.last = handle.getValueState("last", "t long", self.ttl_s and self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["t", "alert_level"])
@@ -93,10 +111,50 @@ class _Cooldown(StatefulProcessor):
         pass
 
 
-def alert_cooldown(alerts: DataFrame, seconds: int = 600) -> DataFrame:
-    """Alerts of a market that its last alert does not mute. Needs the RocksDB state store."""
+def _mode(ttl_s: int | None) -> str:
+    """The time mode; Spark runs streams in processing time for good, so those that are drained have no ``ttl_s``."""
+    return "ProcessingTime" if ttl_s else "None"
+
+
+def alert_cooldown(alerts: DataFrame, seconds: int = 600, ttl_s: int | None = None) -> DataFrame:
+    """Alerts of a market that its last alert does not mute. Needs the RocksDB state store.
+
+    A stream that runs on should set ``ttl_s``, the seconds of processing time after which an untouched market
+    leaves the state.
+    """
     return alerts.groupBy("condition_id").transformWithStateInPandas(
-        _Cooldown(seconds), "condition_id int, t long, alert_level string", "Append", "None"
+        _Cooldown(seconds, ttl_s), "condition_id int, t long, alert_level string", "Append", _mode(ttl_s)
+    )
+
+
+class _Notified(StatefulProcessor):
+    """Per wallet and market the end of the last batch that was notified."""
+
+    def __init__(self, seconds: int, ttl_s: int | None):
+        self.seconds, self.ttl_s = seconds, ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long", self.ttl_s and self.ttl_s * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows)).sort_values("w")
+        last, sent = self.last.get()[0] if self.last.exists() else None, []
+        for t in found["last_t"]:
+            sent.append(last is None or t - last >= self.seconds)
+            last = int(t) if sent[-1] else last
+        if last is not None:
+            self.last.update((last,))
+        yield found[sent]
+
+    def close(self) -> None:
+        pass
+
+
+def trade_notifications(batches: DataFrame, seconds: int = 60, ttl_s: int | None = None) -> DataFrame:
+    """The trade batches of a wallet in a market that end ``seconds`` or more after the last one notified;
+    ``ttl_s`` as in ``alert_cooldown``."""
+    return batches.groupBy("wallet", "condition_id").transformWithStateInPandas(
+        _Notified(seconds, ttl_s), batches.schema, "Append", _mode(ttl_s)
     )
 
 
@@ -136,43 +194,75 @@ def rocksdb(spark: SparkSession) -> None:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def collected(stream: DataFrame) -> DataFrame:
-    """Run ``stream`` over all that is available and return what it appended."""
+def drained(stream: DataFrame) -> tuple[DataFrame, int]:
+    """Run ``stream`` over all that is available: the rows it appended, and how many came too late for its watermarks."""
     spark, at = stream.sparkSession, _folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows"), late
 
 
-def each_batch(stream: DataFrame, handle) -> None:
-    """Run ``handle(batch, id)`` on every micro-batch of what is available."""
-    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+def collected(stream: DataFrame) -> DataFrame:
+    """The rows of ``drained``."""
+    return drained(stream)[0]
 
 
-def volume_anomalies(trades: DataFrame, baseline: DataFrame, least_z: float = 2.5) -> DataFrame:
-    """Closed windows of the stream whose volume is far above the market's baseline (mean and deviation)."""
-    windows = market_windows(trades)
-    joined = windows.join(baseline, "condition_id")
-    z = F.when(c("deviation") > 0, (c("volume_c") - c("mean")) / F.when(c("deviation") > 0, c("deviation"))).otherwise(0.0)
-    return joined.withColumn("volume_z", F.round(z, 6)).where(c("volume_z") >= least_z).select("condition_id", "w", "volume_c", "volume_z")
+def volume_anomalies(trades: DataFrame, baseline: DataFrame, min_volume_c: int = 50_000_000, least_score: float = 7.0, least_z: float = 2.5) -> DataFrame:
+    """Closed windows of the stream that stand out from their market's baseline.
+
+    ``baseline(condition_id, points, volume_mean, volume_sd, trades_mean, trades_sd)`` is a static table of hourly
+    points. Score and gates are those of the batch form.
+    """
+    x = market_windows(trades).join(baseline, "condition_id").where(c("points") >= 24)
 
+    def z(name: str, part: str) -> F.Column:
+        sd = F.when(c(f"{part}_sd") > 1e-9, c(f"{part}_sd"))
+        return F.round(F.coalesce((c(name) - c(f"{part}_mean")) / sd, F.lit(0.0)), 6)
 
-def milestones(profiles: DataFrame, every: int = 10) -> DataFrame:
-    """Batch form: the rows with which a running count of CRITICAL profiles passes a multiple of ``every``.
+    scored = market.anomaly_scores(x.withColumns({"volume_z": z("volume_c", "volume"), "velocity_z": z("trades", "trades")}))
+    hit = (c("volume_c") >= min_volume_c) & (c("anomaly_score") >= least_score) & (c("volume_z") >= least_z)
+    out = scored.where(hit & ((c("hhi") >= 0.2) | (c("whale_dominance") >= 0.4)))
+    level = market.anomaly_level(c("anomaly_score"), c("hhi"), c("whale_dominance"))
+    return out.select("condition_id", "w", "volume_c", "volume_z", "anomaly_score", level.alias("alert_level"))
+
+
+def milestones(profiles: DataFrame, every: int = 10, before: int = 0) -> DataFrame:
+    """Batch form: the rows with which a running count, ``before`` at the start, passes a multiple of ``every``.
 
     Counts of earlier hours are added to the number within the hour, so no task holds all rows.
     """
-    from pyspark.sql import Window
-
     x = profiles.withColumn("hour", F.expr("t div 3600"))
     sums = x.groupBy("hour").agg(F.count("*").alias("n"))
-    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # a row an hour
-    bases = sums.select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    upto = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # a row an hour
+    bases = sums.select("hour", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("hour").orderBy("t", "wallet"))
-    out = x.withColumn("k", inside).join(bases, "hour").withColumn("seen", c("base") + c("k"))
+    out = x.withColumn("k", inside).join(bases, "hour").withColumn("seen", c("base") + c("k") + before)
     return out.where(c("seen") % every == 0).select("wallet", "t", "seen", F.expr(f"seen div {every}").alias("milestone"))
+
+
+def milestone_stream(found: DataFrame, every: int = 10) -> DataFrame:
+    """Milestones of a stream of critical wallets (wallet, t), batch by batch over what is available.
+
+    The wallets counted so far are a table; a batch adds those that are new to it, so a wallet counts once. A
+    batch that is run again after a failure overwrites its own folders and reads those of earlier ones.
+    """
+    spark, at = found.sparkSession, _folder(found.sparkSession)
+    schema = "wallet long, t long"
+
+    def count(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        seen = own.createDataFrame([], f"{schema}, batch int")
+        if number:
+            seen = own.read.schema(seen.schema).parquet(f"{at}/seen").where(c("batch") < number)
+        new = batch.groupBy("wallet").agg(F.min("t").alias("t")).join(seen.select("wallet"), "wallet", "left_anti")
+        new.write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
+        new = own.read.schema(schema).parquet(f"{at}/seen/batch={number}")
+        milestones(new, every, seen.count()).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    query = found.writeStream.foreachBatch(count).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("wallet long, t long, seen long, milestone long").option("basePath", f"{at}/out").parquet(f"{at}/out").drop("batch")
