@@ -17,7 +17,7 @@ from tradelens.llm.mixing import mix_sources
 from tradelens.llm.packing import pack
 from tradelens.llm.quality import passing
 from tradelens.llm.simhash import keep_one
-from tradelens.sources.shared import shared_folder
+from tradelens.sources.shared import remove_folder, shared_folder
 
 
 def _documents(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    """All stages over ``documents``; each but the last is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last of them stays, as the result reads it.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
@@ -74,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if k:
+                remove_folder(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tradelens.operators import graph, incremental, joins, market, positions, profiles
+from tradelens.operators import graph, incremental, joins, market, ml, positions, profiles, ranks
 from tradelens.plans import detector
 from tradelens.sources import reads
 from tradelens.sources.tables import Tables
@@ -188,3 +188,106 @@ def test_stream_windows_equal_batch(spark):
     batch = market.window_stats(Tables(spark, DATA).trades).select(*got.columns)
     extra = got.exceptAll(batch).count()
     assert extra == 0 and batch.count() - got.count() <= 3  # windows still open at the last watermark
+
+
+def test_busy_buckets_are_dealt_in_parts(spark, monkeypatch):
+    df = trades(spark, some(8, 400))
+    plain = sorted(map(tuple, graph.coordinated_pairs(df, 600).collect()))
+    monkeypatch.setattr(graph, "PART_ROWS", 3)
+    assert sorted(map(tuple, graph.coordinated_pairs(df, 600).collect())) == plain
+
+
+def test_ranks_by_blocks(spark):
+    from pyspark.sql import Window
+
+    r = random.Random(9)
+    rows = [(k, r.choice("ab"), r.choice([0, 1, -1, 10**12, -(10**12), r.randint(-5000, 5000)])) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    want = df.withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("v"))))
+    got = ranks.ranked(df, ["g"], ranks.value_block(F.col("v")), [F.desc("v")], ties=True)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    every = ranks.ranked(df, [], ranks.value_block(F.col("v")), [F.desc("v"), F.col("k")]).orderBy("place").collect()
+    assert [x.place for x in every] == list(range(1, 501)) and [x.k for x in every] == [k for k, _, _ in sorted(rows, key=lambda x: (-x[2], x[0]))]
+
+
+def test_quotes_as_of(spark):
+    r = random.Random(10)
+    rows = some(10, 300)
+    first = 1_704_067_200
+    quotes = [(r.randint(1, 4), first + r.randint(0, 86400 * 3), 2 * k) for k in range(40)]
+    quotes = list({(m, t): (m, t, b) for m, t, b in quotes}.values())
+    q = spark.createDataFrame([(m, t, b, b + 2) for m, t, b in quotes], "condition_id int, t long, bid long, ask long")
+    got = {x.trade_id: x.mid for x in profiles._asof_mid(trades(spark, rows), q).collect()}
+    for k, _, m, t, *_ in rows:
+        before = [(u, b) for n, u, b in quotes if n == m and u <= t]
+        assert got[k] == (max(before)[1] + 1 if before else None)
+
+
+def test_baseline_counts_hours_without_trades(spark):
+    """Points are the last half hours of all hours since the market's first, zero without trades."""
+    r = random.Random(11)
+    rows = [(m, 1_704_067_200 + 1800 * h, r.randint(1, 10**6), r.randint(1, 9), r.randint(1, 30)) for m in (1, 2) for h in range(700) if r.random() < 0.3]
+    df = spark.createDataFrame(rows, "condition_id int, w long, volume_c long, traders long, trades long")
+    for x in market.baseline_z(df, 168, 24).collect():
+        own = {w: v for m, w, v, _, _ in rows if m == x.condition_id}
+        hour, start = x.w // 3600 * 3600, min(own) // 3600 * 3600
+        points = [own.get(h + 1800, 0) for h in range(max(start, hour - 168 * 3600), hour, 3600)]
+        mean = sum(points) / max(len(points), 1)
+        sd = math.sqrt(sum((p - mean) ** 2 for p in points) / max(len(points), 1))
+        assert x.points == len(points)
+        assert abs(x.volume_z - ((x.volume_c - mean) / sd if len(points) >= 24 and sd > 0 else 0)) < 2e-6
+
+
+def files(spark, folder, parts, schema):
+    """A folder with one file a part, in this order of time."""
+    import time
+
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    hour = lambda h: 3600 * h
+    stream = files(spark, tmp_path / "in", [[(hour(1),), (hour(30),)], [(hour(31),)], [(hour(2),), (hour(32),)], [(hour(60),)]], "t long")
+    stream = stream.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "2 hours")
+    out, late = streams.drained(stream.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("w"), "n"))
+    assert late == 1 and {(x.w, x.n) for x in out.collect()} == {(hour(h), 1) for h in (1, 30, 31, 32)}
+
+
+def test_milestones_over_batches(spark, tmp_path):
+    r = random.Random(12)
+    parts = [[(r.randint(1, 60), 1000 * k + j) for j in range(40)] for k in range(3)]
+    stream = files(spark, tmp_path / "in", parts, "wallet long, t long")
+    first = {}
+    for w, t in sorted((x for p in parts for x in p), key=lambda x: x[1]):
+        first.setdefault(w, t)
+    order = sorted(first.items(), key=lambda x: (x[1], x[0]))
+    want = [(w, t, k, k // 10) for k, (w, t) in enumerate(order, 1) if k % 10 == 0]
+    got = streams.milestone_stream(stream, 10)
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[2]) == want
+    assert sorted(map(tuple, streams.milestones(spark.createDataFrame(order, "wallet long, t long"), 10).collect()), key=lambda x: x[2]) == want
+
+
+def test_nested_profile(spark):
+    x = profiles.nested_profile(profiles.trader_profile(
+        trades(spark, some()), spark.createDataFrame([(1, 0, 1_704_067_200 + 86400)], "condition_id int, winner_idx int, closed_at long"),
+        spark.createDataFrame([(1, "q", "", "crypto", "btc-up")], "condition_id int, question string, group_item_title string, category string, slug string"),
+    ))
+    row = x.first()
+    assert {"timing", "whales", "multi_market", "cross_market"} <= set(x.columns) and set(row.cross_market.topics) <= {"crypto", "other"}
+    assert sum(row.cross_market.topics.values()) <= row.trades
+
+
+def test_model_learns_and_gives_probabilities(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(400):
+        rate, side = r.random(), r.choice(["BUY", "SELL"])
+        rows.append((k, k % 20, side, r.choice(["tech", "crypto"]), int(rate > 0.5 and side == "BUY"), r.randint(1, 90), rate, *[r.random() for _ in range(5)]))
+    names = "trade_id long, wallet long, side string, market_type string, label int, total_trades long, winrate double, iax_score double, total_edge double, avg_conviction double, avg_obscurity double, avg_urgency double"
+    data = spark.createDataFrame(rows, names)
+    got = ml.predict(ml.train(data.where("trade_id < 300")), data.where("trade_id >= 300")).collect()
+    assert len(got) == 100 and all(0 <= x.probability <= 1 and x.prediction == (x.probability > 0.5) for x in got)
+    assert sum(x.prediction == x.label for x in got) >= 90

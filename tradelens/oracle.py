@@ -27,7 +27,7 @@ trades AS (SELECT *, size * price_c AS value_c FROM (SELECT event_id AS trade_id
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS condition_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events))),
 markets AS (SELECT CAST(p_partkey AS INT) AS condition_id, p_name AS question, '' AS group_item_title,
   CASE p_type WHEN 'PROMO' THEN 'tech' WHEN 'ECONOMY' THEN 'economy' WHEN 'LARGE' THEN 'politics'
-    WHEN 'MEDIUM' THEN 'sports' WHEN 'SMALL' THEN 'crypto' ELSE 'other' END AS category, lower(p_type) || '-' || p_partkey AS slug,
+    WHEN 'MEDIUM' THEN 'sports' WHEN 'SMALL' THEN 'crypto' ELSE 'other' END AS category, category || '-' || p_partkey AS slug,
   CAST(round(p_retailprice * p_size * 4) AS BIGINT) AS liquidity, CAST(round(p_retailprice * p_size * 4) AS BIGINT) // 2 AS volume,
   p_partkey % 5 = 0 AS active, p_partkey % 5 <> 0 AS closed, CAST(p_size % 2 AS INT) AS winner, p_partkey,
   {DAY0} + ((p_partkey * 7) % 29 + 1) * 86400 AS closed_at, {DAY0} + (p_partkey % 10) * 86400 AS created_t
@@ -351,7 +351,7 @@ SQL: dict[str, str] = {
     "wash_trading": """SELECT condition_id, wallet, w, bought + sold AS gross, abs(bought - sold) AS net FROM (SELECT condition_id, wallet, t // 86400 * 86400 AS w, sum(CASE side WHEN 'BUY' THEN size ELSE 0 END)::BIGINT AS bought,
       sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::BIGINT AS sold, min(price_c) AS low, max(price_c) AS high FROM trades GROUP BY 1, 2, t // 86400 * 86400)
       WHERE bought > 0 AND sold > 0 AND bought + sold >= 10000 AND abs(bought - sold) / (bought + sold) <= 0.1 AND (high - low) / low <= 0.2""",
-    "sybil_sync": """SELECT * FROM (SELECT cluster_id, condition_id, side, t // 3600 * 3600 AS w, count(DISTINCT wallet) AS wallets, round(stddev_pop(trades.size) / avg(trades.size), 6) AS size_cv FROM trades JOIN comp USING (wallet) GROUP BY 1, 2, 3, t // 3600 * 3600)
+    "sybil_sync": """SELECT * FROM (SELECT cluster_id, condition_id, side, t // 86400 * 86400 AS w, count(DISTINCT wallet) AS wallets, round(stddev_pop(trades.size) / avg(trades.size), 6) AS size_cv FROM trades JOIN comp USING (wallet) GROUP BY 1, 2, 3, t // 86400 * 86400)
       WHERE wallets >= 2 AND size_cv <= 0.5""",
     "price_jump_candidates": "SELECT * REPLACE (round(magnitude, 6) AS magnitude) FROM cand",
     "price_jumps": "SELECT * REPLACE (round(magnitude, 6) AS magnitude) FROM jumps",

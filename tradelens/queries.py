@@ -265,7 +265,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "hourly_volume_dense": lambda x: market.densified_hours(x.trades),
     "pump_dump_pattern": lambda x: market.pump_dump(x.trades, 2, 0.01, 3600),
     "wash_trading": lambda x: market.wash_trading(x.trades),
-    "sybil_sync": lambda x: market.sybil_sync(x.trades, detector.wallet_clusters(x.trades, 60, 3)),
+    "sybil_sync": lambda x: market.sybil_sync(x.trades, detector.wallet_clusters(x.trades, 60, 3), DAY),
     "price_jump_candidates": lambda x: market.jump_candidates(x.price_history, 0.5).withColumn("magnitude", F.round("magnitude", 6)),
     "price_jumps": lambda x: _jumps(x).withColumn("magnitude", F.round("magnitude", 6)),
     "pre_jump_labels": lambda x: market.pre_jump_labels(x.trades, _jumps(x), x.markets).select("trade_id", "start_t", "direction", "is_pre_jump"),

@@ -50,7 +50,7 @@ class Tables:
                 "case p_type when 'PROMO' then 'tech' when 'ECONOMY' then 'economy' when 'LARGE' then 'politics' "
                 "when 'MEDIUM' then 'sports' when 'SMALL' then 'crypto' else 'other' end"
             ).alias("category"),
-            F.expr("concat(lower(p_type), '-', p_partkey)").alias("slug"),
+            F.lit("").alias("slug"),
             F.round(F.col("p_retailprice") * F.col("p_size") * 4).cast("long").alias("liquidity"),
             F.expr("cast(round(p_retailprice * p_size * 4) as bigint) div 2").alias("volume"),
             F.expr("p_partkey % 5 = 0").alias("active"), F.expr("p_partkey % 5 <> 0").alias("closed"),
@@ -58,7 +58,7 @@ class Tables:
             F.expr("concat('[\"', p_partkey * 2, '\",\"', p_partkey * 2 + 1, '\"]')").alias("token_ids"),
             F.expr(f"{DAY0} + ((p_partkey * 7) % 29 + 1) * 86400").alias("closed_at"),
             F.expr(f"{DAY0} + (p_partkey % 10) * 86400").alias("created_t"),
-        )
+        ).withColumn("slug", F.concat_ws("-", "category", "condition_id"))
 
     @cached_property
     def resolutions(self) -> DataFrame:
