@@ -12,7 +12,7 @@ a grid of parts.
 
 The parameters are set for independent normal vectors of 64 dimensions, which have hardly any near
 neighbours: there a recall of 0.9 at five neighbours takes some three quarters of all rows, whatever the
-hashes, and the tables together meet a row less than once a query. Vectors with structure need fewer probes.
+hashes, and the tables together meet a row about once a query. Vectors with structure need fewer probes.
 """
 
 from __future__ import annotations
