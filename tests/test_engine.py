@@ -48,6 +48,8 @@ def test_average_cost(spark):
             s[2] = s[2] if s[0] > 0 else 0
     for w, r in got.items():
         assert abs(r.profit - profit[w]) < 1e-3 and r.profitable_trades == wins[w]
+    by = lambda streamed: sorted(map(tuple, profiles.avg_cost_by_market(trades(spark, rows), streamed).collect()))
+    assert by(True) == by(False)
 
 
 def test_cooldown(spark):

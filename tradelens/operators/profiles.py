@@ -6,6 +6,9 @@ computed at once; partial aggregation runs before each shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,8 +207,55 @@ _STEP = """(a, x) -> case when x.side = 'BUY' then named_struct(
     'wins', a.wins + case when a.qty > 0 and (x.price_c / 100D - a.avg) * x.size > 0 then 1L else 0L end) end"""
 
 
-def avg_cost_by_market(trades: DataFrame) -> DataFrame:
-    """Ordered average-cost result of each (wallet, market); a group holds the trades of one wallet in one market."""
+_COST = "wallet long, condition_id int, n long, volume_c long, profit double, profitable long, open_qty double, avg_price double"
+
+
+def _cost_streamed(trades: DataFrame) -> DataFrame:
+    """``avg_cost_by_market`` by one pass over sorted trades: a group of any size needs one state in memory."""
+    names = ["wallet", "condition_id", "t", "trade_id", "side", "size", "price_c", "value_c"]
+    rows = trades.select(*names).repartition("wallet", "condition_id").sortWithinPartitions("wallet", "condition_id", "t", "trade_id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None  # n, volume, profit, wins, quantity, invested, average
+        for frame in frames:
+            done = []
+            for wallet, market, _, _, side, size, price, value in frame.itertuples(index=False):
+                if key != (wallet, market):
+                    if key is not None:
+                        done.append((*key, *state[:5], state[6]))
+                    key, state = (wallet, market), [0, 0, 0.0, 0, 0.0, 0.0, 0.0]
+                state[0] += 1
+                state[1] += value
+                if side == "BUY":
+                    state[5] += size * (price / 100)
+                    state[4] += size
+                    state[6] = state[5] / state[4] if state[4] else 0.0
+                else:
+                    if state[4] > 0:
+                        gain = (price / 100 - state[6]) * size
+                        state[2] += gain
+                        state[3] += gain > 0
+                    sold = min(float(size), state[4])
+                    state[4], state[5] = state[4] - sold, state[5] - sold * state[6]
+                    state[6] = state[6] if state[4] > 0 else 0.0
+            yield pd.DataFrame(done, columns=_COST_NAMES)
+        if key is not None:
+            yield pd.DataFrame([(*key, *state[:5], state[6])], columns=_COST_NAMES)
+
+    return rows.mapInPandas(fold, _COST)
+
+
+_COST_NAMES = [x.split()[0] for x in _COST.split(", ")]
+
+
+def avg_cost_by_market(trades: DataFrame, streamed: bool = False) -> DataFrame:
+    """Ordered average-cost result of each (wallet, market).
+
+    The trades of a group are folded as one array inside the JVM; where a wallet may have millions of trades in
+    a market, ``streamed`` reads them in order instead and holds no group in memory.
+    """
+    if streamed:
+        return _cost_streamed(trades)
     lists = trades.groupBy("wallet", "condition_id").agg(
         F.array_sort(F.collect_list(F.struct("t", "trade_id", "side", "size", "price_c"))).alias("xs"),
         F.count("*").alias("n"), F.sum("value_c").alias("v"),
@@ -215,9 +265,9 @@ def avg_cost_by_market(trades: DataFrame) -> DataFrame:
     )
 
 
-def avg_cost_pnl(trades: DataFrame) -> DataFrame:
+def avg_cost_pnl(trades: DataFrame, streamed: bool = False) -> DataFrame:
     volume_ = F.sum("volume_c") / 100
-    return avg_cost_by_market(trades).groupBy("wallet").agg(
+    return avg_cost_by_market(trades, streamed).groupBy("wallet").agg(
         F.sum("n").alias("trades"), F.count("*").alias("markets"), F.sum("profitable").alias("profitable_trades"),
         ratio(F.sum("profitable"), F.sum("n")).alias("winrate"), volume_.alias("volume"), F.round(F.sum("profit"), 4).alias("profit"),
         F.round(F.when(volume_ > 0, F.sum("profit") / volume_).otherwise(0.0), 6).alias("roi"),

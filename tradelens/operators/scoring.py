@@ -11,6 +11,7 @@ from tradelens.functions.scalars import ladder, ladder_below, ladder_upto, profi
 from tradelens.operators.ranks import ranked, value_block
 
 c = F.col
+#: The edges and points of every ladder below are those of the scoring rules.
 #: The result that scores full marks, on the log scale.
 _LOG_MILLION = math.log1p(1_000_000)
 
