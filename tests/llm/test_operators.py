@@ -135,6 +135,20 @@ def test_suffix_array_and_prefixes():
             assert got[k] == min(n, 50)
 
 
+def test_prefixes_where_the_order_ends_before_the_texts_differ():
+    """Suffixes equal up to the sorted depth stand in any order: prefixes are those of the neighbours as they stand."""
+    r = random.Random(15)
+    for _ in range(20):
+        part = bytes(r.choice(b"ab") for _ in range(300))
+        text = b"".join(part[r.randint(0, 100) : r.randint(150, 300)] + bytes([r.randint(97, 99)]) for _ in range(12))
+        data = np.frombuffer(text, np.uint8)
+        order = suffix_dedup.suffix_array(data, 50)
+        got = suffix_dedup.common_prefixes(data, order, 50)
+        for k in range(1, len(order)):
+            a, b = text[order[k - 1] : order[k - 1] + 50], text[order[k] : order[k] + 50]
+            assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 3000, 500])
 def test_first_documents_over_shards(shard):
     r = random.Random(4)
@@ -153,12 +167,27 @@ def test_windows_dealt_singly(rows):
     """The steps with every key hot, and with chunks smaller than a text, give the same windows."""
     texts = [(r[1] or "").encode() for r in rows]
     live = np.unique(np.concatenate([k for *_, k in suffix_dedup.runs_of(texts)]))
-    runs = [(k, s, e) for k, s, e, _, _ in suffix_dedup._repeated_runs(texts, live)]
-    single = [(k, s) for k, s, e, _, _ in suffix_dedup._repeated_runs(texts, live | np.uint64(2))]
-    assert single == [(k, w) for k, s, e in runs for w in range(s, e + 1)]
+    runs = list(zip(*(x.tolist() for x in suffix_dedup._repeated_runs(texts, live)[:3])))
+    single = list(zip(*(x.tolist() for x in suffix_dedup._repeated_runs(texts, live | np.uint64(2))[:3])))
+    assert single == [(k, w, w) for k, s, e in runs for w in range(s, e + 1)]
     assert len(single) == sum(max(0, len(t) - 49) for t in texts)
 
 
+def test_runs_that_a_shard_decides():
+    r = random.Random(14)
+    base = bytes(r.choice(b"abcd ") for _ in range(1500))
+    texts = [base[i : i + r.randint(0, 300)] for i in (r.randint(0, 1400) for _ in range(30))] + [b"", base]
+    docs = np.sort(np.array([r.randint(0, 20) for _ in texts], np.int64))
+    live = np.unique(np.concatenate([k for *_, k in suffix_dedup.runs_of(texts)]))
+    text, first, last, _ = suffix_dedup._repeated_runs(texts, live)
+    least = {}
+    for k, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            least[t[j : j + 50]] = min(least.get(t[j : j + 50], 99), docs[k])
+    want = [all(least[texts[k][j : j + 50]] < docs[k] for j in range(s, e + 1)) for k, s, e in zip(text, first, last)]
+    assert suffix_dedup.decided_runs(texts, docs, text, first, last).tolist() == want and 0 < sum(want) < len(want)
+
+
 # 2 ------------------------------------------------------------------------------------------------
 
 

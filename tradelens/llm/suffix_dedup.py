@@ -7,10 +7,12 @@ is the window text plus a few bytes. The job has five steps, all of them Spark s
 
 1. shards of documents send each distinct key once (8 bytes for some 14 of text);
 2. key buckets answer which keys occur in two documents; nothing else can repeat;
-3. shards send the distinct texts of their repeated runs, packed, each with its least document;
-4. text shards, bounded in bytes and ordered by key, are sorted to suffix arrays by Larsson-Sadakane
-   refinement, get their common prefixes by Kasai's rule, and so the first document of each window;
-   where a key runs over a shard's edge, the shards' sorted windows are merged by binary search;
+3. every document shard sorts all that can repeat in it to a suffix array by Larsson-Sadakane refinement,
+   gets common prefixes by Kasai's rule, and so knows the shard's first document of each window; what an
+   earlier document of the shard holds is decided, the texts of the other runs are sent, packed;
+4. across shards, the texts of a bucket, in text shards of bounded bytes ordered by key, get suffix arrays and
+   common prefixes likewise; where a key runs over a text shard's edge, the sorted windows of the two are
+   merged by binary search;
 5. document shards mark the windows whose first document is smaller, and cut the covered bytes.
 
 A passage that a third of the corpus shares is one text a shard in step 3. A key with very many different
@@ -147,8 +149,9 @@ def _words(data: np.ndarray) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, up to ``most``, by Kasai's rule.
 
-    Walking the text, a prefix shrinks by one at most from place to place. Strips of the text are walked
-    in step, one lane each, and prefixes grow by eight bytes a comparison.
+    Walking the text, a prefix shrinks by one from place to place if its neighbour moves along; where another
+    takes its place, which an order of limited depth allows to be a worse one, it starts anew. Strips of the text
+    are walked in step, one lane each, and prefixes grow by eight bytes a comparison.
     """
     n, strip = len(data), 128
     words = np.concatenate((_words(data), np.zeros(most + 8, np.uint64)))
@@ -156,15 +159,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)
     lanes = np.arange(0, n, strip)
-    length = np.zeros(len(lanes), np.int64)
+    length, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -2, np.int64)
     limits = np.array([1 << (8 * k) for k in range(8)], np.uint64)
     for k in range(min(strip, n)):
         at = lanes + k
         if at[-1] >= n:
-            at, length = at[:-1], length[: len(at) - 1]
+            at, length, last = at[:-1], length[: len(at) - 1], last[: len(at) - 1]
             lanes = lanes[: len(at)]
         other = before[at]
-        length = np.where(other < 0, 0, np.maximum(length - 1, 0))
+        length = np.where((other >= 0) & (other == last + 1), np.maximum(length - 1, 0), 0)
+        last = other
         live = np.flatnonzero((other >= 0) & (length < most))
         while len(live):
             differ = words[at[live] + length[live]] ^ words[other[live] + length[live]]
@@ -195,6 +199,32 @@ def first_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [first[e - s : e - WINDOW + 1] for s, e in zip(sizes, ends, strict=True)]
 
 
+def decided_runs(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether all windows of a run (text number, first and last window) stand in a document of a smaller id.
+
+    One suffix array holds the bytes of all runs, each byte once, so windows are compared across all ``texts``.
+    """
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+    start, end = base[text] + first, base[text] + last + 1
+
+    def covered(ends: np.ndarray) -> np.ndarray:
+        step = np.bincount(start, minlength=len(whole) + 1) - np.bincount(ends, minlength=len(whole) + 1)
+        return np.cumsum(step[: len(whole)]) > 0
+
+    on = covered(end + WINDOW - 1)
+    place = np.cumsum(on) - 1
+    data, window = whole[on], covered(end)[on]
+    owner = docs[np.searchsorted(base, np.flatnonzero(on), side="right") - 1]
+    order = suffix_array(data, WINDOW)
+    heads = np.flatnonzero(common_prefixes(data, order, WINDOW) < WINDOW)
+    least = np.minimum.reduceat(np.where(window, owner, np.iinfo(np.int64).max)[order], heads)
+    earlier = np.empty(len(data), bool)
+    earlier[order] = np.repeat(least, np.diff(np.append(heads, len(data)))) < owner[order]
+    upto = np.concatenate(([0], np.cumsum(earlier)))
+    return upto[place[start] + last - first + 1] - upto[place[start]] == last - first + 1
+
+
 def merge_shards(left: dict[bytes, int], right: dict[bytes, int]) -> None:
     """Give equal windows of two shards the lesser document, by binary search in the sorted windows."""
     if not left or not right:
@@ -314,25 +344,25 @@ _ANSWER = [("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), (
 _ANSWER_DDL = "shard int, kind int, keys binary, firsts binary, masks binary"
 
 
-def _repeated_runs(texts: list[bytes], live: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(text number, first window, last window, key, run text) where the key is among ``live``.
+def _repeated_runs(texts: list[bytes], live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, first windows, last windows, keys) of the runs whose key is among ``live``, in order.
 
     The runs of keys with flag 2 come as single windows.
     """
     bare = live & ~np.uint64(3)
     order = np.argsort(bare)
     bare, hot = bare[order], (live[order] & np.uint64(2)).astype(bool)
-    if not len(bare):
-        return
-    for text, a, b, key in runs_of(texts):
-        at = np.minimum(np.searchsorted(bare, key), len(bare) - 1)
-        chosen = np.flatnonzero(bare[at] == key)
-        for k, s, e, x, h in zip(*(v[chosen].tolist() for v in (text, a, b, key, hot[at])), strict=True):
-            if h:
-                for w in range(s, e + 1):
-                    yield k, w, w, x, texts[k][w : w + WINDOW]
-            else:
-                yield k, s, e, x, texts[k][s : e + WINDOW]
+    found = [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)]
+    if len(bare):
+        for text, a, b, key in runs_of(texts):
+            at = np.minimum(np.searchsorted(bare, key), len(bare) - 1)
+            chosen = np.flatnonzero(bare[at] == key)
+            text, a, b, key, single = text[chosen], a[chosen], b[chosen], key[chosen], hot[at[chosen]]
+            many = np.where(single, b - a + 1, 1)
+            shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            text, a, b, key, single = (np.repeat(x, many) for x in (text, a, b, key, single))
+            found.append((text, a + shift, np.where(single, a + shift, b), key))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _pack(data: bytes) -> bytes:
@@ -359,15 +389,18 @@ def _send_texts(buckets: int):
             return _table([], fields)
         shard = docs.column("shard")[0].as_py()
         ids, texts, _ = _sorted_texts(docs)
+        text_of, first, last, key_of = _repeated_runs(texts, live)
+        decided = decided_runs(texts, np.array(ids, np.int64), text_of, first, last) if len(text_of) else np.empty(0, bool)
         least: dict[bytes, tuple[int, int]] = {}
-        for k, _, _, key, text in _repeated_runs(texts, live):
-            least.setdefault(text, (ids[k], key))  # documents come in ascending order
+        for k, s, e, key in zip(*(x[~decided].tolist() for x in (text_of, first, last, key_of)), strict=True):
+            least.setdefault(texts[k][s : e + WINDOW], (ids[k], key))  # documents come in ascending order
         hot = {int(x) & ~3 for x in live if int(x) & 2}
         deal: dict[int, list[tuple[int, int, int, bytes]]] = {}
         for number, (text, (doc, key)) in enumerate(least.items()):
             bucket = (xxhash.xxh64_intdigest(text) if key in hot else key >> 2) % buckets
             deal.setdefault(bucket, []).append((number, key, doc, text))
-        rows = []
+        # which runs are decided goes to this shard's last step by way of a bucket
+        rows = [(shard % buckets, shard, None, None, None, None, _pack(np.packbits(decided).tobytes()))]
         for bucket, own in deal.items():
             number, key, doc, text = zip(*own, strict=True)
             rows.append((
@@ -388,7 +421,11 @@ def _first_of_windows(table: pa.Table) -> pa.Table:
     doc_of: list[int] = []
     asked: list[tuple[int, np.ndarray, np.ndarray, list[int]]] = []
     columns = [table.column(n).to_pylist() for n in ("shard", "numbers", "keys", "docs", "sizes", "texts")]
+    rows = []
     for shard, *packed in zip(*columns, strict=True):
+        if packed[0] is None:
+            rows.append((shard, 2, packed[-1], None, None))
+            continue
         numbers, keys, docs, sizes, texts = map(_unpack, packed)
         own_docs, ends, at = np.frombuffer(docs, np.int64), np.cumsum(np.frombuffer(sizes, np.int32)), 0
         mine = []
@@ -407,13 +444,12 @@ def _first_of_windows(table: pa.Table) -> pa.Table:
     keys, docs = np.array(key_of, np.uint32), np.array(doc_of, np.int64)
     order = np.argsort(keys, kind="stable")
     every = list(number)
-    firsts = window_firsts([every[k] for k in order], keys[order], docs[order])
+    firsts = window_firsts([every[k] for k in order], keys[order], docs[order]) if every else []
     earlier: dict[int, bytes] = {}
     for k, first in zip(order.tolist(), firsts, strict=True):
         mask = first < docs[k]
         if mask.any():
             earlier[k] = np.packbits(mask).tobytes()
-    rows = []
     for shard, numbers, own, mine in asked:
         told = [i for i, k in enumerate(mine) if docs[k] < own[i] or k in earlier]
         if told:
@@ -431,6 +467,8 @@ def _cut_texts(docs: pa.Table, aux: pa.Table) -> pa.Table:
         return _table([], fields)
     ids, texts, _ = _sorted_texts(docs)
     told: dict[int, tuple[int, bytes]] = {}
+    text_of, first_of, last_of, _ = _repeated_runs(texts, _live(aux))
+    decided = np.zeros(len(text_of), bool)
     for kind, numbers, firsts, masks in zip(*(aux.column(n).to_pylist() for n in ("kind", "keys", "firsts", "masks")), strict=True):
         if kind == 1:
             numbers, firsts = np.frombuffer(numbers, np.int32).tolist(), np.frombuffer(firsts, np.int64).tolist()
@@ -438,10 +476,15 @@ def _cut_texts(docs: pa.Table, aux: pa.Table) -> pa.Table:
             for number, first, size in zip(numbers, firsts, np.frombuffer(masks[:at], np.int32).tolist(), strict=True):
                 told[number] = (first, masks[at : at + size])
                 at += size
+        elif kind == 2:
+            decided = np.unpackbits(np.frombuffer(_unpack(numbers), np.uint8), count=len(text_of)).astype(bool)
     seen: dict[bytes, tuple[int, int]] = {}  # run text: its number and least document here
     cuts: dict[int, list[tuple[int, int]]] = {}
-    for k, s, e, _, text in _repeated_runs(texts, _live(aux)):
-        number, own = seen.setdefault(text, (len(seen), ids[k]))
+    for k, s, e, known in zip(*(x.tolist() for x in (text_of, first_of, last_of, decided)), strict=True):
+        if known:
+            _add(cuts.setdefault(k, []), s, e + WINDOW)
+            continue
+        number, own = seen.setdefault(texts[k][s : e + WINDOW], (len(seen), ids[k]))
         first, mask = told.get(number, (own, b""))
         if ids[k] > first:
             _add(cuts.setdefault(k, []), s, e + WINDOW)
