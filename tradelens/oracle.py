@@ -383,7 +383,7 @@ _MILESTONES = "SELECT wallet, t, seen, seen // 10 AS milestone FROM (SELECT wall
 _CLOSED = f"SELECT * FROM ({_BATCHES}) WHERE w + 60 <= (SELECT max(epoch(ts)) - 600 FROM events)"
 
 SQL |= {
-    "src_stream_trades": "SELECT trade_id, wallet, condition_id, t FROM trades WHERE trade_id % 4 <> 0",
+    "src_stream_trades": "SELECT trade_id, wallet, condition_id, t FROM trades",
     "st_new_wallets": f"SELECT wallet FROM (SELECT maker AS wallet FROM fills UNION SELECT taker FROM fills) WHERE wallet NOT IN (SELECT wallet FROM trades WHERE t < {DAY0 + 86400})",
     "st_market_windows": _WINDOWS.format(starts="t // 1800 * 1800"),
     "st_market_windows_sliding": _WINDOWS.format(starts="t // 300 * 300 - unnest(range(6)) * 300"),
