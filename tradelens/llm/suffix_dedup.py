@@ -33,7 +33,7 @@ WINDOW, GRAM = 50, 24
 #: Text bytes of a document shard; of a piece hashed at once; of a text shard.
 SHARD_BYTES, CHUNK_BYTES, TEXT_BYTES = 8 << 20, 1 << 19, 1 << 20
 #: Corpus bytes whose keys, and whose repeated texts, share a bucket: few buckets pack many keys of a shard in a row.
-KEY_BUCKET_BYTES, TEXT_BUCKET_BYTES = 32 << 20, 16 << 20
+KEY_BUCKET_BYTES, TEXT_BUCKET_BYTES = 32 << 20, 8 << 20
 #: A key with more runs in one document shard, or in more shards, is dealt by single windows.
 HOT_RUNS, HOT_SHARDS = 256, 1024
 
@@ -209,11 +209,12 @@ def decided_runs(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first:
     start, end = base[text] + first, base[text] + last + 1
 
     def covered(ends: np.ndarray) -> np.ndarray:
-        step = np.bincount(start, minlength=len(whole) + 1) - np.bincount(ends, minlength=len(whole) + 1)
-        return np.cumsum(step[: len(whole)]) > 0
+        step = np.bincount(start, minlength=len(whole) + 1)
+        step -= np.bincount(ends, minlength=len(whole) + 1)
+        return np.cumsum(step, out=step)[: len(whole)] > 0
 
     on = covered(end + WINDOW - 1)
-    place = np.cumsum(on) - 1
+    place = np.cumsum(on, dtype=np.int32) - 1
     data, window = whole[on], covered(end)[on]
     owner = docs[np.searchsorted(base, np.flatnonzero(on), side="right") - 1]
     order = suffix_array(data, WINDOW)
