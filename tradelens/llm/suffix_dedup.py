@@ -33,7 +33,9 @@ WINDOW, GRAM = 50, 24
 #: Text bytes of a document shard; of a piece hashed at once; of a text shard.
 SHARD_BYTES, CHUNK_BYTES, TEXT_BYTES = 8 << 20, 1 << 19, 1 << 20
 #: Corpus bytes whose keys, and whose repeated texts, share a bucket: few buckets pack many keys of a shard in a row.
-KEY_BUCKET_BYTES, TEXT_BUCKET_BYTES = 32 << 20, 8 << 20
+KEY_BUCKET_BYTES, TEXT_BUCKET_BYTES = 32 << 20, 16 << 20
+#: Windows of a document shard that one suffix array takes; documents beyond them get another.
+SLICE_WINDOWS = 1 << 20
 #: A key with more runs in one document shard, or in more shards, is dealt by single windows.
 HOT_RUNS, HOT_SHARDS = 256, 1024
 
@@ -202,8 +204,27 @@ def first_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 def decided_runs(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Whether all windows of a run (text number, first and last window) stand in a document of a smaller id.
 
-    One suffix array holds the bytes of all runs, each byte once, so windows are compared across all ``texts``.
+    Slices of documents of bounded size are sorted one by one; what repeats across slices is left to the buckets,
+    and a slice of one document decides nothing.
     """
+    done, own, room = np.zeros(len(text), bool), np.bincount(text, last - first + 1), 0
+    cuts = []
+    for k in np.unique(text):
+        if room and room + own[k] > SLICE_WINDOWS:
+            cuts.append(k)
+            room = 0
+        room += own[k]
+    edges = [0, *np.searchsorted(text, cuts).tolist(), len(text)]
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        low, high = text[begin], text[end - 1] + 1
+        if docs[low] != docs[high - 1]:
+            part = slice(begin, end)
+            done[part] = _decided(texts[low:high], docs[low:high], text[part] - low, first[part], last[part])
+    return done
+
+
+def _decided(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``decided_runs`` of one slice: one suffix array holds the bytes of all runs, each byte once."""
     whole = np.frombuffer(b"".join(texts), np.uint8)
     base = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
     start, end = base[text] + first, base[text] + last + 1
