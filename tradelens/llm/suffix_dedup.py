@@ -115,7 +115,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     words = _words(data)
-    order = np.argsort(words, kind="stable").astype(np.int32)
+    order = np.argsort(words).astype(np.int32)
     ordered = words[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     del ordered
@@ -128,7 +128,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         members = order[slots]
         here, there = rank[members].astype(np.int64), rank[np.minimum(members.astype(np.int64) + done, n)].astype(np.int64)
         both = (here << 32) | (there + 1)
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         members, both = members[by], both[by]
         order[slots] = members
         new = np.concatenate(([True], both[1:] != both[:-1]))
