@@ -134,6 +134,45 @@ SELECT doc_id, source, epoch::INT AS epoch, md5('42:' || epoch || ':' || doc_id)
 FROM (SELECT *, unnest(range(k)) AS epoch FROM e)
 """
 
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1)::INT AS good, bool_or(toxic = 1)::INT AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM x p JOIN x q ON q.x <> p.x JOIN x r ON r.x NOT IN (p.x, q.x)
+  JOIN x s ON s.x NOT IN (p.x, q.x, r.x) JOIN x u ON u.x NOT IN (p.x, q.x, r.x, s.x)),
+b AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda j: 1 << (ascii(filter_order[j]) - 65))), 0)::INT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+g AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost FROM c, b GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
+"""
+
+_NGRAMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12 = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_NGRAMS} AS w FROM documents),
+e AS (SELECT k, unnest(w) AS w FROM d), y AS (SELECT unnest({_NGRAMS}) AS w FROM benchmark),
+v AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, x: xor(c // 256, steps[(xor(c % 256, x) + 1)::INT])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT w FROM (SELECT w FROM e UNION ALL SELECT w FROM y)), crc),
+s AS (SELECT b, count(*) AS n FROM e JOIN v USING (w) GROUP BY 1), t AS (SELECT b, count(*) AS n FROM y JOIN v USING (w) GROUP BY 1),
+g AS (SELECT v.w, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM y) + 10000)::DOUBLE)))::BIGINT AS gain FROM v LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+a AS (SELECT k, sum(gain)::BIGINT AS weight FROM e JOIN g USING (w) GROUP BY 1),
+f AS (SELECT k, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN a USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS most FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM f LEFT JOIN r USING (k)
+"""
+
 
 def llm_oracle() -> dict[str, str]:
-    return {"op2_pii": OP2, "op3_quality": OP3, "op8_line_dedup": OP8, "op9_sharding": OP9, "op10_mixing": OP10}
+    return {"op2_pii": OP2, "op3_quality": OP3, "op8_line_dedup": OP8, "op9_sharding": OP9, "op10_mixing": OP10, "op11_filter_audit": OP11, "op12_resampling": OP12}

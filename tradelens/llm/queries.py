@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import licenses, lines, mixing, neighbors, packing, pii, quality, shards, simhash, suffix_dedup
+from tradelens.llm import filter_audit, licenses, lines, mixing, neighbors, packing, pii, quality, resampling, shards, simhash, suffix_dedup
 from tradelens.llm.common import read_table
 
 
@@ -64,9 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "order_key", "mix_tokens")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.importance_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return resampling.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_suffix_dedup, op2_pii, op3_quality, op4_packing, op5_simhash,
         op6_neighbors, op7_licenses, op8_line_dedup, op9_sharding, op10_mixing,
+        op11_filter_audit, op12_resampling,
     ]
     return {f.__name__: f for f in found}
