@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import filter_audit, licenses, lines, mixing, neighbors, packing, pii, quality, resampling, shards, simhash, suffix_dedup
+from tradelens.llm import filter_audit, language_model, licenses, lines, mixing, neighbors, packing, pii, quality, resampling, shards, simhash, suffix_dedup
 from tradelens.llm.common import read_table
 
 
@@ -73,10 +73,14 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_suffix_dedup, op2_pii, op3_quality, op4_packing, op5_simhash,
         op6_neighbors, op7_licenses, op8_line_dedup, op9_sharding, op10_mixing,
-        op11_filter_audit, op12_resampling,
+        op11_filter_audit, op12_resampling, op13_lm_scores,
     ]
     return {f.__name__: f for f in found}
