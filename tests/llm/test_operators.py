@@ -584,27 +584,36 @@ def test_rules_are_many_and_ordered():
 
 
 def cut_lines(rows):
-    first, full = {}, []
+    """Each row judged by itself: a window goes if it occurs at an earlier place of (doc_id, hash of text, line)."""
+    import xxhash
+
+    places, first = [], {}
     for r in rows:
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42) if r[1] is not None else 42
+        of = h - 2**64 if h >= 2**63 else h
         ls = [(k, s.strip(" \t\n\x0b\x0c\r")) for k, s in enumerate((r[1] or "").split("\n"))]
         ls = [x for x in ls if x[1]] if r[0] is not None else []
-        full.append(ls)
-        for k in range(len(ls) - 2):
-            w = tuple(s for _, s in ls[k : k + 3])
-            first[w] = min(first.get(w, (r[0], k)), (r[0], k))
+        places.append([((r[0], of, k), tuple(s for _, s in ls[k : k + 3]), {n for n, _ in ls[k : k + 3]}) for k in range(len(ls) - 2)])
+        for at, w, _ in places[-1]:
+            first[w] = min(first.get(w, at), at)
     out = []
-    gone_of = defaultdict(set)
-    for r, ls in zip(rows, full):
-        for k in range(len(ls) - 2):
-            if (r[0], k) > first[tuple(s for _, s in ls[k : k + 3])]:
-                gone_of[r[0]] |= {k, k + 1, k + 2}
-    for r, ls in zip(rows, full):
-        gone = {ls[k][0] for k in gone_of[r[0]] if k < len(ls)} if r[0] is not None else set()
-        text = r[1] if not gone else "\n".join(s for k, s in enumerate(r[1].split("\n")) if k not in gone)
-        out.append((r[0], text, len(gone)))
+    for r, own in zip(rows, places):
+        gone = set().union(*[n for at, w, n in own if at > first[w]])
+        out.append((r[0], r[1] if not gone else "\n".join(s for k, s in enumerate(r[1].split("\n")) if k not in gone), len(gone)))
     return Counter(out)
 
 
+def test_line_dedup_cuts_only_what_repeats(spark):
+    passage, own = "p one\np two\np three", "a\nb\nc\nd\ne\nf"
+    rows = [(1, passage), (7, "x\ny\n" + passage), (7, own), (7, own), (8, own), (7, None), (9, "")]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text, r.n_cut_lines) for r in got) == cut_lines(rows)
+    assert Counter((r.doc_id, r.text) for r in got)[7, own] == 2 and (8, "") in {(r.doc_id, r.text) for r in got}
+    both = [(3, "q\n" + passage), (3, passage), (3, passage + "\nz")]
+    got = lines.line_dedup(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text, r.n_cut_lines) for r in got) == cut_lines(both) and sum(r.n_cut_lines for r in got) == 6
+
+
 def test_line_dedup(docs, clash, rows):
     want = cut_lines(rows)
     for df in (docs, clash):

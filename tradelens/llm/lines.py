@@ -1,8 +1,9 @@
 """Global removal of repeated passages by overlapping three-line windows.
 
 Three consecutive non-blank lines are hashed to one key. The first occurrence of a key in
-``(doc_id, line)`` order stays; every later one marks its three lines, overlapping marks are merged
-and the marked lines are cut out. The first aggregate combines on the map side and only keys of
+``(doc_id, text, line)`` order stays; every later one marks its three lines, overlapping marks are merged
+and the marked lines are cut out. Rows are told apart by their doc_id and a hash of their text, so that texts that
+share a doc_id do not get each other's marks. The first aggregate combines on the map side and only keys of
 repeated windows leave it, so a passage shared by a third of the corpus adds one row a task there.
 """
 
@@ -25,9 +26,10 @@ def _full_lines(text: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, at, key): each window of three consecutive non-blank lines; ``at`` counts those lines."""
+    """(doc_id, of, at, key): each window of three consecutive non-blank lines; ``of`` is the hash of its text and
+    ``at`` counts those lines."""
     lines = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(
-        F.col(f"`{doc_id}`").alias("doc_id"), _full_lines(text_or_empty(f"`{text}`")).alias("l")
+        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("of"), _full_lines(text_or_empty(f"`{text}`")).alias("l")
     )
     window = lambda x, k: F.struct(
         k.alias("at"),
@@ -35,20 +37,20 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     some = lines.where(F.size("l") >= WINDOW)
     windows = F.transform(F.slice("l", F.lit(1), F.size("l") - (WINDOW - 1)), window)
-    return some.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.at", "w.key")
+    return some.select("doc_id", "of", F.explode(windows).alias("w")).select("doc_id", "of", "w.at", "w.key")
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, at) of every window that occurred before."""
+    """(doc_id, of, at) of every window that occurred before."""
     windows = line_windows(docs, doc_id, text)
     first = (
         windows.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "of", "at")).alias("first"))
         .where("n > 1")
         .select("key", "first")
     )
     # a shuffled join, so that AQE can split the side of a hot key
-    return windows.join(first.hint("merge"), "key").where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
+    return windows.join(first.hint("merge"), "key").where(F.struct("doc_id", "of", "at") > F.col("first")).select("doc_id", "of", "at")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,18 +58,18 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Lines are compared without surrounding white space and blank lines neither count nor go. Texts of
     fewer than three non-blank lines, empty and null texts stay as they are. A repetition inside one
-    document counts as well. Rows without a doc_id stay untouched; rows that repeat a doc_id are cut
-    alike and do not count as occurrences of each other at the same place. An input column
+    document counts as well. Rows without a doc_id stay untouched; repeated rows (one doc_id and text) are cut
+    alike and do not count as occurrences of each other, different texts under one doc_id do, in the order of their hashes. An input column
     ``n_cut_lines`` is replaced; an empty table gives an empty result.
     """
     found = (
         repeated_windows(docs, doc_id, text)
-        .groupBy(F.col("doc_id").alias("_cut_id"))
+        .groupBy(F.col("doc_id").alias("_cut_id"), F.col("of").alias("_cut_of"))
         .agg(F.collect_set("at").alias("_at"))
     )
     rows, inner = sheltered(docs, "n_cut_lines")
     body = F.col(inner[text])
-    joined = rows.join(found, F.col(inner[doc_id]) == F.col("_cut_id"), "left")
+    joined = rows.join(found, (F.col(inner[doc_id]) == F.col("_cut_id")) & (F.xxhash64(inner[text]) == F.col("_cut_of")), "left")
     # the lines of a cut text are needed twice, so they are columns of their own
     marked = joined.withColumns(
         {"_lines": F.when(F.col("_at").isNotNull(), F.split(body, "\n")), "_full": F.when(F.col("_at").isNotNull(), _full_lines(body))}
