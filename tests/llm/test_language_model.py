@@ -110,7 +110,7 @@ def test_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     for k in ("classes", "words"):
         net.p[k] += r.standard_normal(net.p[k].shape).astype(np.float32)
-    h = r.standard_normal((1, 3)).astype(np.float32)
+    h = r.standard_normal((3, 1)).astype(np.float32)
     logs = [net._foretell(h, np.array([w]))[0][0] for w in range(-1, 9)]
     assert sum(map(math.exp, logs)) == pytest.approx(1, rel=1e-5)
 
@@ -137,7 +137,7 @@ def test_gradient():
         net.p[k] = (v + 0.3 * r.standard_normal(v.shape)).astype(np.float32)
     docs = [(k, r.integers(0, 11, 12).astype(np.int32), r.integers(-1, 9, 12).astype(np.int32)) for k in range(4)]
     w = next(gru.windows(iter(docs), 4, 12))
-    zero, before = np.zeros((4, 6), np.float32), {k: v.copy() for k, v in net.p.items()}
+    zero, before = np.zeros((6, 4), np.float32), {k: v.copy() for k, v in net.p.items()}
     loss = lambda: -net.score(w, zero)[0].mean()
     first, squares, eps = loss(), 0.0, 1e-3
     net._move = lambda name, rows, grad, rate: squared.append((name, rows, grad))

@@ -107,124 +107,142 @@ class Model:
                 at += v.size
 
     def _states(self, w: Window, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The states after each time, time x lanes x hidden, and the last; ``keep`` gets what the way back needs."""
-        k, gates = self.hidden, self.p["gates"]
-        x = self.p["inputs"][w.inputs.T]
-        begins, going = w.starts.any(axis=0), (~w.starts.T).astype(np.float32)[:, :, None]
-        out = np.empty((x.shape[0], x.shape[1], k), np.float32)
+        """The states after each time, hidden x time x lanes, and the last; ``keep`` gets what the way back needs.
+
+        Lanes are the last axis of all arrays, so that numpy's loops run along them.
+        """
+        k, gates = self.hidden, np.ascontiguousarray(self.p["gates"].T)
+        x = np.ascontiguousarray(self.p["inputs"][w.inputs.T].transpose(0, 2, 1))
+        begins, going = w.starts.any(axis=0), (~w.starts.T).astype(np.float32)
+        out = np.empty((k, x.shape[0], x.shape[2]), np.float32)
         for t in range(len(x)):
             if begins[t]:
                 h = h * going[t]
-            a = h @ gates
-            g = x[t, :, : 2 * k] + a[:, : 2 * k]
+            a = gates @ h
+            g, own, n = x[t, : 2 * k], a[2 * k :], x[t, 2 * k :]
+            g += a[: 2 * k]
             g *= 0.5
             np.tanh(g, out=g)
             g *= 0.5
             g += 0.5
-            own = a[:, 2 * k :]
-            n = g[:, k:] * own
-            n += x[t, :, 2 * k :]
+            n += g[k:] * own
             np.tanh(n, out=n)
             d = h - n
             if keep is not None:
                 keep.append((h, g, own, n, d))
-            h = g[:, :k] * d
+            h = g[:k] * d
             h += n
-            out[t] = h
+            out[:, t] = h
         return out, h
 
     def _foretell(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural logarithms of the probabilities of ``targets``, and the gradient with respect to ``h``."""
-        p, m = self.p, len(targets)
-        kind = self.class_of[targets]
-        every, z = np.arange(m), h @ p["classes"]
-        z += p["class_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        own = z[every, kind]
-        np.exp(z, out=z)
-        total = z.sum(axis=1)
-        out = (own - np.log(total)).astype(np.float64)
+        """Natural logarithms of the probabilities of ``targets`` after the states ``h``, hidden x targets, and the gradient with respect to ``h``."""
+        p, kind, every = self.p, self.class_of[targets], np.arange(len(targets))
+
+        def softmax(z: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The logarithms, and in ``z`` the probabilities less 1 for the own one, if asked for."""
+            z -= z.max(axis=0)
+            mine = z[own, at]
+            np.exp(z, out=z)
+            total = z.sum(axis=0)
+            if grads is not None:
+                z /= total
+                z[own, at] -= 1
+            return mine - np.log(total)
+
+        z = p["classes"].T @ h
+        z += p["class_bias"][:, None]
+        out = softmax(z, kind, every).astype(np.float64)
         dh = None
         if grads is not None:
-            z /= total[:, None]
-            z[every, kind] -= 1
-            grads["classes"], grads["class_bias"] = h.T @ z, z.sum(axis=0)
-            dh = z @ p["classes"].T
-        order = np.argsort(kind, kind="stable")
+            grads["classes"], grads["class_bias"] = h @ z.T, z.sum(axis=1)
+            dh = p["classes"] @ z
+        # columns of one class side by side
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(len(self.first)))
+        ours, which = h[:, order], targets[order]
+        inner, back = np.zeros(len(targets)), np.zeros_like(h) if grads is not None else None
         for k in range(len(self.first) - 1):
-            low, high = self.first[k], self.first[k + 1]
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows) or high - low == 1:
+            (low, high), (a, b) = self.first[k : k + 2], edges[k : k + 2]
+            if a == b or high - low == 1:
                 continue
-            own_h, which, every = h[rows], targets[rows] - low, np.arange(len(rows))
-            z = own_h @ p["words"][low:high].T
-            z += p["word_bias"][low:high]
-            z -= z.max(axis=1, keepdims=True)
-            own = z[every, which]
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            out[rows] += own - np.log(total)
+            words = p["words"][low:high]
+            z = words @ ours[:, a:b]
+            z += p["word_bias"][low:high, None]
+            inner[a:b] = softmax(z, which[a:b] - low, every[: b - a])
             if grads is not None:
-                z /= total[:, None]
-                z[every, which] -= 1
-                dh[rows] += z @ p["words"][low:high]
-                grads["blocks"].append((low, high, z.T @ own_h, z.sum(axis=0)))
+                back[:, a:b] = words.T @ z
+                grads["blocks"].append((low, high, z @ ours[:, a:b].T, z.sum(axis=1)))
+        out[order] += inner
+        if grads is not None:
+            dh[:, order] += back
         return out, dh
 
     def score(self, w: Window, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logarithms of the probabilities, lanes x time flattened (0 where a lane has ended), and the last states."""
+        """Logarithms of the probabilities, lanes x time flattened (0 where a lane has ended), and the last states, hidden x lanes."""
         states, h = self._states(w, h)
-        flat, targets = states.transpose(1, 0, 2).reshape(-1, self.hidden), w.targets.ravel()
-        real = targets > -2
+        flat, targets = states.transpose(0, 2, 1).reshape(self.hidden, -1), w.targets.ravel()
+        real = np.flatnonzero(targets > -2)
+        if len(real) == len(targets):
+            return self._foretell(flat, targets)[0], h
         out = np.zeros(len(targets))
-        out[real] = self._foretell(flat[real], targets[real])[0]
+        out[real] = self._foretell(flat[:, real], targets[real])[0]
         return out, h
 
     def _move(self, name: str, rows, grad: np.ndarray, rate: float) -> None:
         sums, square = self.sums[name], grad * grad
-        sums[rows] += square.mean(axis=1, keepdims=True) if name in ("inputs", "words") else square
-        self.p[name][rows] -= rate * grad / np.sqrt(sums[rows])
+        now = sums[rows] + (square.mean(axis=1, keepdims=True) if name in ("inputs", "words") else square)
+        sums[rows] = now
+        self.p[name][rows] -= rate * grad / np.sqrt(now)
 
     def learn(self, w: Window, h: np.ndarray, rate: float) -> np.ndarray:
         """One step down the gradient of this window; the last states are returned."""
         kept: list = []
         states, last = self._states(w, h, kept)
-        k, (steps, lanes, _) = self.hidden, states.shape
-        flat, targets = states.reshape(-1, k), w.targets.T.ravel()
+        k, steps, lanes = states.shape
+        flat, targets = states.reshape(k, -1), w.targets.T.ravel()
         real = np.flatnonzero(targets > -2)
+        whole = len(real) == len(targets)
         grads: dict = {"blocks": []}
-        _, dh_real = self._foretell(flat[real], targets[real], grads)
-        dh_all = np.zeros((steps * lanes, k), np.float32)
-        dh_all[real] = dh_real
-        dh_all = dh_all.reshape(steps, lanes, k)
-        back, gates = np.zeros((lanes, k), np.float32), np.ascontiguousarray(self.p["gates"].T)
-        da, dx = np.empty((2, steps, lanes, 3 * k), np.float32)
-        before = np.empty((steps, lanes, k), np.float32)
+        _, dh_real = self._foretell(flat if whole else flat[:, real], targets[real], grads)
+        if whole:
+            dh_all = dh_real
+        else:
+            dh_all = np.zeros((k, steps * lanes), np.float32)
+            dh_all[:, real] = dh_real
+        dh_all = dh_all.reshape(k, steps, lanes)
+        gates = self.p["gates"]
+        back = np.zeros((k, lanes), np.float32)
+        before, da, dx = np.empty((k, steps, lanes), np.float32), np.empty((3 * k, steps, lanes), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
         begins = w.starts.any(axis=0)
         for t in range(steps - 1, -1, -1):
             h0, g, own, n, d = kept[t]
-            dh = dh_all[t] + back
-            dn = dh * (1 - g[:, :k])
+            dh = dh_all[:, t] + back
+            slope = g - g * g
+            both = np.empty((3 * k, lanes), np.float32)
+            dn = both[2 * k :]
+            np.multiply(dh, 1 - g[:k], out=dn)
             dn *= 1 - n * n
-            slope = g * (1 - g)
-            dz = dh * d * slope[:, :k]
-            dr = dn * own * slope[:, k:]
-            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
-            da[t, :, : 2 * k], da[t, :, 2 * k :] = dx[t, :, : 2 * k], dn * g[:, k:]
-            back = dh * g[:, :k] + da[t] @ gates
+            np.multiply(dh * d, slope[:k], out=both[:k])
+            np.multiply(dn * own, slope[k:], out=both[k : 2 * k])
+            dx[t] = both.T
+            dn *= g[k:]
+            da[:, t] = both
+            back = dh * g[:k]
+            back += gates @ both
             if begins[t]:
-                back[w.starts[:, t]] = 0
-            before[t] = h0
+                back[:, w.starts[:, t]] = 0
+            before[:, t] = h0
         scale = np.float32(1 / max(1, len(real)))
-        self._move("gates", slice(None), before.reshape(-1, k).T @ da.reshape(-1, 3 * k) * scale, rate)
+        self._move("gates", slice(None), before.reshape(k, -1) @ da.reshape(3 * k, -1).T * scale, rate)
         self._move("classes", slice(None), grads["classes"] * scale, rate)
         self._move("class_bias", slice(None), grads["class_bias"] * scale, rate)
         for low, high, dw, db in grads["blocks"]:
             self._move("words", slice(low, high), dw * scale, rate)
             self._move("word_bias", slice(low, high), db * scale, rate)
         ids = w.inputs.T.ravel()[real]
-        order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
-        self._move("inputs", rows, np.add.reduceat(dx.reshape(-1, 3 * k)[real[order]], first) * scale, rate)
+        order = np.argsort(ids.astype(np.int16) if len(self.p["inputs"]) < 2**15 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        self._move("inputs", ids[first], np.add.reduceat(dx.reshape(-1, 3 * k)[real[order]], first) * scale, rate)
         return last

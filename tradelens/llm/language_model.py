@@ -16,6 +16,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -44,8 +45,8 @@ class Settings(NamedTuple):
     hidden: int = 16
     classes: int = 32
     rare_inputs: int = 64  # input rows that all other words share, by their last two bytes
-    lanes: int = 256  # twice as many in scoring
-    steps: int = 16
+    lanes: int = 256  # half as many again in scoring
+    steps: int = 32
     rounds: int = 2
     rate: float = 0.1
     seed: int = 13
@@ -76,6 +77,11 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("_t").cast(pa.large_binary()).to_pylist()
 
 
+def _longest_first(texts: list[bytes | None]) -> list[int]:
+    """Places of the texts of a batch, so that lanes end at about the same time."""
+    return sorted(range(len(texts)), key=lambda k: -len(texts[k] or b""))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over the texts in ``_t``, each with its end."""
 
@@ -121,12 +127,14 @@ class _Reader:
     def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Places in the dictionary (-1: none), input rows, words to foretell, and the words that have no place."""
         found = words_of_bytes(text)
-        places = np.array([self.place.get(w, -1) for w in found] + [0], np.int32)
+        places = np.zeros(len(found) + 1, np.int32)  # the last one is the end
+        places[:-1] = np.fromiter(map(self.place.get, found, repeat(-1)), np.int32, len(found))
         rows, other = self.rows[places], np.flatnonzero(places < 0)
         absent = [found[k] for k in other]
         if absent:
             rows[other] = [self.known + zlib.crc32(w[-2:]) % self.rare_inputs for w in absent]
-        inputs = np.append(self.start, rows[:-1]).astype(np.int32)
+        inputs = np.empty_like(rows)
+        inputs[0], inputs[1:] = self.start, rows[:-1]
         return places, inputs, np.where(places < self.known, places, -1), absent
 
 
@@ -162,17 +170,18 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
 
             reader, model = _Reader(shared.value, s), _model(shared.value, s)
             model.unpack(start.value)
-            state, tokens = np.zeros((s.lanes, s.hidden), np.float32), 0
+            state, tokens = np.zeros((s.hidden, s.lanes), np.float32), 0
 
             def read() -> Iterator[Sequence]:
                 for batch in batches:
-                    for t in _texts(batch):
-                        _, inputs, targets, _ = reader.read(t)
+                    texts = _texts(batch)
+                    for k in _longest_first(texts):
+                        _, inputs, targets, _ = reader.read(texts[k])
                         yield 0, inputs, targets
 
             for w in windows(read(), s.lanes, s.steps):
                 tokens += int((w.targets > -2).sum())
-                state[w.lanes] = model.learn(w, state[w.lanes], s.rate)
+                state[:, w.lanes] = model.learn(w, state[:, w.lanes], s.rate)
             if tokens:
                 flat, copy = model.packed(), TaskContext.get().partitionId()
                 parts = [flat[k : k + BLOCK] for k in range(0, len(flat), BLOCK)]
@@ -202,13 +211,15 @@ def _scored(docs: DataFrame, words: Words, model: np.ndarray, s: Settings) -> Da
         base = np.log10((counts + 1) / (w.tokens + w.distinct + 1))
         inner = np.where(np.arange(len(counts)) < w.known, 0.0, np.log10((counts + 1) / (w.rare_tokens + w.rare_distinct + 1)))
         unseen_base, unseen = -math.log10(w.tokens + w.distinct + 1), -math.log10(w.rare_tokens + w.rare_distinct + 1)
-        state, opened, sums = np.zeros((2 * s.lanes, s.hidden), np.float32), {}, {}
+        state, opened, sums = np.zeros((s.hidden, s.lanes * 3 // 2), np.float32), {}, {}
 
         def read() -> Iterator[Sequence]:
             number = 0
             for batch in batches:
-                for doc_id, held, t in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), _texts(batch)):
-                    places, inputs, targets, absent = reader.read(t)
+                ids, helds, texts = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), _texts(batch)
+                for k in _longest_first(texts):
+                    doc_id, held = ids[k], helds[k]
+                    places, inputs, targets, absent = reader.read(texts[k])
                     here, n = places[places >= 0], len(absent)
                     other = Counter(absent)
                     opened[number] = (
@@ -219,8 +230,8 @@ def _scored(docs: DataFrame, words: Words, model: np.ndarray, s: Settings) -> Da
                     yield number, inputs, targets
                     number += 1
 
-        for window in windows(read(), 2 * s.lanes, s.steps):
-            logs, state[window.lanes] = net.score(window, state[window.lanes])
+        for window in windows(read(), s.lanes * 3 // 2, s.steps):
+            logs, state[:, window.lanes] = net.score(window, state[:, window.lanes])
             for number, x in zip(window.of, np.add.reduceat(logs, window.at)):
                 sums[number] += float(x)
             done = []
