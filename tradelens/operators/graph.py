@@ -5,52 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelens.sources.shared import shared_folder
-
-
-#: Rows of one part of a busy time bucket.
-PART_ROWS = 5_000
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared ``spark.checkpoint.dir``."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from tradelens.operators import pairs
+from tradelens.sources.shared import checkpointed
 
 
 def coordinated_pairs(trades: DataFrame, window_s: int = 60, min_pairs: int = 1) -> DataFrame:
-    """Pairs of wallets with the number of their trade pairs at most ``window_s`` apart.
+    """Pairs of wallets with the number of their trade pairs at most ``window_s`` apart, from ``min_pairs`` on.
 
-    A range join by hand: times fall into buckets as wide as the window and one side meets its own and both
-    neighbouring buckets, so the join is an equi-join. Trades are first counted by wallet and second.
+    Trades are first counted by wallet and second. Busy minutes are searched by prefixes, see ``pairs``.
     """
-    x = trades.groupBy("wallet", "t").agg(F.count("*").alias("n")).withColumn("b", F.expr(f"t div {window_s}"))
-    # the left rows of a busy bucket are dealt over parts, and the right ones meet each part
-    busy = x.groupBy("b").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    left = x.join(busy, "b", "left").select(
-        F.col("wallet").alias("w1"), F.col("t").alias("t1"), F.col("n").alias("n1"), "b", F.pmod(F.xxhash64("wallet", "t"), parts).cast("int").alias("part")
-    )
-    right = x.select(F.col("wallet").alias("w2"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.explode(F.expr("array(b - 1, b, b + 1)")).alias("b"))
-    right = right.join(busy, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    near = left.join(right, ["b", "part"]).where((F.col("w1") < F.col("w2")) & (F.abs(F.col("t1") - F.col("t2")) <= window_s))
-    return near.groupBy("w1", "w2").agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs")).where(F.col("pairs") >= min_pairs)
+    return pairs.near_pairs(trades, window_s, min_pairs)
 
 
-def wallet_correlations(pairs: DataFrame) -> DataFrame:
-    both = pairs.select(F.col("w1").alias("wallet"), F.col("w2").alias("other"), "pairs").unionByName(
-        pairs.select(F.col("w2").alias("wallet"), F.col("w1").alias("other"), "pairs")
+def wallet_correlations(found: DataFrame) -> DataFrame:
+    both = found.select(F.col("w1").alias("wallet"), F.col("w2").alias("other"), "pairs").unionByName(
+        found.select(F.col("w2").alias("wallet"), F.col("w1").alias("other"), "pairs")
     )
     return both.groupBy("wallet").agg(F.count("*").alias("related"), F.sum("pairs").alias("coordinated"))
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
+def clusters(found: DataFrame) -> DataFrame:
     """(wallet, cluster_id, size): connected components labelled by their least wallet.
 
     Labels spread along the edges and then jump to the label of their label, so rounds grow with the
     logarithm of the longest path; every round is checkpointed.
     """
-    edges = pairs.select(F.col("w1").alias("a"), F.col("w2").alias("b"))
+    edges = found.select(F.col("w1").alias("a"), F.col("w2").alias("b"))
     edges = checkpointed(edges.union(edges.select("b", "a")).distinct())
     labels, last = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), None
     while True:
@@ -67,13 +47,20 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return labels.join(sizes, "l").select(F.col("a").alias("wallet"), F.col("l").alias("cluster_id"), "size", (F.col("size") - 1).alias("related"))
 
 
-def first_funding(transfers: DataFrame, max_blocks: int | None = None) -> DataFrame:
-    """Earliest incoming transfer of each wallet, within the last blocks if given."""
+def first_funding(transfers: DataFrame, max_blocks: int | None = None, native: DataFrame | None = None) -> DataFrame:
+    """Earliest incoming transfer of each wallet, within the last blocks if given.
+
+    A wallet without a token transfer there takes its earliest of ``native``, of the same columns, at whatever block. Both are one
+    aggregate: token transfers come first in its order.
+    """
     if max_blocks is not None:
         transfers = transfers.where(F.col("block") >= transfers.select(F.max("block") - max_blocks).scalar())
-    return transfers.groupBy(F.col("to_wallet").alias("wallet")).agg(
-        F.min(F.struct("block", "transfer_id", "from_wallet", "value_c", "t")).alias("x")
-    ).select("wallet", F.col("x.from_wallet").alias("source"), F.col("x.block").alias("block"), F.col("x.value_c").alias("value_c"), F.col("x.t").alias("funded_t"))
+    names = ["to_wallet", "block", "transfer_id", "from_wallet", "value_c", "t"]
+    every = transfers.select(*names, F.lit(0).alias("kind"))
+    if native is not None:
+        every = every.unionByName(native.select(*names, F.lit(1).alias("kind")))
+    out = every.groupBy(F.col("to_wallet").alias("wallet")).agg(F.min(F.struct("kind", "block", "transfer_id", "from_wallet", "value_c", "t")).alias("x"))
+    return out.select("wallet", F.col("x.from_wallet").alias("source"), F.col("x.block").alias("block"), F.col("x.value_c").alias("value_c"), F.col("x.t").alias("funded_t"))
 
 
 def funding_clusters(wallets: DataFrame, first: DataFrame) -> DataFrame:
@@ -129,14 +116,23 @@ def flow_summary(transfers: DataFrame, max_blocks: int = 10_000) -> DataFrame:
 def just_in_time_funding(trades: DataFrame, res: DataFrame, transfers: DataFrame, within_s: int = 3600) -> DataFrame:
     """For each (wallet, closed market) the last funding strictly before the close: an as-of join.
 
-    Fundings and closes of a wallet lie in one sorted window, so a wallet's fundings are read once and not
-    paired with each of its markets.
+    Fundings and closes of a wallet and day lie in one sorted window, so a wallet's fundings are read once and not
+    paired with each of its markets; from earlier days three numbers a wallet and day are carried. A busy wallet is
+    so many tasks as it has days.
     """
     held = trades.select("wallet", "condition_id").distinct().join(res.select("condition_id", "closed_at"), "condition_id")
     f = transfers.select(F.col("to_wallet").alias("wallet"), "t", F.lit(None).cast("int").alias("condition_id"), F.col("t").alias("last_t"), F.col("value_c"))
     q = held.select("wallet", F.col("closed_at").alias("t"), "condition_id", F.lit(None).cast("long").alias("last_t"), F.lit(None).cast("long").alias("value_c"))
-    w = Window.partitionBy("wallet").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    both = f.unionByName(q).withColumns({"before": F.max("last_t").over(w), "largest_c": F.max("value_c").over(w), "first_t": F.min("last_t").over(w)})
-    out = both.where("condition_id is not null and before is not null")
+    both = f.unionByName(q).withColumn("day", F.expr("t div 86400"))
+    inside = Window.partitionBy("wallet", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("wallet").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy("wallet", "day").agg(F.max("last_t").alias("last"), F.max("value_c").alias("most"), F.min("last_t").alias("first"))
+    carried = days.select(
+        "wallet", "day", F.max("last").over(earlier).alias("_last"), F.max("most").over(earlier).alias("_most"), F.min("first").over(earlier).alias("_first")
+    )
+    both = both.withColumns({"own": F.max("last_t").over(inside), "most": F.max("value_c").over(inside), "first": F.min("last_t").over(inside)})
+    out = both.where("condition_id is not null").join(carried, ["wallet", "day"])
+    before, largest = F.coalesce("own", "_last"), F.greatest("most", "_most")  # nulls do not count
+    out = out.withColumns({"before": before, "largest_c": largest, "first_t": F.coalesce("_first", "first")}).where("before is not null")
     gap = F.col("t") - F.col("before")
     return out.select("wallet", "condition_id", F.col("before").alias("last_funding_t"), "first_t", "largest_c", (gap / 60).alias("minutes"), (gap < within_s).alias("just_in_time"))
