@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tradelens.operators import graph, incremental, joins, market, ml, positions, profiles, ranks
+from tradelens.operators import graph, incremental, joins, market, ml, pairs, positions, profiles, ranks
 from tradelens.plans import detector
 from tradelens.sources import reads
 from tradelens.sources.tables import Tables
@@ -48,8 +48,28 @@ def test_average_cost(spark):
             s[2] = s[2] if s[0] > 0 else 0
     for w, r in got.items():
         assert abs(r.profit - profit[w]) < 1e-3 and r.profitable_trades == wins[w]
-    by = lambda streamed: sorted(map(tuple, profiles.avg_cost_by_market(trades(spark, rows), streamed).collect()))
-    assert by(True) == by(False)
+    by = lambda folded: sorted(map(tuple, profiles.avg_cost_by_market(trades(spark, rows), folded).collect()))
+    for a, b, mixed in zip(by(0), by(10**6), by(6)):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9) and mixed == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("sell", [0.45, 0.6])
+def test_average_cost_of_one_very_large_group(spark, sell):
+    """One wallet in one market; costs fade through many blocks of the recurrence, and the holding is flat at times."""
+    r = random.Random(5)
+    rows = [(k, 1, 1, k // 3, "SELL" if r.random() < sell else "BUY", r.randint(5, 95), 0, r.randint(1, 60)) for k in range(60_000)]
+    qty, cost, profit, wins = 0.0, 0.0, 0.0, 0
+    for *_, side, price, _, size in rows:
+        if side == "BUY":
+            qty, cost = qty + size, cost + size * price / 100
+        elif qty > 0:
+            gain = price / 100 - cost / qty
+            left = max(qty - size, 0.0)
+            profit, wins = profit + gain * size, wins + (gain > 1e-9)
+            qty, cost = left, cost * left / qty
+    got = profiles.avg_cost_by_market(trades(spark, rows), 1000).first()
+    assert got.n == len(rows) and got.open_qty == pytest.approx(qty) and got.profit == pytest.approx(profit, rel=1e-7) and got.profitable == wins
+    assert got.avg_price == pytest.approx(cost / qty if qty > 0.5 else 0, rel=1e-7)
 
 
 def test_cooldown(spark):
@@ -64,6 +84,34 @@ def test_cooldown(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("seconds", [1, 60, 600])
+def test_cooldown_of_one_dense_market(spark, seconds):
+    """Long runs without a gap, equal times and equal alerts."""
+    r = random.Random(seconds)
+    rows = [(1, r.randint(0, 9000), "CRITICAL_TRADER" if r.random() < 0.01 else "A") for _ in range(4000)] + [(2, 5, "A"), (2, 5, "A"), (3, 7, "CRITICAL_TRADER")]
+    want, last = [], {}
+    for m, t, level in sorted(rows):
+        if level == "CRITICAL_TRADER" or m not in last or t - last[m] >= seconds:
+            last[m] = t
+            want.append((m, t, level))
+    df = spark.createDataFrame(rows, "condition_id int, t long, alert_level string")
+    assert sorted(map(tuple, market.cooldown(df, seconds).collect())) == want
+    assert market.cooldown(df.limit(0), seconds).count() == 0
+
+
+def test_price_jumps_thin_a_long_slope(spark):
+    """Magnitudes that rise from hour to hour keep the rounds going; ties go to the earlier start."""
+    p = [(1, h * 3600, 5 + (h % 150) // 10 * 5 if h % 150 < 100 else 60) for h in range(900)]
+    df = spark.createDataFrame(p, "condition_id int, t long, p long")
+    found = [(x.magnitude, x.start_t) for x in market.jump_candidates(df, 0.05).collect()]
+    kept = []
+    for _, s in sorted(found, key=lambda x: (-x[0], x[1])):
+        if all(abs(s - k) >= 86400 for k in kept):
+            kept.append(s)
+    assert sorted(x.start_t for x in market.price_jumps(df, 0.05).collect()) == sorted(kept) and len(kept) > 10
+    assert market.price_jumps(df.limit(0), 0.05).count() == 0
+
+
 def test_price_jumps(spark):
     r = random.Random(3)
     prices = [(m, h * 3600, r.randint(5, 95)) for m in (1, 2) for h in range(120) if r.random() < 0.7]
@@ -195,7 +243,7 @@ def test_stream_windows_equal_batch(spark):
 def test_busy_buckets_are_dealt_in_parts(spark, monkeypatch):
     df = trades(spark, some(8, 400))
     plain = sorted(map(tuple, graph.coordinated_pairs(df, 600).collect()))
-    monkeypatch.setattr(graph, "PART_ROWS", 3)
+    monkeypatch.setattr(pairs, "PART_ROWS", 3)
     assert sorted(map(tuple, graph.coordinated_pairs(df, 600).collect())) == plain
 
 
@@ -208,6 +256,8 @@ def test_ranks_by_blocks(spark):
     want = df.withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("v"))))
     got = ranks.ranked(df, ["g"], ranks.value_block(F.col("v")), [F.desc("v")], ties=True)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    counted = ranks.ranked_values(df, ["g"], "v", "place")
+    assert counted.columns == want.columns and sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
     every = ranks.ranked(df, [], ranks.value_block(F.col("v")), [F.desc("v"), F.col("k")]).orderBy("place").collect()
     assert [x.place for x in every] == list(range(1, 501)) and [x.k for x in every] == [k for k, _, _ in sorted(rows, key=lambda x: (-x[2], x[0]))]
 
@@ -293,3 +343,119 @@ def test_model_learns_and_gives_probabilities(spark):
     got = ml.predict(ml.train(data.where("trade_id < 300")), data.where("trade_id >= 300")).collect()
     assert len(got) == 100 and all(0 <= x.probability <= 1 and x.prediction == (x.probability > 0.5) for x in got)
     assert sum(x.prediction == x.label for x in got) >= 90
+
+
+def test_no_row_is_predicted_by_a_model_that_saw_its_wallet(spark):
+    """Out of fold: every row once, wallets in one fold each, and better than chance where features tell."""
+    r = random.Random(14)
+    rows = []
+    for k in range(600):
+        rate, side = r.random(), r.choice(["BUY", "SELL"])
+        rows.append((k, k % 40, side, r.choice(["tech", "crypto"]), int(rate > 0.6 and side == "BUY"), r.randint(1, 90), rate, *[r.random() for _ in range(5)]))
+    names = "trade_id long, wallet long, side string, market_type string, label int, total_trades long, winrate double, iax_score double, total_edge double, avg_conviction double, avg_obscurity double, avg_urgency double"
+    data = spark.createDataFrame(rows, names)
+    starts = spark.createDataFrame([(w, 1000 + 7 * w) for w in range(40)], "wallet long, first_t long")
+    cut_ = ml.time_folds(data, starts, 3).cache()
+    folds = {(x.wallet, x.fold) for x in cut_.select("wallet", "fold").distinct().collect()}
+    assert len(folds) == 40 and {f for _, f in folds} == {0, 1, 2}
+    assert [f for _, f in sorted(folds)] == sorted(f for _, f in folds)  # later wallets, later folds
+    got = ml.out_of_fold(cut_, 3)
+    rows_ = got.collect()
+    assert sorted(x.trade_id for x in rows_) == list(range(600)) and all(0 <= x.probability <= 1 for x in rows_)
+    base = sum(x.label for x in rows_) / len(rows_)
+    assert 0.1 < base < 0.3 and ml.area_under_curve(got) > 0.9
+    fold_of = {x.trade_id: x.fold for x in cut_.collect()}
+    assert all(x.fold == fold_of[x.trade_id] for x in rows_)
+    # the model of a fold is the one that its other folds give
+    own = ml.predict(ml.train(cut_.where("fold <> 1")), cut_.where("fold = 1"))
+    assert {(x.trade_id, x.probability) for x in own.collect()} == {(x.trade_id, x.probability) for x in rows_ if x.fold == 1}
+
+
+def test_profile_store_folds_and_leaves_other_buckets(spark, tmp_path):
+    rows = some(21, 900)
+    wallets = {w for _, w, *_ in rows}
+    res = spark.createDataFrame([(1, 0, 1_704_067_200 + 86400), (2, 1, 1_704_067_200 + 90000)], "condition_id int, winner_idx int, closed_at long")
+    cut_ = 1_704_067_200 + 86400
+    df = trades(spark, rows)
+    store = incremental.ProfileStore(spark, str(tmp_path / "profiles"), 8)
+    assert store.read().count() == 0
+    store.fold(df.where(f"t < {cut_}"), res)
+    store.fold(df, res)
+    drop = lambda x: incremental.with_rates(x)
+    columns = sorted(drop(store.read().drop("bucket")).columns)
+    once = sorted(map(tuple, drop(incremental.profile_partials(df, res)).select(*columns).collect()))
+    assert sorted(map(tuple, drop(store.read().drop("bucket")).select(*columns).collect())) == once and len(once) == len(wallets)
+    files_ = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "profiles").rglob("*.parquet")}
+    before = files_()
+    assert store.fold(df, res) == [] and files_() == before  # nothing new, nothing written
+    one = trades(spark, [(10**6, 3, 1, cut_ + 10**6, "BUY", 50, 0, 10)])
+    touched = store.fold(one, res)
+    changed = {f for f in set(before) ^ set(files_())}
+    assert len(touched) == 1 and changed and all(f"bucket={touched[0]}/" in f for f in changed)
+    got = {r.wallet: r for r in drop(store.read()).collect()}
+    want = {r.wallet: r for r in drop(incremental.profile_partials(df.unionByName(one), res)).collect()}
+    assert {w: (r.trades, r.volume_c, r.wins, r.last_t, r.winrate) for w, r in got.items()} == {w: (r.trades, r.volume_c, r.wins, r.last_t, r.winrate) for w, r in want.items()}
+
+
+def test_market_sketch_is_within_its_error(spark):
+    big = spark.range(60_000).select(
+        F.col("id").alias("trade_id"), F.lit(1).cast("long").alias("wallet"), (F.col("id") % 20_000).cast("int").alias("condition_id"), F.col("id").alias("t"),
+        F.lit("BUY").alias("side"), F.lit(50).cast("long").alias("price_c"), F.lit(0).alias("outcome_index"), F.lit(1).cast("long").alias("size"), F.lit(50).cast("long").alias("value_c"),
+    )
+    res = spark.createDataFrame([], "condition_id int, winner_idx int, closed_at long")
+    halves = incremental.merge_profiles(incremental.profile_partials(big.where("t < 25000"), res), incremental.profile_partials(big.where("t >= 25000"), res))
+    got = incremental.with_rates(halves).first()
+    assert got.trades == 60_000 and abs(got.markets - 20_000) < 3 * 0.0163 * 20_000
+
+
+def test_funding_before_a_close_is_found_across_days(spark):
+    r = random.Random(22)
+    day = 86400
+    rows = [(k, r.randint(1, 4), r.randint(1, 9), 0, "BUY", 50, 0, 1) for k in range(60)]
+    closes = [(m, 0, r.randint(1, 12) * day + r.choice([0, 1, r.randint(2, day - 1)])) for m in range(1, 8)]
+    moves = [(k, 9, w, r.randint(1, 900), t) for k, (w, t) in enumerate((r.randint(1, 3), r.choice([r.randint(0, 12) * day, r.randint(0, 13 * day)])) for _ in range(40))]
+    moves += [(100 + k, 9, 1, 5, t) for k, (_, _, t) in enumerate(closes[:3])]  # a funding at the close is not before it
+    got = graph.just_in_time_funding(
+        trades(spark, rows), spark.createDataFrame(closes, "condition_id int, winner_idx int, closed_at long"),
+        spark.createDataFrame(moves, "transfer_id long, from_wallet long, to_wallet long, value_c long, t long"),
+    ).collect()
+    want = set()
+    for w, m in {(x[1], x[2]) for x in rows}:
+        for close in (t for k, _, t in closes if k == m):
+            own = [(t, v) for _, _, to, v, t in moves if to == w and t < close]
+            if own:
+                last = max(t for t, _ in own)
+                want.add((w, m, last, min(t for t, _ in own), max(v for _, v in own), (close - last) / 60, close - last < 3600))
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 10
+
+
+def test_first_funding_falls_back_to_native_transfers(spark):
+    kind = "transfer_id long, from_wallet long, to_wallet long, value_c long, block long, t long"
+    tokens = spark.createDataFrame([(1, 7, 1, 10, 50, 50), (2, 8, 1, 10, 40, 40), (3, 9, 2, 10, 5, 5)], kind)
+    native = spark.createDataFrame([(4, 5, 1, 1, 1, 1), (5, 6, 2, 1, 3, 3), (6, 4, 2, 1, 2, 2), (7, 3, 3, 1, 60, 60)], kind)
+    of = lambda *a: {x.wallet: x.source for x in graph.first_funding(*a).collect()}
+    assert of(tokens) == {1: 8, 2: 9}
+    assert of(tokens, 20, native) == {1: 8, 2: 4, 3: 3}  # wallet 2 has no token transfer in the last 20 blocks
+    assert of(tokens.limit(0), None, native) == {1: 5, 2: 4, 3: 3}
+
+
+def test_trader_files_are_preferred_to_batches(spark, tmp_path):
+    df, at = trades(spark, some(23, 40)), str(tmp_path / "collected")
+    with pytest.raises(FileNotFoundError):
+        reads.collected_trades(spark, at)
+    reads.write_batch_files(df.where("trade_id < 30"), at, "1")
+    reads.write_batch_files(df.where("trade_id >= 30").drop("side"), at, "2")
+    batches = reads.collected_trades(spark, at)
+    assert batches.count() == 40 and batches.where("side is null").count() == 10
+    reads.write_trader_files(df.where("wallet = 3"), at, "3")
+    assert {x.wallet for x in reads.collected_trades(spark, at).collect()} == {3}
+
+
+def test_messages_that_cannot_be_used_are_kept_apart(spark):
+    lines = ['{"type":"trade","trade_id":1,"wallet":2,"condition_id":3,"t":4,"side":"BUY"}', '{"type":"trade","trade_id":1,"wal', "", "null", "[]", '{"trade_id":1}',
+             '{"type":"trade","trade_id":1,"wallet":2,"t":4}', '{"type":"book","condition_id":3,"t":4}', '{"type":"book"}', '{"type":"ping"}', '{"type":"trade","trade_id":"x","wallet":2,"condition_id":3,"t":4}', None]
+    x = streams.parse_messages(spark.createDataFrame([(v,) for v in lines], "value string"))
+    assert [r.trade_id for r in streams.route(x).collect()] == [1] and streams.route(x, "book").count() == 1 and streams.route(x, "ping").count() == 1
+    bad = [r.reason for r in streams.unreadable(x).collect()]
+    assert sorted(bad) == ["incomplete"] * 3 + ["malformed"] * 6
+    assert {r.value for r in streams.unreadable(x).collect()} < set(lines)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.scalars import ratio
+from tradelens.sources.shared import checkpointed
 
 c = F.col
 HALF_HOUR = 1800
@@ -51,19 +49,24 @@ def baseline_z(stats: DataFrame, points: int = 168, least: int = 24) -> DataFram
     """z of volume, traders and velocity against the market's last ``points`` hours; 0 below ``least`` of them.
 
     The point of an hour is its last half hour, as ``stats`` of half-hour windows have it; hours without trades
-    are points of zero. These need no rows: a range frame sums the points there are, and their number follows
-    from the market's first hour. Sums are exact, so z does not depend on the order of rows.
+    are points of zero. These need no rows: sums go over the points there are, and their number follows
+    from the market's first hour. A sum over the last hours is the difference of two sums that only grow, up to the hour
+    before and up to the one before the baseline begins, so work does not depend on ``points``. Sums are exact, so
+    z does not depend on the order of rows.
     """
     hour, first = F.expr("w div 3600 * 3600"), Window.partitionBy("condition_id")
     x = stats.withColumn("_hour", hour).withColumn("_first", F.min("_hour").over(first))
     n = F.least(F.lit(points).cast("long"), F.expr("(_hour - _first) div 3600"))
-    w = Window.partitionBy("condition_id").orderBy("_hour").rangeBetween(-3600 * points, -3600)
+    growing = lambda hours: Window.partitionBy("condition_id").orderBy("_hour").rangeBetween(Window.unboundedPreceding, -3600 * hours)
+    now, before = growing(1), growing(points + 1)
     last_half = c("w") - c("_hour") == HALF_HOUR
+    zero = F.lit(0).cast("decimal(38,0)")
 
     def z(name: str) -> Column:
         v = c(name).cast("decimal(18,0)")
         point = F.when(last_half, v)
-        s, square = F.coalesce(F.sum(point).over(w), F.lit(0)), F.coalesce(F.sum(point * point).over(w), F.lit(0))
+        last = lambda x: F.coalesce(F.sum(x).over(now), zero) - F.coalesce(F.sum(x).over(before), zero)
+        s, square = last(point).cast("decimal(19,0)"), last(point * point)
         # n (x - mean) and n times the deviation, in whole numbers
         spread = (c("points") * square - s * s).cast("double")
         return F.round(F.when((c("points") >= least) & (spread > 0), (c("points") * v - s).cast("double") / F.sqrt(spread)).otherwise(0.0), 6)
@@ -122,24 +125,30 @@ def critical_trader_alerts(trades: DataFrame, critical: DataFrame, single_c: int
 def cooldown(alerts: DataFrame, seconds: int = 600) -> DataFrame:
     """Alerts of a market at least ``seconds`` after its last one; CRITICAL_TRADER always passes and is recorded.
 
-    ``alerts(condition_id, t, alert_level)``: sequential by nature. Each task reads its markets' alerts in order
-    as a stream and holds the time of one last alert.
+    ``alerts(condition_id, t, alert_level)``. After an alert that passes, the next to pass is the first one that is critical or far enough
+    in time; that pointer depends on the alert alone, so all are found at once by two windows. An alert after a
+    gap of ``seconds``, a critical one and a market's first pass in any case; from these the pointers are followed, twice as
+    far each round, so rounds grow with the logarithm of the longest run of alerts without such a gap.
     """
-    rows = alerts.select("condition_id", "t", "alert_level").repartition("condition_id").sortWithinPartitions("condition_id", "t", "alert_level")
-
-    def passed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        market, last = None, None
-        for frame in frames:
-            kept = []
-            for own, t, level in frame.itertuples(index=False):
-                if own != market:
-                    market, last = own, None
-                fits = level == "CRITICAL_TRADER" or last is None or t - last >= seconds
-                last = t if fits else last
-                kept.append(fits)
-            yield frame[kept]
-
-    return rows.mapInPandas(passed, rows.schema)
+    market, always = Window.partitionBy("condition_id"), c("alert_level") == "CRITICAL_TRADER"
+    x = alerts.select("condition_id", "t", "alert_level").withColumn("k", F.row_number().over(market.orderBy("t", "alert_level")))
+    back = market.orderBy(F.desc("k"))
+    x = x.withColumns({
+        "gap": c("t") - F.lag("t").over(market.orderBy("k")),
+        # frames that grow toward earlier rows
+        "free": F.min("k").over(market.orderBy((-c("t")).asc()).rangeBetween(Window.unboundedPreceding, -seconds)),
+        "forced": F.min(F.when(always, c("k"))).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    passed = always | c("gap").isNull() | (c("gap") >= seconds)
+    now = checkpointed(x.select("condition_id", "t", "alert_level", "k", F.least("free", "forced").alias("next"), passed.alias("passed")))
+    while True:
+        far = now.select("condition_id", c("k").alias("next"), c("next").alias("after"))
+        follow = now.where("passed and next is not null").select("condition_id", c("next").alias("k")).distinct().withColumn("hit", F.lit(True))
+        found = now.join(follow, ["condition_id", "k"], "left").join(far, ["condition_id", "next"], "left")
+        step = checkpointed(found.select("condition_id", "t", "alert_level", "k", c("after").alias("next"), (c("passed") | F.coalesce("hit", F.lit(False))).alias("passed"), c("passed").alias("before")))
+        now = step.drop("before")
+        if step.where("passed and not before").isEmpty():
+            return now.where("passed").select("condition_id", "t", "alert_level")
 
 
 def top_markets(trades: DataFrame, markets: DataFrame, top: int = 100) -> DataFrame:
@@ -221,15 +230,30 @@ def jump_candidates(prices: DataFrame, threshold: float = 0.1, ahead_s: int = 86
     )
 
 
+#: Rounds of thinning between two checkpoints; they share one shuffle.
+ROUNDS = 4
+
+
 def price_jumps(prices: DataFrame, threshold: float = 0.1, apart_s: int = 86400) -> DataFrame:
-    """Candidates thinned greedily: largest first, kept if a day apart from all kept ones of the market."""
-    lists = jump_candidates(prices, threshold).groupBy("condition_id").agg(
-        F.array_sort(F.collect_list(F.struct((-c("magnitude")).alias("m"), c("start_t").alias("s"), c("end_t").alias("e"), c("direction").alias("d")))).alias("xs")
-    )
-    step = f"(a, x) -> case when forall(a, k -> abs(k.s - x.s) >= {apart_s}) then concat(a, array(x)) else a end"
-    zero = "cast(array() as array<struct<m:double,s:bigint,e:bigint,d:string>>)"
-    kept = lists.select("condition_id", F.explode(F.expr(f"aggregate(xs, {zero}, {step})")).alias("x"))
-    return kept.select("condition_id", c("x.s").alias("start_t"), c("x.e").alias("end_t"), c("x.d").alias("direction"), (-c("x.m")).alias("magnitude"))
+    """Candidates thinned greedily: largest first, kept if ``apart_s`` from all kept ones of the market.
+
+    In rounds: a candidate that comes before all others around it is kept, whatever else happens, and those around it go. Frames
+    reach ``apart_s`` either way, so none holds more than the candidates of two days; a round keeps the first of all that
+    are left, so rounds end.
+    """
+    near = Window.partitionBy("condition_id").orderBy("start_t").rangeBetween(1 - apart_s, apart_s - 1)
+    order = F.struct("magnitude", (-c("start_t")).alias("s"))
+    open_, done = F.lit(0), F.lit(1)  # state: open, kept, gone (2)
+    now = jump_candidates(prices, threshold).withColumn("state", open_)
+    while True:
+        for _ in range(ROUNDS):
+            rank = F.when(c("state") == open_, order)
+            now = now.withColumn("first", F.max(rank).over(near)).withColumn("state", F.when((c("state") == open_) & (c("first") == order), done).otherwise(c("state")))
+            kept = F.max(F.when(c("state") == done, 1)).over(near)
+            now = now.withColumn("state", F.when((c("state") == open_) & (kept == 1), 2).otherwise(c("state"))).drop("first")
+        now = checkpointed(now)
+        if now.where(c("state") == open_).isEmpty():
+            return now.where(c("state") == done).drop("state")
 
 
 def pre_jump_trades(trades: DataFrame, jumps: DataFrame, before_s: int = 2 * 86400) -> DataFrame:

@@ -18,8 +18,7 @@ def features(labels: DataFrame, trades: DataFrame, profiles: DataFrame, iax: Dat
 NUMBERS = ("total_trades", "winrate", "iax_score", "total_edge", "avg_conviction", "avg_obscurity", "avg_urgency")
 
 
-def train(data: DataFrame, seed: int = 7, rounds: int = 10):
-    """A fitted pipeline of indexers, assembler and gradient-boosted trees; every stage runs on Spark."""
+def _pipeline(seed: int, rounds: int):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -27,7 +26,12 @@ def train(data: DataFrame, seed: int = 7, rounds: int = 10):
     index = StringIndexer(inputCols=["side", "market_type"], outputCols=["side_i", "type_i"], handleInvalid="keep")
     join = VectorAssembler(inputCols=["side_i", "type_i", *NUMBERS], outputCol="features", handleInvalid="keep")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=4, seed=seed)
-    return Pipeline(stages=[index, join, trees]).fit(data)
+    return Pipeline(stages=[index, join, trees])
+
+
+def train(data: DataFrame, seed: int = 7, rounds: int = 10):
+    """A fitted pipeline of indexers, assembler and gradient-boosted trees; every stage runs on Spark."""
+    return _pipeline(seed, rounds).fit(data)
 
 
 def predict(model, data: DataFrame) -> DataFrame:
@@ -37,6 +41,42 @@ def predict(model, data: DataFrame) -> DataFrame:
     return out.select("trade_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def time_folds(data: DataFrame, starts: DataFrame, folds: int = 3) -> DataFrame:
+    """``data`` with ``fold``: wallets cut by the time of their first trade into parts of like size, so no wallet is in two.
+
+    ``starts(wallet, first_t)``. The cuts, ``folds - 1`` numbers, reach the driver.
+    """
+    own = data.select("wallet").distinct().join(starts, "wallet")
+    cuts = own.approxQuantile("first_t", [k / folds for k in range(1, folds)], 0.001)
+    fold = sum((F.when(F.col("first_t") > F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)).cast("int")
+    return data.join(own.select("wallet", fold.alias("fold")), "wallet")
+
+
+def out_of_fold(data: DataFrame, folds: int = 3, seed: int = 7, rounds: int = 10) -> DataFrame:
+    """Each row of ``data(..., label, fold)`` predicted by a model that saw no row of its fold.
+
+    Models of gradient-boosted trees with their indexers are fitted by a cross-validation over the fold column; every stage runs on Spark.
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    cross = CrossValidator(
+        estimator=_pipeline(seed, rounds), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(labelCol="label"),
+        numFolds=folds, foldCol="fold", collectSubModels=True, seed=seed,
+    )
+    out = None
+    for k, (model,) in enumerate(cross.fit(data).subModels):
+        part = predict(model, data.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def area_under_curve(predicted: DataFrame) -> float:
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability").evaluate(predicted)
+
+
 def categorical_columns(df: DataFrame, max_categories: int = 100, approximate: bool = False) -> DataFrame:
     """(name, distinct, categorical): string columns of at most ``max_categories`` values are categories."""
     count = F.approx_count_distinct if approximate else F.count_distinct

@@ -6,14 +6,11 @@ computed at once; partial aggregation runs before each shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.scalars import TOPICS, ratio, risk_category, topic
-from tradelens.operators.ranks import ranked, value_block
+from tradelens.operators.ranks import ranked_values
 
 WHALE_C, MEGA_C = 500_000, 2_500_000
 
@@ -207,55 +204,16 @@ _STEP = """(a, x) -> case when x.side = 'BUY' then named_struct(
     'wins', a.wins + case when a.qty > 0 and (x.price_c / 100D - a.avg) * x.size > 0 then 1L else 0L end) end"""
 
 
-_COST = "wallet long, condition_id int, n long, volume_c long, profit double, profitable long, open_qty double, avg_price double"
-
-
-def _cost_streamed(trades: DataFrame) -> DataFrame:
-    """``avg_cost_by_market`` by one pass over sorted trades: a group of any size needs one state in memory."""
-    names = ["wallet", "condition_id", "t", "trade_id", "side", "size", "price_c", "value_c"]
-    rows = trades.select(*names).repartition("wallet", "condition_id").sortWithinPartitions("wallet", "condition_id", "t", "trade_id")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None  # n, volume, profit, wins, quantity, invested, average
-        for frame in frames:
-            done = []
-            for wallet, market, _, _, side, size, price, value in frame.itertuples(index=False):
-                if key != (wallet, market):
-                    if key is not None:
-                        done.append((*key, *state[:5], state[6]))
-                    key, state = (wallet, market), [0, 0, 0.0, 0, 0.0, 0.0, 0.0]
-                state[0] += 1
-                state[1] += value
-                if side == "BUY":
-                    state[5] += size * (price / 100)
-                    state[4] += size
-                    state[6] = state[5] / state[4] if state[4] else 0.0
-                else:
-                    if state[4] > 0:
-                        gain = (price / 100 - state[6]) * size
-                        state[2] += gain
-                        state[3] += gain > 0
-                    sold = min(float(size), state[4])
-                    state[4], state[5] = state[4] - sold, state[5] - sold * state[6]
-                    state[6] = state[6] if state[4] > 0 else 0.0
-            yield pd.DataFrame(done, columns=_COST_NAMES)
-        if key is not None:
-            yield pd.DataFrame([(*key, *state[:5], state[6])], columns=_COST_NAMES)
-
-    return rows.mapInPandas(fold, _COST)
-
-
-_COST_NAMES = [x.split()[0] for x in _COST.split(", ")]
-
-
-def avg_cost_by_market(trades: DataFrame, streamed: bool = False) -> DataFrame:
-    """Ordered average-cost result of each (wallet, market).
+#: Trades of a wallet in a market from which on no array of them is made.
+FOLDED = 10_000
+#: Fall of the logarithm of what is left of a cost within one block of the recurrence.
+DECAY = 300.0
+#: Prices closer than this are equal.
+SAME = 1e-9
 
-    The trades of a group are folded as one array inside the JVM; where a wallet may have millions of trades in
-    a market, ``streamed`` reads them in order instead and holds no group in memory.
-    """
-    if streamed:
-        return _cost_streamed(trades)
+
+def _cost_folded(trades: DataFrame) -> DataFrame:
+    """``avg_cost_by_market`` by one fold over the sorted trades of a group, as an array."""
     lists = trades.groupBy("wallet", "condition_id").agg(
         F.array_sort(F.collect_list(F.struct("t", "trade_id", "side", "size", "price_c"))).alias("xs"),
         F.count("*").alias("n"), F.sum("value_c").alias("v"),
@@ -265,9 +223,61 @@ def avg_cost_by_market(trades: DataFrame, streamed: bool = False) -> DataFrame:
     )
 
 
-def avg_cost_pnl(trades: DataFrame, streamed: bool = False) -> DataFrame:
+def cost_recurrence(trades: DataFrame) -> DataFrame:
+    """``avg_cost_by_market`` by windows alone: sorted rows that Spark can spill, whatever the size of a group.
+
+    Closing at most what is held makes the holding the running sum of signed sizes less its running minimum (if below
+    zero). The cost of what is held follows ``I = a I + b``: a purchase adds ``b``, a sale leaves the share ``a`` that it leaves of the
+    holding. So I is the sum of all ``b``, each times the shares since. Shares are logarithms that are summed up; a stretch
+    between two flat holdings is cut into blocks wherever they have fallen by ``DECAY``, and I takes the sums of its own block
+    and of the one before, as what is older weighs less than 1e-130. A sale wins if its price is above cost by ``SAME``.
+    """
+    c, group = F.col, ["wallet", "condition_id"]
+    order = [c("t"), c("trade_id")]
+    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*group).orderBy(*order)
+    x = trades.select(*group, "t", "trade_id", "size", "price_c", "value_c", (c("side") == "BUY").alias("buy"))
+    x = x.withColumn("sum", F.sum(F.when(c("buy"), c("size")).otherwise(-c("size"))).over(upto))
+    x = x.withColumn("qty", c("sum") - F.least(F.min("sum").over(upto), F.lit(0)))
+    x = x.withColumn("held", F.lag("qty", 1, 0).over(line))
+    left = F.when(~c("buy") & (c("held") > 0) & (c("qty") > 0), F.log(c("qty") / c("held"))).otherwise(0.0)
+    x = x.withColumns({"run": F.sum(F.when(c("held") == 0, 1).otherwise(0)).over(upto), "fall": F.sum(left).over(upto)})
+    stretch = Window.partitionBy(*group, "run").orderBy(*order)
+    x = x.withColumn("block", F.floor((F.first("fall").over(stretch) - c("fall")) / DECAY))
+    x = x.withColumn("within", c("fall") - F.first("fall").over(stretch) + c("block") * DECAY)
+    cost = F.when(c("buy"), c("size") * (c("price_c") / 100.0) * F.exp(-c("within"))).otherwise(0.0)
+    blocks = Window.partitionBy(*group, "run", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("part", F.sum(cost).over(blocks))
+    ends = F.when(F.lead("block").over(stretch) != c("block"), F.struct("block", "part"))
+    x = x.withColumn("end", ends)
+    x = x.withColumn("carried", F.last("end", ignorenulls=True).over(stretch.rowsBetween(Window.unboundedPreceding, -1)))
+    older = F.coalesce(c("carried.part") * F.exp(c("within") - DECAY * (c("block") - c("carried.block"))), F.lit(0.0))
+    x = x.withColumn("avg", F.when(c("qty") > 0, (c("part") * F.exp(c("within")) + older) / c("qty")).otherwise(0.0))
+    x = x.withColumn("paid", F.lag("avg").over(line))
+    sold = ~c("buy") & (c("held") > 0)
+    above = c("price_c") / 100.0 - c("paid")
+    last = F.max(F.struct("t", "trade_id", "qty", "avg")).alias("last")
+    out = x.groupBy(*group).agg(
+        F.count("*").alias("n"), F.sum("value_c").alias("volume_c"), F.coalesce(F.sum(F.when(sold, above * c("size"))), F.lit(0.0)).alias("profit"),
+        _count(sold & (above > SAME)).alias("profitable"), last,
+    )
+    return out.select(*group, "n", "volume_c", "profit", "profitable", c("last.qty").cast("double").alias("open_qty"), c("last.avg").alias("avg_price"))
+
+
+def avg_cost_by_market(trades: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """Ordered average-cost result of each (wallet, market).
+
+    Groups of up to ``folded`` trades are folded as arrays of that size at most; larger ones go through ``cost_recurrence``,
+    which holds no group in memory.
+    """
+    large = trades.groupBy("wallet", "condition_id").agg(F.count("*").alias("_n")).where(F.col("_n") > folded).drop("_n")
+    few, many = trades.join(large, ["wallet", "condition_id"], "left_anti"), trades.join(large, ["wallet", "condition_id"], "left_semi")
+    return _cost_folded(few).unionByName(cost_recurrence(many))
+
+
+def avg_cost_pnl(trades: DataFrame, folded: int = FOLDED) -> DataFrame:
     volume_ = F.sum("volume_c") / 100
-    return avg_cost_by_market(trades, streamed).groupBy("wallet").agg(
+    return avg_cost_by_market(trades, folded).groupBy("wallet").agg(
         F.sum("n").alias("trades"), F.count("*").alias("markets"), F.sum("profitable").alias("profitable_trades"),
         ratio(F.sum("profitable"), F.sum("n")).alias("winrate"), volume_.alias("volume"), F.round(F.sum("profit"), 4).alias("profit"),
         F.round(F.when(volume_ > 0, F.sum("profit") / volume_).otherwise(0.0), 6).alias("roi"),
@@ -315,7 +325,7 @@ def leaderboard(trades: DataFrame, res: DataFrame, markets: DataFrame, month_day
     r = r.select("wallet", _pnl_c().alias("p"), "value_c", F.explode(F.array("category", F.lit("OVERALL"))).alias("category"), (F.col("t") >= since).alias("new"))
     r = r.select("wallet", "p", "value_c", "category", F.explode(F.when(F.col("new"), F.array(F.lit("ALL"), F.lit("MONTH"))).otherwise(F.array(F.lit("ALL")))).alias("period"))
     sums = r.groupBy("wallet", "category", "period").agg(F.sum("p").alias("pnl_c"), F.sum("value_c").alias("vol_c"))
-    return ranked(sums, ["category", "period"], value_block(F.col("pnl_c")), [F.desc("pnl_c")], "rank", ties=True)
+    return ranked_values(sums, ["category", "period"], "pnl_c")
 
 
 def elite_wallets(board: DataFrame, top: int = 20) -> DataFrame:
