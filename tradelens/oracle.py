@@ -110,7 +110,7 @@ extremes AS (SELECT wallet,
 scored AS (SELECT *, floor(least(part, 10.0) * 100 + (0.5 + 1e-9)) / 100 AS risk_score, floor(least(more, 10.0) * 100 + (0.5 + 1e-9)) / 100 AS risk_full,
   CASE WHEN winrate < 0.5 THEN 'LOSER' WHEN s_camouflage >= 2 THEN 'CAMOUFLAGED_INSIDER' WHEN s_cross_market >= 2 AND s_timing >= 1.5 THEN 'INSIDER'
     WHEN trades >= 200 AND winrate >= 0.55 THEN 'PRO' ELSE 'CASUAL' END AS profile_type FROM total)""",
-    "critical": "critical AS (SELECT wallet FROM scored WHERE risk_score >= 3)",
+    "critical": "critical AS (SELECT wallet FROM scored WHERE risk_score >= 8)",
     "board": f"""board0 AS (SELECT wallet, gain, value_c, t > (SELECT max(t) - 15 * 86400 FROM trades) - 1 AS new, upper(topic) AS topic
   FROM resolved JOIN (SELECT condition_id, {_TOPIC} AS topic FROM markets) USING (condition_id)),
 board1 AS (SELECT wallet, gain, value_c, new, unnest([topic, 'OVERALL']) AS category FROM board0),
@@ -219,7 +219,7 @@ SQL: dict[str, str] = {
     "src_large_trades": f"SELECT {_T} FROM trades WHERE size >= 10000",
     "src_market_window_trades": f"SELECT {_T} FROM trades WHERE condition_id = 7 AND t BETWEEN {DAY0} AND {DAY0 + 9 * 86400}",
     "src_markets": "SELECT condition_id, question, category, closed FROM markets WHERE closed",
-    "src_market_info": "SELECT condition_id, question, group_item_title, category, slug, volume::DOUBLE AS volume, liquidity::DOUBLE AS liquidity, active, closed FROM markets",
+    "src_market_info": "SELECT condition_id, question, group_item_title, category, CASE WHEN condition_id % 2 = 0 THEN 'Resolves on ' || question ELSE '' END AS description, slug, volume::DOUBLE AS volume, liquidity::DOUBLE AS liquidity, active, closed FROM markets",
     "src_resolutions": "SELECT * FROM resolutions",
     "src_events_by_status": "SELECT category, count(*) AS markets FROM markets WHERE active GROUP BY 1",
     "src_fills_for_trader": f"SELECT * FROM (SELECT * FROM fills WHERE maker = 5 UNION ALL SELECT * FROM fills WHERE taker = 5) WHERE t BETWEEN {DAY0} AND {DAY0 + 25 * 86400} ORDER BY t DESC, event_id DESC LIMIT 200",
@@ -318,6 +318,9 @@ SQL: dict[str, str] = {
     "wallet_correlations": "SELECT * FROM related",
     "wallet_clusters": "SELECT *, size - 1 AS related FROM comp",
     "funding_clusters": "SELECT wallet, 'funding_' || left(source::VARCHAR, 12) AS cluster_id, CASE WHEN source IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY source) END AS size FROM (SELECT DISTINCT wallet FROM trades) LEFT JOIN first_f USING (wallet)",
+    "first_funding_any": """SELECT to_wallet AS wallet, from_wallet AS source, block, value_c, t AS funded_t FROM transfers
+      WHERE value_c < 45000000 OR block >= (SELECT max(block) - 2000000 FROM transfers WHERE value_c >= 45000000)
+      QUALIFY row_number() OVER (PARTITION BY to_wallet ORDER BY value_c < 45000000, block, transfer_id) = 1""",
     "first_funding": "SELECT to_wallet AS wallet, from_wallet AS source, block, value_c, t AS funded_t FROM transfers WHERE block >= (SELECT max(block) - 2000000 FROM transfers) QUALIFY row_number() OVER (PARTITION BY to_wallet ORDER BY block, transfer_id) = 1",
     "funding_chain": "SELECT * FROM chain",
     "common_funding_sources": "SELECT source, count(DISTINCT wallet) AS wallets FROM chain GROUP BY 1 HAVING count(DISTINCT wallet) > 1",
@@ -363,6 +366,9 @@ SQL: dict[str, str] = {
     "top_holdings": f"SELECT wallet, condition_id, outcome_index, current_value_c, row_number() OVER (PARTITION BY wallet ORDER BY current_value_c DESC, condition_id, outcome_index)::INT AS place FROM (SELECT *, row_number() OVER ({_BY_PNL}) AS r FROM positions) WHERE r <= 10",
     "stale_profiles": "SELECT wallet, max(t) AS last_t, now - max(t) > 90000 AS stale FROM trades, as_of GROUP BY wallet, now",
     "stale_profile_stats": "SELECT count(*) AS profiles, count(*) FILTER (s) AS stale, count(*) FILTER (NOT s) AS fresh FROM (SELECT wallet, now - max(t) > 90000 AS s FROM trades, as_of GROUP BY wallet, now)",
+    "incremental_profile_store": """SELECT wallet, count(*) AS trades, sum(value_c)::BIGINT AS volume_c, max(value_c) AS max_value_c, min(t) AS first_t, max(t) AS last_t, count(winner_idx) AS resolved,
+      count(*) FILTER (outcome_index = winner_idx) AS wins, coalesce((count(*) FILTER (outcome_index = winner_idx))::DOUBLE / nullif(count(winner_idx), 0), 0) AS winrate,
+      sum(value_c)::DOUBLE / count(*) AS avg_value_c, count(DISTINCT condition_id) AS markets FROM trades LEFT JOIN resolutions USING (condition_id) GROUP BY 1""",
     "incremental_profile_merge": "SELECT wallet, count(*) AS trades, sum(value_c)::BIGINT AS volume_c, max(value_c) AS max_value_c, min(t) AS first_t, max(t) AS last_t FROM trades GROUP BY 1",
     "ml_features": """SELECT l.trade_id, l.wallet, l.side, l.label, m.category AS market_type, p.trades AS total_trades, p.winrate, iax_score, total_edge, avg_conviction, avg_obscurity, avg_urgency
       FROM (SELECT trade_id, wallet, side, condition_id, max(is_pre_jump) AS label FROM labels GROUP BY ALL) l LEFT JOIN markets m ON m.condition_id = l.condition_id JOIN profile p ON p.wallet = l.wallet JOIN iax ON iax.wallet = l.wallet""",
@@ -387,11 +393,8 @@ SQL |= {
     "st_new_wallets": f"SELECT wallet FROM (SELECT maker AS wallet FROM fills UNION SELECT taker FROM fills) WHERE wallet NOT IN (SELECT wallet FROM trades WHERE t < {DAY0 + 86400})",
     "st_market_windows": _WINDOWS.format(starts="t // 1800 * 1800"),
     "st_market_windows_sliding": _WINDOWS.format(starts="t // 300 * 300 - unnest(range(6)) * 300"),
-    "st_volume_anomalies": """SELECT condition_id, w, volume_c, volume_z, anomaly_score, CASE WHEN anomaly_score >= 9 THEN 'CRITICAL_ANOMALY' WHEN anomaly_score >= 8 AND (hhi >= 0.3 OR whale_dominance >= 0.6) THEN 'HIGH_CONCENTRATION'
-        WHEN anomaly_score >= 7.5 THEN 'MODERATE_ANOMALY' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM (
-      SELECT *, floor(10000 * (least(abs(volume_z) / 3.0, 1.0) * 3.0 + hhi / 0.25 * 2.5 + least(abs(velocity_z) / 3.0, 1.0) * 2.0 + whale_dominance / 0.5 * 1.5 + (greatest(buy_c, sell_c) / volume_c - 0.5) / 0.5) + (0.5 + 1e-6)) / 10000 AS anomaly_score FROM (
-      SELECT *, round(CASE WHEN vs > 1e-9 THEN (volume_c - vm) / vs ELSE 0 END, 6) AS volume_z, round(CASE WHEN ns > 1e-9 THEN (trades - nm) / ns ELSE 0 END, 6) AS velocity_z FROM (
-      SELECT *, count(*) OVER f AS points, avg(volume_c::DOUBLE) OVER f AS vm, stddev_pop(volume_c::DOUBLE) OVER f AS vs, avg(trades::DOUBLE) OVER f AS nm, stddev_pop(trades::DOUBLE) OVER f AS ns FROM stats WINDOW f AS (PARTITION BY condition_id))))
+    "st_volume_anomalies": """SELECT condition_id, w, anomaly_score, CASE WHEN anomaly_score >= 9 THEN 'CRITICAL_ANOMALY' WHEN anomaly_score >= 8 AND (hhi >= 0.3 OR whale_dominance >= 0.6) THEN 'HIGH_CONCENTRATION'
+        WHEN anomaly_score >= 7.5 THEN 'MODERATE_ANOMALY' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM anom
       WHERE points >= 24 AND volume_c >= 1000000 AND anomaly_score >= 7 AND volume_z >= 2.5 AND (hhi >= 0.2 OR whale_dominance >= 0.4) AND w + 1800 <= (SELECT max(epoch(ts)) - 600 FROM events)""",
     "st_large_trade_alerts": """SELECT trade_id, wallet, condition_id, value_c FROM trades WHERE value_c >= 500000 AND wallet IN (SELECT wallet FROM resolved GROUP BY 1 HAVING count(*) FILTER (win) / count(*) >= 0.5)""",
     "trade_batches_batch": _BATCHES,
@@ -405,6 +408,8 @@ SQL |= {
     "critical_count_milestones_batch": _MILESTONES,
     "st_critical_count_milestones": _MILESTONES,
     "st_late_data": "SELECT t // 3600 * 3600 AS w, count(*) AS trades FROM trades GROUP BY t // 3600 * 3600 HAVING w + 3600 <= (SELECT max(epoch(ts)) - 7200 FROM events)",
+    "collected_trades": "SELECT wallet, count(*) AS trades, sum(value_c)::BIGINT AS value_c FROM trades WHERE wallet IN (SELECT DISTINCT wallet FROM board WHERE category IN ('OVERALL', 'POLITICS', 'CRYPTO') AND rank <= 20) GROUP BY 1",
+    "st_unreadable_messages": "SELECT 'malformed' AS reason, count(*) AS lines FROM trades WHERE value_c >= 500000 UNION ALL SELECT 'incomplete', count(*) FROM trades WHERE side = 'SELL'",
     "sink_trade_batches": "SELECT condition_id % 16 AS bucket, count(*) AS trades, sum(value_c)::BIGINT AS value_c FROM trades GROUP BY 1",
     "st_alert_cooldown": """, al AS (SELECT condition_id, t, CASE WHEN trade_id % 7 = 0 THEN 'CRITICAL_TRADER' ELSE 'STATISTICAL_ANOMALY' END AS alert_level FROM trades WHERE value_c >= 500000),
       aln AS (SELECT *, row_number() OVER (PARTITION BY condition_id ORDER BY t, alert_level) AS k FROM al),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tradelens.functions import scalars as s
 from tradelens.operators import graph, incremental, joins, market, ml, positions, profiles, scoring
 from tradelens.plans import detector
 from tradelens.sources import reads
+from tradelens.sources.shared import checkpointed, shared_folder
 from tradelens.sources.tables import DAY0, Tables
 
 c = F.col
@@ -49,8 +51,8 @@ def _fast(x: Tables) -> DataFrame:
 
 
 def _critical(x: Tables) -> DataFrame:
-    """Wallets of a risk score of 3 and more stand in for critical ones in the synthetic tables."""
-    return scoring.risk_scores(_profile(x), _correlations(x), x.as_of).where("risk_score >= 3").select("wallet")
+    """Wallets of the level CRITICAL."""
+    return scoring.risk_scores(_profile(x), _correlations(x), x.as_of).where("level = 'CRITICAL'").select("wallet")
 
 
 def _stats(x: Tables) -> DataFrame:
@@ -85,8 +87,17 @@ def _features(x: Tables) -> DataFrame:
 
 
 def _ml(x: Tables) -> DataFrame:
-    data = graph.checkpointed(_features(x))
-    return ml.predict(ml.train(data), data)
+    starts = profiles.activity_span(x.trades).select("wallet", "first_t")
+    data = checkpointed(ml.time_folds(_features(x), starts))
+    return ml.out_of_fold(data)
+
+
+def _profile_store(x: Tables) -> DataFrame:
+    """Profiles stored after the first days, into whose table all later trades are folded."""
+    store = incremental.ProfileStore(x.spark, f"{shared_folder(x.spark)}/profiles-{uuid.uuid4().hex}", 16)
+    store.fold(x.trades.where(f"t < {DAY0 + 15 * DAY}"), x.resolutions)
+    store.fold(x.trades, x.resolutions)
+    return incremental.with_rates(store.read().drop("bucket"))
 
 
 def _stored(x: Tables, days: int = 15) -> DataFrame:
@@ -242,6 +253,8 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "wallet_clusters": lambda x: detector.wallet_clusters(x.trades),
     "funding_clusters": lambda x: graph.funding_clusters(_wallets(x), graph.first_funding(x.transfers)),
     "first_funding": lambda x: graph.first_funding(x.transfers, 2_000_000),
+    # transfers of $450,000 and more stand for token transfers, the others for native ones
+    "first_funding_any": lambda x: graph.first_funding(x.transfers.where("value_c >= 45000000"), 2_000_000, x.transfers.where("value_c < 45000000")),
     "funding_chain": _chain,
     "common_funding_sources": lambda x: graph.common_sources(_chain(x)),
     "address_flow_summary": lambda x: graph.flow_summary(x.transfers, 500_000),
@@ -279,6 +292,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "stale_profiles": lambda x: incremental.stale_profiles(profiles.activity_span(x.trades), x.as_of, 90_000),
     "stale_profile_stats": lambda x: incremental.stale_stats(profiles.activity_span(x.trades), x.as_of, 90_000),
     "incremental_profile_merge": lambda x: incremental.incremental_merge(_stored(x), x.trades),
+    "incremental_profile_store": _profile_store,
     # learning
     "ml_features": _features,
     "ml_train_predict": _ml,

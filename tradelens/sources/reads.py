@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tradelens.sources.shared import matching
+
 
 def _first(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first rows of each group; the limit is applied before the shuffle as well."""
@@ -51,9 +53,11 @@ def markets_by_status(markets: DataFrame, active: bool | None = None, closed: bo
 
 
 def market_info(markets: DataFrame) -> DataFrame:
+    """The ten columns that describe a market; numbers that are missing are 0, and so is a missing description empty."""
+    described = F.coalesce("description", F.lit("")) if "description" in markets.columns else F.lit("")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     return markets.select(
-        "condition_id", "question", "group_item_title", "category", "slug", number("volume"), number("liquidity"), "active", "closed"
+        "condition_id", "question", "group_item_title", "category", described.alias("description"), "slug", number("volume"), number("liquidity"), "active", "closed"
     )
 
 
@@ -123,6 +127,27 @@ def append_batch(trades: DataFrame, path: str) -> None:
     trades.withColumn("bucket", F.pmod("condition_id", F.lit(16))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def write_trader_files(trades: DataFrame, folder: str, name: str) -> None:
+    """Histories collected trader by trader, beside the batches of ``write_batch_files``."""
+    trades.write.mode("overwrite").parquet(f"{folder}/trader_trades_{name}")
+
+
+def write_batch_files(trades: DataFrame, folder: str, name: str) -> None:
+    trades.write.mode("overwrite").parquet(f"{folder}/trades_batch_{name}")
+
+
+def collected_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """All collected trades of a folder: the traders' histories if there are any, else the batches.
+
+    Files of either kind may lack columns that others have; nothing is read before an action but footers.
+    """
+    for kind in ("trader_trades_*", "trades_batch_*"):
+        found = matching(spark, f"{folder}/{kind}")
+        if found:
+            return spark.read.option("mergeSchema", "true").parquet(*found)
+    raise FileNotFoundError(f"no collected trades in {folder}")
+
+
 def export_profiles(profiles: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write profiles as parquet, json or csv; nested columns become JSON text in csv."""
     if kind == "csv":

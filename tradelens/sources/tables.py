@@ -45,7 +45,7 @@ class Tables:
     def markets(self) -> DataFrame:
         return self.read("part").select(
             F.col("p_partkey").cast("int").alias("condition_id"), F.col("p_name").alias("question"),
-            F.lit("").alias("group_item_title"),
+            F.lit("").alias("group_item_title"), F.expr("case when p_partkey % 2 = 0 then concat('Resolves on ', p_name) end").alias("description"),
             F.expr(
                 "case p_type when 'PROMO' then 'tech' when 'ECONOMY' then 'economy' when 'LARGE' then 'politics' "
                 "when 'MEDIUM' then 'sports' when 'SMALL' then 'crypto' else 'other' end"

@@ -16,10 +16,31 @@ from tradelens.streaming import streams
 c = F.col
 
 
+def _feed(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed of message text: every trade, a message of the book for each purchase, and lines that cannot be used.
+
+    Large trades come a second time cut short, and sales a second time without their market.
+    """
+    x, at = Tables(spark, folder).trades, f"{streams._folder(spark)}/feed"
+    fields = ["trade_id", "wallet", "condition_id", "t", "side", "price_c", "size", "outcome_index"]
+    message = lambda kind, *names: F.to_json(F.struct(F.lit(kind).alias("type"), *names))
+    whole = message("trade", *fields)
+    lines = F.array_compact(F.array(
+        whole, F.when(c("side") == "BUY", message("book", "condition_id", "t", "price_c")),
+        F.when(c("value_c") >= 500_000, F.expr("left(line, length(line) - 20)")), F.when(c("side") == "SELL", message("trade", "trade_id", "wallet", "t")),
+    ))
+    x.withColumn("line", whole).select(F.explode(lines).alias("value")).write.text(at)
+    return streams.parse_messages(spark.readStream.text(at))
+
+
 def src_stream_trades(spark: SparkSession, folder: str) -> DataFrame:
-    """A feed in which every trade comes with a message of the order book, which is routed elsewhere."""
-    feed = streams.trade_stream(spark, folder).withColumn("type", F.explode(F.array(F.lit("trade"), F.lit("book"))))
-    return streams.collected(streams.route(feed).select("trade_id", "wallet", "condition_id", "t"))
+    """The trades of a mixed feed of text in which some lines are broken."""
+    return streams.collected(streams.route(_feed(spark, folder)).select("trade_id", "wallet", "condition_id", "t"))
+
+
+def st_unreadable_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines of the feed could not be used, by reason."""
+    return streams.collected(streams.unreadable(_feed(spark, folder))).groupBy("reason").agg(F.count("*").alias("lines"))
 
 
 def st_new_wallets(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,15 +60,14 @@ def st_market_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def st_market_windows_sliding(spark: SparkSession, folder: str) -> DataFrame:
     """Half hours that start every five minutes."""
-    return streams.collected(streams.market_windows(streams.trade_stream(spark, folder), "30 minutes", "5 minutes"))
+    streams.rocksdb(spark)
+    return streams.collected(streams.market_windows(streams.trade_stream(spark, folder), "30 minutes", 300))
 
 
 def st_volume_anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows against the market's baseline over its half hours with trades."""
-    stats = market.window_stats(Tables(spark, folder).trades)
-    both = lambda name, part: (F.avg(name).alias(f"{part}_mean"), F.stddev_pop(name).alias(f"{part}_sd"))
-    baseline = stats.groupBy("condition_id").agg(F.count("*").alias("points"), *both("volume_c", "volume"), *both("trades", "trades"))
-    return streams.collected(streams.volume_anomalies(streams.trade_stream(spark, folder), baseline, MIN_VOLUME_C))
+    """Windows against the baseline of the hours before them, which moves with the stream."""
+    streams.rocksdb(spark)
+    return streams.collected(streams.volume_anomalies(streams.trade_stream(spark, folder), MIN_VOLUME_C))
 
 
 def st_alert_cooldown(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,10 +133,19 @@ def sink_trade_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("bucket").agg(F.count("*").alias("trades"), F.sum("value_c").alias("value_c"))
 
 
+def collected_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder with batches of all trades and histories of the leaderboards' heads, which are preferred."""
+    x, at = Tables(spark, folder), f"{streams._folder(spark)}/collected"
+    reads.write_batch_files(x.trades, at, "0")
+    reads.write_trader_files(reads.histories_batch(x.trades, profiles.elite_wallets(x.leaderboard), 1_000_000), at, "0")
+    return reads.collected_trades(spark, at).groupBy("wallet").agg(F.count("*").alias("trades"), F.sum("value_c").alias("value_c"))
+
+
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         src_stream_trades, st_new_wallets, st_market_windows, st_market_windows_sliding, st_volume_anomalies, st_alert_cooldown,
         st_large_trade_alerts, st_trade_batches, st_trade_notifications, trade_batches_batch, st_position_changes,
         st_critical_count_milestones, critical_count_milestones_batch, st_late_data, sink_trade_batches,
+        st_unreadable_messages, collected_trades,
     ]
     return {f.__name__: f for f in found}

@@ -7,17 +7,20 @@ notifications expire if they get a time to live; the wallets seen and the last P
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from tradelens.functions.scalars import ratio
 from tradelens.operators import market
-from tradelens.sources.shared import shared_folder
+from tradelens.streaming import stateful
+from tradelens.sources.shared import remove_folder, shared_folder
 from tradelens.sources.tables import Tables
 
 c = F.col
@@ -33,9 +36,36 @@ def trade_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
     return view.trades
 
 
+#: What a message has to hold, by type; other types pass with what they have.
+NEEDED = {"trade": ("trade_id", "wallet", "condition_id", "t"), "book": ("condition_id", "t")}
+MESSAGE = "type string, trade_id long, wallet long, condition_id int, t long, side string, price_c long, size long, outcome_index int"
+
+
+def parse_messages(lines: DataFrame) -> DataFrame:
+    """Lines of JSON text in ``value`` as messages, with ``reason`` where one cannot be used, and the line itself.
+
+    A line that is no JSON object with a type is ``malformed``, one without a field that its type needs is ``incomplete``; neither stops
+    the stream.
+    """
+    x = lines.select("value", F.from_json("value", MESSAGE).alias("m"))
+    lacks = F.lit(False)
+    for kind, names in NEEDED.items():
+        missing = c(f"m.{names[0]}").isNull()
+        for name in names[1:]:
+            missing = missing | c(f"m.{name}").isNull()
+        lacks = lacks | ((c("m.type") == kind) & missing)
+    return x.select("value", "m.*", F.when(c("m.type").isNull(), "malformed").when(lacks, "incomplete").alias("reason"))
+
+
 def route(messages: DataFrame, kind: str = "trade") -> DataFrame:
-    """Messages of one type of a mixed feed."""
-    return messages.where(c("type") == kind)
+    """The usable messages of one type of a mixed feed."""
+    usable = messages.where(c("reason").isNull()) if "reason" in messages.columns else messages
+    return usable.where(c("type") == kind)
+
+
+def unreadable(messages: DataFrame) -> DataFrame:
+    """(reason, value) of the lines that no route takes, to be kept in a table of their own."""
+    return messages.where(c("reason").isNotNull()).select("reason", "value")
 
 
 def new_wallets(fills: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -48,27 +78,68 @@ def new_wallets(fills: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return found.dropDuplicates(["wallet"])
 
 
-def market_windows(trades: DataFrame, size: str = "30 minutes", slide: str | None = None) -> DataFrame:
-    """Volume, sides, traders, HHI, Gini and top-3 share of each market and window, by two chained aggregates.
+def _once(trades: DataFrame) -> DataFrame:
+    return trades.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["trade_id"])
 
-    Windows tumble, or start every ``slide``. A window's wallet sums are sorted for the Gini and the top three.
-    """
+
+def _wallet_sums(trades: DataFrame, size: str, slide: str | None = None) -> DataFrame:
+    """(win, condition_id, wallet, v, buy, n) of closed windows."""
     buy = F.when(c("side") == "BUY", c("value_c")).otherwise(0)
-    once = trades.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["trade_id"])
-    own = once.groupBy(F.window("ts", size, slide).alias("win"), "condition_id", "wallet").agg(F.sum("value_c").alias("v"), F.sum(buy).alias("buy"), F.count("*").alias("n"))
+    return _once(trades).groupBy(F.window("ts", size, slide).alias("win"), "condition_id", "wallet").agg(
+        F.sum("value_c").alias("v"), F.sum(buy).alias("buy"), F.count("*").alias("n")
+    )
+
+
+def market_windows(trades: DataFrame, size: str = "30 minutes", slide_s: int | None = None) -> DataFrame:
+    """Volume, sides, traders, HHI, Gini and top-3 share of each market and window.
+
+    Tumbling windows are two chained aggregates; a window's wallet sums are sorted for the Gini and the top three.
+    Windows that start every ``slide_s`` seconds add up slices of that length, see ``sliding_windows``.
+    """
+    if slide_s:
+        return sliding_windows(trades, size, slide_s)
+    return _tumbling(trades, size).drop("at")
+
+
+def _tumbling(trades: DataFrame, size: str) -> DataFrame:
+    """``market_windows`` with the event time ``at``, on which further state can build."""
     total = F.sum("v")
-    out = own.groupBy("win", "condition_id").agg(
+    out = _wallet_sums(trades, size).groupBy("win", "condition_id").agg(
         total.alias("volume_c"), F.sum("buy").alias("buy_c"), (total - F.sum("buy")).alias("sell_c"), F.count("*").alias("traders"), F.sum("n").alias("trades"),
         F.round(F.when(total > 0, F.sum(c("v").cast("double") * c("v")) / F.when(total > 0, total.cast("double") * total)).otherwise(0.0), 6).alias("hhi"),
         F.sort_array(F.collect_list("v")).alias("vs"),
     )
-    n, all_c = c("traders"), F.when(c("volume_c") > 0, c("volume_c"))
     ranked = F.aggregate(F.transform("vs", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     top = F.aggregate(F.slice("vs", F.greatest(F.size("vs") - 2, F.lit(1)), F.lit(3)), F.lit(0).cast("long"), lambda a, x: a + x)
-    gini = F.round(F.coalesce(2.0 * ranked / (n * all_c) - (n + 1) / n, F.lit(0.0)), 6)
     return out.select(
         "condition_id", F.unix_timestamp("win.start").alias("w"), "volume_c", "buy_c", "sell_c", "traders", "trades", "hhi",
-        gini.alias("gini"), ratio(top, c("volume_c")).alias("whale_dominance"),
+        _gini(ranked).alias("gini"), ratio(top, c("volume_c")).alias("whale_dominance"), F.window_time("win").alias("at"),
+    )
+
+
+def _gini(ranked: F.Column) -> F.Column:
+    n, all_c = c("traders"), F.when(c("volume_c") > 0, c("volume_c"))
+    return F.round(F.coalesce(2.0 * ranked / (n * all_c) - (n + 1) / n, F.lit(0.0)), 6)
+
+
+def sliding_windows(trades: DataFrame, size: str, slide_s: int) -> DataFrame:
+    """``market_windows`` that start every ``slide_s`` seconds, a divisor of their length.
+
+    Each slice is aggregated once by wallet; the state of a market holds its slices, and a timer at the end of
+    a window adds up those of the window. A trade is not copied for each of its windows. Needs the RocksDB state store.
+    """
+    length = int(pd.Timedelta(size).total_seconds())
+    if length % slide_s:
+        raise ValueError(f"{slide_s} seconds do not divide {size}")
+    own = _wallet_sums(trades, f"{slide_s} seconds").select(
+        "condition_id", F.unix_timestamp("win.start").alias("pane"), "wallet", "v", "buy", "n", F.window_time("win").alias("at")
+    )
+    out = own.groupBy("condition_id").transformWithStateInPandas(stateful.Panes(length, slide_s), stateful.PANE_ROWS, "Append", "EventTime")
+    total = c("volume_c").cast("double")
+    return out.select(
+        "condition_id", "w", "volume_c", "buy_c", "sell_c", "traders", "trades",
+        F.round(F.when(c("volume_c") > 0, c("square") / (total * total)).otherwise(0.0), 6).alias("hhi"), _gini(c("ranked")).alias("gini"),
+        ratio(c("top_c"), c("volume_c")).alias("whale_dominance"),
     )
 
 
@@ -95,7 +166,7 @@ class _Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t long", self.ttl_s and self.ttl_s * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["t", "alert_level"])
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
@@ -107,6 +178,9 @@ class _Cooldown(StatefulProcessor):
             self.last.update((last,))
         yield pd.DataFrame(kept, columns=["condition_id", "t", "alert_level"])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((int(initialState["t"].max()),))
+
     def close(self) -> None:
         pass
 
@@ -116,14 +190,16 @@ def _mode(ttl_s: int | None) -> str:
     return "ProcessingTime" if ttl_s else "None"
 
 
-def alert_cooldown(alerts: DataFrame, seconds: int = 600, ttl_s: int | None = None) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, seconds: int = 600, ttl_s: int | None = None, last: DataFrame | None = None) -> DataFrame:
     """Alerts of a market that its last alert does not mute. Needs the RocksDB state store.
 
     A stream that runs on should set ``ttl_s``, the seconds of processing time after which an untouched market
-    leaves the state.
+    leaves the state. ``last(condition_id, t)`` are alerts sent before, as another run left them: the latest of each market is
+    the state that the stream begins with.
     """
+    begin = last and last.groupBy("condition_id").agg(F.max("t").alias("t")).groupBy("condition_id")
     return alerts.groupBy("condition_id").transformWithStateInPandas(
-        _Cooldown(seconds, ttl_s), "condition_id int, t long, alert_level string", "Append", _mode(ttl_s)
+        _Cooldown(seconds, ttl_s), "condition_id int, t long, alert_level string", "Append", _mode(ttl_s), begin
     )
 
 
@@ -136,7 +212,7 @@ class _Notified(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t long", self.ttl_s and self.ttl_s * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values("w")
         last, sent = self.last.get()[0] if self.last.exists() else None, []
         for t in found["last_t"]:
@@ -146,16 +222,19 @@ class _Notified(StatefulProcessor):
             self.last.update((last,))
         yield found[sent]
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((int(initialState["t"].max()),))
+
     def close(self) -> None:
         pass
 
 
-def trade_notifications(batches: DataFrame, seconds: int = 60, ttl_s: int | None = None) -> DataFrame:
+def trade_notifications(batches: DataFrame, seconds: int = 60, ttl_s: int | None = None, last: DataFrame | None = None) -> DataFrame:
     """The trade batches of a wallet in a market that end ``seconds`` or more after the last one notified;
-    ``ttl_s`` as in ``alert_cooldown``."""
-    return batches.groupBy("wallet", "condition_id").transformWithStateInPandas(
-        _Notified(seconds, ttl_s), batches.schema, "Append", _mode(ttl_s)
-    )
+    ``ttl_s`` as in ``alert_cooldown``, and ``last(wallet, condition_id, last_t)`` are batches notified before."""
+    keys = ["wallet", "condition_id"]
+    begin = last and last.groupBy(*keys).agg(F.max("last_t").alias("t")).groupBy(*keys)
+    return batches.groupBy(*keys).transformWithStateInPandas(_Notified(seconds, ttl_s), batches.schema, "Append", _mode(ttl_s), begin)
 
 
 class _Changes(StatefulProcessor):
@@ -167,7 +246,7 @@ class _Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("pnl", "pnl_c long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()[0] if self.last.exists() else 0
         out = []
         for row in pd.concat(list(rows)).sort_values("day").itertuples(index=False):
@@ -197,13 +276,43 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that came too late over every progress record of the queries it listens to."""
+
+    def __init__(self):
+        self.late: Counter[str] = Counter()
+        self.ended: defaultdict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.late[str(event.progress.id)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)].set()
+
+
 def drained(stream: DataFrame) -> tuple[DataFrame, int]:
-    """Run ``stream`` over all that is available: the rows it appended, and how many came too late for its watermarks."""
+    """Run ``stream`` over all that is available: the rows it appended, and how many came too late for its watermarks.
+
+    Late rows are counted by a listener; a query itself keeps only its latest progress records.
+    """
     spark, at = stream.sparkSession, _folder(stream.sparkSession)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows"), late
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not listener.ended[str(query.id)].wait(60):  # records come in order, the end last
+            raise RuntimeError("the stream's progress records did not arrive")
+    finally:
+        spark.streams.removeListener(listener)
+    remove_folder(spark, f"{at}/state")
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows"), listener.late[str(query.id)]
 
 
 def collected(stream: DataFrame) -> DataFrame:
@@ -211,23 +320,22 @@ def collected(stream: DataFrame) -> DataFrame:
     return drained(stream)[0]
 
 
-def volume_anomalies(trades: DataFrame, baseline: DataFrame, min_volume_c: int = 50_000_000, least_score: float = 7.0, least_z: float = 2.5) -> DataFrame:
-    """Closed windows of the stream that stand out from their market's baseline.
+def window_z(trades: DataFrame, points: int = 168, least: int = 24) -> DataFrame:
+    """Closed half-hour windows with z of volume, traders and velocity against the hours before their own.
 
-    ``baseline(condition_id, points, volume_mean, volume_sd, trades_mean, trades_sd)`` is a static table of hourly
-    points. Score and gates are those of the batch form.
+    The baseline moves with the stream: a market's state is a ring of its last ``points`` hours. Values are those of the
+    batch form ``market.baseline_z``. Needs the RocksDB state store.
     """
-    x = market_windows(trades).join(baseline, "condition_id").where(c("points") >= 24)
+    x = _tumbling(trades, "30 minutes").drop("gini")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema if f.name != "at")
+    kinds += ", points long, volume_z double, trader_z double, velocity_z double"
+    out = x.groupBy("condition_id").transformWithStateInPandas(stateful.Ring(points), kinds, "Append", "EventTime")
+    return out.withColumns({z: F.round(F.when(c("points") >= least, c(z)).otherwise(0.0), 6) for z in ("volume_z", "trader_z", "velocity_z")})
 
-    def z(name: str, part: str) -> F.Column:
-        sd = F.when(c(f"{part}_sd") > 1e-9, c(f"{part}_sd"))
-        return F.round(F.coalesce((c(name) - c(f"{part}_mean")) / sd, F.lit(0.0)), 6)
 
-    scored = market.anomaly_scores(x.withColumns({"volume_z": z("volume_c", "volume"), "velocity_z": z("trades", "trades")}))
-    hit = (c("volume_c") >= min_volume_c) & (c("anomaly_score") >= least_score) & (c("volume_z") >= least_z)
-    out = scored.where(hit & ((c("hhi") >= 0.2) | (c("whale_dominance") >= 0.4)))
-    level = market.anomaly_level(c("anomaly_score"), c("hhi"), c("whale_dominance"))
-    return out.select("condition_id", "w", "volume_c", "volume_z", "anomaly_score", level.alias("alert_level"))
+def volume_anomalies(trades: DataFrame, min_volume_c: int = 50_000_000, points: int = 168, least: int = 24) -> DataFrame:
+    """Closed windows of the stream that stand out from their market's earlier hours; scores and gates are those of the batch form."""
+    return market.anomaly_alerts(market.anomaly_scores(window_z(trades, points, least)), min_volume_c, least)
 
 
 def milestones(profiles: DataFrame, every: int = 10, before: int = 0) -> DataFrame:
