@@ -66,7 +66,7 @@ def ungated(text):
     """All rules run on the text, without the keyword pass."""
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     found = {licenses.Detection(m.start(), m.end(), r.label, r.priority, r.confidence) for r in licenses.rules() for m in r.pattern.finditer(lower)}
-    found |= set(licenses.spdx_detections(lower))
+    found |= set(licenses.other_detections(lower))
     kept = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
         if not any(k.start <= d.start and d.end <= k.end for k in kept):

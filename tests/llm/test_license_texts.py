@@ -27,6 +27,23 @@ TEXTS = [
     ("SPDX-License-Identifier: MIT OR Apache-2.0 */", ["mit", "apache-2.0"]), ("SPDX-License-Identifier: MIT and more words", ["mit"]),
     ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND (ISC OR BSD-3-Clause)", ["gpl-2.0-only", "isc", "bsd-3-clause"]),
     ("permission is granted to redistribute forms", []),
+    # abbreviations
+    ("Licensed under the GNU GPL v3", ["gpl-3.0"]), ("GPLv3", ["gpl-3.0"]), ("Released under GPL v2 or later", ["gpl-2.0-or-later"]), ("GPL-2.0-only code", ["gpl-2.0-only"]),
+    ("this is GPLv2+ code", ["gpl-2.0-or-later"]), ("LGPL version 2.1", ["lgpl-2.1"]), ("LGPLv3, or any later version", ["lgpl-3.0-or-later"]), ("under the AGPLv3.", ["agpl-3.0"]),
+    ("Licensed under the EUPL", ["eupl"]), ("EUPL v1.2", ["eupl-1.2"]), ("MPL 2.0", ["mpl-2.0"]), ("the file is under the MPL.", ["mpl"]), ("EPL-2.0", ["epl-2.0"]), ("CDDL 1.1", ["cddl-1.1"]),
+    ("This library is GPL licensed", ["gpl"]), ("under the terms of the LGPL", ["lgpl"]), ("CC0", ["cc0-1.0"]), ("CC BY-SA 4.0", ["cc-by-sa-4.0"]), ("CC-BY-NC-ND 3.0", ["cc-by-nc-nd-3.0"]),
+    # keys, badges and plain words
+    ("License: MIT", ["mit"]), ('license = "Apache-2.0"', ["apache-2.0"]), ("'license': 'BSD-3-Clause',", ["bsd-3-clause"]), ("licence: GPLv3", ["gpl-3.0"]), ("License: GPL v2", ["gpl-2.0"]),
+    ("License: MIT OR Apache-2.0", ["mit", "apache-2.0"]), ("license => proprietary", ["proprietary"]), ("![x](https://img.shields.io/badge/license-MIT-blue.svg)", ["mit"]),
+    ("badge/License-Apache%202.0-green", ["apache-2.0"]), ("badge/license-BSD--3--Clause-orange", ["bsd-3-clause"]), ("This project is MIT licensed.", ["mit"]), ("a BSD-licensed port", ["bsd"]),
+    ("All rights reserved. Proprietary", ["proprietary"]), ("Proprietary and confidential.", ["proprietary"]), ("Unauthorized copying of this file, via any medium is strictly prohibited", ["proprietary"]),
+    # products, prose and other words are none
+    ("released under Ruby on Rails", []), ("provided under PHP 8", []), ("available under Python 3", []), ("released under the Elastic band", []), ("distributed under Vim", []),
+    ("released under the PHP License", ["php-3.01"]), ("Elastic License 2.0", ["elastic-2.0"]), ("available under the Ruby license", ["ruby"]),
+    ("a driving license: see the office", []), ("License: see the file", []), ("I gpl2x it", []), ("all rights reserved", []), ("his license expired; limits were committed", []), ("the simpl 3 epl8 model", []),
+    # a BSD text with a long preamble keeps its clauses, and two texts keep their own
+    (BSD.split(" Redis")[0] + "." + " filler words" * 400 + " Redistributions in binary form must reproduce" + " more" * 900 + " Neither the name of X", ["bsd-3-clause"]),
+    (BSD + "\nNeither the name of Y. " + BSD, ["bsd-3-clause", "bsd-2-clause"]),
 ]
 
 

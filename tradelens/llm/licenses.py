@@ -56,7 +56,7 @@ LICENSES = (
     ("zlib", "zlib", r"(?:the\s+)?zlib(?:/libpng)?", r"opensource\.org/licenses/zlib"),
     ("libpng", "png", r"(?:the\s+)?(?:libpng|png\s+reference\s+library)", None),
     ("openssl", "openssl", r"(?:the\s+)?openssl", r"openssl\.org/source/license"),
-    ("php-3.01", "php", r"(?:the\s+)?php(?:\s+license)?(?:,?\s+(?:version\s+|v)?3\.0?1)?", r"php\.net/license"),
+    ("php-3.01", "php", r"(?:the\s+)?php", r"php\.net/license"),
     ("psf-2.0", "python", r"(?:the\s+)?python(?:\s+software\s+foundation)?", r"docs\.python\.org/[0-9.]*/?license"),
     ("ruby", "ruby", r"(?:the\s+)?ruby", r"ruby-lang\.org/en/about/license"),
     ("postgresql", "postgresql", r"(?:the\s+)?postgresql", r"opensource\.org/licenses/postgresql"),
@@ -75,7 +75,7 @@ LICENSES = (
     ("osl-3.0", "open software", r"(?:the\s+)?open\s+software", r"opensource\.org/licenses/osl-3\.0"),
     ("afl-3.0", "academic free", r"(?:the\s+)?academic\s+free", r"opensource\.org/licenses/afl-3\.0"),
     ("sspl-1.0", "server side", r"(?:the\s+)?server\s+side\s+public", r"mongodb\.com/licensing/server-side-public-license"),
-    ("elastic-2.0", "elastic", r"(?:the\s+)?elastic(?:\s+license)?(?:,?\s+(?:version\s+|v)?2(?:\.0)?)?", r"elastic\.co/licensing/elastic-license"),
+    ("elastic-2.0", "elastic", r"(?:the\s+)?elastic", r"elastic\.co/licensing/elastic-license"),
     ("vim", "vim", r"(?:the\s+)?vim", None),
     ("w3c", "w3c", r"(?:the\s+)?w3c(?:\s+software)?", r"w3\.org/consortium/legal"),
 )
@@ -97,8 +97,10 @@ TEMPLATES = (
     (r"(?<![\w./-])(?:https?://)?(?:www\.)?{url}", 80, 0.95),
     (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|made\s+available)\s+under\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:{name})(?:\s+licen[cs]e)?(?!\w)", 70, 0.9),
     (r"(?:subject\s+to|governed\s+by)\s+(?:the\s+terms\s+(?:and\s+conditions\s+)?of\s+)?(?:{name})(?:\s+licen[cs]e)?(?!\w)", 60, 0.85),
-    (r"(?<![\w-])(?:{name})\s+licen[cs]e(?!\w)", 40, 0.6),
+    (r"(?<![\w-])(?:{name})[\s-]+licen[cs]ed?(?!\w)", 40, 0.6),
 )
+#: Names that are those of products as well; only with the word license do they name one.
+PRODUCTS = frozenset(("x11", "zlib", "openssl", "php-3.01", "psf-2.0", "ruby", "postgresql", "vim", "w3c", "elastic-2.0", "osl-3.0", "odbl-1.0"))
 
 #: Hand-written signatures of license texts and headers: label, keyword, words, priority and confidence. A space
 #: stands for any run of white space, quotes and comment marks.
@@ -110,10 +112,6 @@ SIGNATURES = (
     ("isc", "granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", 90, 0.95),
     ("0bsd", "granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted(?!, provided)", 90, 0.9),
     ("postgresql", "granted", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", 90, 0.95),
-    ("bsd-4-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1200}?all advertising materials mentioning)", 92, 0.95),
-    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1500}?(?:neither the names? of|the names? of .{1,120}? may not be used to endorse))", 91, 0.95),
-    ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms(?=.{0,1200}?redistributions in binary form must reproduce)", 90, 0.9),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 50, 0.8),
     ("apache-2.0", "january", r"apache license,? version 2[.]0, january 2004", 90, 0.95),
     ("gpl-2.0", "june", r"gnu general public license,? version 2, june 1991", 90, 0.95),
     ("gpl-3.0", "june", r"gnu general public license,? version 3, 29 june 2007", 90, 0.95),
@@ -201,8 +199,61 @@ SIGNATURES = (
     ("wtfpl", "december", r"do what the f\S+ you want to public licen[cs]e version 2, december 2004", 90, 0.95),
     ("cecill-2.1", "cecill", r"contrat de licence de logiciel libre cecill", 90, 0.9),
     ("public-domain", "public domain", r"(?:this|the) (?:work|file|code|software|program|document|source code) (?:is|has been) (?:hereby )?(?:released|placed|dedicated|put) (?:in|into|to) the public domain", 60, 0.8),
+    ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary|proprietary licen[cs]e|all rights reserved[.,;:]? (?:(?:this|the) (?:software|document|file|code|work) is )?proprietary", 60, 0.8),
+    ("proprietary", "prohibited", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)(?:,? (?:and|or) (?:copying|use|distribution|reproduction))? of this (?:file|software|document|code),?(?: via any medium)? is strictly prohibited", 60, 0.85),
+    ("proprietary", "confidential", r"this (?:software|file|document|code) (?:is|contains) (?:the )?confidential(?: and proprietary)? information", 60, 0.8),
+    # names as they are written in identifiers
+    ("apache-2.0", "apache", r"(?<![\w.-])apache-2[.]0(?![\w.-])", 44, 0.8),
+    ("apache-1.1", "apache", r"(?<![\w.-])apache-1[.]1(?![\w.-])", 44, 0.8),
+    ("apache-2.0", "apache", r"(?<![\w.-])(?:asl|al)v?2[.]0 [(]apache", 44, 0.8),
+    ("bsd-2-clause", "bsd", r"(?<![\w.-])bsd-2-clause(?![\w.-])", 44, 0.8),
+    ("bsd-3-clause", "bsd", r"(?<![\w.-])bsd-3-clause(?![\w.-])", 44, 0.8),
+    ("bsd-4-clause", "bsd", r"(?<![\w.-])bsd-4-clause(?![\w.-])", 44, 0.8),
+    ("bsl-1.0", "bsl", r"(?<![\w.-])bsl-1[.]0(?![\w.-])", 44, 0.8),
+    ("artistic-2.0", "artistic", r"(?<![\w.-])artistic-2[.]0(?![\w.-])", 44, 0.8),
+    ("cc0-1.0", "cc0", r"(?<![\w-])cc0(?: 1[.]0)?(?![\w])", 44, 0.8),
+    # spoken forms
+    ("mit", "mit", r"(?:dual|double) licen[cs]ed (?:under )?(?:the )?mit(?: licen[cs]e)? (?:and|or|/)", 65, 0.85),
+    ("mit", "mit", r"(?:under|by) (?:the )?(?:terms of )?(?:the )?(?:permissive )?mit (?:style )?licen[cs]e", 65, 0.85),
+    ("apache-2.0", "apache", r"(?:under|by) (?:the )?(?:terms of )?(?:the )?apache(?: licen[cs]e)?,? (?:version )?v?2(?:[.]0)?(?![.]?\d)", 66, 0.85),
+    ("apache-2.0", "asl", r"(?<![\w.-])asl ?v?2(?:[.]0)?(?![.]?\w)", 44, 0.8),
+    ("bsd", "bsd", r"(?:under|by) (?:the )?(?:terms of )?(?:an? |the )?bsd (?:style|like|type) licen[cs]e", 65, 0.8),
+    ("bsd-3-clause", "bsd", r"(?:3|three) clause,? (?:revised |modified |new )?bsd", 46, 0.8),
+    ("bsd-2-clause", "bsd", r"(?:2|two) clause,? (?:simplified |freebsd )?bsd", 46, 0.8),
+    ("isc", "isc", r"isc style licen[cs]e", 46, 0.8),
+    ("public-domain", "copyright", r"no copyright (?:is )?(?:reserved|claimed)", 46, 0.7),
+    ("public-domain", "domain", r"(?<![\w-])public domain (?:software|code|work|dedication|mark)", 46, 0.7),
+    ("unlicense", "unlicense", r"(?:under|by|see) the unlicense(?!d)", 65, 0.85),
     ("public-domain", "disclaim", r"(?:author|authors) (?:hereby )?disclaims? copyright to this source code", 60, 0.8),
 )
+#: How the BSD texts begin, and the clauses that tell them apart, the longest text first: label, words, priority, confidence.
+BSD_HEAD = r"redistribution and use in source and binary forms"
+BSD_CLAUSES = (
+    ("bsd-4-clause", r"all advertising materials mentioning", 92, 0.95),
+    ("bsd-3-clause", r"neither the names? of|the names? of [^.]{1,120}? may not be used to endorse", 91, 0.95),
+    ("bsd-2-clause", r"redistributions in binary form must reproduce", 90, 0.9),
+)
+
+#: Abbreviations with their versions; a whole number stands for itself with ".0" as well.
+ABBREVIATIONS = (
+    ("gpl", ("1", "2", "3")), ("lgpl", ("2", "2.1", "3")), ("agpl", ("1", "3")), ("gfdl", ("1.1", "1.2", "1.3")), ("mpl", ("1", "1.1", "2")),
+    ("epl", ("1", "2")), ("eupl", ("1", "1.1", "1.2")), ("cddl", ("1", "1.1")), ("cpl", ("1",)), ("osl", ("1", "2", "2.1", "3")), ("afl", ("1.2", "2", "2.1", "3")),
+    ("upl", ("1",)), ("sspl", ("1",)), ("busl", ("1.1",)), ("ofl", ("1", "1.1")), ("odbl", ("1",)), ("zpl", ("2", "2.1")), ("wtfpl", ("2",)), ("cecill", ("1", "2", "2.1")),
+)
+#: Families that may be used under any later version.
+GNU = ("gpl", "lgpl", "agpl", "gfdl")
+_LATER = r"(?:\+|-or-later|,?\s+or\s+(?:any\s+)?(?:later|newer|above|higher)|,?\s+or\s+[(]?at\s+your\s+option[)]?\s+any\s+later|\s+and\s+(?:later|newer|above))"
+
+#: What stands for a license after "license:" or on a badge, besides SPDX identifiers.
+ALIASES = {
+    "apache": "apache", "apache2": "apache-2.0", "apache-2": "apache-2.0", "apache-v2": "apache-2.0", "apache-license-2.0": "apache-2.0", "asl-2.0": "apache-2.0", "asl2": "apache-2.0",
+    "gpl": "gpl", "gpl2": "gpl-2.0", "gpl3": "gpl-3.0", "gplv2": "gpl-2.0", "gplv3": "gpl-3.0", "gpl-v2": "gpl-2.0", "gpl-v3": "gpl-3.0", "gplv2+": "gpl-2.0-or-later", "gplv3+": "gpl-3.0-or-later",
+    "lgpl": "lgpl", "lgplv2.1": "lgpl-2.1", "lgplv3": "lgpl-3.0", "lgpl-v3": "lgpl-3.0", "lgplv3+": "lgpl-3.0-or-later", "agpl": "agpl", "agplv3": "agpl-3.0", "agpl-v3": "agpl-3.0", "agplv3+": "agpl-3.0-or-later",
+    "bsd": "bsd", "bsd2": "bsd-2-clause", "bsd3": "bsd-3-clause", "bsd-2": "bsd-2-clause", "bsd-3": "bsd-3-clause", "new-bsd": "bsd-3-clause", "simplified-bsd": "bsd-2-clause",
+    "mpl": "mpl", "mpl2": "mpl-2.0", "mplv2": "mpl-2.0", "mplv2.0": "mpl-2.0", "epl": "epl", "epl2": "epl-2.0", "eplv2": "epl-2.0", "eupl": "eupl", "cddl": "cddl", "cc0": "cc0-1.0", "cc-0": "cc0-1.0",
+    "expat": "mit", "public-domain": "public-domain", "publicdomain": "public-domain", "proprietary": "proprietary", "commercial": "proprietary", "unlicensed": "proprietary",
+}
+
 _GAP = r"""(?:[\s"'“”‘’`*#/;>|-]+)"""
 
 #: Ids that occur in SPDX expressions besides those of LICENSES and CC_KINDS.
@@ -249,6 +300,8 @@ def rules() -> tuple[Rule, ...]:
         for template, priority, confidence in TEMPLATES:
             if "{url}" in template and url is None:
                 continue
+            if label in PRODUCTS:
+                template = template.replace(r"(?:\s+licen[cs]e)?(?!\w)", r"\s+licen[cs]e(?!\w)")
             body = template.replace("{id}", re.escape(label)).replace("{name}", name).replace("{url}", url or "")
             if label.startswith("cc-"):
                 keyword = "cc" if "{id}" in template else "creative" if "{url}" in template else ""
@@ -265,9 +318,74 @@ def rules() -> tuple[Rule, ...]:
     for label, phrase, words, priority, confidence in SIGNATURES:
         keyword = max(phrase.split(), key=len)  # one word: comment marks may stand between words
         made.append(Rule(label, keyword, re.compile(_spaced(words), re.DOTALL), priority, confidence))
+    made += _abbreviated()
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
+def _abbreviated() -> Iterator[Rule]:
+    """Abbreviations with a version, GNU ones with what is said of later versions, and without one where the words say license."""
+    for name, versions in ABBREVIATIONS:
+        start = rf"(?<![\w.-])(?:gnu\s+)?{name}"
+        for version in versions:
+            label = f"{name}-{version}" if "." in version else f"{name}-{version}.0"
+            body = start + rf"(?:,?\s*|[-_])(?:v(?:ersion|er)?[.]?\s*)?{re.escape(version)}" + ("" if "." in version else r"(?:[.]0)?")
+            if name in GNU:
+                yield Rule(f"{label}-or-later", name, re.compile(body + _LATER), 45, 0.85)
+                yield Rule(f"{label}-only", name, re.compile(body + r"(?:-only|\s+only)(?!\w)"), 45, 0.85)
+                yield Rule(label, name, re.compile(body + rf"(?![.]?\d)(?!\w)(?!-only|\s+only(?!\w))(?!{_LATER})"), 44, 0.85)
+            else:
+                yield Rule(label, name, re.compile(body + r"(?![.]?\d)(?!\w)"), 44, 0.85)
+        bare = r"(?!\w)(?!(?:,?\s*|[-_])(?:v(?:ersion|er)?[.]?\s*)?\d)"
+        said = rf"(?:(?:under|by)\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:gnu\s+)?{name}|(?<![\w.-])gnu\s+{name}){bare}|(?<![\w.-]){name}[\s-]+licen[cs]ed?(?!\w)"
+        yield Rule(name, name, re.compile(said), 42, 0.7)
+    for kind, _ in CC_KINDS:
+        for version in ("1.0", *CC_VERSIONS):
+            words = kind.replace("-", "[ -]")
+            yield Rule(f"cc-{kind}-{version}", "cc", re.compile(rf"(?<![\w-])cc[ -]{words}[ -]v?{re.escape(version)}(?![.]?\d)"), 46, 0.85)
+
+
+_KEYED = re.compile(r"""(?<!\w)licen[cs]es?["']?\s*(?:=>|[:=])\s*["'\[({<]*\s*""")
+FAMILIES = frozenset((*(name for name, _ in ABBREVIATIONS), "apache"))
+_NEXT_VERSION = re.compile(r"(?:,?[ \t]*|[-_])(?:licen[cs]e,?[ \t]+)?(?:v(?:ersion|er)?[.]?[ \t]*)?\d{1,2}(?!\d)")
+_BADGE = re.compile(r"licen[cs]e[-_]([a-z0-9][a-z0-9.+_%-]*?)[-_](?:blue|(?:bright|yellow)?green|yellow|red|orange|lightgr[ea]y|informational|success|[0-9a-f]{6})(?![a-z0-9])")
+
+
+def keyed_detections(lower: str) -> Iterator[Detection]:
+    """Licenses named after "license:" or "license =", and on badges."""
+    for tag in _KEYED.finditer(lower):
+        yield from _expression(lower, tag.end(), tag.start(), 75, 0.9)
+    for badge in _BADGE.finditer(lower):
+        name = badge[1].replace("--", "-").replace("%20", "-").replace("_", "-")
+        if label := _spdx_label(name) or ALIASES.get(name):
+            yield Detection(badge.start(), badge.end(), label, 75, 0.9)
+
+
+@lru_cache(maxsize=1)
+def _bsd() -> tuple[re.Pattern[str], list[tuple[str, re.Pattern[str], int, float]]]:
+    return re.compile(_spaced(BSD_HEAD)), [(label, re.compile(_spaced(words)), *rest) for label, words, *rest in BSD_CLAUSES]
+
+
+def bsd_detections(lower: str) -> Iterator[Detection]:
+    """BSD texts by the clauses that stand between their beginning and the next one's, however long that is."""
+    head, clauses = _bsd()
+    heads = list(head.finditer(lower))
+    for k, at in enumerate(heads):
+        end = heads[k + 1].start() if k + 1 < len(heads) else len(lower)
+        for label, clause, priority, confidence in clauses:
+            if clause.search(lower, at.end(), end):
+                yield Detection(at.start(), at.end(), label, priority, confidence)
+                break
+        else:
+            yield Detection(at.start(), at.end(), "bsd", 50, 0.8)
+
+
+def other_detections(lower: str) -> Iterator[Detection]:
+    """What is found by reading on from a place, not by one pattern."""
+    yield from spdx_detections(lower)
+    yield from keyed_detections(lower)
+    yield from bsd_detections(lower)
+
+
 def _spaced(words: str) -> str:
     """A signature with gaps for its spaces; brackets and semicolons may have quotes and marks beside them."""
     quote = r"""["'“”‘’`]*"""
@@ -290,28 +408,33 @@ def _spdx_label(token: str) -> str | None:
     return f"{base}-or-later" if later and re.match(r"(?:a|l)?gpl-|gfdl-", base) else base
 
 
+def _expression(lower: str, at: int, start: int | None, priority: int, confidence: float) -> Iterator[Detection]:
+    """One detection for every known id of the expression at ``at``; the first one includes the tag at ``start``."""
+    operand = True
+    while token := _SPDX_TOKEN.match(lower, at):
+        word = token[1]
+        if word in ("and", "or", "with"):
+            if operand:
+                break
+            operand = True
+            if word == "with":  # the exception that follows is no license
+                skipped = _SPDX_TOKEN.match(lower, token.end())
+                at, operand = (skipped or token).end(), False
+                continue
+        elif word not in "()":
+            if not operand:
+                break
+            operand = False
+            label = _spdx_label(word) or (ALIASES.get(word) if priority < 100 else None)
+            if label and not (label in FAMILIES and _NEXT_VERSION.match(lower, token.end())):  # the version's own rule has it
+                yield Detection(token.start(1) if start is None else start, token.end(), label, priority, confidence)
+                start = None
+        at = token.end()
+
+
 def spdx_detections(lower: str) -> Iterator[Detection]:
-    """One detection for every known id of every SPDX expression; the first one includes the tag."""
     for tag in _SPDX.finditer(lower):
-        at, start, operand = tag.end(), tag.start(), True
-        while token := _SPDX_TOKEN.match(lower, at):
-            word = token[1]
-            if word in ("and", "or", "with"):
-                if operand:
-                    break
-                operand = True
-                if word == "with":  # the exception that follows is no license
-                    skipped = _SPDX_TOKEN.match(lower, token.end())
-                    at, operand = (skipped or token).end(), False
-                    continue
-            elif word not in "()":
-                if not operand:
-                    break
-                operand = False
-                if label := _spdx_label(word):
-                    yield Detection(token.start(1) if start is None else start, token.end(), label, 100, 1.0)
-                    start = None
-            at = token.end()
+        yield from _expression(lower, tag.end(), tag.start(), 100, 1.0)
 
 
 @lru_cache(maxsize=1)
@@ -344,8 +467,8 @@ def detect(text: str | None) -> list[Detection]:
         for rule in by[keyword]
         for m in rule.pattern.finditer(lower)
     }
-    if "spdx-license-identifier:" in lower:
-        found.update(spdx_detections(lower))
+    if "licen" in lower or "redistribution" in lower:
+        found.update(other_detections(lower))
     return suppressed(found)
 
 
