@@ -10,9 +10,10 @@ vectors are found by two hashes on narrow rows; only one of them is indexed, und
 vector is shuffled once a table and nowhere else. Cells or probe lists beyond ``PART`` rows are dealt over
 a grid of parts.
 
-The parameters are set for independent normal vectors of 64 dimensions, which have hardly any near
+The default parameters are set for independent normal vectors of 64 dimensions, which have hardly any near
 neighbours: there a recall of 0.9 at five neighbours takes some three quarters of all rows, whatever the
-hashes, and the tables together meet a row about once a query. Vectors with structure need fewer probes.
+hashes, and the tables together meet a row about once a query. Vectors with structure need narrower cells and
+fewer probes; ``Hashing`` is an argument.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,19 @@ TABLES, HASHES, WIDTH, PROBES, SEED = 2, 5, 2.5, 28, 42
 PART, BROADCAST_ROWS = 20_000, 100_000
 
 
+class Hashing(NamedTuple):
+    """How vectors are hashed: tables, hashes of a table, width of a cell on unit vectors, cells that a query visits in each table."""
+
+    tables: int = TABLES
+    hashes: int = HASHES
+    width: float = WIDTH
+    probes: int = PROBES
+
+
 @lru_cache(maxsize=8)
-def _directions(dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _directions(dim: int, how: Hashing = Hashing()) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((TABLES, HASHES, dim)), rng.uniform(0, WIDTH, (TABLES, HASHES))
+    return rng.standard_normal((how.tables, how.hashes, dim)), rng.uniform(0, how.width, (how.tables, how.hashes))
 
 
 def _keys(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -82,7 +93,7 @@ def _matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
     return values[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
 
 
-def _hashed(probe: bool):
+def _hashed(probe: bool, how: Hashing = Hashing()):
     """Arrow map from (id, vec) to (key, id, vec): a row a table, or a row a probe of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,21 +107,21 @@ def _hashed(probe: bool):
                     unit = _matrix(column, rows)
                     unit /= np.abs(unit).max(axis=1)[:, None]
                     unit /= np.linalg.norm(unit, axis=1)[:, None]
-                    a, b = _directions(int(dim))
-                    place = (np.einsum("thd,nd->nth", a, unit) + b) / WIDTH
+                    a, b = _directions(int(dim), how)
+                    place = (np.einsum("thd,nd->nth", a, unit) + b) / how.width
                     cells = np.floor(place).astype(np.int64)
-                    tables = np.arange(TABLES)
+                    tables = np.arange(how.tables)
                     if probe:
                         keys, index = [], []
                         for r in range(len(rows)):
                             for t in tables:
-                                sets = probe_sets(place[r, t] - cells[r, t])
+                                sets = probe_sets(place[r, t] - cells[r, t], how.probes)
                                 keys.append(_keys(np.full(len(sets), t), cells[r, t] + sets))
                                 index.append(np.full(len(sets), rows[r]))
                         key, take = np.concatenate(keys), np.concatenate(index)
                     else:
                         key = _keys(np.broadcast_to(tables, cells.shape[:2]), cells).ravel()
-                        take = np.repeat(rows, TABLES)
+                        take = np.repeat(rows, how.tables)
                     taken = pa.array(take)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), batch.column(0).take(taken), column.take(taken)], names=["key", "id", "vec"]
@@ -206,25 +217,44 @@ def _ranked(found: DataFrame, by: str, id_: str, most: int) -> DataFrame:
 
 
 def nearest_neighbors(
-    vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", hashing: Hashing = Hashing()
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row with ``is_query``, itself left out.
 
     Nearness is the cosine, ties go to the smaller id; with fewer candidates all are returned. Vectors that
     are null, empty, zero or hold null or non-finite components, and rows without an id, take no part;
-    vectors of different lengths do not compare. Rows that repeat an id and vector count once; of an id's
-    several vectors the one with the least hash takes part. ``is_query`` has to depend on the id alone. A
+    vectors of different lengths do not compare. Rows that repeat an id and vector count once; an id's
+    several vectors all take part, each as a candidate for the others too, and each as a query with a list of its
+    own. ``is_query`` has to depend on the id alone. A
     query that the probes leave with fewer than ``k`` is answered by an exact scan in blocks. Other columns
     are ignored; an empty table gives an empty result.
     """
-    v, same = F.col(f"`{embedding}`"), ["vec_id", "h", "g"]
+    v = F.col(f"`{embedding}`")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(
         F.col(f"`{vec_id}`").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     ).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("vec"), is_query.alias("is_query"))
     rows = rows.withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(SEED), "vec")})
-    narrow = rows.groupBy("vec_id").agg(F.min(F.struct("h", "g")).alias("v"), F.max("is_query").alias("is_query"), F.count("*").alias("n"))
-    narrow = cut(narrow.select("vec_id", "v.*", "is_query", "n"))
+    narrow = cut(_narrow(rows))
+    most = narrow.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    if most == 1:
+        return _nearest(rows, narrow, k, hashing)
+    # ids of several vectors: numbers in the order of the ids stand for them
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("h", "g")) - 1
+    numbers = narrow.select("vec_id", "h", "g", (F.col("vec_id") * most + place).alias("number"))
+    numbered = rows.join(numbers, ["vec_id", "h", "g"]).select(F.col("number").alias("vec_id"), "vec", "is_query", "h", "g")
+    found = _nearest(numbered, cut(_narrow(numbered)), k, hashing)
+    own = lambda name: F.expr(f"({name} - pmod({name}, {most}L)) div {most}L").alias(name)
+    return found.select(own("query_id"), "rank", own("vec_id"), "score")
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("vec_id", "h", "g").agg(F.max("is_query").alias("is_query"), F.count("*").alias("n"))
+
+
+def _nearest(rows: DataFrame, narrow: DataFrame, k: int, hashing: Hashing) -> DataFrame:
+    """``nearest_neighbors`` of sound rows in which an id has one vector; ``narrow`` has a row an id."""
+    same = ["vec_id", "h", "g"]
     # equal vectors: the least k + 1 ids (a query leaves its own out); the limit is applied before the shuffle too
     first = narrow.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     reps = cut(first.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
@@ -237,7 +267,7 @@ def nearest_neighbors(
     pairs = rows.join(special.select("vec_id"), "vec_id", "left_anti").select("vec_id", "vec").union(again.select("vec_id", "vec"))
     pairs = pairs.withColumnRenamed("vec_id", "id")
     kind = f"key long, id long, vec {rows.schema['vec'].dataType.simpleString()}"
-    found = _matched(pairs.mapInArrow(_hashed(False), kind), asked.mapInArrow(_hashed(True), kind), k + 1)
+    found = _matched(pairs.mapInArrow(_hashed(False, hashing), kind), asked.mapInArrow(_hashed(True, hashing), kind), k + 1)
     found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = cut(_ranked(found, "query", "id", k + 1))
     # an exact scan for the rest: every part of the queries meets all vectors of its length
