@@ -459,3 +459,38 @@ def test_messages_that_cannot_be_used_are_kept_apart(spark):
     bad = [r.reason for r in streams.unreadable(x).collect()]
     assert sorted(bad) == ["incomplete"] * 3 + ["malformed"] * 6
     assert {r.value for r in streams.unreadable(x).collect()} < set(lines)
+
+
+def test_older_monitor_has_all_seven_levels_in_order(spark):
+    """One market a level, in its own hour; each also meets the conditions of the levels after it."""
+    hour, rows = 1_704_067_200, []
+
+    def add(market_, wallets, buys, size, minutes):
+        for k, w in enumerate(wallets):
+            side = "BUY" if k < buys else "SELL"
+            rows.append((len(rows), w, market_, hour + minutes * k, side, 50, 0, size))
+
+    add(1, [100, 1, 2, 3, 4, 5], 6, 400, 10)  # a critical wallet, one way, six within five minutes
+    add(2, [1, 2, 3, 4, 5, 6], 6, 400, 10)  # one way and together
+    add(3, [1, 2, 3, 4], 4, 700, 600)  # one way, far apart
+    add(4, [1, 2, 3, 4, 5, 6], 3, 400, 10)  # both ways, together
+    add(5, [1, 2, 3, 4], 2, 1500, 600)  # both ways, far apart, and large
+    add(6, [1, 2, 3, 4], 2, 900, 600)
+    add(7, [1, 2, 3, 4], 2, 600, 600)
+    add(8, [1, 2, 3, 4], 4, 100, 600)  # below the floor
+    add(9, [1, 2, 3, 4], 2, 600, 600)
+    rows.append((len(rows), 9, 9, hour - 3600, "BUY", 50, 0, 400_000))  # two per cent of the day before is more than this hour's volume
+    got = market.v1_alerts(trades(spark, rows), spark.createDataFrame([(100,)], "wallet long"), 100_000, 150_000, 250_000, 500_000)
+    levels = {(r.condition_id, r.alert_level) for r in got.where(f"w = {hour}").collect()}
+    assert levels == {
+        (1, "CRITICAL_TRADER"), (2, "COORDINATED_DIRECTIONAL"), (3, "DIRECTIONAL_SPIKE"), (4, "COORDINATED_ACTIVITY"), (5, "CRITICAL_VOLUME"), (6, "HIGH_VOLUME"), (7, "VOLUME_SPIKE")
+    }
+    metrics = {r.condition_id: r for r in market.v1_metrics(trades(spark, rows), 100_000, 500_000).where(f"w = {hour}").collect()}
+    assert metrics[2].max_concurrent == 6 and metrics[3].max_concurrent == 1 and metrics[4].same_side == 0.5 and metrics[9].threshold_c > metrics[9].volume_c
+
+
+def test_critical_traders_alert_by_size_or_share(spark):
+    t = 1_704_067_200
+    rows = [(0, 1, 1, t, "BUY", 50, 0, 100), (1, 2, 1, t + 5, "BUY", 50, 0, 900), (2, 1, 2, t, "BUY", 50, 0, 400), (3, 2, 2, t, "BUY", 50, 0, 600), (4, 1, 3, t, "BUY", 50, 0, 90_000), (5, 2, 3, t, "BUY", 50, 0, 900_000)]
+    got = market.critical_trader_alerts(trades(spark, rows), spark.createDataFrame([(1,)], "wallet long"), 4_000_000, 0.3)
+    assert {(r.condition_id, r.critical_wallets, r.largest_c) for r in got.collect()} == {(2, 1, 20_000), (3, 1, 4_500_000)}

@@ -89,9 +89,9 @@ def st_trade_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_trade_notifications(spark: SparkSession, folder: str) -> DataFrame:
-    """Batches that end a minute or more after the last one notified."""
+    """Batches that end ten days or more after the last one notified; a wallet seldom returns to a market of the test tables sooner."""
     streams.rocksdb(spark)
-    return streams.collected(streams.trade_notifications(streams.trade_batches(streams.trade_stream(spark, folder))))
+    return streams.collected(streams.trade_notifications(streams.trade_batches(streams.trade_stream(spark, folder)), 864_000))
 
 
 def trade_batches_batch(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,9 +27,10 @@ def replace(state: ListState, frame: pd.DataFrame) -> None:
 
 
 class Panes(StatefulProcessor):
-    """Per market the wallet sums of each slice of time; a timer at the end of a window adds up its slices.
+    """Per market the wallet sums of each slice of time, from which all windows are added up that the watermark has closed.
 
-    One state row a slice and wallet. A slice leaves when the last window that holds it has ended.
+    One state row a slice and wallet. A slice leaves when the last window that holds it has been sent; until then one timer
+    stands at the end of the next window.
     """
 
     def __init__(self, size: int, slide: int):
@@ -38,34 +39,48 @@ class Panes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("panes", "pane long, wallet long, v long, buy long, n long")
+        self.sent = handle.getValueState("sent", "end long")
+
+    def _due(self, key, rows: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """The windows that end after those sent and not after the watermark, and the state and timer for the rest."""
+        before = self.sent.get()[0] if self.sent.exists() else None
+        each = pd.concat([rows.assign(end=rows["pane"] + k) for k in range(self.slide, self.size + 1, self.slide)])
+        open_ = each if before is None else each[each["end"] > before]
+        closed = open_[open_["end"] <= watermark]
+        if len(closed):
+            self.sent.update((int(closed["end"].max()) if before is None else max(before, int(closed["end"].max())),))
+        left = rows[rows["pane"] + self.size > watermark]
+        replace(self.rows, left)
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if len(left):
+            self.handle.registerTimer(int(open_.loc[open_["end"] > watermark, "end"].min()) * 1000)
+        if len(closed):
+            own = closed.groupby(["end", "wallet"], as_index=False)[["v", "buy", "n"]].sum().sort_values(["end", "v"])
+            own["ranked"] = own["v"] * (own.groupby("end").cumcount() + 1)
+            own["square"] = own["v"].astype(float) ** 2
+            own["top"] = own["v"].where(own.groupby("end").cumcount(ascending=False) < 3, 0)
+            out = own.groupby("end").agg(
+                volume_c=("v", "sum"), buy_c=("buy", "sum"), traders=("v", "size"), trades=("n", "sum"), square=("square", "sum"), ranked=("ranked", "sum"), top_c=("top", "sum")
+            ).reset_index()
+            out = out.assign(condition_id=int(key[0]), w=out["end"] - self.size, sell_c=out["volume_c"] - out["buy_c"])
+            yield out[[x.split()[0] for x in PANE_ROWS.split(", ")]]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        self.rows.appendList([tuple(map(int, r)) for r in new[["pane", "wallet", "v", "buy", "n"]].itertuples(index=False)])
-        for end in sorted({int(p) + k for p in new["pane"].unique() for k in range(self.slide, self.size + 1, self.slide)}):
-            self.handle.registerTimer(end * 1000)
-        yield from ()
+        new = pd.concat(list(rows))[NAMES]
+        yield from self._due(key, pd.concat([self._held(), new]), timerValues.getCurrentWatermarkInMs() // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        every = pd.DataFrame(list(self.rows.get()), columns=["pane", "wallet", "v", "buy", "n"])
-        own = every[(every["pane"] >= end - self.size) & (every["pane"] < end)].groupby("wallet")[["v", "buy", "n"]].sum()
-        open_ = min((int(t) // 1000 for t in self.handle.listTimers()), default=end)
-        left = every[every["pane"] >= min(end, open_) + self.slide - self.size]
-        if len(left) < len(every):
-            replace(self.rows, left)
-        v = np.sort(own["v"].to_numpy())
-        n, total, buy = len(v), int(v.sum()), int(own["buy"].sum())
-        square, ranked = float((v.astype(float) ** 2).sum()), int((v * np.arange(1, n + 1)).sum())
-        yield pd.DataFrame([{
-            "condition_id": int(key[0]), "w": end - self.size, "volume_c": total, "buy_c": buy, "sell_c": total - buy, "traders": n, "trades": int(own["n"].sum()),
-            "square": square, "ranked": ranked, "top_c": int(v[-3:].sum()),
-        }])
+        yield from self._due(key, self._held(), timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.rows.get()), columns=NAMES, dtype="int64")
 
     def close(self) -> None:
         pass
 
 
+NAMES = ["pane", "wallet", "v", "buy", "n"]
 PANE_ROWS = (
     "condition_id int, w long, volume_c long, buy_c long, sell_c long, traders long, trades long, square double, ranked long, top_c long"
 )
