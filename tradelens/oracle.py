@@ -246,7 +246,7 @@ SQL: dict[str, str] = {
     "risk_level": f"SELECT wallet, {_LEVEL.format(x='risk_score')} AS level FROM scored",
     "profile_type": "SELECT wallet, profile_type FROM scored",
     "profile_type_fast": "SELECT wallet, CASE WHEN pnl_c > 5000000 AND rank <= 100 THEN 'INSIDER' WHEN pnl_c > 2500000 THEN 'PRO' WHEN pnl_c < 0 THEN 'LOSER' ELSE 'CASUAL' END AS profile_type FROM board WHERE category = 'OVERALL' AND period = 'ALL'",
-    "filter_high_risk": "SELECT wallet, risk_score FROM scored WHERE risk_score >= 2",
+    "filter_high_risk": "SELECT wallet, risk_score FROM scored WHERE risk_score >= 5",
     "off_hours_flag": "SELECT trade_id, dayofweek(to_timestamp(t)) IN (0, 6) OR hour(to_timestamp(t)) >= 22 OR hour(to_timestamp(t)) < 6 AS off_hours FROM trades",
     "short_address": "SELECT DISTINCT wallet, '0xAb' || left(lpad(wallet::VARCHAR, 8, 'C'), 2) || '...' || right(lpad(wallet::VARCHAR, 8, 'C'), 4) AS short FROM trades",
     "trades_join_resolutions": "SELECT trade_id, winner_idx, win, secs FROM resolved",
@@ -283,7 +283,7 @@ SQL: dict[str, str] = {
     "trader_volume": "SELECT wallet, sum(value_c)::BIGINT AS volume_c, count(*) AS trades FROM trades GROUP BY 1",
     "trader_avg_cost_pnl": """SELECT wallet, sum(n)::BIGINT AS trades, count(*) AS markets, sum(wins)::BIGINT AS profitable_trades, sum(wins) / sum(n) AS winrate, sum(volume_c)::BIGINT / 100 AS volume,
       round(sum(profit), 4) AS profit, round(sum(profit) / (sum(volume_c)::BIGINT / 100), 6) AS roi FROM cost GROUP BY 1""",
-    "qualified_traders": "SELECT wallet, sum(n)::BIGINT AS trades, sum(wins) / sum(n) AS winrate FROM cost GROUP BY 1 HAVING sum(n) >= 20 AND sum(wins) / sum(n) >= 0.15",
+    "qualified_traders": "SELECT wallet, sum(n)::BIGINT AS trades, sum(wins) / sum(n) AS winrate FROM cost GROUP BY 1 HAVING sum(n) >= 60 AND sum(wins) / sum(n) >= 0.05",
     "top_roi_traders_per_market": "SELECT * FROM (SELECT condition_id, wallet, roi, row_number() OVER (PARTITION BY condition_id ORDER BY roi DESC, wallet)::INT AS place FROM (SELECT *, round(profit / (volume_c / 100), 6) AS roi FROM cost)) WHERE place <= 5",
     "scout_performance": """SELECT wallet, count(*) FILTER (win) / count(*) AS winrate, count(*) AS resolved, round(avg(secs), 6) AS avg_secs, count(*) FILTER (secs > 0 AND secs < 600) / count(*) AS last_minute_ratio, max(size) AS max_size
       FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY t DESC, trade_id DESC) AS r FROM maybe) WHERE r <= 200 AND winner_idx IS NOT NULL GROUP BY 1 HAVING count(*) >= 5""",
@@ -401,7 +401,7 @@ SQL |= {
     "st_trade_batches": _CLOSED,
     "st_trade_notifications": f""", bn AS (SELECT *, row_number() OVER (PARTITION BY wallet, condition_id ORDER BY w) AS k FROM ({_CLOSED})),
       nw2 AS (SELECT wallet, condition_id, 1::BIGINT AS k, last_t AS last, true AS sent FROM bn WHERE k = 1
-        UNION ALL SELECT x.wallet, x.condition_id, b.k, CASE WHEN b.last_t - x.last >= 60 THEN b.last_t ELSE x.last END, b.last_t - x.last >= 60
+        UNION ALL SELECT x.wallet, x.condition_id, b.k, CASE WHEN b.last_t - x.last >= 864000 THEN b.last_t ELSE x.last END, b.last_t - x.last >= 864000
           FROM nw2 x JOIN bn b ON b.wallet = x.wallet AND b.condition_id = x.condition_id AND b.k = x.k + 1)
       SELECT bn.* EXCLUDE (k) FROM bn JOIN nw2 USING (wallet, condition_id, k) WHERE sent""",
     "st_position_changes": "SELECT * FROM (SELECT *, lag(pnl_c, 1, 0) OVER (PARTITION BY wallet ORDER BY day) AS before_c FROM snaps) WHERE before_c = 0 OR abs(pnl_c - before_c) >= 500000",

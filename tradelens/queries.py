@@ -186,7 +186,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "risk_level": lambda x: _scored(x).select("wallet", s.risk_level(c("risk_score")).alias("level")),
     "profile_type": lambda x: _scored(x).select("wallet", "profile_type"),
     "profile_type_fast": lambda x: x.leaderboard.where("category = 'OVERALL' and period = 'ALL'").select("wallet", s.profile_type_fast(c("pnl_c") / 100, c("rank")).alias("profile_type")),
-    "filter_high_risk": lambda x: _scored(x).where("risk_score >= 2").select("wallet", "risk_score"),
+    "filter_high_risk": lambda x: _scored(x).where("risk_score >= 5").select("wallet", "risk_score"),
     "off_hours_flag": lambda x: x.trades.select("trade_id", s.off_hours(c("t")).alias("off_hours")),
     "short_address": lambda x: _hex(x).select("wallet", s.short_address(c("address")).alias("short")),
     # joins
@@ -217,7 +217,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "trader_resolved_pnl": lambda x: profiles.resolved_pnl(x.trades, x.resolutions),
     "trader_volume": lambda x: profiles.volume(x.trades),
     "trader_avg_cost_pnl": lambda x: profiles.avg_cost_pnl(x.trades),
-    "qualified_traders": lambda x: profiles.qualified_traders(x.trades, 20, 0.15).select("wallet", "trades", "winrate"),
+    "qualified_traders": lambda x: profiles.qualified_traders(x.trades, 60, 0.05).select("wallet", "trades", "winrate"),
     "top_roi_traders_per_market": lambda x: profiles.top_roi_per_market(x.trades, 5),
     "scout_performance": lambda x: profiles.scout_performance(x.trades, x.resolutions),
     "trader_positions_value": lambda x: profiles.positions_value(x.positions),
