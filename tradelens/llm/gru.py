@@ -172,7 +172,7 @@ class Model:
             inner[a:b] = softmax(z, which[a:b] - low, every[: b - a])
             if grads is not None:
                 back[:, a:b] = words.T @ z
-                grads["blocks"].append((low, high, z @ ours[:, a:b].T, z.sum(axis=1)))
+                grads["words"][low:high], grads["word_bias"][low:high] = z @ ours[:, a:b].T, z.sum(axis=1)
         out[order] += inner
         if grads is not None:
             dh[:, order] += back
@@ -203,7 +203,7 @@ class Model:
         flat, targets = states.reshape(k, -1), w.targets.T.ravel()
         real = np.flatnonzero(targets > -2)
         whole = len(real) == len(targets)
-        grads: dict = {"blocks": []}
+        grads: dict = {n: np.zeros_like(self.p[n]) for n in ("words", "word_bias")}
         _, dh_real = self._foretell(flat if whole else flat[:, real], targets[real], grads)
         if whole:
             dh_all = dh_real
@@ -234,12 +234,9 @@ class Model:
                 back[:, w.starts[:, t]] = 0
             before[:, t] = h0
         scale = np.float32(1 / max(1, len(real)))
-        self._move("gates", slice(None), before.reshape(k, -1) @ da.reshape(3 * k, -1).T * scale, rate)
-        self._move("classes", slice(None), grads["classes"] * scale, rate)
-        self._move("class_bias", slice(None), grads["class_bias"] * scale, rate)
-        for low, high, dw, db in grads["blocks"]:
-            self._move("words", slice(low, high), dw * scale, rate)
-            self._move("word_bias", slice(low, high), db * scale, rate)
+        grads["gates"] = before.reshape(k, -1) @ da.reshape(3 * k, -1).T
+        for name, grad in grads.items():
+            self._move(name, slice(None), grad * scale, rate)
         ids = w.inputs.T.ravel()[real]
         order = np.argsort(ids.astype(np.int16) if len(self.p["inputs"]) < 2**15 else ids, kind="stable")
         ids = ids[order]

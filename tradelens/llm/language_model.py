@@ -45,8 +45,9 @@ class Settings(NamedTuple):
     hidden: int = 16
     classes: int = 32
     rare_inputs: int = 64  # input rows that all other words share, by their last two bytes
-    lanes: int = 256  # half as many again in scoring
-    steps: int = 32
+    lanes: int = 384
+    steps: int = 32  # twice as many in scoring
+    updates: int = 100  # a copy that would learn in fewer windows takes fewer lanes, down to 64
     rounds: int = 2
     rate: float = 0.1
     seed: int = 13
@@ -155,6 +156,12 @@ def averaged(copies: DataFrame) -> DataFrame:
     return once.groupBy("block").applyInPandas(mean, kind)
 
 
+def training_lanes(words: Words, copies: int, s: Settings) -> int:
+    """Lanes with which ``copies`` copies of the model make about ``updates`` steps a round or more."""
+    tokens = words.tokens // max(1, copies * s.rounds)
+    return max(min(64, s.lanes), min(s.lanes, tokens // (s.steps * s.updates)))
+
+
 def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
     """The packed model after all rounds over the texts in ``_t`` of ``docs(doc_id, _t)``.
 
@@ -162,6 +169,7 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
     """
     context = docs.sparkSession.sparkContext
     shared, now = context.broadcast(words), _model(words, s).packed()
+    lanes = training_lanes(words, docs.rdd.getNumPartitions(), s)
     for turn in range(s.rounds):
         start = context.broadcast(now)
 
@@ -170,7 +178,7 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
 
             reader, model = _Reader(shared.value, s), _model(shared.value, s)
             model.unpack(start.value)
-            state, tokens = np.zeros((s.hidden, s.lanes), np.float32), 0
+            state, tokens = np.zeros((s.hidden, lanes), np.float32), 0
 
             def read() -> Iterator[Sequence]:
                 for batch in batches:
@@ -179,7 +187,7 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
                         _, inputs, targets, _ = reader.read(texts[k])
                         yield 0, inputs, targets
 
-            for w in windows(read(), s.lanes, s.steps):
+            for w in windows(read(), lanes, s.steps):
                 tokens += int((w.targets > -2).sum())
                 state[:, w.lanes] = model.learn(w, state[:, w.lanes], s.rate)
             if tokens:
@@ -207,11 +215,9 @@ def _scored(docs: DataFrame, words: Words, model: np.ndarray, s: Settings) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, reader, net = shared.value, _Reader(shared.value, s), _model(shared.value, s)
         net.unpack(parameters.value)
-        counts = np.array(w.counts)
-        base = np.log10((counts + 1) / (w.tokens + w.distinct + 1))
-        inner = np.where(np.arange(len(counts)) < w.known, 0.0, np.log10((counts + 1) / (w.rare_tokens + w.rare_distinct + 1)))
-        unseen_base, unseen = -math.log10(w.tokens + w.distinct + 1), -math.log10(w.rare_tokens + w.rare_distinct + 1)
-        state, opened, sums = np.zeros((s.hidden, s.lanes * 3 // 2), np.float32), {}, {}
+        logs_of, no_end = np.log10(np.array(w.counts) + 1.0), w.counts[0] == 0
+        whole, rare = math.log10(w.tokens + w.distinct + 1), math.log10(w.rare_tokens + w.rare_distinct + 1)
+        state, opened, sums = np.zeros((s.hidden, s.lanes), np.float32), {}, {}
 
         def read() -> Iterator[Sequence]:
             number = 0
@@ -220,17 +226,17 @@ def _scored(docs: DataFrame, words: Words, model: np.ndarray, s: Settings) -> Da
                 for k in _longest_first(texts):
                     doc_id, held = ids[k], helds[k]
                     places, inputs, targets, absent = reader.read(texts[k])
-                    here, n = places[places >= 0], len(absent)
-                    other = Counter(absent)
+                    here = places[places >= 0] if absent else places
+                    found, beyond, other = logs_of[here], here >= w.known, Counter(absent)
                     opened[number] = (
-                        doc_id, held, len(places), int((counts[here] > 0).sum()), float(base[here].sum()) + n * unseen_base,
-                        float(inner[here].sum()) + n * unseen, list(other), list(other.values()),
+                        doc_id, held, len(places), len(here) - no_end, float(found.sum()) - len(places) * whole,
+                        float(found[beyond].sum()) - (int(beyond.sum()) + len(absent)) * rare, list(other), list(other.values()),
                     )
                     sums[number] = 0.0
                     yield number, inputs, targets
                     number += 1
 
-        for window in windows(read(), s.lanes * 3 // 2, s.steps):
+        for window in windows(read(), s.lanes, 2 * s.steps):
             logs, state[:, window.lanes] = net.score(window, state[:, window.lanes])
             for number, x in zip(window.of, np.add.reduceat(logs, window.at)):
                 sums[number] += float(x)
