@@ -141,11 +141,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as one big-endian number, zeros beyond the end."""
-    words = np.zeros(len(data), np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(data)].astype(np.uint64)
-    return words
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -157,30 +154,33 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """
     n, strip = len(data), 128
     words = np.concatenate((_words(data), np.zeros(most + 8, np.uint64)))
-    before = np.full(n, -1, np.int64)
+    lanes = -(-n // strip)
+    before = np.full(lanes * strip, -1, np.int32)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int32)
-    lanes = np.arange(0, n, strip)
-    length, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -2, np.int64)
-    limits = np.array([1 << (8 * k) for k in range(8)], np.uint64)
-    for k in range(min(strip, n)):
-        at = lanes + k
-        if at[-1] >= n:
-            at, length, last = at[:-1], length[: len(at) - 1], last[: len(at) - 1]
-            lanes = lanes[: len(at)]
-        other = before[at]
-        length = np.where((other >= 0) & (other == last + 1), np.maximum(length - 1, 0), 0)
+    steps = np.ascontiguousarray(before.reshape(lanes, strip).T)  # what the lanes read at one step lies side by side
+    begins = np.arange(0, n, strip)
+    out = np.zeros((strip, lanes), np.int32)
+    length, last = np.zeros(lanes, np.int64), np.full(lanes, -2, np.int32)
+    for k, other in enumerate(steps):
+        length -= 1
+        length[(other != last + 1) | (length < 0) | (other < 0)] = 0
         last = other
         live = np.flatnonzero((other >= 0) & (length < most))
+        own = length[live]
+        a, b = begins[live] + k + own, other[live] + own
         while len(live):
-            differ = words[at[live] + length[live]] ^ words[other[live] + length[live]]
-            equal = 8 - np.searchsorted(limits, differ, side="right")
-            room = n - np.maximum(at[live], other[live]) - length[live]
-            length[live] += np.minimum(equal, room)
-            live = live[(equal == 8) & (room > 8) & (length[live] < most)]
-        length = np.minimum(length, most)
-        out[at] = length
-    return out[order]
+            differ = words[a] ^ words[b]
+            equal, odd = np.full(len(live), 8), np.flatnonzero(differ)
+            high = differ[odd]
+            equal[odd] = sum((high < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+            room = n - np.maximum(a, b)
+            own = own + np.minimum(equal, room)
+            length[live] = own
+            more = (equal == 8) & (room > 8) & (own < most)
+            live, own, a, b = live[more], own[more], a[more] + 8, b[more] + 8
+        np.minimum(length, most, out=length)
+        out[k] = length
+    return out.T.ravel()[:n][order]
 
 
 def first_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
