@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.sources.shared import checkpointed
+
 c = F.col
 #: Pairs of (left, right) rows from which on a bucket is busy.
 BUSY_PAIRS = 250_000
@@ -84,7 +86,10 @@ def _counted(side: DataFrame, wallet: str, n: str, busy: DataFrame) -> DataFrame
 def joined_rows(trades: DataFrame, window_s: int, least: int, busy_pairs: int = BUSY_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of the three joins: trades that meet in quiet buckets, candidates, and the candidates' trades that meet in busy ones."""
     left, right = _sides(trades, window_s)
-    busy = busy_buckets(left, right, busy_pairs)
+    busy = checkpointed(busy_buckets(left, right, busy_pairs))  # few narrow rows that four joins read
+    if busy.isEmpty():
+        none = left.select("w1", c("w1").alias("w2"), c("n1").alias("pairs")).limit(0)
+        return _met(left, right, window_s, ["b"]), none.drop("pairs"), none
     marks = busy.select("b")
     quiet = _met(left.join(marks, "b", "left_anti"), right.join(marks, "b", "left_anti"), window_s, ["b"])
     hot_left, hot_right = left.join(marks, "b", "left_semi"), right.join(marks, "b", "left_semi")
