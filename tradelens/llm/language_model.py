@@ -63,6 +63,7 @@ class Words(NamedTuple):
     rare_tokens: int  # those beyond the model's vocabulary
     rare_distinct: int
     known: int  # words of the model's vocabulary
+    least: int  # the least block of counts in the dictionary
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,16 +104,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _block() -> Column:
+    """Blocks of counts, some fifty for each factor of e; small counts have one each."""
+    return F.floor(50 * F.log(F.col("n"))).cast("int")
+
+
 def gathered(counts: DataFrame, s: Settings) -> Words:
-    """The dictionary and the sums; ``dictionary`` words reach the driver."""
+    """The dictionary and the sums. The dictionary has all words of the highest blocks of counts, ``dictionary`` words at most.
+
+    What reaches the driver are the sizes of the blocks and those words; no task sorts more than its own.
+    """
     end = F.lit(END)
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("token") == end, F.col("n"))).alias("ends")).first()
-    top = counts.where(F.col("token") != end).orderBy(F.desc("n"), "token").limit(s.dictionary - 1).toArrow()
-    names, own = [END, *top.column("token").to_pylist()], [sums.ends or 0, *top.column("n").to_pylist()]
+    sizes = counts.groupBy(_block().alias("block"), (F.col("token") == end).alias("end")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    tokens, distinct, ends = sum(r.n for r in sizes), sum(r.v for r in sizes), sum(r.n for r in sizes if r.end)
+    room, least = s.dictionary - 1, 1 + max((r.block for r in sizes), default=0)
+    for r in sorted((r for r in sizes if not r.end), key=lambda r: -r.block):
+        room -= r.v
+        if room < 0:
+            break
+        least = r.block
+    top = counts.where((F.col("token") != end) & (_block() >= least)).toArrow()
+    found = sorted(zip(top.column("n").to_pylist(), top.column("token").to_pylist()), key=lambda x: (-x[0], x[1]))
+    names, own = [END, *(w for _, w in found)], [ends, *(n for n, _ in found)]
     known = min(s.vocabulary, len(names))
     seen = sum(1 for n in own[:known] if n)
-    tokens = sums.n or 0
-    return Words(names, own, tokens, sums.v, tokens - sum(own[:known]), sums.v - seen, known)
+    return Words(names, own, tokens, distinct, tokens - sum(own[:known]), distinct - seen, known, least)
 
 
 class _Reader:
@@ -280,9 +296,7 @@ def score_with(learnt: Learnt, docs: DataFrame, settings: Settings = Settings(),
     words = learnt.words
     found = cut(_scored(_rows(docs, text), words, learnt.model, settings).withColumn("_row", F.monotonically_increasing_id()))
     other = found.select("_row", F.explode(F.arrays_zip("tokens", "times")).alias("x")).select("_row", "x.*")
-    # a word that tasks do not have is no more frequent than the least one they have
-    least = words.counts[-1] if len(words.names) == settings.dictionary else 0
-    low = learnt.counts.where(F.col("n") <= least).select(F.col("token").alias("tokens"), "n")
+    low = learnt.counts.where(_block() < words.least).select(F.col("token").alias("tokens"), "n")  # the words that tasks do not have
     more = other.join(low, "tokens").groupBy("_row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_log"))
     all_ = found.drop("tokens", "times").join(more, "_row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
