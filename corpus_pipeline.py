@@ -25,12 +25,16 @@ def _documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go. Null and empty texts have no words and are rejected; repeated rows are judged alike."""
     return passing(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated passages go from the texts; ``n_chars`` follows."""
+    """Lines of repeated passages go from the texts; ``n_chars`` follows.
+
+    Null and empty texts and rows without a doc_id stay as they are; repeated rows are cut alike, and texts that share a doc_id
+    each lose only what repeats in them.
+    """
     done = line_dedup(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -39,17 +43,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: the one of the least doc_id.
+
+    Texts without words are copies of each other, rows without a doc_id stay, and of equal rows one stays.
+    """
     return _documents(keep_one(docs), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated to the target mixture; every document stays at least once."""
+    """Sources are repeated to the target mixture; every document stays at least once.
+
+    A null source is a source of its own; texts without words have no tokens and are repeated with their source.
+    """
     return _documents(mix_sources(docs), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; a null or empty text is its end token alone."""
     return pack(docs)
 
 
@@ -68,7 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again.
 
-    A stage's folder goes when the next one is written; the last of them stays, as the result reads it.
+    A stage's folder goes when the next one is written; the last of them stays, as the result reads it. An empty table
+    gives an empty result, and further columns of any name pass through all stages but the last.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")

@@ -494,3 +494,11 @@ def test_critical_traders_alert_by_size_or_share(spark):
     rows = [(0, 1, 1, t, "BUY", 50, 0, 100), (1, 2, 1, t + 5, "BUY", 50, 0, 900), (2, 1, 2, t, "BUY", 50, 0, 400), (3, 2, 2, t, "BUY", 50, 0, 600), (4, 1, 3, t, "BUY", 50, 0, 90_000), (5, 2, 3, t, "BUY", 50, 0, 900_000)]
     got = market.critical_trader_alerts(trades(spark, rows), spark.createDataFrame([(1,)], "wallet long"), 4_000_000, 0.3)
     assert {(r.condition_id, r.critical_wallets, r.largest_c) for r in got.collect()} == {(2, 1, 20_000), (3, 1, 4_500_000)}
+
+
+def test_baseline_frames_only_grow(spark):
+    """No frame moves at both ends, so the work is the same for any number of points."""
+    df = spark.createDataFrame([(1, 0, 1, 1, 1)], "condition_id int, w long, volume_c long, traders long, trades long")
+    plan = lambda points: market.baseline_z(df, points)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [x for x in plan(672).split("RangeFrame, ")[1:]]
+    assert len(frames) >= 2 and all(x.startswith("unboundedpreceding") for x in frames) and plan(168).count("RangeFrame") == len(frames)
