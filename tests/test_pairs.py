@@ -67,3 +67,26 @@ def test_correlations_of_nothing(spark):
     assert none.count() == 0 and graph.wallet_correlations(none).count() == 0
     alone = spark.createDataFrame([(1, 5), (1, 6), (1, 7)], SCHEMA)
     assert graph.coordinated_pairs(alone, 60, 2).where(F.col("pairs") > 0).count() == 0
+
+
+def test_wallets_of_the_same_seconds_are_joined_once(spark):
+    """Thirty copies of forty wallets: all pairs, sums and components, from the joins of forty."""
+    base = trades(11, 40, 500, 300, (20, 41), 3)
+    rows = [(w + 40 * k, t) for w, t in base for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).cache()
+    want = brute(rows, 60, 3)
+    found, who = pairs.class_pairs(df, 60, 3)
+    assert who.count() == 1200 and who.where("size = 30").count() == 1200 and found.count() <= 40 * 41 // 2
+    assert {(r.w1, r.w2): r.pairs for r in pairs.near_pairs(df, 60, 3).collect()} == want
+    plain = sorted(map(tuple, graph.wallet_correlations(spark.createDataFrame([(*k, n) for k, n in want.items()], "w1 long, w2 long, pairs long")).collect()))
+    assert sorted(map(tuple, graph.correlations(df, 60, 3).collect())) == plain
+    edges = spark.createDataFrame(list(want), "w1 long, w2 long")
+    assert sorted(map(tuple, graph.wallet_clusters(df, 60, 3).collect())) == sorted(map(tuple, graph.clusters(edges).collect()))
+
+
+def test_same_seconds_but_other_counts(spark):
+    """A wallet with one more trade in a second is a class of its own; a lone pair of copies is a cluster."""
+    rows = [(w, t) for w in (1, 2, 3) for t in (0, 1000, 2000)] + [(3, 2000), (8, 50_000), (8, 90_000), (9, 50_000), (9, 90_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in pairs.near_pairs(df, 60, 2).collect()} == {(1, 2, 3), (1, 3, 4), (2, 3, 4), (8, 9, 2)}
+    assert {r.wallet: (r.cluster_id, r["size"]) for r in graph.wallet_clusters(df, 60, 2).collect()} == {1: (1, 3), 2: (1, 3), 3: (1, 3), 8: (8, 2), 9: (8, 2)}

@@ -9,7 +9,7 @@ from tradelens.operators import graph, market, profiles, scoring
 
 
 def wallet_clusters(trades: DataFrame, window_s: int = 60, min_pairs: int = 3) -> DataFrame:
-    return graph.clusters(graph.coordinated_pairs(trades, window_s, min_pairs))
+    return graph.wallet_clusters(trades, window_s, min_pairs)
 
 
 def fast_profiles(trades: DataFrame, resolutions: DataFrame, markets: DataFrame, positions: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def score_profiles(trades: DataFrame, resolutions: DataFrame, markets: DataFrame
     p = profiles.trader_profile(trades, resolutions, markets)
     if full:
         p = p.join(scoring.trade_extremes(trades, markets), "wallet")
-    related = graph.wallet_correlations(graph.coordinated_pairs(trades, 60, min_pairs))
+    related = graph.correlations(trades, 60, min_pairs)
     return scoring.risk_scores(p, related, as_of, full)
 
 
