@@ -79,8 +79,12 @@ def volume_impact_score(size: Column, daily: Column) -> Column:
     return F.when((daily > 0) & (size > 0), ladder(ratio(size, daily), [(0.05, 2), (0.02, 1.5), (0.01, 1)])).otherwise(0.0)
 
 
+#: Related wallets from which on ``cluster_score`` rises no more.
+MOST_RELATED = 5
+
+
 def cluster_score(related: Column, coordinated: Column) -> Column:
-    return F.when((related >= 5) & (coordinated > 0), 2.5).otherwise(ladder(related, [(3, 2), (2, 1.5), (1, 1)]))
+    return F.when((related >= MOST_RELATED) & (coordinated > 0), 2.5).otherwise(ladder(related, [(3, 2), (2, 1.5), (1, 1)]))
 
 
 def cluster_detector_score(related: Column, coordinated: Column, size: Column) -> Column:
@@ -120,16 +124,23 @@ def components(as_of, full: bool = False, legacy: bool = False) -> dict[str, Col
 def risk_scores(profiles: DataFrame, clusters: DataFrame, as_of, full: bool = False, legacy: bool = False) -> DataFrame:
     """Profiles with ``risk_score``, ``level``, ``profile_type`` and the struct ``breakdown``.
 
-    ``clusters(wallet, related, coordinated)``; with ``full`` the profiles carry ``early_entry`` and ``volume_impact``.
+    ``clusters(wallet, related, coordinated)``, or ``(wallet, related)`` up to ``MOST_RELATED`` of wallets that have pairs; with ``full`` the
+    profiles carry ``early_entry`` and ``volume_impact``.
     """
-    p = profiles.join(clusters, "wallet", "left").fillna(0, ["related", "coordinated"])
-    parts = components(as_of, full, legacy)
-    p = p.withColumn("breakdown", F.struct(*[x.alias(n) for n, x in parts.items()]))
+    upto = "coordinated" not in clusters.columns
+    p = profiles.join(clusters.withColumn("coordinated", c("related")) if upto else clusters, "wallet", "left").fillna(0, ["related", "coordinated"])
+    p = typed(p, components(as_of, full, legacy))
     total = sum((c(f"breakdown.{n}") for n in COMPONENTS), F.lit(0.0))
     # two digits, halves up in plain arithmetic: the same wherever it is computed
     p = p.withColumn("risk_score", F.floor(F.least(total, F.lit(10.0)) * 100 + (0.5 + 1e-9)) / 100)
+    return p.withColumn("level", risk_level(c("risk_score"))).drop(*["related", "coordinated"] * upto)
+
+
+def typed(p: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Profiles with the struct ``breakdown`` of ``parts`` and ``profile_type``, on which related wallets have no say."""
+    p = p.withColumn("breakdown", F.struct(*[x.alias(n) for n, x in parts.items()]))
     kind = profile_type(c("winrate"), c("breakdown.camouflage"), c("breakdown.cross_market"), c("breakdown.timing"), c("trades"))
-    return p.withColumns({"level": risk_level(c("risk_score")), "profile_type": kind})
+    return p.withColumn("profile_type", kind)
 
 
 def fast_position_score(n: Column, value: Column, volume: Column) -> Column:

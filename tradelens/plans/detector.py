@@ -24,7 +24,7 @@ def score_profiles(trades: DataFrame, resolutions: DataFrame, markets: DataFrame
     p = profiles.trader_profile(trades, resolutions, markets)
     if full:
         p = p.join(scoring.trade_extremes(trades, markets), "wallet")
-    related = graph.correlations(trades, 60, min_pairs)
+    related = graph.related_wallets(trades, 60, min_pairs, scoring.MOST_RELATED)
     return scoring.risk_scores(p, related, as_of, full)
 
 
