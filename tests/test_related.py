@@ -62,3 +62,13 @@ def test_scores_do_not_sum_all_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(graph, "correlations", never)
     entry.queries()[name](spark, DATA)
+
+
+@pytest.mark.parametrize("name", ["profile_type", "score_pnl", "score_off_hours"])
+def test_parts_that_need_no_pairs(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("pairs were searched")
+
+    monkeypatch.setattr(graph, "correlations", never)
+    monkeypatch.setattr(graph, "related_wallets", never)
+    entry.queries()[name](spark, DATA)

@@ -143,6 +143,12 @@ def typed(p: DataFrame, parts: dict[str, Column]) -> DataFrame:
     return p.withColumn("profile_type", kind)
 
 
+def alone(profiles: DataFrame, as_of, full: bool = False) -> DataFrame:
+    """``risk_scores`` without what needs related wallets: no ``cluster`` in the breakdown, no ``risk_score`` and no ``level``."""
+    parts = components(as_of, full)
+    return typed(profiles, {n: x for n, x in parts.items() if n != "cluster"})
+
+
 def fast_position_score(n: Column, value: Column, volume: Column) -> Column:
     return F.least(2.0 / F.sqrt(F.greatest(n, F.lit(1))), F.lit(2.0)) + F.least(ratio(value, volume) * 3, F.lit(2.0))
 
