@@ -150,6 +150,8 @@ class Model:
                 z[own, at] -= 1
             return mine - np.log(total)
 
+        order = np.argsort(kind.astype(np.int16), kind="stable")  # tokens of one class side by side, from here on
+        kind, targets, h = kind[order], targets[order], np.take(h, order, axis=1)
         z = p["classes"].T @ h
         z += p["class_bias"][:, None]
         out = softmax(z, kind, every).astype(np.float64)
@@ -157,37 +159,33 @@ class Model:
         if grads is not None:
             grads["classes"], grads["class_bias"] = h @ z.T, z.sum(axis=1)
             dh = p["classes"] @ z
-        # columns of one class side by side
-        order = np.argsort(kind.astype(np.int16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(self.first)))
-        ours, which = h[:, order], targets[order]
-        inner, back = np.zeros(len(targets)), np.zeros_like(h) if grads is not None else None
+        edges = np.searchsorted(kind, np.arange(len(self.first)))
         for k in range(len(self.first) - 1):
             (low, high), (a, b) = self.first[k : k + 2], edges[k : k + 2]
             if a == b or high - low == 1:
                 continue
             words = p["words"][low:high]
-            z = words @ ours[:, a:b]
+            z = words @ h[:, a:b]
             z += p["word_bias"][low:high, None]
-            inner[a:b] = softmax(z, which[a:b] - low, every[: b - a])
+            out[a:b] += softmax(z, targets[a:b] - low, every[: b - a])
             if grads is not None:
-                back[:, a:b] = words.T @ z
-                grads["words"][low:high], grads["word_bias"][low:high] = z @ ours[:, a:b].T, z.sum(axis=1)
-        out[order] += inner
-        if grads is not None:
-            dh[:, order] += back
-        return out, dh
+                dh[:, a:b] += words.T @ z
+                grads["words"][low:high], grads["word_bias"][low:high] = z @ h[:, a:b].T, z.sum(axis=1)
+        place = np.empty_like(order)
+        place[order] = every
+        return out[place], None if dh is None else np.take(dh, place, axis=1)
 
     def score(self, w: Window, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logarithms of the probabilities, lanes x time flattened (0 where a lane has ended), and the last states, hidden x lanes."""
         states, h = self._states(w, h)
-        flat, targets = states.transpose(0, 2, 1).reshape(self.hidden, -1), w.targets.ravel()
+        flat, targets = states.reshape(self.hidden, -1), w.targets.T.ravel()
         real = np.flatnonzero(targets > -2)
-        if len(real) == len(targets):
-            return self._foretell(flat, targets)[0], h
         out = np.zeros(len(targets))
-        out[real] = self._foretell(flat[:, real], targets[real])[0]
-        return out, h
+        if len(real) == len(targets):
+            out = self._foretell(flat, targets)[0]
+        else:
+            out[real] = self._foretell(np.take(flat, real, axis=1), targets[real])[0]
+        return out.reshape(w.targets.T.shape).T.ravel(), h
 
     def _move(self, name: str, rows, grad: np.ndarray, rate: float) -> None:
         sums, square = self.sums[name], grad * grad
@@ -204,7 +202,7 @@ class Model:
         real = np.flatnonzero(targets > -2)
         whole = len(real) == len(targets)
         grads: dict = {n: np.zeros_like(self.p[n]) for n in ("words", "word_bias")}
-        _, dh_real = self._foretell(flat if whole else flat[:, real], targets[real], grads)
+        _, dh_real = self._foretell(flat if whole else np.take(flat, real, axis=1), targets[real], grads)
         if whole:
             dh_all = dh_real
         else:
@@ -213,21 +211,19 @@ class Model:
         dh_all = dh_all.reshape(k, steps, lanes)
         gates = self.p["gates"]
         back = np.zeros((k, lanes), np.float32)
-        before, da, dx = np.empty((k, steps, lanes), np.float32), np.empty((3 * k, steps, lanes), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
+        # the last third of the input's gradients, dx, differs from that of the state's by the gate
+        before, da, dx = np.empty((k, steps, lanes), np.float32), np.empty((3 * k, steps, lanes), np.float32), np.empty((k, steps, lanes), np.float32)
         begins = w.starts.any(axis=0)
         for t in range(steps - 1, -1, -1):
             h0, g, own, n, d = kept[t]
             dh = dh_all[:, t] + back
             slope = g - g * g
-            both = np.empty((3 * k, lanes), np.float32)
-            dn = both[2 * k :]
+            both, dn = da[:, t], dx[:, t]
             np.multiply(dh, 1 - g[:k], out=dn)
             dn *= 1 - n * n
             np.multiply(dh * d, slope[:k], out=both[:k])
             np.multiply(dn * own, slope[k:], out=both[k : 2 * k])
-            dx[t] = both.T
-            dn *= g[k:]
-            da[:, t] = both
+            np.multiply(dn, g[k:], out=both[2 * k :])
             back = dh * g[:k]
             back += gates @ both
             if begins[t]:
@@ -237,9 +233,13 @@ class Model:
         grads["gates"] = before.reshape(k, -1) @ da.reshape(3 * k, -1).T
         for name, grad in grads.items():
             self._move(name, slice(None), grad * scale, rate)
-        ids = w.inputs.T.ravel()[real]
-        order = np.argsort(ids.astype(np.int16) if len(self.p["inputs"]) < 2**15 else ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        self._move("inputs", ids[first], np.add.reduceat(dx.reshape(-1, 3 * k)[real[order]], first) * scale, rate)
+        ids = w.inputs.T.ravel()[real].astype(np.int64)
+        rows = np.flatnonzero(np.bincount(ids))
+        place = np.empty(rows[-1] + 1, np.int64)
+        place[rows] = np.arange(len(rows))
+        ids = place[ids]
+        sums = np.empty((len(rows), 3 * k), np.float32)
+        for m, x in enumerate((*da.reshape(3 * k, -1)[: 2 * k], *dx.reshape(k, -1))):
+            sums[:, m] = np.bincount(ids, x if whole else x[real])
+        self._move("inputs", rows, sums * scale, rate)
         return last
