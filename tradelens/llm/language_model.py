@@ -16,12 +16,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,8 @@ from tradelens.llm.gru import Model, Sequence, windows
 
 #: The end of a text; no word holds a line end.
 END = b"\n"
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Distinct words that a task counts before it hands the counts on.
-FLUSH = 300_000
+#: Bytes of texts that a task splits into words together; a longer text is a piece of its own.
+PIECE = 1 << 24
 #: Parameters that travel as one row between copies, and copies that are averaged together.
 BLOCK, TOGETHER = 4096, 64
 
@@ -71,35 +71,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of_bytes(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+def pieces(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Places of the texts of a batch, the longest first, so that lanes end at about the same time; together in pieces of some ``PIECE`` bytes."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    full = np.cumsum(size[order]) // PIECE
+    yield from (x for x in np.split(order, np.flatnonzero(np.diff(full)) + 1) if len(x))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("_t").cast(pa.large_binary()).to_pylist()
-
-
-def _longest_first(texts: list[bytes | None]) -> list[int]:
-    """Places of the texts of a batch, so that lanes end at about the same time."""
-    return sorted(range(len(texts)), key=lambda k: -len(texts[k] or b""))
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts in one array, as bytes, and the places in it where each text begins and the last one ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, at = lists.flatten().cast(pa.large_binary()), lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty one
+    return words.filter(real), np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[at]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over the texts in ``_t``, each with its end."""
 
-    def rows(found: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"token": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
         for batch in batches:
-            for t in _texts(batch):
-                found.update(words_of_bytes(t))
-                found[END] += 1
-                if len(found) > FLUSH:
-                    yield rows(found)
-                    found = Counter()
-        yield rows(found)
+            texts = batch.column("_t")
+            for piece in pieces(texts):
+                found = pc.value_counts(words_of(texts.take(pa.array(piece)))[0])
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["token", "n"])
+                yield pa.RecordBatch.from_pydict({"token": pa.array([END], pa.binary()), "n": pa.array([len(piece)], pa.int64())})
 
     return docs.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -135,24 +132,27 @@ class _Reader:
     """Texts as rows of the model's input table and words to foretell."""
 
     def __init__(self, words: Words, s: Settings):
-        self.place = {w: k for k, w in enumerate(words.names)}
+        self.names = pa.array(words.names, pa.large_binary())
         self.known, self.rare_inputs = words.known, s.rare_inputs
         tails = np.array([zlib.crc32(w[-2:]) % s.rare_inputs for w in words.names], np.int32)
         self.rows = np.where(np.arange(len(tails)) < self.known, np.arange(len(tails)), self.known + tails).astype(np.int32)
         self.start = np.int32(self.known + s.rare_inputs)
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Places in the dictionary (-1: none), input rows, words to foretell, and the words that have no place."""
-        found = words_of_bytes(text)
-        places = np.zeros(len(found) + 1, np.int32)  # the last one is the end
-        places[:-1] = np.fromiter(map(self.place.get, found, repeat(-1)), np.int32, len(found))
-        rows, other = self.rows[places], np.flatnonzero(places < 0)
-        absent = [found[k] for k in other]
-        if absent:
-            rows[other] = [self.known + zlib.crc32(w[-2:]) % self.rare_inputs for w in absent]
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Of each text the places in the dictionary (-1: none), input rows, words to foretell, and the words that have no place."""
+        words, at = words_of(texts)
+        found = pc.index_in(words, value_set=self.names)
+        at = at + np.arange(len(at))  # a text is followed by its end
+        places, ends = np.zeros(at[-1], np.int32), np.zeros(at[-1], bool)  # the end has place 0
+        ends[at[1:] - 1] = True
+        places[~ends] = pc.fill_null(found, -1).to_numpy()
+        rows, other, absent = self.rows[places], np.flatnonzero(places < 0), words.filter(pc.is_null(found)).to_pylist()
+        rows[other] = [self.known + zlib.crc32(w[-2:]) % self.rare_inputs for w in absent]
         inputs = np.empty_like(rows)
-        inputs[0], inputs[1:] = self.start, rows[:-1]
-        return places, inputs, np.where(places < self.known, places, -1), absent
+        inputs[1:], inputs[at[:-1]] = rows[:-1], self.start
+        targets, cuts = np.where(places < self.known, places, -1), np.searchsorted(other, at).tolist()
+        for (a, b), (c, d) in zip(pairwise(at.tolist()), pairwise(cuts)):
+            yield places[a:b], inputs[a:b], targets[a:b], absent[c:d]
 
 
 def _model(words: Words, s: Settings) -> Model:
@@ -198,10 +198,10 @@ def train(docs: DataFrame, words: Words, s: Settings) -> np.ndarray:
 
             def read() -> Iterator[Sequence]:
                 for batch in batches:
-                    texts = _texts(batch)
-                    for k in _longest_first(texts):
-                        _, inputs, targets, _ = reader.read(texts[k])
-                        yield 0, inputs, targets
+                    texts = batch.column("_t")
+                    for piece in pieces(texts):
+                        for _, inputs, targets, _ in reader.read(texts.take(pa.array(piece))):
+                            yield 0, inputs, targets
 
             for w in windows(read(), lanes, s.steps):
                 tokens += int((w.targets > -2).sum())
@@ -238,19 +238,18 @@ def _scored(docs: DataFrame, words: Words, model: np.ndarray, s: Settings) -> Da
         def read() -> Iterator[Sequence]:
             number = 0
             for batch in batches:
-                ids, helds, texts = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), _texts(batch)
-                for k in _longest_first(texts):
-                    doc_id, held = ids[k], helds[k]
-                    places, inputs, targets, absent = reader.read(texts[k])
-                    here = places[places >= 0] if absent else places
-                    found, beyond, other = logs_of[here], here >= w.known, Counter(absent)
-                    opened[number] = (
-                        doc_id, held, len(places), len(here) - no_end, float(found.sum()) - len(places) * whole,
-                        float(found[beyond].sum()) - (int(beyond.sum()) + len(absent)) * rare, list(other), list(other.values()),
-                    )
-                    sums[number] = 0.0
-                    yield number, inputs, targets
-                    number += 1
+                ids, helds, texts = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("_t")
+                for piece in pieces(texts):
+                    for k, (places, inputs, targets, absent) in zip(piece.tolist(), reader.read(texts.take(pa.array(piece)))):
+                        here = places[places >= 0] if absent else places
+                        found, beyond, other = logs_of[here], here >= w.known, Counter(absent)
+                        opened[number] = (
+                            ids[k], helds[k], len(places), len(here) - no_end, float(found.sum()) - len(places) * whole,
+                            float(found[beyond].sum()) - (int(beyond.sum()) + len(absent)) * rare, list(other), list(other.values()),
+                        )
+                        sums[number] = 0.0
+                        yield number, inputs, targets
+                        number += 1
 
         for window in windows(read(), s.lanes, 2 * s.steps):
             logs, state[:, window.lanes] = net.score(window, state[:, window.lanes])
