@@ -1,6 +1,7 @@
 """Related wallets up to a number: the rounds against brute force, and how the joined rows grow."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -55,6 +56,25 @@ def test_joined_rows_grow_with_the_wallets(spark, monkeypatch):
     assert 0 < work[1200] < 6 * work[300]
 
 
+@pytest.mark.parametrize("sent, first, busy", [(10**6, 4, pairs.BUSY_PAIRS), (10**6, 16, 200), (0, 4, pairs.BUSY_PAIRS), (200, 4, pairs.BUSY_PAIRS), (200, 8, 200)])
+def test_pairs_of_a_round_are_not_shuffled(spark, monkeypatch, sent, first, busy):
+    """Others of up to ``SENT_ROWS`` rows go to all tasks, where a wallet's pairs are added up; the numbers are those of brute force however few go."""
+    plans, plain = [], pairs._added
+
+    def seen(state, new):
+        plans.append(new._jdf.queryExecution().executedPlan().toString())
+        return plain(state, new)
+
+    monkeypatch.setattr(pairs, "_added", seen)
+    monkeypatch.setattr(pairs, "SENT_ROWS", sent, raising=False)
+    monkeypatch.setattr(pairs, "TASK_ROWS", 500, raising=False)
+    rows = trades(5, 60, 700, 200, (20, 41) if busy == 200 else ())
+    got = {r.wallet: r.related for r in pairs.related_up_to(spark.createDataFrame(rows, SCHEMA), 60, 3, 10**6, busy, first, 0).collect()}
+    assert got == related(rows, 60, 3, 10**6) and len(plans) > 1
+    if busy == pairs.BUSY_PAIRS and sent != 200:
+        assert all(bool(re.search(r"hashpartitioning\(w1#\d+L?, w2#", p)) == (sent == 0) for p in plans)
+
+
 @pytest.mark.parametrize("name", SCORED)
 def test_scores_do_not_sum_all_pairs(spark, monkeypatch, name):
     def never(*_):
