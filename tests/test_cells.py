@@ -1,4 +1,4 @@
-"""Cells of wallets: pairs, sums and lists of dense tables against brute force, and that pairs are not shuffled."""
+"""Cells of wallets: pairs, sums, lists and components of dense tables against brute force, and that pairs are not shuffled."""
 
 import re
 from collections import Counter, defaultdict
@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from test_pairs import SCHEMA, brute, trades
 from tradelens.operators import cells, graph, pairs
 
@@ -20,6 +21,15 @@ def related(want):
     return sorted((w, len(x), sums[w], ",".join(map(str, sorted(x)))) for w, x in others.items())
 
 
+def components(want):
+    at = {w: w for pair in want for w in pair}
+    for _ in at:
+        for a, b in want:
+            at[a] = at[b] = min(at[a], at[b])
+    size = Counter(at.values())
+    return sorted((w, x, size[x], size[x] - 1) for w, x in at.items())
+
+
 def table(copies):
     rows = [(w + 50 * k, t) for w, t in trades(3, 50, 900, 150, (20, 41), 2) for k in range(copies)]
     return rows + [(7, 1000)] * 3 + [(9, 1000)] * 5  # some trades of one second
@@ -40,6 +50,10 @@ def test_cells_equal_brute_force(spark, monkeypatch, copies, least, rows):
     assert "mapInArrow" in found._jdf.queryExecution().toString() or "MapInArrow" in found._jdf.queryExecution().toString()
     assert {(r.w1, r.w2): r.pairs for r in found.collect()} == want and found.count() == len(want)
     assert sorted(map(tuple, graph.correlations(df, 60, least).collect())) == related(want)
+    sums = {w: (n, s) for w, n, s, _ in related(want)}
+    got = graph.cluster_sums(df, 60, least).select("wallet", "cluster_id", "size", "related", "coordinated").collect()
+    assert sorted(r[:4] for r in map(tuple, got)) == components(want) == sorted(map(tuple, graph.wallet_clusters(df, 60, least).collect()))
+    assert {r.wallet: r.coordinated for r in got} == {w: s for w, (_, s) in sums.items()}
 
 
 def test_pairs_of_a_dense_table_are_not_shuffled(spark):
@@ -100,3 +114,15 @@ def test_correlations_name_the_others(spark):
     rows = [(w, t) for w in (2, 10, 9) for t in (0, 1000, 2000)] + [(4, 0), (4, 1000), (4, 2001)]
     got = {r.wallet: r.addresses for r in graph.correlations(spark.createDataFrame(rows, SCHEMA), 60, 3).collect()}
     assert got == {2: "4,9,10", 4: "2,9,10", 9: "2,4,10", 10: "2,4,9"}
+
+
+@pytest.mark.parametrize("name", ["wallet_clusters"])
+def test_queries_of_dense_tables_use_cells(spark, monkeypatch, name):
+    """No query adds up shuffled pairs where many trade around each trade."""
+
+    def never(*_):
+        raise AssertionError("pairs were shuffled")
+
+    dense(monkeypatch, 100)
+    monkeypatch.setattr(pairs, "_pairs", never)
+    entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
