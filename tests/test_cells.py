@@ -116,7 +116,7 @@ def test_correlations_name_the_others(spark):
     assert got == {2: "4,9,10", 4: "2,9,10", 9: "2,4,10", 10: "2,4,9"}
 
 
-@pytest.mark.parametrize("name", ["wallet_clusters"])
+@pytest.mark.parametrize("name", ["wallet_clusters", "score_cluster_detector"])
 def test_queries_of_dense_tables_use_cells(spark, monkeypatch, name):
     """No query adds up shuffled pairs where many trade around each trade."""
 
@@ -126,3 +126,10 @@ def test_queries_of_dense_tables_use_cells(spark, monkeypatch, name):
     dense(monkeypatch, 100)
     monkeypatch.setattr(pairs, "_pairs", never)
     entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_cluster_scores_search_pairs_once(spark, monkeypatch):
+    seen, plain = [], pairs._classes
+    monkeypatch.setattr(pairs, "_classes", lambda x: seen.append(x) or plain(x))
+    entry.queries()["score_cluster_detector"](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 1
