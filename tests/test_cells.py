@@ -116,7 +116,7 @@ def test_correlations_name_the_others(spark):
     assert got == {2: "4,9,10", 4: "2,9,10", 9: "2,4,10", 10: "2,4,9"}
 
 
-@pytest.mark.parametrize("name", ["wallet_clusters", "score_cluster_detector", "coordinated_pairs"])
+@pytest.mark.parametrize("name", ["wallet_clusters", "score_cluster_detector", "coordinated_pairs", "sybil_sync", "wallet_correlations"])
 def test_queries_of_dense_tables_use_cells(spark, monkeypatch, name):
     """No query adds up shuffled pairs where many trade around each trade."""
 
